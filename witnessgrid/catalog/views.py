@@ -203,3 +203,44 @@ cte("insights", """
 SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY round(confidence, 12) DESC, item_coverage DESC,
     unique_item_count DESC, evidence_count DESC, source_diversity DESC, cross_item_consistency DESC, type, key, insight_label) AS rank
 FROM candidates WHERE resolved_item_count = unique_item_count""", "candidates")
+
+
+# -- vectors: the embeddings table as one analysis; candidate labels are normalised centroids --
+
+VECTOR_ANALYSIS = "embeddings"
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        F.lit(VECTOR_ANALYSIS).alias("analysis_id"), F.col("vec_id").alias("ordinal"),
+        F.col("vec_id").cast("string").alias("item_id"), "embedding", F.col("label").alias("truth"))
+
+
+def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """L2-normalised sum of the vectors of each label, dimension by dimension."""
+    dims = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
+    sums = dims.groupBy("label", "d").agg(F.sum(F.col("x").cast("decimal(28,12)")).cast("double").alias("s"))
+    lists = sums.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda p: p["s"]).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return lists.select(
+        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("label"),
+        F.transform("v", lambda x: x / length).alias("embedding"))
+
+
+cte("label_vectors", """
+SELECT 'label_' || label AS label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS embedding FROM (
+  SELECT label, list(s ORDER BY d) AS v FROM (
+    SELECT label, d, CAST(sum(CAST(x AS DECIMAL(28, 12))) AS DOUBLE) AS s
+    FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings) GROUP BY ALL)
+  GROUP BY label)""")
+cte("similarities", """
+SELECT CAST(vec_id AS VARCHAR) AS item_id, e.label AS truth, l.label,
+       least(1.0, greatest(-1.0, list_dot_product(e.embedding::DOUBLE[], l.embedding))) AS similarity
+FROM embeddings e, label_vectors l""", "label_vectors")
+
+
+def similarities(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import semantic
+
+    return semantic.score_labels(vectors(spark, sf), label_vectors(spark, sf))

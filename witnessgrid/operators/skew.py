@@ -41,7 +41,8 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], size: str,
 
 def has_hot_group(sizes: DataFrame, keys: list[str], hot_rows: int) -> bool:
     """Cheap size check: does any key of ``sizes`` (rows, not counts) exceed ``hot_rows``?"""
-    return not sizes.groupBy(*keys).count().filter(F.col("count") > hot_rows).isEmpty()
+    present = [k for k in keys if k in sizes.columns]
+    return not sizes.groupBy(*present).count().filter(F.col("count") > hot_rows).isEmpty()
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank",
@@ -49,8 +50,8 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str =
     """Exact 1-based position of every row inside its ``keys`` group.
 
     ``order`` must be a total order of ascending expressions (negate numbers for descending).
-    ``sizes`` is any frame with the key columns whose groups are at least as large as those
-    of ``df``; it is only counted. When no group is hot a plain window does the work;
+    ``sizes`` is any frame with some of the key columns whose groups are at least as large as
+    those of ``df``; it is only counted. When no group is hot a plain window does the work;
     otherwise hot groups are cut at splitters and ranked piecewise.
     """
     if not has_hot_group(df if sizes is None else sizes, keys, hot_rows):
