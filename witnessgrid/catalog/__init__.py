@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("evidence_queries", "semantic_queries")
+_MODULES = ("evidence_queries", "semantic_queries", "evaluation_queries")
 
 
 def load():

@@ -244,3 +244,133 @@ def similarities(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import semantic
 
     return semantic.score_labels(vectors(spark, sf), label_vectors(spark, sf))
+
+
+# -- evaluation: documents as samples, labels as truth, simple rules on the text as predictions --
+
+_SLICE_OF_LANG = {"en": "english_heavy", "fr": "mixed_persian_english", "de": "persian_heavy", "es": "screenshot"}
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth document is TRAIN; a document has text truth unless its id is a multiple of 3."""
+    d = table(spark, sf, "documents")
+    lang_slice = F.create_map(*[F.lit(v) for kv in _SLICE_OF_LANG.items() for v in kv])[F.col("lang")]
+    slices = F.array_compact(F.array(
+        lang_slice, F.when(F.col("n_chars") > 2000, "text_heavy"), F.when(F.col("n_chars") <= 300, "low_quality")))
+    sid = F.col("doc_id").cast("string")
+    return d.select(
+        F.lit("docs").alias("dataset_id"), F.lit("1.0.0").alias("dataset_version"),
+        F.concat(F.lit("doc-"), sid).alias("sample_id"),
+        F.when(F.pmod("doc_id", F.lit(4)) == 0, "train").otherwise("eval").alias("split"), slices.alias("slices"),
+        F.concat(F.lit("item-"), sid).alias("item_id"), F.concat("source", F.lit("/"), sid, F.lit(".txt")).alias("relative_path"),
+        ids.content_hash(F.col("text")).alias("content_hash"),
+        F.when(F.pmod("doc_id", F.lit(3)) != 0, F.col("text")).alias("ocr_text"), "doc_id", "lang", "n_chars")
+
+
+cte("samples", """
+SELECT 'docs' AS dataset_id, '1.0.0' AS dataset_version, 'doc-' || doc_id AS sample_id,
+       CASE WHEN doc_id % 4 = 0 THEN 'train' ELSE 'eval' END AS split,
+       list_filter([CASE lang WHEN 'en' THEN 'english_heavy' WHEN 'fr' THEN 'mixed_persian_english' WHEN 'de' THEN 'persian_heavy'
+                         WHEN 'es' THEN 'screenshot' END, CASE WHEN n_chars > 2000 THEN 'text_heavy' END,
+                    CASE WHEN n_chars <= 300 THEN 'low_quality' END], lambda x: x IS NOT NULL) AS slices,
+       'item-' || doc_id AS item_id, source || '/' || doc_id || '.txt' AS relative_path, sha256(text) AS content_hash,
+       CASE WHEN doc_id % 3 <> 0 THEN text END AS ocr_text, doc_id, lang, n_chars
+FROM documents""")
+
+
+def truth_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality as a scene, toxicity as a topic, language as an object; values are JSON."""
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    lab = lambda t, l, v: F.struct(F.lit(t).alias("type"), l.alias("label"), v.alias("value"))
+    found = F.array_compact(F.array(
+        lab("scene", F.concat(F.lit("quality_"), F.col("quality").cast("string")), F.lit("null")),
+        F.when(F.col("toxic") == 1, lab("topic", F.lit("toxic content"), F.lit('"toxic"'))),
+        lab("object", F.concat(F.lit("language "), F.col("lang")), F.concat(F.lit('"'), F.col("lang"), F.lit('"')))))
+    return joined.select(
+        F.lit("docs").alias("dataset_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("sample_id"), F.inline(found)
+    ).withColumn("label_id", F.concat_ws("-", "sample_id", "type"))
+
+
+cte("truth_labels", """
+SELECT 'docs' AS dataset_id, 'doc-' || l.doc_id AS sample_id, 'scene' AS type, 'quality_' || quality AS label, 'null' AS value FROM labels l JOIN documents USING (doc_id)
+UNION ALL SELECT 'docs', 'doc-' || l.doc_id, 'topic', 'toxic content', '"toxic"' FROM labels l JOIN documents USING (doc_id) WHERE toxic = 1
+UNION ALL SELECT 'docs', 'doc-' || l.doc_id, 'object', 'language ' || lang, '"' || lang || '"' FROM labels l JOIN documents d USING (doc_id)""")
+
+
+def pred_labels(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    n = F.col("n_chars")
+    conf = F.lit(0.5) + F.pmod(n, F.lit(50)) / 100.0
+    lab = lambda t, l, v, c: F.struct(F.lit(t).alias("type"), l.alias("label"), v.alias("value"), c.alias("confidence"))
+    found = F.array_compact(F.array(
+        lab("scene", F.when(n > 800, "quality_1").otherwise("quality_0"), F.lit("null"), conf),
+        F.when(F.pmod(n, F.lit(7)) == 0, lab("topic", F.lit("toxic content"), F.lit('"toxic"'), conf / 2)),
+        F.when(F.pmod(n, F.lit(3)) != 0, lab("object", F.lit("language en"), F.lit('"en"'), F.lit(0.3) + F.pmod(n, F.lit(60)) / 100.0))))
+    return d.select(
+        F.lit("docs").alias("dataset_id"), F.lit("1.0.0").alias("dataset_version"),
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("sample_id"), F.inline(found))
+
+
+cte("pred_labels", """
+SELECT 'docs' AS dataset_id, '1.0.0' AS dataset_version, 'doc-' || doc_id AS sample_id, 'scene' AS type,
+       CASE WHEN n_chars > 800 THEN 'quality_1' ELSE 'quality_0' END AS label, 'null' AS value, 0.5::DOUBLE + (n_chars % 50) / 100.0::DOUBLE AS confidence FROM documents
+UNION ALL SELECT 'docs', '1.0.0', 'doc-' || doc_id, 'topic', 'toxic content', '"toxic"', (0.5::DOUBLE + (n_chars % 50) / 100.0::DOUBLE) / 2 FROM documents WHERE n_chars % 7 = 0
+UNION ALL SELECT 'docs', '1.0.0', 'doc-' || doc_id, 'object', 'language en', '"en"', 0.3::DOUBLE + (n_chars % 60) / 100.0::DOUBLE FROM documents WHERE n_chars % 3 <> 0""")
+
+# Only samples with truth are scored below; the others have no row in the labels table.
+cte("eval_ids", "SELECT sample_id FROM samples WHERE split = 'eval' AND doc_id IN (SELECT doc_id FROM labels)", "samples")
+
+
+def labelled_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return samples(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def claims(spark: SparkSession, sf: str) -> DataFrame:
+    """One claim per document; some keys and labels name a protected trait on purpose."""
+    d = table(spark, sf, "documents")
+    k, m = F.pmod("doc_id", F.lit(11)), F.pmod("doc_id", F.lit(7))
+    key = F.when(k == 0, "person_religion").when(k == 1, "user_mental_health_note").otherwise("visible_content")
+    label = (
+        F.when(m == 0, F.concat(F.lit("Person religion = "), F.col("lang"))).when(m == 1, "مذهب شخص")
+        .when(m == 2, "Political_Ideology").when(m == 3, F.concat(F.lit("religion-themed poster "), F.col("lang"))).otherwise(F.col("text")))
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("sample_id"), "lang", key.alias("key"), label.alias("label"))
+
+
+cte("claims", """
+SELECT 'doc-' || doc_id AS sample_id, lang,
+       CASE doc_id % 11 WHEN 0 THEN 'person_religion' WHEN 1 THEN 'user_mental_health_note' ELSE 'visible_content' END AS key,
+       CASE doc_id % 7 WHEN 0 THEN 'Person religion = ' || lang WHEN 1 THEN 'مذهب شخص' WHEN 2 THEN 'Political_Ideology'
+                       WHEN 3 THEN 'religion-themed poster ' || lang ELSE text END AS label
+FROM documents""")
+
+
+def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A turn and the next turn of its conversation, whole texts."""
+    c = table(spark, sf, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "role", F.col("text").alias("reference"), "prediction")
+
+
+cte("text_pairs", """
+SELECT a.conv_id, a.turn, a.role, a.text AS reference, b.text AS prediction
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+
+
+# -- benchmark runs: an order is a run of the workload given by its priority ---------------
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    return o.select(
+        F.col("o_orderpriority").alias("workload"), key.alias("run_id"), (F.pmod(key, F.lit(50)) + 1).alias("items"),
+        F.col("o_totalprice").alias("latency_ms"), (F.col("o_orderstatus") == "F").alias("failed"),
+        F.concat(F.lit("reason_"), F.pmod("o_custkey", F.lit(4)).cast("string")).alias("reason"),
+        (F.pmod(key, F.lit(10)) / 100.0).alias("unsupported_rate"), (F.pmod(key, F.lit(997)) != 1).alias("factual"),
+        F.col("o_custkey").alias("candidate"))
+
+
+cte("runs", """
+SELECT o_orderpriority AS workload, o_orderkey AS run_id, o_orderkey % 50 + 1 AS items, o_totalprice AS latency_ms,
+       o_orderstatus = 'F' AS failed, 'reason_' || (o_custkey % 4) AS reason, (o_orderkey % 10) / 100.0::DOUBLE AS unsupported_rate,
+       o_orderkey % 997 <> 1 AS factual, o_custkey AS candidate
+FROM orders""")

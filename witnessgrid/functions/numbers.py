@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 _SCALE = float(2**53)
 _LOW_BITS = 26
@@ -97,10 +99,6 @@ def word_error_rate(ref_words: Column, pred_words: Column) -> Column:
 
 
 def _token_distance(ref: Column, pred: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []

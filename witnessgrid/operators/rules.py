@@ -15,7 +15,7 @@ from ..functions.text import strip
 
 KEY_PATTERN = r"\A[a-z][a-z0-9_]*\z"
 ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
-VERSION_PATTERN = r"\A(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\z"
+VERSION_PATTERN = r"\A[0-9]+\.[0-9]+\.[0-9]+\z"
 SHA256_PATTERN = r"\A[0-9a-f]{64}\z"
 
 
