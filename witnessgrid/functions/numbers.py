@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -69,52 +68,27 @@ def character_error_rate(ref: Column, pred: Column) -> Column:
     return F.when(F.length(ref) == 0, empty).otherwise(F.levenshtein(ref, pred) / F.length(ref))
 
 
-# One private-use character stands for one distinct token of a pair.
-_PUA_START = 0xE000
-MAX_ENCODED_TOKENS = 6400
+def _codes(reference: str, prediction: str) -> tuple[str, str]:
+    """Both texts with every distinct whitespace token replaced by one character."""
+    seen: dict[str, str] = {}
+    out = []
+    for side in (reference, prediction):
+        # Plane 1 and above: no surrogates, room for about a million distinct tokens a pair.
+        out.append("".join([seen.setdefault(t, chr(0x10000 + len(seen))) for t in side.split()]))
+    return out[0], out[1]
 
 
-def word_error_rate(ref_words: Column, pred_words: Column) -> Column:
-    """Token edit distance over reference length.
+@F.pandas_udf(T.StructType([T.StructField("ref", T.StringType()), T.StructField("pred", T.StringType())]))
+def token_codes(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+    pairs = [
+        (None, None) if r is None or p is None else _codes(r, p) for r, p in zip(reference, prediction)]
+    return pd.DataFrame(pairs, columns=["ref", "pred"])
 
-    Each distinct token of the pair becomes one character, so the built-in edit distance
-    works on whole tokens. Pairs with more distinct tokens than there are private-use
-    characters go through :func:`_token_distance`.
+
+def word_error_rate(codes: Column) -> Column:
+    """Token edit distance over reference length, on the result of :func:`token_codes`.
+
+    One character per token lets the built-in edit distance work on whole tokens. Pass a
+    materialised column (``text.computed``), as it is used several times.
     """
-    both = F.array_distinct(F.concat(ref_words, pred_words))
-
-    def encode(tokens: Column) -> Column:
-        codes = F.transform(
-            tokens,
-            lambda t: F.lpad(F.hex(F.array_position(both, t) + F.lit(_PUA_START - 1)), 4, "0"),
-        )
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
-
-    small = F.size(both) <= MAX_ENCODED_TOKENS
-    near = F.levenshtein(encode(F.when(small, ref_words)), encode(F.when(small, pred_words)))
-    far = _token_distance(F.when(~small, ref_words), F.when(~small, pred_words))
-    n = F.size(ref_words)
-    empty = F.when(F.size(pred_words) == 0, 0.0).otherwise(1.0)
-    return F.when(n == 0, empty).otherwise(F.coalesce(near, far) / n)
-
-
-def _token_distance(ref: Column, pred: Column) -> Column:
-    @F.pandas_udf(T.IntegerType())
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            codes = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-            left = np.array([codes[t] for t in x])
-            steps = np.arange(len(left) + 1)
-            row = steps.copy()
-            for j, t in enumerate(y, 1):
-                best = np.minimum(row[1:] + 1, row[:-1] + (left != codes[t]))
-                merged = np.concatenate(([j], best)) - steps
-                row = np.minimum.accumulate(merged) + steps
-            out.append(int(row[-1]))
-        return pd.Series(out, dtype="Int32")
-
-    return distance(ref, pred)
+    return character_error_rate(codes["ref"], codes["pred"])

@@ -78,17 +78,16 @@ def calibration_error(observations: DataFrame, bins: int, keys: Sequence[str] =
 
 def text_error_rates(pairs: DataFrame, ref: str = "reference", pred: str = "prediction") -> DataFrame:
     """Per-sample character and word error rates, on raw and on cleaned text."""
+    cleaned = text.computed(pairs, _rn=text.ocr_text(F.col(ref)), _pn=text.ocr_text(F.col(pred)))
     ready = text.computed(
-        pairs, _rn=text.ocr_text(F.col(ref)), _pn=text.ocr_text(F.col(pred)),
-        _rw=text.words(F.col(ref)), _pw=text.words(F.col(pred)))
-    ready = text.computed(ready, _rnw=text.words(F.col("_rn")), _pnw=text.words(F.col("_pn")))
+        cleaned, _w=numbers.token_codes(F.col(ref), F.col(pred)), _nw=numbers.token_codes(F.col("_rn"), F.col("_pn")))
     c = F.col
     return ready.select(
         *pairs.columns,
         numbers.character_error_rate(c(ref), c(pred)).alias("raw_cer"),
-        numbers.word_error_rate(c("_rw"), c("_pw")).alias("raw_wer"),
+        numbers.word_error_rate(c("_w")).alias("raw_wer"),
         numbers.character_error_rate(c("_rn"), c("_pn")).alias("normalized_cer"),
-        numbers.word_error_rate(c("_rnw"), c("_pnw")).alias("normalized_wer"))
+        numbers.word_error_rate(c("_nw")).alias("normalized_wer"))
 
 
 def mean_error_rates(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
