@@ -374,3 +374,102 @@ SELECT o_orderpriority AS workload, o_orderkey AS run_id, o_orderkey % 50 + 1 AS
        o_orderstatus = 'F' AS failed, 'reason_' || (o_custkey % 4) AS reason, (o_orderkey % 10) / 100.0::DOUBLE AS unsupported_rate,
        o_orderkey % 997 <> 1 AS factual, o_custkey AS candidate
 FROM orders""")
+
+
+# -- recognised words: every space-separated word of every line ----------------------------
+
+def word_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Words as untyped TSV fields; some confidences are above 100 and get rejected."""
+    lines = table(spark, sf, "documents").select(
+        F.col("source").alias("analysis_id"), F.col("doc_id").cast("string").alias("item_id"),
+        F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = lines.select("analysis_id", "item_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
+    row_no = F.col("line_no") * 100000 + F.col("word_no")
+    s = lambda c: c.cast("string")
+    return words.select(
+        "analysis_id", "item_id", row_no.cast("bigint").alias("row_no"), F.lit("5").alias("level"), F.lit("1").alias("page_num"),
+        F.lit("1").alias("block_num"), F.lit("1").alias("par_num"), s(F.col("line_no")).alias("line_num"),
+        s(F.col("word_no") * 10).alias("left"), s(F.col("line_no") * 20).alias("top"), s(F.length("text") * 8).alias("width"),
+        F.lit("10").alias("height"), s(F.pmod(F.length("text") * 7 + row_no, F.lit(103))).alias("conf"), "text")
+
+
+cte("word_rows", """
+SELECT source AS analysis_id, CAST(doc_id AS VARCHAR) AS item_id, line_no * 100000 + word_no AS row_no, line_no, word_no * 10 AS x, line_no * 20 AS y,
+       length(word) * 8 AS w, 10 AS h, (length(word) * 7 + line_no * 100000 + word_no) % 103 AS conf, word AS text
+FROM (SELECT source, doc_id, line_no, unnest(string_split(line, ' ')) AS word, unnest(range(len(string_split(line, ' ')))) AS word_no
+      FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents))
+WHERE trim(word) <> ''""")
+
+
+# -- observations: an event is one finding on the item "day" of its user -------------------
+
+_KIND_OF_EVENT = {"view": "scene", "click": "object", "purchase": "activity", "signup": "topic", "error": "caption"}
+
+
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.create_map(*[F.lit(v) for kv in _KIND_OF_EVENT.items() for v in kv])
+    return table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("analysis_id"),
+        F.concat_ws("-", F.lit("day"), F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("item_id"),
+        kinds[F.col("event_type")].alias("kind"), F.concat(F.lit("Finding "), F.get_json_object("props", "$.k")).alias("label"),
+        F.least(F.lit(1.0), F.col("value") / 500.0).alias("confidence"))
+
+
+cte("observations", """
+SELECT event_id, 'user-' || user_id AS analysis_id, 'day-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS item_id,
+       CASE event_type WHEN 'view' THEN 'scene' WHEN 'click' THEN 'object' WHEN 'purchase' THEN 'activity' WHEN 'signup' THEN 'topic' ELSE 'caption' END AS kind,
+       'Finding ' || json_extract_string(props, '$.k') AS label, least(1.0, value / 500.0::DOUBLE) AS confidence
+FROM events""")
+
+
+# -- lifecycle requests: an event asks for a transition of the analysis "user and day" -----
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("event_type")
+    expected = F.when(t.isin("click", "view"), "pending").when(t.isin("purchase", "error"), "in_progress")
+    target = (
+        F.when(t == "signup", "pending").when(t == "click", "in_progress").when(t == "purchase", "completed")
+        .when(t == "error", "failed").otherwise("completed"))
+    payload = F.when(t == "purchase", F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit("}")))
+    return table(spark, sf, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("analysis_id"),
+        F.col("event_id").alias("seq"), expected.alias("expected"), target.alias("target"), payload.alias("payload"))
+
+
+cte("requests", """
+SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS analysis_id, event_id AS seq,
+       CASE WHEN event_type IN ('click', 'view') THEN 'pending' WHEN event_type IN ('purchase', 'error') THEN 'in_progress' END AS expected,
+       CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'completed' END AS target,
+       CASE WHEN event_type = 'purchase' THEN '{"event":' || event_id || '}' END AS payload
+FROM events""")
+
+
+# -- questionnaires: the line items of a customer ------------------------------------------
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    from ..vocab import QUESTIONNAIRE_BASIS, TRAITS
+
+    joined = table(spark, sf, "lineitem").join(
+        table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    trait = F.element_at(F.array(*[F.lit(t) for t in TRAITS]), (F.pmod("l_partkey", F.lit(5)) + 1).cast("int"))
+    return joined.select(
+        F.col("o_custkey").cast("string").alias("analysis_id"), F.lit("mini-scale").alias("instrument_id"), F.lit("1.0").alias("instrument_version"),
+        F.lit(1.0).alias("scale_min"), F.lit(5.0).alias("scale_max"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("item_id"),
+        trait.alias("trait"), (F.lit(1.0) + F.pmod("l_quantity", F.lit(5))).alias("response_value"),
+        (F.pmod("l_suppkey", F.lit(2)) == 1).alias("reverse_scored"), F.lit(True).alias("consent_confirmed"), F.lit(QUESTIONNAIRE_BASIS).alias("basis"))
+
+
+cte("responses", """
+SELECT CAST(o_custkey AS VARCHAR) AS analysis_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS item_id,
+       ['openness', 'conscientiousness', 'extraversion', 'agreeableness', 'neuroticism'][l_partkey % 5 + 1] AS trait,
+       1.0::DOUBLE + l_quantity % 5 AS response_value, l_suppkey % 2 = 1 AS reverse_scored
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+cte("bad_respondents", """
+SELECT analysis_id FROM responses GROUP BY analysis_id HAVING count(*) > 100 OR count(DISTINCT trait) < 5
+UNION SELECT analysis_id FROM responses GROUP BY analysis_id, item_id HAVING count(*) > 1""", "responses")
+cte("trait_scores", """
+SELECT analysis_id, trait, round_even((m - 1) / 4, 6) AS normalized_score, round_even(m, 6) AS scored_mean, n AS item_count, ids FROM (
+  SELECT analysis_id, trait, avg(CASE WHEN reverse_scored THEN 6 - response_value ELSE response_value END) AS m, count(*) AS n,
+         string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM responses WHERE analysis_id NOT IN (FROM bad_respondents) GROUP BY ALL)""", "responses", "bad_respondents")

@@ -150,8 +150,10 @@ def run_extractor(items: DataFrame, factory: Extractor, schema: str) -> DataFram
         return out[full.fieldNames()]
 
     def failed(batch: pd.DataFrame, reason: str) -> pd.DataFrame:
-        out = batch.reindex(columns=full.fieldNames())
-        return out.assign(error_reason=reason)
+        known = {c: batch[c].tolist() for c in ("item_id", "analysis_id") if c in batch}
+        rows = {**known, "error_reason": [reason] * len(batch)}
+        columns = {f: rows.get(f, [None] * len(batch)) for f in full.fieldNames()}
+        return pd.DataFrame(columns, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = factory()

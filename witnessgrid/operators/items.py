@@ -12,7 +12,7 @@ from . import rules, skew
 def extension_of(filename: Column) -> Column:
     """Last suffix in lower case, with its dot; empty when there is none (path-suffix rule)."""
     name = F.regexp_extract(filename, r"([^/]*)/*\z", 1)
-    return F.lower(F.regexp_extract(name, r"\A.*[^.].*?(\.[^.]+)\z|\A[^.]+(\.[^.]+)\z", 1))
+    return F.lower(F.regexp_extract(name, r"(?s)\A.+(\.[^.]+)\z", 1))
 
 
 def mime_of_extension(extension: Column) -> Column:
