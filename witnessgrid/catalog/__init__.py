@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("evidence_queries", "semantic_queries", "evaluation_queries", "source_queries")
+_MODULES = ("evidence_queries", "semantic_queries", "evaluation_queries", "source_queries", "state_queries")
 
 
 def load():

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, insights as ins, items as item_ops
+from ..operators import (
+    aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, questionnaire, result, rules,
+    runs as run_ops,
+)
 from . import views
 from .registry import query
 from .views import sql
@@ -48,3 +51,356 @@ SELECT analysis_id, item_id, canonical_item_id, copies, content_hash FROM resolv
 def canonical_items(spark, sf):
     return views.resolved_items(spark, sf).select(
         "analysis_id", "item_id", "canonical_item_id", "copies", "content_hash")
+
+
+# -- evidence rows -------------------------------------------------------------------------
+
+@query("PRJ1 HSH1 STR4 STR7", sql("""
+SELECT id, item_id, value, source, round(confidence, 6) AS confidence, ord AS block_order, 'latin' AS script_hint FROM evidence WHERE regexp_matches(value, '[A-Za-zÀ-ÿ]')
+UNION ALL SELECT id, item_id, value, source, round(confidence, 6), ord, CASE WHEN regexp_matches(value, '[0-9]') THEN 'numeric' ELSE 'other' END FROM evidence WHERE NOT regexp_matches(value, '[A-Za-zÀ-ÿ]')""", "evidence"))
+def text_evidence(spark, sf):
+    return views.evidence(spark, sf).select(
+        "id", "item_id", "value", "source", F.round("confidence", 6).alias("confidence"),
+        F.get_json_object("metadata", "$.block_order").cast("bigint").alias("block_order"),
+        F.get_json_object("metadata", "$.script_hint").alias("script_hint"))
+
+
+def visual_evidence(spark, sf):
+    o = views.observations(spark, sf).withColumn("canonical_item_id", F.col("item_id")).withColumn("has_copies", F.lit(False))
+    provider = {"provider_version": F.lit("1"), "model_id": F.lit("m"), "model_version": F.lit("1"), "config_version": F.lit("c"),
+                "confidence_semantics": F.lit("uncalibrated")}
+    return extract.observation_evidence(o, F.lit("event_log"), provider, keep=("canonical_item_id", "has_copies"))
+
+
+views.cte("visual_evidence", """
+SELECT analysis_id, item_id, 'vision-' || substr(sha256('phase5-visual-evidence-v1' || chr(0) || item_id || chr(0) || type || chr(0) || elabel || chr(0) || label), 1, 24) AS id,
+       type, elabel AS label, label AS value, confidence, 'event_log' AS source, kind
+FROM (SELECT *, CASE kind WHEN 'caption' THEN 'other_observable' ELSE kind END AS type, CASE kind WHEN 'caption' THEN 'factual_caption' ELSE label END AS elabel FROM observations)""", "observations")
+
+
+@query("PRJ2 HSH2 STR3", sql("SELECT id, item_id, type, label, value, round(confidence, 6) AS confidence, kind AS visual_kind, 'false' AS calibrated FROM visual_evidence", "visual_evidence"))
+def observation_evidence(spark, sf):
+    return visual_evidence(spark, sf).select(
+        "id", "item_id", "type", "label", "value", F.round("confidence", 6).alias("confidence"),
+        F.get_json_object("metadata", "$.visual_kind").alias("visual_kind"), F.get_json_object("metadata", "$.confidence_calibrated").alias("calibrated"))
+
+
+def all_evidence(spark, sf):
+    return views.evidence(spark, sf).unionByName(visual_evidence(spark, sf))
+
+
+@query("SET1", sql("""
+SELECT type, count(*) AS n, count(DISTINCT item_id) AS items FROM (SELECT type, item_id FROM evidence UNION ALL SELECT type, item_id FROM visual_evidence) GROUP BY type""", "evidence", "visual_evidence"))
+def evidence_by_type(spark, sf):
+    per_item = all_evidence(spark, sf).groupBy("type", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_item.groupBy("type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("items"))
+
+
+@query("PRJ3 STR8", sql(f"""
+SELECT id AS signal_id, item_id AS original_item_id, type AS kind, {views.fold_sql('CASE WHEN type = $$other_observable$$ THEN value ELSE label END')} AS key, source FROM visual_evidence""", "visual_evidence"))
+def observation_signals(spark, sf):
+    return aggregate.support_signals(visual_evidence(spark, sf)).select("signal_id", "original_item_id", "kind", "key", "source")
+
+
+@query("AGG2", sql("""
+SELECT analysis_id, 'evidence' AS entity, id AS entity_id, 'conflicting_payload' AS rule
+FROM (SELECT DISTINCT analysis_id, id, confidence FROM visual_evidence) GROUP BY analysis_id, id HAVING count(*) > 1""", "visual_evidence"))
+def evidence_id_conflicts(spark, sf):
+    return aggregate.evidence_conflicts(visual_evidence(spark, sf))
+
+
+@query("AGG2", sql("SELECT count(*) AS n FROM (SELECT DISTINCT id, item_id, value, confidence, source FROM evidence)", "evidence"))
+def distinct_evidence_count(spark, sf):
+    e = views.evidence(spark, sf)
+    return aggregate.distinct_evidence(e.unionByName(e)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("JOIN1", sql("""
+SELECT analysis_id, 'evidence' AS entity, id AS entity_id, 'item_outside_batch' AS rule FROM evidence WHERE item_id IN (SELECT item_id FROM items WHERE n_chars % 10 = 0)""", "evidence"))
+def evidence_outside_batch(spark, sf):
+    return aggregate.evidence_outside_batch(views.evidence(spark, sf), views.items(spark, sf).filter("n_chars % 10 <> 0"))
+
+
+@query("JOIN2", sql("SELECT id, item_id, canonical_item_id, has_copies FROM evidence", "evidence"))
+def canonical_evidence_items(spark, sf):
+    plain = views.evidence(spark, sf).drop("canonical_item_id", "has_copies")
+    return aggregate.resolve_items(plain, item_ops.duplicates_of(views.resolved_items(spark, sf))).select("id", "item_id", "canonical_item_id", "has_copies")
+
+
+@query("WIN2", sql("SELECT signal_id, original_item_id, canonical_item_id, kind, key, source FROM retained", "retained"))
+def representative_signals(spark, sf):
+    return views.retained(spark, sf).select("signal_id", "original_item_id", "canonical_item_id", "kind", "key", "source")
+
+
+EVENT_AGGREGATES = views.AGGREGATES_SQL.format(signals="""(
+  SELECT DISTINCT analysis_id, id, type AS kind, lower(CASE WHEN type = 'other_observable' THEN value ELSE label END) AS key,
+         CASE WHEN type = 'other_observable' THEN value ELSE label END AS label, item_id AS canonical_item_id, confidence FROM visual_evidence)""",
+    universe="(SELECT analysis_id, count(DISTINCT item_id) AS item_universe_count FROM observations GROUP BY analysis_id)")
+
+
+@query("AGG5 AGG6 SET1", sql(f"""
+SELECT analysis_id, kind, key, label, evidence_count, unique_item_count, item_universe_count, round(average_confidence, 6) AS average_confidence,
+       round(max_confidence, 6) AS max_confidence, round(cross_item_consistency, 6) AS cross_item_consistency FROM ({EVENT_AGGREGATES})""", "visual_evidence", "observations"))
+def observation_aggregates(spark, sf):
+    days = views.observations(spark, sf).select("analysis_id", "item_id").distinct()
+    signals = aggregate.distinct_evidence(aggregate.support_signals(visual_evidence(spark, sf)))
+    a = aggregate.theme_aggregates(aggregate.represent(signals), item_ops.universe(days))
+    r = lambda c: F.round(c, 6).alias(c)
+    return a.select("analysis_id", "kind", "key", "label", "evidence_count", "unique_item_count", "item_universe_count",
+                    r("average_confidence"), r("max_confidence"), r("cross_item_consistency"))
+
+
+@query("RULE23", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
+def aggregate_violations(spark, sf):
+    a = views.aggregates(spark, sf)
+    return aggregate.aggregate_violations(a)
+
+
+@query("RULE23", sql("""
+SELECT analysis_id, 'aggregate' AS entity, kind || ':' || key AS entity_id, unnest(['coverage', 'source_count']) AS rule FROM aggregates WHERE evidence_count = 2""", "aggregates"))
+def spoiled_aggregate_violations(spark, sf):
+    a = views.aggregates(spark, sf)
+    two = F.col("evidence_count") == 2
+    spoiled = a.withColumn("item_coverage", F.when(two, F.col("item_coverage") / 2).otherwise(F.col("item_coverage"))).withColumn(
+        "source_diversity", F.when(two, F.col("source_diversity") + 1).otherwise(F.col("source_diversity")))
+    return aggregate.aggregate_violations(spoiled)
+
+
+@query("AGG4", sql("""
+SELECT analysis_id, 'aggregate' AS entity, kind || ':' || key AS entity_id, 'conflicting_payload' AS rule FROM aggregates WHERE unique_item_count >= 2""", "aggregates"))
+def aggregate_identity_conflicts(spark, sf):
+    a = views.aggregates(spark, sf).select("analysis_id", "kind", "key", "evidence_count", "unique_item_count")
+    other = a.filter("unique_item_count >= 2").withColumn("evidence_count", F.col("evidence_count") + 1)
+    return aggregate.evidence_conflicts(a.unionByName(a).unionByName(other), "aggregate", ("kind", "key"))
+
+
+@query("RULE19", sql("SELECT analysis_id, key FROM aggregates WHERE evidence_count >= 2 AND unique_item_count >= 2 AND item_coverage >= 0.05 AND average_confidence >= 0.7", "aggregates"))
+def eligible_aggregates(spark, sf):
+    p = ins.SupportPolicy(min_coverage=0.05, min_confidence=0.7)
+    return views.aggregates(spark, sf).filter(ins.eligible(p)).select("analysis_id", "key")
+
+
+@query("RULE13", sql(f"""
+SELECT sample_id, key FROM claims WHERE NOT {views.violates_sql('key', 'label')}""", "claims"))
+def observable_claims(spark, sf):
+    return ins.observable(views.claims(spark, sf)).select("sample_id", "key")
+
+
+# -- support -------------------------------------------------------------------------------
+
+@query("JOIN5", sql("""
+SELECT analysis_id, key, signal_id, original_item_id AS evidence_item FROM retained r WHERE length(label) % 4 <> 0""", "retained"))
+def resolved_support(spark, sf):
+    links = aggregate.support_links(views.retained(spark, sf))
+    known = views.evidence(spark, sf).filter(F.length("value") % 4 != 0)
+    good, _ = result.resolve_support(links, known)
+    return good.select("analysis_id", "key", "signal_id", "evidence_item")
+
+
+@query("JOIN5", sql("""
+SELECT analysis_id, 'aggregate' AS entity, signal_id AS entity_id, CASE WHEN length(label) % 4 = 0 THEN 'unknown_evidence' ELSE 'incompatible_type' END AS rule
+FROM retained WHERE length(label) % 4 IN (0, 1)""", "retained"))
+def unresolved_support(spark, sf):
+    links = aggregate.support_links(views.retained(spark, sf))
+    e = views.evidence(spark, sf)
+    m = F.length("value") % 4
+    known = e.filter(m != 0).withColumn("type", F.when(m == 1, "topic").otherwise(F.col("type")))
+    _, bad = result.resolve_support(links, known)
+    return bad
+
+
+def insight_links(spark, sf, ranked):
+    links = aggregate.support_links(views.retained(spark, sf)).join(
+        ranked.select("analysis_id", "kind", "key", "insight_key"), ["analysis_id", "kind", "key"])
+    none = F.lit(None).cast("string")
+    ev = links.select("analysis_id", F.col("insight_key").alias("key"), F.col("signal_id").alias("evidence_id"), none.alias("item_id"))
+    it = links.select("analysis_id", F.col("insight_key").alias("key"), none.alias("evidence_id"), F.col("original_item_id").alias("item_id")).distinct()
+    return ev.unionByName(it)
+
+
+@query("JOIN10", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
+def result_graph_violations(spark, sf):
+    ranked = insights(spark, sf)
+    owners = ranked.select("analysis_id", F.col("insight_key").alias("key"), "evidence_count", "item_coverage")
+    return result.support_violations(owners, insight_links(spark, sf, ranked), views.evidence(spark, sf), views.items(spark, sf))
+
+
+@query("JOIN10", sql("""
+SELECT analysis_id, 'statement' AS entity, insight_key AS entity_id, unnest(['coverage', 'evidence_count']) AS rule FROM insights WHERE evidence_count % 2 = 0""", "insights"))
+def spoiled_graph_violations(spark, sf):
+    ranked = insights(spark, sf)
+    even = F.col("evidence_count") % 2 == 0
+    owners = ranked.select(
+        "analysis_id", F.col("insight_key").alias("key"), F.when(even, F.col("evidence_count") + 1).otherwise(F.col("evidence_count")).alias("evidence_count"),
+        F.when(even, F.col("item_coverage") / 2).otherwise(F.col("item_coverage")).alias("item_coverage"))
+    return result.support_violations(owners, insight_links(spark, sf, ranked), views.evidence(spark, sf), views.items(spark, sf))
+
+
+@query("JOIN10 RULE6", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
+def evidence_graph_violations(spark, sf):
+    return result.evidence_violations(views.evidence(spark, sf), views.items(spark, sf))
+
+
+# -- results of analyses within the request limit ------------------------------------------
+
+LIMIT = 50
+views.cte("small", f"SELECT analysis_id FROM items GROUP BY analysis_id HAVING count(*) <= {LIMIT}", "items")
+
+
+def small_analyses(spark, sf):
+    """Analyses within the request limit on items; larger requests are refused by rule."""
+    i = views.items(spark, sf)
+    return rules.drop_failed(i, item_ops.request_violations(i, i, LIMIT))
+
+
+def explained(spark, sf):
+    keys = small_analyses(spark, sf).select("analysis_id").distinct()
+    ranked = insights(spark, sf).join(keys, "analysis_id", "left_semi")
+    links = aggregate.support_links(views.retained(spark, sf)).join(keys, "analysis_id", "left_semi")
+    full = aggregate.with_support_arrays(ranked, links)
+    return full.withColumn("explanation", ins.explanation(F.col("original_item_ids")))
+
+
+views.cte("explained", """
+SELECT i.*, s.item_ids, 'Supported by ' || evidence_count || ' evidence signals across ' || unique_item_count || '/' || item_universe_count || ' images (coverage='
+       || printf('%.6f', item_coverage) || '); source_diversity=' || source_diversity || '; cross_image_consistency=' || printf('%.6f', cross_item_consistency)
+       || '; average_evidence_confidence=' || printf('%.6f', average_confidence) || '; max_evidence_confidence=' || printf('%.6f', max_confidence)
+       || '; supporting_image_ids=[' || s.item_ids || '].' AS explanation, s.signal_ids
+FROM insights i JOIN (SELECT analysis_id, kind, key, string_agg(DISTINCT original_item_id, ', ' ORDER BY original_item_id) AS item_ids,
+                             string_agg(DISTINCT signal_id, ',' ORDER BY signal_id) AS signal_ids FROM retained GROUP BY analysis_id, kind, key) s USING (analysis_id, kind, key)
+WHERE analysis_id IN (FROM small)""", "insights", "retained", "small")
+
+
+@query("STR10 PRJ5 ARR1 RULE16", sql("SELECT analysis_id, insight_key, explanation, signal_ids FROM explained", "explained"))
+def explained_insights(spark, sf):
+    return explained(spark, sf).select("analysis_id", "insight_key", "explanation", F.array_join("supporting_signal_ids", ",").alias("signal_ids"))
+
+
+@query("RULE12", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
+def finished_insight_violations(spark, sf):
+    return ins.finished_violations(explained(spark, sf))
+
+
+views.cte("summaries", """
+SELECT s.analysis_id, coalesce('Supported insights: ' || string_agg(i.insight_label, ' | ' ORDER BY i.rank), 'No supported insights met the configured evidence policy.') AS summary
+FROM small s LEFT JOIN insights i USING (analysis_id) GROUP BY s.analysis_id""", "small", "insights")
+
+
+def summaries(spark, sf):
+    keys = small_analyses(spark, sf).select("analysis_id").distinct()
+    return ins.summaries(insights(spark, sf).join(keys, "analysis_id", "left_semi"), keys)
+
+
+@query("STR11", sql("SELECT analysis_id, summary FROM summaries", "summaries"))
+def insight_summaries(spark, sf):
+    return summaries(spark, sf)
+
+
+@query("AGG28", sql("""
+SELECT analysis_id, analysis_id NOT LIKE '%1' AS factual FROM summaries""", "summaries"))
+def summary_factuality(spark, sf):
+    s = summaries(spark, sf)
+    stored = s.withColumn("summary", F.when(F.col("analysis_id").endswith("1"), F.concat("summary", F.lit("!"))).otherwise(F.col("summary")))
+    return run_ops.summary_factuality(stored, s)
+
+
+@query("AGG29", sql("""
+WITH e AS (SELECT DISTINCT analysis_id, type, insight_label AS label FROM insights WHERE rank <= 1 UNION SELECT analysis_id, 'activity', 'expected but absent' FROM small),
+m AS (SELECT coalesce(e.analysis_id, i.analysis_id) AS a, e.label IS NOT NULL AS expected, i.insight_label IS NOT NULL AS predicted
+      FROM e FULL JOIN insights i ON e.analysis_id = i.analysis_id AND e.type = i.type AND e.label = i.insight_label)
+SELECT count(*) FILTER (expected AND predicted) AS tp, count(*) FILTER (expected) AS n_expected, count(*) FILTER (predicted) AS n_predicted,
+       round(count(*) FILTER (expected AND predicted) / count(*) FILTER (predicted)::DOUBLE, 6) AS precision, round(count(*) FILTER (expected AND predicted) / count(*) FILTER (expected)::DOUBLE, 6) AS recall
+FROM m""", "insights", "small"))
+def insight_precision_recall(spark, sf):
+    got = insights(spark, sf).select("analysis_id", "type", F.col("insight_label").alias("label"), "rank")
+    absent = small_analyses(spark, sf).select("analysis_id").distinct().select(
+        "analysis_id", F.lit("activity").alias("type"), F.lit("expected but absent").alias("label"))
+    want = got.filter("rank <= 1").drop("rank").unionByName(absent)
+    out = metrics.precision_recall_f1(metrics.label_matches(want, got, ["analysis_id", "type", "label"]))
+    return out.select("tp", "n_expected", "n_predicted", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("PRJ6", sql("""
+SELECT id, type, CASE WHEN type = 'ocr_text' THEN NULL ELSE value END AS value, false AS has_raw_text, type = 'ocr_text' AS has_order
+FROM (SELECT id, type, value FROM evidence UNION ALL SELECT id, type, value FROM visual_evidence)""", "evidence", "visual_evidence"))
+def redacted_evidence(spark, sf):
+    keys = F.json_object_keys("metadata")
+    return result.redacted(all_evidence(spark, sf)).select(
+        "id", "type", "value", F.array_contains(keys, "raw_text").alias("has_raw_text"), F.array_contains(keys, "block_order").alias("has_order"))
+
+
+@query("PRJ10", sql("""
+SELECT analysis_id, key, label, count(*) AS n FROM (SELECT analysis_id, type AS key, label FROM evidence UNION ALL SELECT analysis_id, type, insight_label FROM insights
+UNION ALL SELECT analysis_id, kind, label FROM observations) GROUP BY ALL""", "evidence", "insights", "observations"))
+def stated_claims(spark, sf):
+    c = result.evidence_claims(views.evidence(spark, sf), insights(spark, sf)).unionByName(result.provider_claims(views.observations(spark, sf)))
+    return c.groupBy("analysis_id", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def documents(spark, sf):
+    small = small_analyses(spark, sf)
+    keys = small.select("analysis_id").distinct()
+    evidence = result.redacted(views.evidence(spark, sf).join(keys, "analysis_id", "left_semi"))
+    images = result.image_results(small, evidence)
+    claims = views.table(spark, sf, "documents").filter(F.pmod("doc_id", F.lit(20)) == 0).select(
+        F.col("source").alias("analysis_id"), F.concat(F.lit("c-"), F.col("doc_id").cast("string")).alias("claim_id"), F.lit("religion").alias("category"),
+        F.col("lang").alias("value"), F.lit("src").alias("source_id"), F.lit("bio").alias("source_type"), F.lit(True).alias("consent_confirmed"),
+        F.lit("explicit_self_report").alias("basis"))
+    return result.completed_documents(images, explained(spark, sf), summaries(spark, sf), ins.SupportPolicy().version, claim_ops.claim_lists(claims))
+
+
+@query("SNK1 HSH7")
+def completed_documents(spark, sf):
+    return documents(spark, sf)
+
+
+@query("SNK1 PRJ9 RULE17", sql("""
+SELECT s.analysis_id, s.summary, 'phase8-candidate-v1' AS insight_policy_version, (SELECT count(*) FROM items i WHERE i.analysis_id = s.analysis_id) AS images,
+       (SELECT count(*) FROM evidence e WHERE e.analysis_id = s.analysis_id) AS evidence_rows,
+       (SELECT coalesce(string_agg(insight_key || '=' || explanation, ';' ORDER BY rank), '') FROM explained x WHERE x.analysis_id = s.analysis_id) AS insights,
+       (SELECT coalesce(string_agg('c-' || doc_id, ',' ORDER BY 'c-' || doc_id), '') FROM documents d WHERE d.source = s.analysis_id AND doc_id % 20 = 0) AS claims
+FROM summaries s""", "summaries", "items", "evidence", "explained"))
+def stored_results(spark, sf):
+    good, _ = result.read_documents(documents(spark, sf))
+    rows = F.aggregate(F.transform("result.images", lambda i: F.size(i["evidence"])), F.lit(0), lambda a, x: a + x)
+    told = F.transform("result.insights", lambda i: F.concat(i["key"], F.lit("="), i["explanation"]))
+    return good.select(
+        "analysis_id", "summary", "insight_policy_version", F.size("result.images").cast("bigint").alias("images"), rows.cast("bigint").alias("evidence_rows"),
+        F.array_join(told, ";").alias("insights"), F.array_join("self_reported_claims.claim_id", ",").alias("claims"))
+
+
+@query("PRJ9 RULE7", sql("""
+SELECT analysis_id, CASE right(analysis_id, 1) WHEN '1' THEN 'unknown_version' WHEN '2' THEN 'invalid_fields' WHEN '3' THEN 'id_mismatch' ELSE 'payload_missing' END AS reason
+FROM small WHERE right(analysis_id, 1) IN ('1', '2', '3', '4')""", "small"))
+def rejected_results(spark, sf):
+    d = documents(spark, sf)
+    tail, p = F.substring("analysis_id", -1, 1), F.col("result_payload")
+    spoiled = (
+        F.when(tail == "1", F.regexp_replace(p, '"profile-analysis-result-v3"', '"v9"')).when(tail == "2", F.regexp_replace(p, '"summary":', '"text":'))
+        .when(tail == "3", F.regexp_replace(p, F.concat(F.lit('"analysis_id":"'), F.col("analysis_id"), F.lit('"')), F.lit('"analysis_id":"other"')))
+        .when(tail == "4", F.lit(None).cast("string")).otherwise(p))
+    _, bad = result.read_documents(d.withColumn("result_payload", spoiled))
+    return bad
+
+
+@query("PRJ9", sql("""
+SELECT analysis_id, CASE WHEN right(analysis_id, 1) IN ('0', '2', '4', '6', '8') THEN 'phase9-analysis-result-v1' ELSE 'profile-analysis-result-v2' END AS schema_version, 0 AS claims
+FROM small""", "small"))
+def old_result_versions(spark, sf):
+    d = result.completed_documents(
+        result.image_results(small_analyses(spark, sf), views.evidence(spark, sf)), explained(spark, sf), summaries(spark, sf), "v")
+    even = F.substring("analysis_id", -1, 1).isin("0", "2", "4", "6", "8")
+    v1 = F.regexp_replace(F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "phase9-analysis-result-v1"), '"self_reported_claims":\\[\\],', ""), '"personality_profile":null,', "")
+    v2 = F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "profile-analysis-result-v2"), '"personality_profile":null,', "")
+    good, _ = result.read_documents(d.withColumn("result_payload", F.when(even, v1).otherwise(v2)))
+    return good.select("analysis_id", "schema_version", F.size("self_reported_claims").alias("claims"))
+
+
+@query("PRJ7", sql("""
+SELECT analysis_id, item_count, openness FROM (SELECT CAST(o_custkey AS VARCHAR) AS analysis_id, count(*) AS item_count FROM orders GROUP BY 1)
+LEFT JOIN (SELECT analysis_id, max(normalized_score) FILTER (trait = 'openness') AS openness FROM trait_scores GROUP BY 1) USING (analysis_id)""", "trait_scores"))
+def profile_view(spark, sf):
+    from . import source_queries
+    p = questionnaire.profiles(questionnaire.trait_scores(source_queries.valid_responses(spark, sf)))
+    results = views.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("analysis_id")).agg(F.count(F.lit(1)).alias("item_count"))
+    return result.profile_view(results, p).select("analysis_id", "item_count", F.col("self_report.openness").alias("openness"))

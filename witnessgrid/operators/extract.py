@@ -130,8 +130,8 @@ def run_extractor(items: DataFrame, factory: Extractor, schema: str) -> DataFram
 
     ``factory`` is called once per Python worker task (load the model there) and returns a
     function from a batch with an ``item_id`` column to rows of ``schema``. A failing batch is
-    retried row by row so that one bad item costs only itself; its sanitised reason lands in
-    ``error_reason``. Result rows that name no item of the batch are refused.
+    halved until the bad item stands alone, so it costs only itself; its sanitised reason lands
+    in ``error_reason``. Result rows that name no item of the batch are refused.
     """
     names = T.StructType.fromDDL(schema).fieldNames()
     carried = [f for f in items.schema.fields if f.name == "analysis_id"]
@@ -155,20 +155,23 @@ def run_extractor(items: DataFrame, factory: Extractor, schema: str) -> DataFram
         columns = {f: rows.get(f, [None] * len(batch)) for f in full.fieldNames()}
         return pd.DataFrame(columns, dtype=object)
 
+    def attempt(extract, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield one(extract, batch)
+        except Exception as exc:
+            if len(batch) == 1:
+                told = isinstance(exc, (TypeError, ValueError))
+                yield failed(batch, f"{type(exc).__name__}: {exc}" if told else type(exc).__name__)
+                return
+            middle = len(batch) // 2
+            yield from attempt(extract, batch.iloc[:middle])
+            yield from attempt(extract, batch.iloc[middle:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = factory()
         for batch in batches:
-            try:
-                yield one(extract, batch)
-            except Exception:
-                for i in range(len(batch)):
-                    row = batch.iloc[i:i + 1]
-                    try:
-                        yield one(extract, row)
-                    except (TypeError, ValueError) as exc:
-                        yield failed(row, f"{type(exc).__name__}: {exc}")
-                    except Exception as exc:
-                        yield failed(row, type(exc).__name__)
+            if len(batch):
+                yield from attempt(extract, batch)
 
     return items.mapInPandas(run, full)
 

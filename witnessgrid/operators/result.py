@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
+from ..functions.text import computed
 from . import rules
 
 EVIDENCE_DDL = (
@@ -163,12 +164,12 @@ def read_documents(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = F.lit(False)
     for name, fields in DOCUMENT_FIELDS.items():
         exact = exact | ((version == name) & rules.closed_fields(c("result_payload"), fields))
-    parsed = state.withColumn("schema_version", version).withColumn("_d", F.from_json("result_payload", DOCUMENT_DDL))
+    parsed = computed(state, schema_version=version, _d=F.from_json("result_payload", DOCUMENT_DDL))
     same_id = c("_d.result.analysis_id") == c("analysis_id")
-    checked = parsed.withColumn(
-        "reason",
+    reason = (
         F.when(c("result_payload").isNull(), "payload_missing").when(~F.coalesce(known, F.lit(False)), "unknown_version")
         .when(~F.coalesce(exact, F.lit(False)), "invalid_fields").when(~F.coalesce(same_id, F.lit(False)), "id_mismatch"))
+    checked = computed(parsed, reason=reason)
     good = checked.filter(c("reason").isNull()).select(
         "analysis_id", "schema_version", c("_d.insight_policy_version").alias("insight_policy_version"),
         c("_d.summary").alias("summary"), c("_d.result").alias("result"),

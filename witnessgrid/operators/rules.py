@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import strip
+from ..functions.text import computed, strip
 
 KEY_PATTERN = r"\A[a-z][a-z0-9_]*\z"
 ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
@@ -106,7 +106,7 @@ def apply_rules(df: DataFrame, entity: str, entity_id: Column, rules: Mapping[st
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in rules.items()]),
         lambda r: r.isNotNull(),
     )
-    checked = df.withColumn("_broken", broken)
+    checked = computed(df, _broken=broken)
     owner = F.col("analysis_id") if analysis_id is None else analysis_id
     violations = checked.filter(F.size("_broken") > 0).select(
         owner.cast("string").alias("analysis_id"), F.lit(entity).alias("entity"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab
-from ..functions.text import strip
+from ..functions.text import computed, strip
 from ..operators import items as item_ops, rules
 
 # -- item bytes ----------------------------------------------------------------------------
@@ -59,13 +59,13 @@ def split_strict(documents: DataFrame, fields: tuple[str, ...]) -> tuple[DataFra
     reason = (
         F.when(~F.coalesce(rules.json_compatible(p), F.lit(False)) | keys.isNull(), "invalid_json")
         .when(~rules.closed_fields(p, fields), "invalid_fields"))
-    marked = documents.withColumn("reason", reason)
+    marked = computed(documents, reason=reason)
     return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
 def parse_manifests(documents: DataFrame) -> DataFrame:
     """One row per sample, ground truth still nested."""
-    m = documents.withColumn("_m", F.from_json("payload", MANIFEST_DDL))
+    m = computed(documents, _m=F.from_json("payload", MANIFEST_DDL))
     return m.select("_m.dataset_id", "_m.dataset_version", F.explode("_m.samples").alias("s")).select(
         "dataset_id", "dataset_version", "s.sample_id", "s.split", F.array_sort("s.slices").alias("slices"),
         F.col("s.image.image_id").alias("item_id"), "s.image.relative_path", "s.ground_truth.ocr_text",
@@ -91,7 +91,7 @@ def json_value(c: Column) -> Column:
 
 
 def parse_predictions(documents: DataFrame) -> DataFrame:
-    p = documents.withColumn("_p", F.from_json("payload", PREDICTION_DDL))
+    p = computed(documents, _p=F.from_json("payload", PREDICTION_DDL))
     return p.select("_p.dataset_id", "_p.dataset_version", F.explode("_p.predictions").alias("s")).select(
         "dataset_id", "dataset_version", "s.sample_id", "s.ocr_text", "s.labels", "s.claims")
 
@@ -116,8 +116,7 @@ REPORT_DDL = (
 
 def parse_reports(documents: DataFrame) -> DataFrame:
     """One row per report: identity columns, metrics array, system metrics."""
-    r = F.from_json("payload", REPORT_DDL)
-    return documents.withColumn("_r", r).select(*[c for c in documents.columns if c != "payload"], "_r.*")
+    return computed(documents, _r=F.from_json("payload", REPORT_DDL)).select(*[c for c in documents.columns if c != "payload"], "_r.*")
 
 
 def report_metrics(reports: DataFrame, id_col: str = "report_id") -> DataFrame:
@@ -171,7 +170,7 @@ def parse_word_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(c("_level").isNull(), "invalid_level")
         .when(~F.coalesce(conf.between(0.0, 100.0) & ~F.isnan(conf), F.lit(False)), "invalid_confidence")
         .when(~F.coalesce(numbers_ok & box_ok, F.lit(False)), "invalid_position"))
-    marked = words.withColumn("reason", reason)
+    marked = computed(words, reason=reason)
     keys = [k for k in rows.columns if k not in WORD_COLUMNS]
     good = marked.filter(c("reason").isNull()).select(
         *keys, *[c(n).cast("int").alias(n) for n in ints], conf.alias("conf"), c("_text").alias("text"))
@@ -199,7 +198,7 @@ def parse_structured_output(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rows``: analysis_id, item_id, content (JSON object text).
     """
     c = F.col
-    parsed = rows.withColumn("_o", F.from_json("content", STRUCTURED_DDL))
+    parsed = computed(rows, _o=F.from_json("content", STRUCTURED_DDL))
     arrays_ok = F.lit(True)
     for field in _KIND_OF_FIELD:
         body = F.get_json_object("content", f"$.{field}")
@@ -217,7 +216,7 @@ def parse_structured_output(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.json_object_keys("content").isNull(), "not_a_json_object")
         .when(~rules.closed_fields(c("content"), STRUCTURED_FIELDS), "invalid_fields")
         .when(~arrays_ok, "invalid_observation").when(~caption_ok, "invalid_caption"))
-    marked = parsed.withColumn("reason", reason)
+    marked = computed(parsed, reason=reason)
     def of_kind(field: str, kind: str) -> Column:
         return F.transform(c(f"_o.{field}"), lambda x: F.struct(
             F.lit(kind).alias("kind"), x["label"].alias("label"), x["confidence"].alias("confidence")))
