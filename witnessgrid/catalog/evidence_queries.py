@@ -35,15 +35,14 @@ def ranked_insights(spark, sf):
 SELECT analysis_id, kind, key, label, evidence_count, unique_item_count, item_universe_count,
        round(item_coverage, 6) AS item_coverage, round(average_confidence, 6) AS average_confidence,
        round(max_confidence, 6) AS max_confidence, source_diversity, sources,
-       round(cross_item_consistency, 6) AS cross_item_consistency, resolved_item_count::BIGINT AS resolved_item_count
+       round(cross_item_consistency, 6) AS cross_item_consistency, resolved_item_count = unique_item_count AS support_preserved
 FROM aggregates""", "aggregates"))
 def theme_aggregates(spark, sf):
     r = lambda c: F.round(c, 6).alias(c)
     return views.aggregates(spark, sf).select(
         "analysis_id", "kind", "key", "label", "evidence_count", "unique_item_count", "item_universe_count",
         r("item_coverage"), r("average_confidence"), r("max_confidence"), "source_diversity",
-        F.array_join("sources", ",").alias("sources"), r("cross_item_consistency"),
-        F.col("resolved_item_count").cast("bigint").alias("resolved_item_count"))
+        F.array_join("sources", ",").alias("sources"), r("cross_item_consistency"), "support_preserved")
 
 
 @query("WIN1 JOIN2 HSH6", sql("""

@@ -145,7 +145,7 @@ def semantic_and_topic_aggregates(spark, sf):
         (F.lit(0.5) + F.pmod("ordinal", F.lit(50)) / 100.0).alias("confidence"))
     both = aggregate.union_signals(topic, aggregate.semantic_signals(similarity_rows(spark, sf)))
     from ..operators import items as item_ops
-    out = aggregate.theme_aggregates(aggregate.represent(both), item_ops.universe(v))
+    out = aggregate.theme_aggregates(aggregate.represent(aggregate.distinct_evidence(both)), item_ops.universe(v))
     return out.select("kind", "key", "evidence_count", "unique_item_count", F.round("item_coverage", 6).alias("item_coverage"),
                       F.round("average_confidence", 6).alias("average_confidence"), "cross_item_consistency")
 

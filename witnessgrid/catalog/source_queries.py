@@ -510,7 +510,7 @@ def rendered_prompts(spark, sf):
 # -- generated workloads -------------------------------------------------------------------
 
 def workload_items(spark, sf):
-    o = views.table(spark, sf, "orders")
+    o = views.spread_table(spark, sf, "orders", "o_orderkey")
     return o.select(F.col("o_custkey").cast("string").alias("analysis_id"), F.col("o_orderkey").alias("item_index")).withColumn(
         "item_id", F.format_string("img-%04d", "item_index"))
 

@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table about to be worked on row by row, by a unique key.
+
+    Only a table read in fewer splits than there are cores (small files) is shuffled; a large
+    one arrives with enough splits and passes through untouched.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- SQL side ------------------------------------------------------------------------------
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -59,7 +70,7 @@ def norm_sql(expr: str) -> str:
 # -- items: one per document, an analysis per source ---------------------------------------
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents", "doc_id").select(
         F.col("source").alias("analysis_id"), F.col("doc_id").alias("ordinal"),
         F.col("doc_id").cast("string").alias("item_id"), "text", "lang", "n_chars",
         ids.content_hash(F.col("text")).alias("content_hash"),
@@ -346,7 +357,7 @@ FROM documents""")
 
 def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A turn and the next turn of its conversation, whole texts."""
-    c = table(spark, sf, "conversations")
+    c = spread_table(spark, sf, "conversations", "conv_id")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "role", F.col("text").alias("reference"), "prediction")
 
@@ -380,7 +391,7 @@ FROM orders""")
 
 def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Words as untyped TSV fields; some confidences are above 100 and get rejected."""
-    lines = table(spark, sf, "documents").select(
+    lines = spread_table(spark, sf, "documents", "doc_id").select(
         F.col("source").alias("analysis_id"), F.col("doc_id").cast("string").alias("item_id"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = lines.select("analysis_id", "item_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))

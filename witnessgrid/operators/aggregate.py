@@ -16,12 +16,25 @@ SIGNAL_COLUMNS = [
 _REP_KEYS = ["analysis_id", "canonical_item_id", "kind", "key", "source"]
 
 
+def _present(name: str) -> Column:
+    """Identity columns are never null. Saying so keeps the optimizer from adding different
+    not-null filters to different uses of the signals, which would stop exchange reuse."""
+    return F.coalesce(F.col(name), F.lit("")).alias(name)
+
+
+def _as_signals(df: DataFrame) -> DataFrame:
+    text_columns = {"analysis_id", "original_item_id", "canonical_item_id", "kind", "key", "source"}
+    flag = F.coalesce("has_copies", F.lit(False)).alias("has_copies")
+    return df.select(*[
+        _present(c) if c in text_columns else flag if c == "has_copies" else F.col(c) for c in SIGNAL_COLUMNS])
+
+
 def distinct_evidence(evidence: DataFrame) -> DataFrame:
-    """An identical repeat of an evidence row counts once.
+    """An identical repeat of an evidence row counts once; ``repeats`` says how often it came.
 
     Grouping by every column keeps this a hash aggregate with map-side combine.
     """
-    return evidence.dropDuplicates()
+    return evidence.groupBy(*evidence.columns).agg(F.count(F.lit(1)).alias("repeats"))
 
 
 def evidence_conflicts(evidence: DataFrame, entity: str = "evidence", id_cols: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -59,11 +72,11 @@ def support_signals(evidence: DataFrame) -> DataFrame:
         evidence, _concept=text.concept_label(F.col("type"), F.col("label"), F.col("value")))
     named = text.computed(
         concept, _text=text.visual_text(F.col("_concept")), _key=text.aggregation_key(F.col("_concept")))
-    return named.filter(F.col("_text") != "").select(
+    return _as_signals(named.filter(F.col("_text") != "").select(
         "analysis_id", F.col("id").alias("signal_id"), F.col("item_id").alias("original_item_id"),
         "canonical_item_id", "has_copies", F.col("type").alias("kind"), F.col("_key").alias("key"),
         F.col("_text").alias("label"), "source", "confidence",
-    )
+    ))
 
 
 def semantic_signals(similarities: DataFrame) -> DataFrame:
@@ -82,34 +95,38 @@ def semantic_signals(similarities: DataFrame) -> DataFrame:
         "provider_version": p["version"], "model_id": p["model_id"],
         "model_version": p["model_version"], "config_version": p["config_version"],
     })
-    return rows.select(
+    return _as_signals(rows.select(
         "analysis_id", sid.alias("signal_id"), F.col("item_id").alias("original_item_id"),
         "canonical_item_id", "has_copies", F.lit("semantic_theme").alias("kind"),
         F.col("_key").alias("key"), F.col("_text").alias("label"), p["name"].alias("source"),
         F.lit(None).cast("double").alias("confidence"),
-    )
+    ))
 
 
 def union_signals(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select(*SIGNAL_COLUMNS) for p in parts])
 
 
-def represent(signals: DataFrame) -> DataFrame:
+def represent(distinct: DataFrame) -> DataFrame:
     """Keep one original item per (canonical item, kind, key, source) among exact copies.
 
-    The canonical item speaks when it has such a signal, else the smallest id. Items without
-    copies skip the choice; for the rest it is a partial aggregate plus an equi-join that
-    includes the chosen item, so a group of copies of any size is spread by item.
+    Takes the result of :func:`distinct_evidence` on signals. The canonical item speaks when it
+    has such a signal, else the smallest id. Items without copies skip the choice; for the rest
+    it is a partial aggregate plus an equi-join that includes the chosen item, so a group of
+    copies of any size is spread by item.
     """
-    alone = signals.filter(~F.col("has_copies"))
-    copies = signals.filter("has_copies")
+    # Tying the filter to the count keeps it above the aggregate, so that both sides (and every
+    # later use) read the same exchange instead of computing the signals again.
+    copied = F.when(F.col("repeats") > 0, F.col("has_copies"))
+    alone = distinct.filter(~copied).select(*SIGNAL_COLUMNS)
+    copies = distinct.filter(copied)
     chosen = (
         copies.groupBy(*_REP_KEYS)
         .agg(F.min(F.struct((F.col("original_item_id") != F.col("canonical_item_id")).alias("is_copy"),
                             "original_item_id")).alias("_r"))
         .select(*_REP_KEYS, F.col("_r.original_item_id").alias("original_item_id"))
     )
-    kept = copies.join(chosen, [*_REP_KEYS, "original_item_id"]).select(*signals.columns)
+    kept = copies.join(chosen, [*_REP_KEYS, "original_item_id"]).select(*SIGNAL_COLUMNS)
     return alone.unionByName(kept)
 
 
@@ -117,34 +134,33 @@ def theme_aggregates(retained: DataFrame, universe: DataFrame,
                      hot_items: int = 10_000) -> DataFrame:
     """One row per (analysis, kind, key), all measures from partial aggregates.
 
-    The lists of supporting items and signals stay relational (:func:`support_links`): a theme
-    may be supported by any number of rows. Sources are extractor identities, a short list.
+    Counts and sums keep numeric buffers only, so both levels are hash aggregates; names come
+    from the few distinct (label, source) pairs of a theme. The lists of supporting items and
+    signals stay relational (:func:`support_links`): a theme may be supported by any number of
+    rows. Sources are extractor identities, a short list.
     """
+    theme = ["analysis_id", "kind", "key"]
     high, low = numbers.unit_sum_parts(F.col("confidence"))
-    per_item = retained.groupBy("analysis_id", "kind", "key", "canonical_item_id").agg(
+    origin = F.xxhash64("original_item_id")
+    per_item = retained.groupBy(*theme, "canonical_item_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("confidence").alias("nc"), high.alias("hi"), low.alias("lo"),
-        F.max("confidence").alias("mx"), F.min("label").alias("label"),
-        F.collect_set("source").alias("srcs"),
-        F.size(F.collect_set("original_item_id")).alias("originals"),
-    )
-    grouped = per_item.groupBy("analysis_id", "kind", "key").agg(
-        F.min("label").alias("label"), F.sum("n").alias("evidence_count"),
-        F.count(F.lit(1)).alias("unique_item_count"), F.sum("nc").alias("nc"),
+        F.max("confidence").alias("mx"), (F.min(origin) == F.max(origin)).cast("int").alias("one"))
+    measured = per_item.groupBy(*theme).agg(
+        F.sum("n").alias("evidence_count"), F.count(F.lit(1)).alias("unique_item_count"), F.sum("nc").alias("nc"),
         F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), F.max("mx").alias("max_confidence"),
-        (F.min("n") / F.max("n")).alias("cross_item_consistency"),
-        F.array_distinct(F.flatten(F.collect_set(F.array_sort("srcs")))).alias("srcs"),
-        F.sum("originals").alias("resolved_item_count"),
-    )
+        (F.min("n") / F.max("n")).alias("cross_item_consistency"), (F.min("one") == 1).alias("support_preserved"))
+    named = retained.select(*theme, "label", "source").distinct().groupBy(*theme).agg(
+        F.min("label").alias("label"), F.collect_set("source").alias("srcs"))
     average = F.when(F.col("nc") > 0, numbers.unit_sum(F.col("hi"), F.col("lo")) / F.col("nc"))
-    shaped = grouped.select(
-        "analysis_id", "kind", "key", "label", "evidence_count", "unique_item_count",
+    shaped = measured.join(named, theme).select(
+        *theme, "label", "evidence_count", "unique_item_count",
         average.alias("average_confidence"), "max_confidence",
         F.size("srcs").cast("bigint").alias("source_diversity"), "cross_item_consistency",
-        sorted_texts(F.col("srcs")).alias("sources"), "resolved_item_count",
+        sorted_texts(F.col("srcs")).alias("sources"), "support_preserved",
     )
     joined = skew.lookup(
         shaped, universe.withColumn("_size", F.col("item_universe_count")), ["analysis_id"], "_size",
-        hot_items, how="inner",
+        hot_items, how="inner", spread_by=["kind", "key"],
     ).drop("_size")
     return joined.withColumn("item_coverage", F.col("unique_item_count") / F.col("item_universe_count"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import vocab
-from ..functions import ids, policy, text
+from ..functions import ids, numbers, policy, text
 from . import rules, skew
 
 BLOCK_SCHEMA = "item_id string, ord int, raw_text string, confidence double"
@@ -26,18 +26,20 @@ def line_blocks(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or ["item_id"]
     line = ["page_num", "block_num", "par_num", "line_num"]
+    high, low = numbers.unit_sum_parts(F.col("conf") / 100.0)
     right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
     lines = words.groupBy(*keys, *line).agg(
         F.min("row_no").alias("first_row"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda w: w["text"]), " ")
         .alias("raw_text"),
-        (F.sum((F.col("conf") / 100.0).cast("decimal(38,12)")).cast("double") / F.count(F.lit(1))).alias("confidence"),
+        high.alias("_hi"), low.alias("_lo"), F.count(F.lit(1)).alias("_n"),
         F.min("left").alias("x"), F.min("top").alias("y"),
         (F.max(right) - F.min("left")).alias("w"), (F.max(bottom) - F.min("top")).alias("h"),
     )
     ordered = Window.partitionBy(*keys).orderBy("first_row")
     return lines.select(
-        *keys, (F.row_number().over(ordered) - 1).alias("ord"), "raw_text", "confidence",
+        *keys, (F.row_number().over(ordered) - 1).alias("ord"), "raw_text",
+        (numbers.unit_sum(F.col("_hi"), F.col("_lo")) / F.col("_n")).alias("confidence"),
         F.struct(F.col("x"), F.col("y"), F.col("w").alias("width"), F.col("h").alias("height")).alias("region"),
     )
 

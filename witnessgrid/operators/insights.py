@@ -71,7 +71,7 @@ def candidate_insights(aggregates: DataFrame, p: SupportPolicy = SupportPolicy()
 def split_supported(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Copies seen through different sources can be represented by different originals; then
     the evidence reaches more items than the aggregate counts and the insight is refused."""
-    broken = F.col("resolved_item_count") != F.col("unique_item_count")
+    broken = ~F.col("support_preserved")
     return candidates.filter(~broken), rules.violation(
         candidates.filter(broken), "aggregate", F.concat_ws(":", "kind", "key"), "unique_item_support_not_preserved")
 
