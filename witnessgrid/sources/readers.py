@@ -48,7 +48,7 @@ REPORT_FIELDS = ("schema_version", "report_kind", "reproducibility", "metrics",
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, payload. For line-delimited data use spark.read.text directly."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
