@@ -8,17 +8,16 @@ from ..operators import (
     aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, questionnaire, result, rules,
     runs as run_ops,
 )
+from ..plans import profile
+from ..session import cut_lineage
 from . import views
 from .registry import query
 from .views import sql
 
 
 def insights(spark, sf):
-    candidates = ins.candidate_insights(views.aggregates(spark, sf))
-    kept, _ = ins.split_supported(candidates)
-    # Insights per analysis are bounded by its lines; counting documents is the cheap proxy.
     sizes = views.table(spark, sf, "documents").select(F.col("source").alias("analysis_id"))
-    return ins.rank_insights(kept, sizes, hot_rows=100_000)
+    return profile.ranked_insights(views.aggregates(spark, sf), sizes)
 
 
 @query("AGG5 AGG6 PRJ3 PRJ5 RULE13 RULE19 MTH7 WIN7 HSH4", sql("""
@@ -219,7 +218,7 @@ def insight_links(spark, sf, ranked):
 
 @query("JOIN10", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
 def result_graph_violations(spark, sf):
-    ranked = insights(spark, sf)
+    ranked = cut_lineage(insights(spark, sf))
     owners = ranked.select("analysis_id", F.col("insight_key").alias("key"), "evidence_count", "item_coverage")
     return result.support_violations(owners, insight_links(spark, sf, ranked), views.evidence(spark, sf), views.items(spark, sf))
 
@@ -227,7 +226,7 @@ def result_graph_violations(spark, sf):
 @query("JOIN10", sql("""
 SELECT analysis_id, 'statement' AS entity, insight_key AS entity_id, unnest(['coverage', 'evidence_count']) AS rule FROM insights WHERE evidence_count % 2 = 0""", "insights"))
 def spoiled_graph_violations(spark, sf):
-    ranked = insights(spark, sf)
+    ranked = cut_lineage(insights(spark, sf))
     even = F.col("evidence_count") % 2 == 0
     owners = ranked.select(
         "analysis_id", F.col("insight_key").alias("key"), F.when(even, F.col("evidence_count") + 1).otherwise(F.col("evidence_count")).alias("evidence_count"),
@@ -252,12 +251,16 @@ def small_analyses(spark, sf):
     return rules.drop_failed(i, item_ops.request_violations(i, i, LIMIT))
 
 
-def explained(spark, sf):
+def small_ranked(spark, sf):
+    """Ranked insights of those analyses, kept for the several outputs that read them."""
     keys = small_analyses(spark, sf).select("analysis_id").distinct()
-    ranked = insights(spark, sf).join(keys, "analysis_id", "left_semi")
-    links = aggregate.support_links(views.retained(spark, sf)).join(keys, "analysis_id", "left_semi")
-    full = aggregate.with_support_arrays(ranked, links)
-    return full.withColumn("explanation", ins.explanation(F.col("original_item_ids")))
+    return cut_lineage(insights(spark, sf).join(keys, "analysis_id", "left_semi"))
+
+
+def explained(spark, sf, ranked=None):
+    keys = small_analyses(spark, sf).select("analysis_id").distinct()
+    retained = views.retained(spark, sf).join(keys, "analysis_id", "left_semi")
+    return profile.explained(small_ranked(spark, sf) if ranked is None else ranked, retained)
 
 
 views.cte("explained", """
@@ -285,9 +288,9 @@ SELECT s.analysis_id, coalesce('Supported insights: ' || string_agg(i.insight_la
 FROM small s LEFT JOIN insights i USING (analysis_id) GROUP BY s.analysis_id""", "small", "insights")
 
 
-def summaries(spark, sf):
+def summaries(spark, sf, ranked=None):
     keys = small_analyses(spark, sf).select("analysis_id").distinct()
-    return ins.summaries(insights(spark, sf).join(keys, "analysis_id", "left_semi"), keys)
+    return ins.summaries(small_ranked(spark, sf) if ranked is None else ranked, keys)
 
 
 @query("STR11", sql("SELECT analysis_id, summary FROM summaries", "summaries"))
@@ -337,7 +340,7 @@ def stated_claims(spark, sf):
 
 
 def documents(spark, sf):
-    small = small_analyses(spark, sf)
+    small, ranked = small_analyses(spark, sf), small_ranked(spark, sf)
     keys = small.select("analysis_id").distinct()
     evidence = result.redacted(views.evidence(spark, sf).join(keys, "analysis_id", "left_semi"))
     images = result.image_results(small, evidence)
@@ -345,7 +348,7 @@ def documents(spark, sf):
         F.col("source").alias("analysis_id"), F.concat(F.lit("c-"), F.col("doc_id").cast("string")).alias("claim_id"), F.lit("religion").alias("category"),
         F.col("lang").alias("value"), F.lit("src").alias("source_id"), F.lit("bio").alias("source_type"), F.lit(True).alias("consent_confirmed"),
         F.lit("explicit_self_report").alias("basis"))
-    return result.completed_documents(images, explained(spark, sf), summaries(spark, sf), ins.SupportPolicy().version, claim_ops.claim_lists(claims))
+    return result.completed_documents(images, explained(spark, sf, ranked), summaries(spark, sf, ranked), ins.SupportPolicy().version, claim_ops.claim_lists(claims))
 
 
 @query("SNK1 HSH7")
@@ -353,7 +356,7 @@ def completed_documents(spark, sf):
     return documents(spark, sf)
 
 
-@query("SNK1 PRJ9 RULE17", sql("""
+@query("SNK1 PRJ9 RULE17 SORT1", sql("""
 SELECT s.analysis_id, s.summary, 'phase8-candidate-v1' AS insight_policy_version, (SELECT count(*) FROM items i WHERE i.analysis_id = s.analysis_id) AS images,
        (SELECT count(*) FROM evidence e WHERE e.analysis_id = s.analysis_id) AS evidence_rows,
        (SELECT coalesce(string_agg(insight_key || '=' || explanation, ';' ORDER BY rank), '') FROM explained x WHERE x.analysis_id = s.analysis_id) AS insights,
@@ -386,8 +389,9 @@ def rejected_results(spark, sf):
 SELECT analysis_id, CASE WHEN right(analysis_id, 1) IN ('0', '2', '4', '6', '8') THEN 'phase9-analysis-result-v1' ELSE 'profile-analysis-result-v2' END AS schema_version, 0 AS claims
 FROM small""", "small"))
 def old_result_versions(spark, sf):
+    ranked = small_ranked(spark, sf)
     d = result.completed_documents(
-        result.image_results(small_analyses(spark, sf), views.evidence(spark, sf)), explained(spark, sf), summaries(spark, sf), "v")
+        result.image_results(small_analyses(spark, sf), views.evidence(spark, sf)), explained(spark, sf, ranked), summaries(spark, sf, ranked), "v")
     even = F.substring("analysis_id", -1, 1).isin("0", "2", "4", "6", "8")
     v1 = F.regexp_replace(F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "phase9-analysis-result-v1"), '"self_reported_claims":\\[\\],', ""), '"personality_profile":null,', "")
     v2 = F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "profile-analysis-result-v2"), '"personality_profile":null,', "")

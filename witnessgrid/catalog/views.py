@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, text
 from ..operators import aggregate, extract, items as item_ops
+from ..plans import profile
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -141,7 +142,7 @@ FROM evidence""", "evidence")
 
 
 def retained(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.represent(aggregate.distinct_evidence(signals(spark, sf)))
+    return profile.retained_signals(evidence(spark, sf))
 
 
 cte("retained", """

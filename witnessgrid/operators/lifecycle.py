@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from . import rules, skew
@@ -80,14 +80,18 @@ def status_view(state: DataFrame) -> DataFrame:
 
 # -- keyed changes of a table --------------------------------------------------------------
 
-def insert_pending(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to insert, and the incoming rows whose key exists already (or comes twice)."""
-    first = Window.partitionBy("analysis_id").orderBy("request_no")
-    numbered = incoming.withColumn("_n", F.row_number().over(first))
-    fresh = numbered.filter("_n = 1").join(existing.select("analysis_id"), "analysis_id", "left_anti")
-    conflict = numbered.filter("_n > 1").unionByName(
-        numbered.filter("_n = 1").join(existing.select("analysis_id"), "analysis_id", "left_semi"))
-    return fresh.drop("_n").withColumn("status", F.lit("pending")), conflict.drop("_n")
+def insert_pending(existing: DataFrame, incoming: DataFrame, hot_rows: int = skew.HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows to insert, and the incoming rows whose key exists already (or comes twice).
+
+    ``incoming``: analysis_id, request_no (unique per analysis), ... ; the first request wins.
+    """
+    taken = existing.select("analysis_id", F.lit(True).alias("_taken")).distinct()
+    first = incoming.groupBy("analysis_id").agg(F.min("request_no").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    known = first.join(taken, "analysis_id", "left")
+    marked = skew.lookup(incoming, known, ["analysis_id"], "_size", hot_rows, spread_by=["request_no"])
+    wins = F.col("_taken").isNull() & (F.col("request_no") == F.col("_first"))
+    fresh = marked.filter(wins).select(*incoming.columns, F.lit("pending").alias("status"))
+    return fresh, marked.filter(~wins).select(*incoming.columns)
 
 
 def delete_keys(existing: DataFrame, keys: DataFrame) -> DataFrame:

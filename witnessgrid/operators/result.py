@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions.text import computed
-from . import rules
+from . import rules, skew
 
 EVIDENCE_DDL = (
     "struct<confidence:double,id:string,image_id:string,label:string,metadata:string,source:string,type:string,value:string>")
@@ -51,8 +51,9 @@ def support_violations(owners: DataFrame, links: DataFrame, evidence: DataFrame,
         F.count_if("_via").alias("reached"), F.count_if(c("_via").isNull() | c("_named").isNull()).alias("differing"))
     counts = by_evidence.groupBy("analysis_id", "key").agg(F.count(F.lit(1)).alias("listed"))
     totals = items.select("analysis_id", "item_id").distinct().groupBy("analysis_id").agg(F.count(F.lit(1)).alias("total"))
-    checked = owners.join(per_key, ["analysis_id", "key"], "left").join(counts, ["analysis_id", "key"], "left").join(
-        totals, "analysis_id", "left")
+    counted = owners.join(per_key, ["analysis_id", "key"], "left").join(counts, ["analysis_id", "key"], "left")
+    sized = totals.withColumn("_size", c("total"))
+    checked = skew.lookup(counted, sized, ["analysis_id"], "_size", 10_000, spread_by=["key"])
     _, rows = rules.apply_rules(checked, "statement", c("key"), {
         "item_set_differs": c("differing") == 0, "evidence_count": c("evidence_count") == c("listed"),
         "coverage": F.abs(c("item_coverage") - c("reached") / c("total")) <= 1e-12})

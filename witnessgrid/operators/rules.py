@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import computed, strip
+from . import skew
 
 KEY_PATTERN = r"\A[a-z][a-z0-9_]*\z"
 ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
@@ -122,6 +123,13 @@ def violation(df: DataFrame, entity: str, entity_id: Column, rule: str) -> DataF
     )
 
 
-def drop_failed(df: DataFrame, violations: DataFrame) -> DataFrame:
-    """Fail mode: an analysis with any violation produces nothing."""
-    return df.join(violations.select("analysis_id").distinct(), "analysis_id", "left_anti")
+def drop_failed(df: DataFrame, violations: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """Fail mode: an analysis with any violation produces nothing.
+
+    Row counts per analysis tell the join which analyses are hot, so that a huge one is not
+    moved to a single task just to be tested.
+    """
+    failed = violations.select("analysis_id", F.lit(True).alias("_failed")).distinct()
+    sizes = df.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("_size"))
+    marked = skew.lookup(df, sizes.join(failed, "analysis_id", "left"), ["analysis_id"], "_size", hot_rows)
+    return marked.filter(F.col("_failed").isNull()).select(*df.columns)

@@ -54,4 +54,7 @@ def replay(requests: DataFrame, samples: DataFrame, order: str, hot_rows: int =
     total = samples.count()
     wanted = requests.withColumn("sample_no", F.pmod("request_no", F.lit(total)).cast("int")).withColumn(
         "replay_round", (F.col("request_no") / total).cast("bigint"))
-    return wanted.join(indexed, "sample_no")
+    # Every sample is asked for about equally often; few samples make all of them hot keys.
+    per_sample = F.lit(requests.count() // max(total, 1) + 1)
+    table = indexed.withColumn("_asked", per_sample)
+    return skew.lookup(wanted, table, ["sample_no"], "_asked", hot_rows, how="inner", spread_by=["request_no"]).drop("_asked")
