@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import claims as claim_ops, extract, items as item_ops, questionnaire, rules
+from ..session import cut_lineage
 from ..sources import readers, synthetic, writers
 from . import views
 from .registry import query
@@ -438,7 +439,7 @@ def claim_violations(spark, sf):
 
 
 def valid_responses(spark, sf):
-    r = views.responses(spark, sf)
+    r = cut_lineage(views.responses(spark, sf))  # a join that the rules and the scores read again
     return rules.drop_failed(r, questionnaire.violations(r))
 
 

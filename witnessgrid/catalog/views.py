@@ -339,7 +339,7 @@ def labelled_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """One claim per document; some keys and labels name a protected trait on purpose."""
-    d = table(spark, sf, "documents")
+    d = spread_table(spark, sf, "documents", "doc_id")
     k, m = F.pmod("doc_id", F.lit(11)), F.pmod("doc_id", F.lit(7))
     key = F.when(k == 0, "person_religion").when(k == 1, "user_mental_health_note").otherwise("visible_content")
     label = (
