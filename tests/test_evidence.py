@@ -110,6 +110,7 @@ def test_only_supported_kinds_and_claims(spark):
     ranked = insights.rank_insights(insights.candidate_insights(a)).orderBy("rank").collect()
     assert [(r["type"], r["key"], r["rank"]) for r in ranked] == [
         ("visible_interest", "football", 1), ("religious_content", "religious-themed content", 2)]
+    assert insights.rank_insights(insights.candidate_insights(a), hot_rows=1).orderBy("rank").collect() == ranked
 
 
 def test_explanation_and_summary(spark):

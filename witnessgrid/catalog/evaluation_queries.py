@@ -87,7 +87,7 @@ def unsupported_claim_rate(spark, sf):
 
 @query("RULE11 RULE12", sql(f"SELECT sample_id FROM claims WHERE {views.violates_sql('key', 'label')}", "claims"))
 def claims_breaking_policy(spark, sf):
-    return views.claims(spark, sf).filter(policy.violates(F.col("key"), F.col("label"))).select("sample_id")
+    return policy.flagged(views.claims(spark, sf), F.col("key"), F.col("label")).filter("violates").select("sample_id")
 
 
 # French, German and Spanish letters become single-byte characters, so that the byte-based

@@ -42,7 +42,8 @@ def eligible(p: SupportPolicy) -> Column:
 
 def observable(aggregates: DataFrame) -> DataFrame:
     """Drop mode of the claim policy: offending aggregates vanish silently."""
-    return aggregates.filter(~policy.violates(F.col("key"), F.col("label")))
+    judged = policy.flagged(aggregates, F.col("key"), F.col("label"), "_bad")
+    return judged.filter(~F.col("_bad")).drop("_bad")
 
 
 def _rule_maps() -> tuple[Column, Column]:

@@ -100,7 +100,7 @@ def mean_error_rates(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def unsupported_claim_rate(claims: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Share of claims (key, label) that break the claim policy; 0 without claims."""
-    flagged = claims.withColumn("_bad", policy.violates(F.col("key"), F.col("label")))
+    flagged = policy.flagged(claims, F.col("key"), F.col("label"), "_bad")
     return flagged.groupBy(*keys).agg(
         F.coalesce(F.count_if("_bad") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("unsupported_claim_rate"),
         F.count(F.lit(1)).alias("claim_count"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 # A key with more rows than this is "hot". At most total_rows / HOT_ROWS keys can be hot,
 # which is what bounds every broadcast of hot keys below.
 HOT_ROWS = 1_000_000
@@ -61,7 +63,8 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str =
 
 def _rank_with_splitters(df: DataFrame, keys: list[str], order: list[Column], name: str,
                          hot_rows: int) -> DataFrame:
-    ordered = df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    # Read four times below, so it is written once; this also pins the rows that get ranked.
+    ordered = cut_lineage(df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])))
     hot = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     # About _SPLITTERS order values per hot key, chosen by hash so that reruns agree.
     stride = F.greatest(F.lit(1), (F.col("_n") / _SPLITTERS).cast("bigint"))
