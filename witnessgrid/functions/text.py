@@ -15,8 +15,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Python's str.isspace() set, which Java's \s does not match.
-WS = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Every character Python's str.split() and str.strip() treat as whitespace; Java's \s does not.
+_SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPACES) + "]"
 
 # Arabic-block letters, digits and punctuation without combining marks, plus common quotes.
 _ARABIC_SAFE = (
@@ -57,12 +58,12 @@ def _or_python(c: Column, jvm: Column, fn: Callable[[str], str], latin: str = _N
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, _SPACES, " " * len(_SPACES)), " {2,}", " "))
 
 
 def _lower_ss(c: Column) -> Column:
@@ -107,9 +108,12 @@ _OCR_LETTERS = str.maketrans(_OCR_FROM, _OCR_TO)
 
 def ocr_text(c: Column) -> Column:
     """Line-preserving clean-up of recognised text; zero-width non-joiners are kept."""
-    t = F.regexp_replace(c, r"\r\n?", "\n")
-    t = F.regexp_replace(F.translate(t, _OCR_FROM, _OCR_TO), r"[\t\f\x0b ]+", " ")
-    t = F.regexp_replace(t, rf"{WS}*\n{WS}*", "\n")
+    def flat(t: Column) -> Column:
+        return F.regexp_replace(F.translate(t, _OCR_FROM, _OCR_TO), r"[\t\f\x0b ]+", " ")
+
+    # Blank lines and spaces around line ends go with one pattern; a single line needs neither.
+    lines = F.regexp_replace(flat(F.regexp_replace(c, r"\r\n?", "\n")), rf"{WS}*\n{WS}*", "\n")
+    t = F.when(c.contains("\n") | c.contains("\r"), lines).otherwise(flat(c))
     return _or_python(c, strip(t), _ocr_row)
 
 
