@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import vocab
 from . import skew
 
 ALL = "(all)"
@@ -180,9 +181,9 @@ def acceptance(runs: DataFrame, reports: DataFrame, profile: str = DEGRADED) ->
         return F.max(F.when(F.col("name") == name, F.coalesce(condition, F.lit(False))).otherwise(F.lit(False)))
 
     candidates = F.from_json(at("$.candidates"), "array<struct<candidate:string,deterministic_rerun:boolean>>")
-    ocr = F.exists(candidates, lambda x: (x["candidate"] == "tessdata_best") & x["deterministic_rerun"])
+    ocr = F.exists(candidates, lambda x: (x["candidate"] == vocab.SELECTED_TEXT_CANDIDATE) & x["deterministic_rerun"])
     vision = (
-        (at("$.schema_version") == "phase10-siglip-zero-shot-vision-benchmark-v1")
+        (at("$.schema_version") == vocab.VISION_REPORT_SCHEMA)
         & (at("$.candidate.selection_protocol_safe") == "true") & (at("$.candidate.benchmark_valid") == "true")
         & (at("$.candidate.failure_rate").try_cast("double") == 0.0) & (at("$.candidate.f1").try_cast("double") == 0.0))
     e2e = (

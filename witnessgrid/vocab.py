@@ -130,3 +130,5 @@ SEMANTIC_ID_TAG = "phase7-semantic-support-v1"
 
 EVALUATOR_VERSION = "phase2-evaluator-1.1.0"
 REPORT_SCHEMA_VERSION = "1.1.0"
+VISION_REPORT_SCHEMA = "phase10-siglip-zero-shot-vision-benchmark-v1"
+SELECTED_TEXT_CANDIDATE = "tessdata_best"
