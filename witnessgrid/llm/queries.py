@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import parity_join, sharding
+from . import parity_join, sharding, token_files
+from ..session import shared_path
 from .oracles import ORACLES
 
+# Kept out of the repository; the package names its folder.
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +22,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written as token files and read back."""
+    path = shared_path(spark, "tokens")
+    token_files.write_corpus(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return token_files.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return parity_join.linked_components(table(spark, sf_dir, "documents"), 75)
