@@ -11,6 +11,8 @@ documents meet in an equi-join on (size band, word number, word).
   shingles; the bound then gets ``SIGMAS`` standard deviations on top (a pair exactly at the
   threshold is missed with a probability under 1e-6 per independent sketch, similar pairs with
   none worth naming). Smaller documents are joined without any such chance.
+* Candidates then compare two-rate bit sketches of ``BITS`` bits: each (sampled) shingle XORs one
+  bit, and the Hamming distance is again a lower bound of the (sampled) symmetric difference.
 * Shingles of more than ``COMMON`` of the documents go to words of their own, used last, so a
   passage that many documents share brings no candidates together.
 * Candidates are checked in stars: every document of a word against the smallest one, then
@@ -37,7 +39,8 @@ from .links import components
 
 PLAIN, SAMPLED, SIGMAS = 112, 72, 5.0
 COMMON = 0.01
-_BITS = 1 << 22
+BITS, DENSE = 512, 150
+_ID_BITS, _KEY_BITS = 22, 27
 FIRST_PIVOTS, MORE_PIVOTS = 1, 8
 
 
@@ -134,29 +137,48 @@ def _node_of(shingle_set: np.ndarray) -> np.uint64:
     return blocks.mix(np.bitwise_xor.reduce(blocks.mix(shingle_set * (positions * np.uint64(2) + np.uint64(1))), keepdims=True))[0]
 
 
+def _bit_sketches(shingle_set: np.ndarray, level: int) -> np.ndarray:
+    """Parity of BITS bits over the shingles sampled at 1 in 2^level, and at half of that."""
+    bit = (blocks.mix(shingle_set) & np.uint64(BITS - 1)).astype(np.int64)
+    sample = shingle_set >> np.uint64(24)
+    kept = [(sample & np.uint64((1 << at) - 1)) == 0 for at in (level, level + 1)]
+    parity = np.stack([np.bincount(bit[k], minlength=BITS) & 1 for k in kept])
+    return np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _levels(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.floor(np.log2(np.maximum(sizes, 1) / DENSE))).astype(np.int64)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the set, null if empty), and rows with a null
-    n_shingles that count shingles frequent in a block of documents (node, seen)."""
+    """doc_id, n_shingles, node (fingerprint of the set, null if empty) and its bit sketches; and
+    rows with a null n_shingles that count shingles frequent in a block of documents (node, seen)."""
+    longs = pa.list_(pa.int64())
+    names = ["doc_id", "n_shingles", "node", "seen", "level", "fine", "coarse"]
+
     def sets(batches):
         for batch in batches:
             ids = batch.column(0)
             column = batch.column(1)
             for row, found in blocks.shingle_sets(column):
                 n = np.array([len(s) for s in found], np.int64)
+                level = _levels(n)
                 node = np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64)
+                bits = np.stack([_bit_sketches(s, k) for s, k in zip(found, level.tolist())])
+                at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (BITS // 64))
+                fine, coarse = (pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(bits[:, k]).ravel())) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(row, len(found)), pa.array(n),
-                    pa.array(blocks.signed(node), mask=n == 0), pa.nulls(len(found), pa.int64())],
-                    names=["doc_id", "n_shingles", "node", "seen"])
+                    ids.slice(row, len(found)), pa.array(n), pa.array(blocks.signed(node), mask=n == 0),
+                    pa.nulls(len(found), pa.int64()), pa.array(level), fine, coarse], names=names)
                 value, seen = np.unique(np.concatenate(found), return_counts=True)
                 often = seen >= max(2, COMMON / 2 * len(found))
                 if often.any():
                     k = int(often.sum())
                     yield pa.RecordBatch.from_arrays([
                         pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(blocks.signed(value[often])),
-                        pa.array(seen[often])], names=["doc_id", "n_shingles", "node", "seen"])
+                        pa.array(seen[often]), pa.nulls(k, pa.int64()), pa.nulls(k, longs), pa.nulls(k, longs)], names=names)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        sets, "doc_id bigint, n_shingles bigint, node bigint, seen bigint")
+        sets, "doc_id bigint, n_shingles bigint, node bigint, seen bigint, level bigint, fine array<bigint>, coarse array<bigint>")
 
 
 def _common(table: DataFrame) -> np.ndarray:
@@ -169,8 +191,24 @@ def _common(table: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def key_table(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """(key, node) for every document."""
+def _bit_array(values: DataFrame, slot, bits: int) -> np.ndarray:
+    """2^bits bits, set at the slot of every row; a fixed size, whatever the rows."""
+    pages = values.groupBy(F.bitmap_bucket_number(slot + 1).alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+    found = np.zeros(1 << bits >> 3, np.uint8)
+    for page, page_bits in pages.toLocalIterator():
+        at = (page - 1) * 4096
+        found[at:at + 4096] |= np.frombuffer(page_bits, np.uint8)[:len(found) - at]
+    return found
+
+
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    # Least significant bit first, as Spark builds them.
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def key_table(docs: DataFrame, common: np.ndarray, percent: int, shared=None) -> DataFrame:
+    """(key, node) for every document; ``shared``, a broadcast bit array over key slots, leaves others out."""
     bands = Bands(percent)
 
     def keys(batches):
@@ -178,43 +216,37 @@ def key_table(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
             for _, found in blocks.shingle_sets(batch.column(0)):
                 node = np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64)
                 for key, owner in sketch_keys(found, node, common, bands):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(blocks.signed(key)), pa.array(blocks.signed(owner))], names=["key", "node"])
+                    if shared is not None:
+                        kept = _has(shared.value, (key >> np.uint64(64 - _KEY_BITS)).astype(np.int64))
+                        key, owner = key[kept], owner[kept]
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(blocks.signed(key)), pa.array(blocks.signed(owner))], names=["key", "node"])
     return docs.select("text").mapInArrow(keys, "key bigint, node bigint")
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """Bit array of fixed size that holds (a hash of) every id; others may pass by chance."""
-    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).cast("int").alias("slot")).distinct()
-    # One row per 4096 slots: 1024 rows of 512 bytes at most reach the driver.
-    words = slots.groupBy((F.col("slot") / 4096).cast("int").alias("page")).agg(F.collect_list(F.col("slot") % 4096).alias("at"))
-    bits = np.zeros(_BITS, bool)
-    for page, at in words.toLocalIterator():
-        bits[np.array(at) + page * 4096] = True
-    return np.packbits(bits)
-
-
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are as similar as asked, by comparing whole sets."""
     # Documents that stand for a node of a pair; the bit array keeps other sets out of the shuffle.
     reps = nodes.select("node", F.col("rep").alias("doc_id"))
     used = stash(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node"))
-    bits = _wanted(used)
+    slot = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("bigint")), 64 - _ID_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_array(used, slot, _ID_BITS))
 
     def sets(batches):
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            chosen = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+            chosen = np.flatnonzero(_has(wanted.value, batch.column(2).to_numpy()))
             batch = batch.take(pa.array(chosen))
             for row, found in blocks.shingle_sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(found)),
                     pa.array(blocks.signed(np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64))),
                     pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "node", "items"])
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(_BITS)).cast("int")
     items = docs.select(F.col("doc_id").cast("bigint"), "text", slot.alias("slot")).filter("doc_id IS NOT NULL").mapInArrow(
         sets, "doc_id bigint, node bigint, items binary")
-    items = stash(items.join(used, ["doc_id", "node"]).select("node", "items").dropDuplicates(["node"]))
+    # Repeated rows fold here, on the keys of the join that follows.
+    items = items.groupBy("doc_id", "node").agg(F.first("items").alias("items"))
+    items = stash(items.join(used, ["doc_id", "node"]).select("node", "items"))
 
     def similar(batches):
         for batch in batches:
@@ -234,21 +266,32 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
 def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     table = stash(set_table(docs))
-    rows = table.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "node")
-    nodes = stash(rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")))
-    keys = key_table(docs, _common(table), percent)
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
+    whole = table.filter("n_shingles IS NOT NULL")
+    rows = whole.select("doc_id", "n_shingles", "node")
+    nodes = stash(whole.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(n) for c, n in (
+            ("n_shingles", "size"), ("level", "level"), ("fine", "fine"), ("coarse", "coarse"))]))
+    common = _common(table)
+    shared = key_table(docs, common, percent).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
     shared = stash(shared.filter("pivot <> other").select("key", "pivot"))
-    # What shares a key, once per node: small beside the keys, for most documents have no partner.
-    met = stash(keys.join(shared, "key").select("key", "node", "pivot").distinct())
-    sizes = nodes.select("node", "size")
-    percent_fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    # The second pass shuffles little: most keys belong to one document and are no longer sent.
+    slots = docs.sparkSession.sparkContext.broadcast(
+        _bit_array(shared, F.shiftrightunsigned("key", 64 - _KEY_BITS), _KEY_BITS))
+    met = stash(key_table(docs, common, percent, slots).join(shared, "key").select("key", "node", "pivot").distinct())
+
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), F.struct("size", "level", "fine", "coarse").alias(f"{name}_"))
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        with_sizes = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(
-            sizes.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
-        return with_sizes.filter(percent_fits(F.col("na"), F.col("nb"))).select("a", "b")
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        a, b = F.col("a_"), F.col("b_")
+        level = F.greatest(a.level, b.level)
+        bits = [F.when(x.level == level, x.fine).otherwise(x.coarse) for x in (a, b)]
+        distance = sum((F.bit_count(bits[0][i].bitwiseXOR(bits[1][i])) for i in range(BITS // 64)), F.lit(0))
+        rate = F.pow(F.lit(2.0), -level)
+        mean = rate * (100 - percent) * (a['size'] + b['size']) / (100 + percent)
+        return met.filter(100 * F.least(a['size'], b['size']) >= percent * F.greatest(a['size'], b['size'])).filter(
+            distance <= mean + SIGMAS * F.sqrt(mean * (1 - rate))).select("a", "b")
 
     tested = stash(candidates(met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
     links = stash(verified(docs, nodes, tested, percent))
