@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import parity_join, sharding, token_files
+from . import language_id, parity_join, quality, sharding, token_files, toxicity
 from ..session import shared_path
 from .oracles import ORACLES
 
@@ -35,6 +35,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = language_id.id_part(F.col("doc_id"), 3)
+    model = language_id.fit(docs.filter(part != 1))
+    return language_id.predict(docs, model, ["doc_id"]).select(
+        "doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return parity_join.linked_components(table(spark, sf_dir, "documents"), 75)
