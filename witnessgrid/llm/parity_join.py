@@ -15,6 +15,9 @@ documents meet in an equi-join on (size band, word number, word).
   bit, and the Hamming distance is again a lower bound of the (sampled) symmetric difference.
 * Shingles of more than ``COMMON`` of the documents go to words of their own, used last, so a
   passage that many documents share brings no candidates together.
+* Two passes make the keys: the first counts them, in the second those of ``BUSY`` and more
+  documents come last in every document's order. Both partners order alike, so the pigeonhole
+  argument holds, and passages shared by fewer documents than ``COMMON`` bring few together too.
 * Candidates are checked in stars: every document of a word against the smallest one, then
   against further pivots as long as the word still holds unconnected documents. Every pair that
   shares a word and isn't connected yet gets checked, so no link is lost, and copies and near
@@ -40,6 +43,7 @@ from .links import components
 PLAIN, SAMPLED, SIGMAS = 112, 72, 5.0
 COMMON = 0.01
 BITS, DENSE = 512, 150
+BUSY = 24
 _ID_BITS, _KEY_BITS = 22, 27
 FIRST_PIVOTS, MORE_PIVOTS = 1, 8
 
@@ -78,8 +82,11 @@ class Bands:
         return np.ceil(mean + SIGMAS * np.sqrt(mean * (1 - rate)))
 
 
-def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray, bands: Bands):
-    """Join keys (key, node) of a block of shingle sets."""
+def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray, bands: Bands, busy=None):
+    """Join keys (key, node, first choice) of a block of shingle sets.
+
+    ``busy`` tells which keys come last; a key that would not be used without it isn't a first choice.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     own = bands.band(sizes)
     for step in (0, 1):  # the band as the lower one, then as the upper one of a pair of bands
@@ -92,10 +99,10 @@ def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray, b
             partner = np.minimum(n * bands.ratio, bands.start(joined + 2)) if step == 0 else np.full(len(n), bands.start(joined + 1))
             rate, words = bands.shape(joined)
             allowed = bands.allowed(bands.bound(n, partner), rate).astype(np.int64)
-            yield from _emit([sets[i] for i in picked], nodes[picked], allowed, rate, words, joined, common)
+            yield _emit([sets[i] for i in picked], nodes[picked], allowed, rate, words, joined, common, busy)
 
 
-def _emit(sets, nodes, allowed, rate, words, joined, common):
+def _emit(sets, nodes, allowed, rate, words, joined, common, busy):
     lengths = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), lengths)
@@ -104,32 +111,34 @@ def _emit(sets, nodes, allowed, rate, words, joined, common):
         values, doc = values[kept], doc[kept]
     # Sets are sorted, so the word number, which follows the upper bits, is sorted too.
     word = ((values >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64)
-    hot = np.zeros(len(values), bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        hot = common[at] == values
-    used = np.zeros(len(sets), np.int64)
-    for part, offset in ((~hot, 0), (hot, words)):
-        v, d, w = values[part], doc[part], word[part] + offset
-        if not len(v):
-            continue
-        cell = d * (2 * words) + w
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        parity = np.bitwise_xor.reduceat(blocks.mix(v), first)
-        d, w = d[first], w[first]
-        live = parity != 0
-        parity, d, w = parity[live], d[live], w[live]
-        doc_start = np.searchsorted(d, np.arange(len(sets)))
-        rank = np.arange(len(d)) - doc_start[d] + used[d]
-        used += np.bincount(d, minlength=len(sets))
-        keep = rank <= allowed[d]
-        tag = np.uint64(joined + 1) * np.uint64(1 << 40)
-        yield blocks.mix(parity[keep] + blocks.mix(w[keep].astype(np.uint64) + tag)), nodes[d[keep]]
+        word += np.where(common[at] == values, words, 0)
+    cell = doc * (2 * words) + word
+    if len(common):
+        order = np.argsort(cell, kind="stable")
+        cell, values = cell[order], values[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    parity = np.bitwise_xor.reduceat(blocks.mix(values), first) if len(cell) else np.zeros(0, np.uint64)
+    cell = cell[first][parity != 0]
+    parity = parity[parity != 0]
+    d, w = cell // (2 * words), cell % (2 * words)
+    tag = np.uint64(joined + 1) * np.uint64(1 << 40)
+    key = blocks.mix(parity + blocks.mix(w.astype(np.uint64) + tag))
+    live = np.bincount(d, minlength=len(sets))
+    start = np.cumsum(live) - live
+    chosen = np.arange(len(d)) - start[d] <= allowed[d]
+    used = chosen
+    if busy is not None and len(d):
+        order = np.argsort(d * 2 + busy(key), kind="stable")
+        rank = np.empty(len(d), np.int64)
+        rank[order] = np.arange(len(d))
+        used = rank - start[d] <= allowed[d]
     # A document with no more live words than may differ can share none with its partner.
-    bare = used <= allowed
-    if bare.any():
-        mark = blocks.mix(np.array([(joined + 1) << 20], np.uint64))
-        yield np.repeat(mark, int(bare.sum())), nodes[bare]
+    bare = live <= allowed
+    mark = blocks.mix(np.array([(joined + 1) << 20], np.uint64))
+    return (np.r_[key[used], np.repeat(mark, int(bare.sum()))], np.r_[nodes[d[used]], nodes[bare]],
+            np.r_[chosen[used], np.ones(int(bare.sum()), bool)])
 
 
 def _node_of(shingle_set: np.ndarray) -> np.uint64:
@@ -207,17 +216,25 @@ def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def key_table(docs: DataFrame, common: np.ndarray, percent: int, shared=None) -> DataFrame:
-    """(key, node) for every document; ``shared``, a broadcast bit array over key slots, leaves others out."""
+def key_table(docs: DataFrame, common: np.ndarray, percent: int, met=None) -> DataFrame:
+    """(key, node) for every document.
+
+    ``met``, a broadcast pair of bit arrays over key slots, is what the first pass found: keys of
+    several documents and of many. The latter then come last, and keys of one document stay out.
+    """
     bands = Bands(percent)
 
+    def slot(key):
+        return (key >> np.uint64(64 - _KEY_BITS)).astype(np.int64)
+
     def keys(batches):
+        busy = None if met is None else lambda key: _has(met.value[1], slot(key))
         for batch in batches:
             for _, found in blocks.shingle_sets(batch.column(0)):
                 node = np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64)
-                for key, owner in sketch_keys(found, node, common, bands):
-                    if shared is not None:
-                        kept = _has(shared.value, (key >> np.uint64(64 - _KEY_BITS)).astype(np.int64))
+                for key, owner, chosen in sketch_keys(found, node, common, bands, busy):
+                    if met is not None:
+                        kept = ~chosen | _has(met.value[0], slot(key))
                         key, owner = key[kept], owner[kept]
                     if len(key):
                         yield pa.RecordBatch.from_arrays(
@@ -272,12 +289,16 @@ def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         F.min("doc_id").alias("rep"), *[F.first(c).alias(n) for c, n in (
             ("n_shingles", "size"), ("level", "level"), ("fine", "fine"), ("coarse", "coarse"))]))
     common = _common(table)
-    shared = key_table(docs, common, percent).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
-    shared = stash(shared.filter("pivot <> other").select("key", "pivot"))
-    # The second pass shuffles little: most keys belong to one document and are no longer sent.
-    slots = docs.sparkSession.sparkContext.broadcast(
-        _bit_array(shared, F.shiftrightunsigned("key", 64 - _KEY_BITS), _KEY_BITS))
-    met = stash(key_table(docs, common, percent, slots).join(shared, "key").select("key", "node", "pivot").distinct())
+    found = key_table(docs, common, percent).groupBy("key").agg(
+        F.min("node").alias("pivot"), F.max("node").alias("other"), F.count(F.lit(1)).alias("n"))
+    found = stash(found.filter("pivot <> other").select("key", (F.col("n") >= BUSY).alias("busy")))
+    slot = F.shiftrightunsigned("key", 64 - _KEY_BITS)
+    bits = docs.sparkSession.sparkContext.broadcast(
+        (_bit_array(found, slot, _KEY_BITS), _bit_array(found.filter("busy"), slot, _KEY_BITS)))
+    # The second pass sends little: most keys belong to one document. A key's rows are folded by node first.
+    sent = stash(key_table(docs, common, percent, bits).distinct())
+    pivots = sent.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
+    met = stash(sent.join(stash(pivots.filter("pivot <> other").select("key", "pivot")), "key").select("key", "node", "pivot"))
 
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.struct("size", "level", "fine", "coarse").alias(f"{name}_"))
