@@ -24,22 +24,23 @@ from ..session import stash
 # Sketch values (16 bytes and an id each) up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SKETCHES = 1_000_000
 _WORDS = "split(btrim(lower(text), ' \\t\\n\\u000b\\f\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')"
-_HASHES = """CASE WHEN size(words) >= 5
-  THEN transform(sequence(0, size(words) - 5), i -> xxhash64(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]))
-  ELSE array(xxhash64(concat_ws(' ', words))) END"""
-_STRINGS = """array_distinct(CASE WHEN size(words) >= 5
-  THEN transform(sequence(0, size(words) - 5), i -> concat_ws(' ', slice(words, i + 1, 5)))
-  ELSE array(concat_ws(' ', words)) END)"""
+# The words are bound to a lambda's variable: as a column they would be split anew for each shingle.
+_HASHES = f"""transform(array({_WORDS}), w -> CASE WHEN size(w) >= 5
+  THEN transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))
+  ELSE array(xxhash64(concat_ws(' ', w))) END)[0]"""
+_STRINGS = f"""array_distinct(transform(array({_WORDS}), w -> CASE WHEN size(w) >= 5
+  THEN transform(sequence(0, size(w) - 5), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))
+  ELSE array(concat_ws(' ', w)) END)[0])"""
 
 
 def _worded(rows: DataFrame) -> DataFrame:
-    """Rows whose text has a word, with the array ``words``."""
-    return rows.filter("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn("words", F.expr(_WORDS))
+    """Rows whose text has a word."""
+    return rows.filter("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
 
 
 def sketches(items: DataFrame, percent: int) -> DataFrame:
     """(hash, item_id, needed): the MinHash sketch of every item by its size partition."""
-    sets = _worded(items.select("item_id", "text")).select("item_id", F.array_sort(F.array_distinct(F.expr(_HASHES))).alias("set"))
+    sets = _worded(items.select("item_id", "text")).select("item_id", F.sort_array(F.array_distinct(F.expr(_HASHES))).alias("set"))
     top = F.pow(F.lit(2), F.floor(F.log2(F.size("set"))) + 1) - 1
     length = (top - F.ceil(top * percent / 100) + 1).cast("int")
     return sets.select(

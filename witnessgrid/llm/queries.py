@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, parity_join, quality, sharding, token_files, toxicity
+from . import (
+    cross_polytope, decontamination, language_id, mixing, parity_join, quality, sharding, token_files, tool_calls, toxicity)
 from ..session import shared_path
 from .oracles import ORACLES
 
@@ -28,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 75)
+    return found.select("doc_id", "item_id", "item_shingles", "shared", "containment")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as token files and read back."""
     path = shared_path(spark, "tokens")
@@ -35,6 +42,30 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+# A schema per tool; calls of other tools are reported as unknown.
+TOOL_SCHEMAS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"],
+               "additionalProperties": False},
+    "lookup": {"properties": {"id": {"type": "integer"}, "lang": {"type": "string", "enum": ["de", "en", "es", "fr"]}}, "required": ["id"]},
+}
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversation turns as canonical JSON with linked calls.
+
+    The given conversations hold plain turns, so each user turn is also read as a call of
+    ``search`` and the assistant turn after it as its result.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return tool_calls.link(tool_calls.as_calls(turns), TOOL_SCHEMAS)
+
+
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cross_polytope.search(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +85,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the mixed order of their sources."""
+    found = mixing.interleave(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "block", "slot", "release", "deadline", "position")
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return parity_join.linked_components(table(spark, sf_dir, "documents"), 75)
