@@ -206,7 +206,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("bigint"), F.col(column).cast("int")).filter(f"doc_id IS NOT NULL AND {column} IS NOT NULL")
     if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    return docs.drop(*[c for c in labels.columns if c != "doc_id" and c in docs.columns]).join(known, "doc_id")
+    return docs.drop(column).join(known, "doc_id")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
