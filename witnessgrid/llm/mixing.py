@@ -105,7 +105,8 @@ def interleave(docs: DataFrame, shares: dict | None = None, block_rows: int = 16
 
 
 def mixed(docs: DataFrame, shares: dict | None = None, block_rows: int = 16) -> DataFrame:
-    """The rows of ``docs``, all columns, range-partitioned and sorted in the mixed order."""
+    """The rows of ``docs``, all columns, range-partitioned and sorted in the mixed order; a repeated
+    row comes right after the first of its kind."""
     order = interleave(docs, shares, block_rows).groupBy("doc_id", "source", "text_key").agg(F.min("position").alias("_position"))
     order = order.withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_key": "_key"})
     found = docs.join(order, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
