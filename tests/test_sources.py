@@ -46,14 +46,20 @@ def test_state_table_round_trip(spark, tmp_path):
     writers.write_state(state, path)
     assert [r["analysis_id"] for r in readers.read_state(spark, path, status="completed").collect()] == ["C"]
     plan = readers.read_state(spark, path, "completed", "C")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(status" in plan and "PushedFilters: [IsNotNull(analysis_id), EqualTo(analysis_id,C)]" in plan
-    done = spark.createDataFrame([("D", "completed", '{"x":1}'), ("E", "failed", None)], "analysis_id string, status string, result_payload string")
-    current = readers.read_state(spark, path, status="completed").select("analysis_id", "status", "result_payload")
-    writers.write_completed(lifecycle.upsert(current, done.filter("status = 'completed'"), "analysis_id"), path)
-    assert sorted((r["analysis_id"], r["status"]) for r in spark.read.parquet(path).collect()) == [
-        ("A", "pending"), ("B", "in_progress"), ("C", "completed"), ("D", "completed")]
-    left = lifecycle.delete_keys(readers.read_state(spark, path), spark.createDataFrame([("A",)], "analysis_id string"))
-    assert left.count() == 3
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(status,completed), EqualTo(analysis_id,C)]" in plan
+
+    def rows():
+        return sorted((r["analysis_id"], r["status"], r["result_payload"]) for r in readers.read_state(spark, path).collect())
+    schema = "analysis_id string, status string, result_payload string"
+    done = [("A", "completed", '{"x":1}'), ("D", "completed", '{"y":2}'), ("E", "failed", None), ("F", "completed", None)]
+    writers.write_completed(spark.createDataFrame(done, schema), path)
+    # A changed its status and is there once; B and the earlier result of C stay.
+    assert rows() == [("A", "completed", '{"x":1}'), ("B", "in_progress", None), ("C", "completed", "{}"), ("D", "completed", '{"y":2}')]
+    writers.write_completed(spark.createDataFrame([("C", "completed", '{"z":3}')], schema), path)
+    writers.delete_state(spark.createDataFrame([("A",), ("D",), ("nobody",)], "analysis_id string"), path)
+    assert rows() == [("B", "in_progress", None), ("C", "completed", '{"z":3}')]
+    writers.upsert_state(spark.createDataFrame([("B", "failed", None), ("G", "pending", None)], schema), path)
+    assert rows() == [("B", "failed", None), ("C", "completed", '{"z":3}'), ("G", "pending", None)]
 
 
 def test_report_sink(spark, tmp_path):

@@ -166,8 +166,8 @@ def theme_aggregates(retained: DataFrame, universe: DataFrame,
 
 
 def sorted_texts(c: Column) -> Column:
-    """Distinct strings by (lower case, text)."""
-    pairs = F.transform(F.array_distinct(c), lambda s: F.struct(F.lower(s).alias("k"), s.alias("s")))
+    """Distinct strings by (case-folded, text)."""
+    pairs = F.transform(F.array_distinct(c), lambda s: F.struct(F.lower(F.replace(s, F.lit("ß"), F.lit("ss"))).alias("k"), s.alias("s")))
     return F.transform(F.array_sort(pairs), lambda p: p["s"])
 
 

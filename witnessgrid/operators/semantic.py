@@ -111,7 +111,8 @@ def _score_joined(vectors: DataFrame, labels: DataFrame, block: int = 256) -> Da
     spread = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint"))
     scored = F.transform(
         "_l", lambda x: F.struct(x["label"].alias("label"), cosine(F.col("embedding"), x["embedding"]).alias("similarity")))
-    return spread.join(blocks, "_b").select("analysis_id", "item_id", F.inline(scored))
+    return spread.join(blocks, "_b").select("analysis_id", "item_id", scored.alias("_s")).select(
+        "analysis_id", "item_id", F.inline("_s"))
 
 
 def matched(similarities: DataFrame, threshold: float = vocab.THEME_THRESHOLD) -> DataFrame:

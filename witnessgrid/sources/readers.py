@@ -230,9 +230,22 @@ def parse_structured_output(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # -- state ---------------------------------------------------------------------------------
 
+STATE_BUCKETS = 64
+
+
+def state_bucket(key) -> F.Column:
+    """Bucket of a key in a state table, whatever the row's status."""
+    return F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
+
+
 def read_state(spark: SparkSession, path: str, status: str | None = None, analysis_id: str | None = None) -> DataFrame:
-    """State table partitioned by status; both filters reach the scan."""
-    return find_state(spark.read.parquet(path), status, analysis_id)
+    """State rows; the filters reach the scan, and an id reads its own bucket only."""
+    rows = spark.read.parquet(path).filter(F.col("analysis_id").isNotNull())
+    if status is not None:
+        rows = rows.filter(F.col("status") == status)
+    if analysis_id is not None:
+        rows = rows.filter((F.col("analysis_id") == analysis_id) & (F.col("bucket") == state_bucket(F.lit(analysis_id))))
+    return rows.drop("bucket")
 
 
 def find_state(state: DataFrame, status: str | None = None, analysis_id: str | None = None) -> DataFrame:
