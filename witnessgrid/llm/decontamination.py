@@ -23,7 +23,7 @@ from ..session import stash
 
 # Sketch values (16 bytes and an id each) up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SKETCHES = 1_000_000
-_WORDS = "split(btrim(lower(text), ' \\t\\n\\u000b\\f\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')"
+_WORDS = "split(btrim(lower(text), ' \\t\\n\\u000b\\u000c\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')"
 # The words are bound to a lambda's variable: as a column they would be split anew for each shingle.
 _HASHES = f"""transform(array({_WORDS}), w -> CASE WHEN size(w) >= 5
   THEN transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))

@@ -10,30 +10,15 @@ s AS (
       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
 
-OP1 = """WITH RECURSIVE g AS (
-  SELECT text, min(doc_id) AS group_first, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents GROUP BY text),
-p AS (SELECT *, (sum(size) OVER (ORDER BY group_first))::BIGINT AS group_end FROM g),
-t AS (SELECT list(group_end ORDER BY group_end) AS ends, max(group_end) AS total, max(size) AS largest FROM p),
-probe(lo, hi, ends, total) AS (
-  SELECT greatest(largest, (total + 7) // 8)::BIGINT, total, ends, total FROM t
-  UNION ALL
-  SELECT CASE WHEN reached < total THEN mid + 1 ELSE lo END, CASE WHEN reached < total THEN hi ELSE mid END, ends, total
-  FROM (SELECT *, {at8} AS reached FROM (SELECT *, (lo + hi) // 2 AS mid FROM probe WHERE lo < hi))),
-c AS (SELECT lo AS mid, ends FROM probe WHERE lo = hi),
-k AS (SELECT [{cuts}] AS cuts FROM c)
-SELECT d.doc_id, (strlen(coalesce(d.text, '')) + 1)::BIGINT AS size, 'bytes' AS law,
-  len([x FOR x IN k.cuts IF x <= p.group_end - p.size])::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY d.doc_id) - 1)::BIGINT AS slot,
-  CAST(NULL AS INTEGER) AS grown_shard, p.group_first
-FROM documents d JOIN p ON d.text IS NOT DISTINCT FROM p.text, k"""
-
-
-def _ends(steps: int) -> str:
-    found = "0::BIGINT"
-    for _ in range(steps):
-        found = f"coalesce(list_max([x FOR x IN ends IF x <= ({found}) + mid]), 0)"
-    return found
+_LOWER_WORDS = "[x FOR x IN string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws"
+_SHINGLES = """unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)]
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh"""
 
+OP2 = f"""WITH d AS (SELECT DISTINCT doc_id, text, {_SHINGLES} FROM (SELECT doc_id, text, {_LOWER_WORDS} FROM documents)),
+b AS (SELECT DISTINCT item_id, {_SHINGLES} FROM (SELECT item_id, {_LOWER_WORDS} FROM benchmark)),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT d.doc_id, b.item_id, n.n::INTEGER AS item_shingles, count(*)::INTEGER AS shared, count(*)::DOUBLE / n.n AS containment
+FROM d JOIN b USING (sh) JOIN n USING (item_id) GROUP BY d.doc_id, d.text, b.item_id, n.n HAVING count(*) * 100 >= 75 * n.n"""
 
 OP9 = f"""WITH RECURSIVE {_WORDS},
 p AS (
@@ -45,5 +30,6 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.seen) AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY ALL"""
 
 ORACLES = {
+    "op2_decontamination": OP2,
     "op9_parity_join": OP9,
 }
