@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import (
-    aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, questionnaire, result, rules,
-    runs as run_ops,
-)
+from ..operators import aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, questionnaire, result, runs as run_ops
 from ..plans import profile
 from ..session import cut_lineage
 from . import views
@@ -239,28 +236,23 @@ def evidence_graph_violations(spark, sf):
     return result.evidence_violations(views.evidence(spark, sf), views.items(spark, sf))
 
 
-# -- results of analyses within the request limit ------------------------------------------
+# -- results of analyses of any size -------------------------------------------------------
 
-LIMIT = 50
-views.cte("small", f"SELECT analysis_id FROM items GROUP BY analysis_id HAVING count(*) <= {LIMIT}", "items")
+views.cte("analyses", "SELECT DISTINCT analysis_id FROM items", "items")
 
 
-def small_analyses(spark, sf):
-    """Analyses within the request limit on items; larger requests are refused by rule."""
-    i = views.items(spark, sf)
-    return rules.drop_failed(i, item_ops.request_violations(i, i, LIMIT))
+def all_items(spark, sf):
+    """The items of all analyses; the request limit on items is a rule of its own."""
+    return views.items(spark, sf)
 
 
-def small_ranked(spark, sf):
-    """Ranked insights of those analyses, kept for the several outputs that read them."""
-    keys = small_analyses(spark, sf).select("analysis_id").distinct()
-    return cut_lineage(insights(spark, sf).join(keys, "analysis_id", "left_semi"))
+def kept_insights(spark, sf):
+    """Ranked insights, kept for the several outputs that read them."""
+    return cut_lineage(insights(spark, sf))
 
 
 def explained(spark, sf, ranked=None):
-    keys = small_analyses(spark, sf).select("analysis_id").distinct()
-    retained = views.retained(spark, sf).join(keys, "analysis_id", "left_semi")
-    return profile.explained(small_ranked(spark, sf) if ranked is None else ranked, retained)
+    return profile.explained(kept_insights(spark, sf) if ranked is None else ranked, views.retained(spark, sf))
 
 
 views.cte("explained", """
@@ -270,7 +262,7 @@ SELECT i.*, s.item_ids, 'Supported by ' || evidence_count || ' evidence signals
        || '; supporting_image_ids=[' || s.item_ids || '].' AS explanation, s.signal_ids
 FROM insights i JOIN (SELECT analysis_id, kind, key, string_agg(DISTINCT original_item_id, ', ' ORDER BY original_item_id) AS item_ids,
                              string_agg(DISTINCT signal_id, ',' ORDER BY signal_id) AS signal_ids FROM retained GROUP BY analysis_id, kind, key) s USING (analysis_id, kind, key)
-WHERE analysis_id IN (FROM small)""", "insights", "retained", "small")
+WHERE analysis_id IN (SELECT analysis_id FROM analyses)""", "insights", "retained", "analyses")
 
 
 @query("STR10 PRJ5 ARR1 RULE16", sql("SELECT analysis_id, insight_key, explanation, signal_ids FROM explained", "explained"))
@@ -285,12 +277,12 @@ def finished_insight_violations(spark, sf):
 
 views.cte("summaries", """
 SELECT s.analysis_id, coalesce('Supported insights: ' || string_agg(i.insight_label, ' | ' ORDER BY i.rank), 'No supported insights met the configured evidence policy.') AS summary
-FROM small s LEFT JOIN insights i USING (analysis_id) GROUP BY s.analysis_id""", "small", "insights")
+FROM analyses s LEFT JOIN insights i USING (analysis_id) GROUP BY s.analysis_id""", "analyses", "insights")
 
 
 def summaries(spark, sf, ranked=None):
-    keys = small_analyses(spark, sf).select("analysis_id").distinct()
-    return ins.summaries(small_ranked(spark, sf) if ranked is None else ranked, keys)
+    keys = all_items(spark, sf).select("analysis_id").distinct()
+    return ins.summaries(kept_insights(spark, sf) if ranked is None else ranked, keys)
 
 
 @query("STR11", sql("SELECT analysis_id, summary FROM summaries", "summaries"))
@@ -307,15 +299,15 @@ def summary_factuality(spark, sf):
 
 
 @query("AGG29", sql("""
-WITH e AS (SELECT DISTINCT analysis_id, type, insight_label AS label FROM insights WHERE rank <= 1 UNION SELECT analysis_id, 'activity', 'expected but absent' FROM small),
+WITH e AS (SELECT DISTINCT analysis_id, type, insight_label AS label FROM insights WHERE rank <= 1 UNION SELECT analysis_id, 'activity', 'expected but absent' FROM analyses),
 m AS (SELECT coalesce(e.analysis_id, i.analysis_id) AS a, e.label IS NOT NULL AS expected, i.insight_label IS NOT NULL AS predicted
       FROM e FULL JOIN insights i ON e.analysis_id = i.analysis_id AND e.type = i.type AND e.label = i.insight_label)
 SELECT count(*) FILTER (expected AND predicted) AS tp, count(*) FILTER (expected) AS n_expected, count(*) FILTER (predicted) AS n_predicted,
        round(count(*) FILTER (expected AND predicted) / count(*) FILTER (predicted)::DOUBLE, 6) AS precision, round(count(*) FILTER (expected AND predicted) / count(*) FILTER (expected)::DOUBLE, 6) AS recall
-FROM m""", "insights", "small"))
+FROM m""", "insights", "analyses"))
 def insight_precision_recall(spark, sf):
     got = insights(spark, sf).select("analysis_id", "type", F.col("insight_label").alias("label"), "rank")
-    absent = small_analyses(spark, sf).select("analysis_id").distinct().select(
+    absent = all_items(spark, sf).select("analysis_id").distinct().select(
         "analysis_id", F.lit("activity").alias("type"), F.lit("expected but absent").alias("label"))
     want = got.filter("rank <= 1").drop("rank").unionByName(absent)
     out = metrics.precision_recall_f1(metrics.label_matches(want, got, ["analysis_id", "type", "label"]))
@@ -340,9 +332,8 @@ def stated_claims(spark, sf):
 
 
 def documents(spark, sf):
-    small, ranked = small_analyses(spark, sf), small_ranked(spark, sf)
-    keys = small.select("analysis_id").distinct()
-    evidence = result.redacted(views.evidence(spark, sf).join(keys, "analysis_id", "left_semi"))
+    small, ranked = all_items(spark, sf), kept_insights(spark, sf)
+    evidence = result.redacted(views.evidence(spark, sf))
     images = result.image_results(small, evidence)
     claims = views.table(spark, sf, "documents").filter(F.pmod("doc_id", F.lit(20)) == 0).select(
         F.col("source").alias("analysis_id"), F.concat(F.lit("c-"), F.col("doc_id").cast("string")).alias("claim_id"), F.lit("religion").alias("category"),
@@ -373,7 +364,7 @@ def stored_results(spark, sf):
 
 @query("PRJ9 RULE7", sql("""
 SELECT analysis_id, CASE right(analysis_id, 1) WHEN '1' THEN 'unknown_version' WHEN '2' THEN 'invalid_fields' WHEN '3' THEN 'id_mismatch' ELSE 'payload_missing' END AS reason
-FROM small WHERE right(analysis_id, 1) IN ('1', '2', '3', '4')""", "small"))
+FROM analyses WHERE right(analysis_id, 1) IN ('1', '2', '3', '4')""", "analyses"))
 def rejected_results(spark, sf):
     d = documents(spark, sf)
     tail, p = F.substring("analysis_id", -1, 1), F.col("result_payload")
@@ -387,11 +378,11 @@ def rejected_results(spark, sf):
 
 @query("PRJ9", sql("""
 SELECT analysis_id, CASE WHEN right(analysis_id, 1) IN ('0', '2', '4', '6', '8') THEN 'phase9-analysis-result-v1' ELSE 'profile-analysis-result-v2' END AS schema_version, 0 AS claims
-FROM small""", "small"))
+FROM analyses""", "analyses"))
 def old_result_versions(spark, sf):
-    ranked = small_ranked(spark, sf)
+    ranked = kept_insights(spark, sf)
     d = result.completed_documents(
-        result.image_results(small_analyses(spark, sf), views.evidence(spark, sf)), explained(spark, sf, ranked), summaries(spark, sf, ranked), "v")
+        result.image_results(all_items(spark, sf), views.evidence(spark, sf)), explained(spark, sf, ranked), summaries(spark, sf, ranked), "v")
     even = F.substring("analysis_id", -1, 1).isin("0", "2", "4", "6", "8")
     v1 = F.regexp_replace(F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "phase9-analysis-result-v1"), '"self_reported_claims":\\[\\],', ""), '"personality_profile":null,', "")
     v2 = F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "profile-analysis-result-v2"), '"personality_profile":null,', "")

@@ -14,8 +14,6 @@ from ..session import cut_lineage
 from . import semantic, skew
 
 MAX_ROUNDS = 60
-# Largest group whose ordered member list is put into one row (about a megabyte of ids).
-MAX_LISTED_MEMBERS = 50_000
 
 
 def _with_min(edges: DataFrame, hot_rows: int) -> DataFrame:
@@ -73,15 +71,9 @@ def near_duplicate_members(vectors: DataFrame, threshold: float, block_rows: int
     return named.join(vectors.select("analysis_id", "ordinal", "item_id"), ["analysis_id", "ordinal"])
 
 
-def near_duplicate_groups(members: DataFrame, max_members: int = MAX_LISTED_MEMBERS) -> DataFrame:
-    """One row per group with its members in input order and its digest id.
-
-    Groups above ``max_members`` keep their rows in :func:`near_duplicate_members`, which holds
-    every group whole; only the one-row form is left out for them.
-    """
-    sizes = members.groupBy("analysis_id", "root").agg(F.count(F.lit(1)).alias("member_count"))
-    listed = members.join(sizes.filter(F.col("member_count") <= max_members), ["analysis_id", "root"])
-    grouped = listed.groupBy("analysis_id", "root").agg(
+def near_duplicate_groups(members: DataFrame) -> DataFrame:
+    """One row per group, of any size, with its members in input order and its digest id."""
+    grouped = members.groupBy("analysis_id", "root").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "item_id"))).alias("_m"))
     item_ids = F.transform("_m", lambda m: m["item_id"])
     return grouped.select(

@@ -6,9 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import vocab
 from ..functions import ids
-from ..operators import aggregate, insights as ins, items as item_ops, result, rules, skew
+from ..operators import aggregate, insights as ins, items as item_ops, result, rules
 from ..session import cut_lineage
 
 
@@ -58,28 +57,19 @@ def analyse(items: DataFrame, evidence: DataFrame, policy: ins.SupportPolicy = i
     return Analysis(items, usable, retained, themes, ranked, broken.unionByName(refused))
 
 
-def within_limit(frame: DataFrame, items: DataFrame, max_items: int = vocab.MAX_ITEMS_PER_ANALYSIS) -> DataFrame:
-    """Rows of analyses that respect the request limit on items."""
-    sizes = items.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("_items"))
-    joined = skew.lookup(frame, sizes, ["analysis_id"], "_items", 10_000, how="inner")
-    return joined.filter(F.col("_items") <= max_items).select(*frame.columns)
-
-
 def explained(insights: DataFrame, retained: DataFrame) -> DataFrame:
-    """Insights with id lists and the explanation sentence (analyses within the limit only)."""
+    """Insights with id lists and the explanation sentence (of every size)."""
     full = aggregate.with_support_arrays(insights, aggregate.support_links(retained))
     return full.withColumn("explanation", ins.explanation(F.col("original_item_ids")))
 
 
 def documents(run: Analysis, policy: ins.SupportPolicy = ins.SupportPolicy(), claim_lists: DataFrame | None = None,
-              profiles: DataFrame | None = None, max_items: int = vocab.MAX_ITEMS_PER_ANALYSIS) -> DataFrame:
-    """Redacted, versioned result documents of the analyses within the request limit."""
-    items = within_limit(run.items, run.items, max_items)
-    insights = within_limit(run.insights, run.items, max_items)
-    evidence = result.redacted(within_limit(run.evidence, run.items, max_items))
-    told = explained(insights, within_limit(run.retained, run.items, max_items))
+              profiles: DataFrame | None = None) -> DataFrame:
+    """Redacted, versioned result documents of all analyses."""
+    told = explained(run.insights, run.retained)
     return result.completed_documents(
-        result.image_results(items, evidence), told, ins.summaries(insights, items), policy.version, claim_lists, profiles)
+        result.image_results(run.items, result.redacted(run.evidence)), told, ins.summaries(run.insights, run.items), policy.version,
+        claim_lists, profiles)
 
 
 def items_from_text(df: DataFrame) -> DataFrame:
