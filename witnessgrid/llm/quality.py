@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stash
 from . import blocks
 from .language_id import id_part
-from .toxicity import labelled
+from .toxicity import bounded_sample, labelled
 
 FEATURES = (
     "log_words", "log_bytes", "word_bytes", "longest_word", "upper_share", "symbol_share", "mark_share", "bang_share",
@@ -200,10 +200,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit_rows(rows: DataFrame) -> Model:
-    """Fits on rows (doc_id, features, quality), on at most SAMPLE_ROWS of them."""
+    """Fits on rows (doc_id, features, quality), on about SAMPLE_ROWS of them at most."""
     usable = rows.filter("quality IS NOT NULL").select("doc_id", "features", "quality")
-    if usable.limit(SAMPLE_ROWS + 1).count() > SAMPLE_ROWS:
-        usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(SAMPLE_ROWS)
+    usable = bounded_sample(usable, SAMPLE_ROWS)
     table = usable.toArrow()
     flat = [c.flatten().to_numpy() for c in table.column("features").chunks]
     x = np.concatenate(flat).reshape(-1, len(FEATURES)) if flat else np.zeros((0, len(FEATURES)))

@@ -209,6 +209,14 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return docs.drop(column).join(known, "doc_id")
 
 
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """All rows if they are at most ``most``, else about that many, chosen by a hash of doc_id."""
+    total = rows.count()
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with a slight pull to zero."""
     a, b = 0.0, 0.0
@@ -243,8 +251,7 @@ def fit(rows: DataFrame, part) -> Model:
     word_weights, pair_weights = weights(counts)
     words, pairs = _slices(word_weights), _slices(pair_weights)
     held = usable.filter(part == 0).select("doc_id", "text", "toxic")
-    picked = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS) if held.limit(
-        CALIBRATION_ROWS + 1).count() > CALIBRATION_ROWS else held
+    picked = bounded_sample(held, CALIBRATION_ROWS)
     sample = log_ratios(picked, words, pairs, ["toxic"]).toArrow()
     n = sample.column("n_words").to_numpy()
     mean = sample.column("llr").to_numpy() / np.maximum(n, 1)
