@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from witnessgrid.operators import aggregate, extract, insights, items as item_ops, lifecycle, questionnaire, result, rules
+from witnessgrid.operators import aggregate, extract, insights, items as item_ops, lifecycle, questionnaire, result, rules, semantic
 
 ITEMS = "analysis_id string, ordinal int, item_id string, content_hash string"
 EVIDENCE = "analysis_id string, id string, item_id string, type string, label string, value string, confidence double, source string"
@@ -215,3 +215,16 @@ def test_transitions(spark):
     assert sorted(map(tuple, final.collect())) == [("A", "completed", "{}"), ("B", "pending", None)]
     after = {r["analysis_id"]: (r["status"], r["recovered"]) for r in lifecycle.fail_interrupted(final).collect()}
     assert after == {"A": ("completed", False), "B": ("failed", True)}
+
+
+def test_labels_in_blocks_score_like_shipped_labels(spark):
+    vectors = spark.createDataFrame(
+        [("a", "x", [1.0, 0.0]), ("a", "y", [0.6, 0.8]), ("b", "x", [0.0, -1.0])], "analysis_id string, item_id string, embedding array<float>")
+    labels = spark.createDataFrame([(f"l{i}", [float(i % 2), float(1 - i % 2)]) for i in range(7)], "label string, embedding array<float>")
+
+    def rows(df):
+        return sorted((r.analysis_id, r.item_id, r.label, round(r.similarity, 9)) for r in df.collect())
+    shipped = rows(semantic._score_shipped(vectors, labels))
+    assert len(shipped) == 21
+    assert rows(semantic._score_joined(vectors, labels, block=2)) == shipped
+    assert rows(semantic._score_joined(vectors, labels)) == shipped

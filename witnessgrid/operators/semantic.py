@@ -108,7 +108,8 @@ def _score_joined(vectors: DataFrame, labels: DataFrame, block: int = 256) -> Da
     n_blocks = max(1, -(-labels.count() // block))
     blocks = labels.groupBy(F.pmod(F.xxhash64("label"), F.lit(n_blocks)).alias("_b")).agg(
         F.collect_list(F.struct("label", "embedding")).alias("_l"))
-    spread = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
+    spread = vectors.select("*", every.alias("_b"))
     scored = F.transform(
         "_l", lambda x: F.struct(x["label"].alias("label"), cosine(F.col("embedding"), x["embedding"]).alias("similarity")))
     return spread.join(blocks, "_b").select("analysis_id", "item_id", scored.alias("_s")).select(
