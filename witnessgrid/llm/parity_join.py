@@ -15,8 +15,8 @@ documents meet in an equi-join on (size band, word number, word).
   bit, and the Hamming distance is again a lower bound of the (sampled) symmetric difference.
 * Shingles of more than ``COMMON`` of the documents go to words of their own, used last, so a
   passage that many documents share brings no candidates together.
-* Two passes make the keys: the first counts them, in the second those of ``BUSY`` and more
-  documents come last in every document's order. Both partners order alike, so the pigeonhole
+* Two passes make the keys: the first counts all of them, in the second every document takes its
+  rarest first, those of no other document before all. Both partners order alike, so the pigeonhole
   argument holds, and passages shared by fewer documents than ``COMMON`` bring few together too.
 * Candidates are checked in stars: every document of a word against the smallest one, then
   against further pivots as long as the word still holds unconnected documents. Every pair that
@@ -43,7 +43,7 @@ from .links import components
 PLAIN, SAMPLED, SIGMAS = 112, 72, 5.0
 COMMON = 0.01
 BITS, DENSE = 512, 150
-BUSY = 24
+SEEN = (2, 8, 64)
 _ID_BITS, _KEY_BITS = 22, 27
 FIRST_PIVOTS, MORE_PIVOTS = 1, 8
 
@@ -82,11 +82,9 @@ class Bands:
         return np.ceil(mean + SIGMAS * np.sqrt(mean * (1 - rate)))
 
 
-def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray, bands: Bands, busy=None):
-    """Join keys (key, node, first choice) of a block of shingle sets.
-
-    ``busy`` tells which keys come last; a key that would not be used without it isn't a first choice.
-    """
+def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray, bands: Bands, level=None):
+    """Join keys (key, node) of a block of shingle sets: all that may be used, or given the ``level``
+    of keys (0: no other document has it) those used when lower levels go first, level 0 left out."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own = bands.band(sizes)
     for step in (0, 1):  # the band as the lower one, then as the upper one of a pair of bands
@@ -99,10 +97,10 @@ def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray, b
             partner = np.minimum(n * bands.ratio, bands.start(joined + 2)) if step == 0 else np.full(len(n), bands.start(joined + 1))
             rate, words = bands.shape(joined)
             allowed = bands.allowed(bands.bound(n, partner), rate).astype(np.int64)
-            yield _emit([sets[i] for i in picked], nodes[picked], allowed, rate, words, joined, common, busy)
+            yield _emit([sets[i] for i in picked], nodes[picked], allowed, rate, words, joined, common, level)
 
 
-def _emit(sets, nodes, allowed, rate, words, joined, common, busy):
+def _emit(sets, nodes, allowed, rate, words, joined, common, level):
     lengths = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), lengths)
@@ -127,18 +125,18 @@ def _emit(sets, nodes, allowed, rate, words, joined, common, busy):
     key = blocks.mix(parity + blocks.mix(w.astype(np.uint64) + tag))
     live = np.bincount(d, minlength=len(sets))
     start = np.cumsum(live) - live
-    chosen = np.arange(len(d)) - start[d] <= allowed[d]
-    used = chosen
-    if busy is not None and len(d):
-        order = np.argsort(d * 2 + busy(key), kind="stable")
-        rank = np.empty(len(d), np.int64)
-        rank[order] = np.arange(len(d))
-        used = rank - start[d] <= allowed[d]
     # A document with no more live words than may differ can share none with its partner.
     bare = live <= allowed
     mark = blocks.mix(np.array([(joined + 1) << 20], np.uint64))
-    return (np.r_[key[used], np.repeat(mark, int(bare.sum()))], np.r_[nodes[d[used]], nodes[bare]],
-            np.r_[chosen[used], np.ones(int(bare.sum()), bool)])
+    used = np.ones(len(d), bool)
+    if level is not None and len(d):
+        rarity = level(key)
+        order = np.argsort(d * (len(SEEN) + 1) + rarity, kind="stable")
+        rank = np.empty(len(d), np.int64)
+        rank[order] = np.arange(len(d))
+        used = (rank - start[d] <= allowed[d]) & (rarity > 0)
+        bare &= level(mark) > 0
+    return np.r_[key[used], np.repeat(mark, int(bare.sum()))], np.r_[nodes[d[used]], nodes[bare]]
 
 
 def _node_of(shingle_set: np.ndarray) -> np.uint64:
@@ -216,26 +214,20 @@ def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def key_table(docs: DataFrame, common: np.ndarray, percent: int, met=None) -> DataFrame:
-    """(key, node) for every document.
-
-    ``met``, a broadcast pair of bit arrays over key slots, is what the first pass found: keys of
-    several documents and of many. The latter then come last, and keys of one document stay out.
-    """
+def key_table(docs: DataFrame, common: np.ndarray, percent: int, seen=None) -> DataFrame:
+    """(key, node) for every document: all its keys, or those used where ``seen``, a broadcast list
+    of bit arrays over key slots, tells which keys have at least so many documents as ``SEEN`` says."""
     bands = Bands(percent)
 
-    def slot(key):
-        return (key >> np.uint64(64 - _KEY_BITS)).astype(np.int64)
+    def level(key):
+        slot = (key >> np.uint64(64 - _KEY_BITS)).astype(np.int64)
+        return sum(_has(bits, slot).astype(np.int64) for bits in seen.value)
 
     def keys(batches):
-        busy = None if met is None else lambda key: _has(met.value[1], slot(key))
         for batch in batches:
             for _, found in blocks.shingle_sets(batch.column(0)):
                 node = np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64)
-                for key, owner, chosen in sketch_keys(found, node, common, bands, busy):
-                    if met is not None:
-                        kept = ~chosen | _has(met.value[0], slot(key))
-                        key, owner = key[kept], owner[kept]
+                for key, owner in sketch_keys(found, node, common, bands, level if seen else None):
                     if len(key):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(blocks.signed(key)), pa.array(blocks.signed(owner))], names=["key", "node"])
@@ -289,13 +281,11 @@ def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         F.min("doc_id").alias("rep"), *[F.first(c).alias(n) for c, n in (
             ("n_shingles", "size"), ("level", "level"), ("fine", "fine"), ("coarse", "coarse"))]))
     common = _common(table)
-    found = key_table(docs, common, percent).groupBy("key").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("other"), F.count(F.lit(1)).alias("n"))
-    found = stash(found.filter("pivot <> other").select("key", (F.col("n") >= BUSY).alias("busy")))
+    # Copies count too: that only makes a key look more frequent, alike for all who have it.
+    found = stash(key_table(docs, common, percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN[0]))
     slot = F.shiftrightunsigned("key", 64 - _KEY_BITS)
-    bits = docs.sparkSession.sparkContext.broadcast(
-        (_bit_array(found, slot, _KEY_BITS), _bit_array(found.filter("busy"), slot, _KEY_BITS)))
-    # The second pass sends little: most keys belong to one document. A key's rows are folded by node first.
+    bits = docs.sparkSession.sparkContext.broadcast([_bit_array(found.filter(F.col("n") >= n), slot, _KEY_BITS) for n in SEEN])
+    # The second pass sends little: documents without a partner have mostly keys of their own. A key's rows are folded by node first.
     sent = stash(key_table(docs, common, percent, bits).distinct())
     pivots = sent.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
     met = stash(sent.join(stash(pivots.filter("pivot <> other").select("key", "pivot")), "key").select("key", "node", "pivot"))
@@ -332,9 +322,11 @@ def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
             F.col("rank") > done).select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
         pairs = placed.join(stash(pivots), "key").filter("node > a AND root <> ra").select("a", F.col("node").alias("b")).distinct()
         fresh = stash(candidates(pairs.join(tested, ["a", "b"], "left_anti")))
-        links = stash(links.unionByName(verified(docs, nodes, fresh, percent)))
         tested = tested.unionByName(fresh)
-        roots = stash(components(links))
+        similar = stash(verified(docs, nodes, fresh, percent)) if not fresh.isEmpty() else fresh
+        if not similar.isEmpty():
+            links = links.unionByName(similar)
+            roots = stash(components(links))
         done, more = done + more, more * 8
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stash(nodes.join(roots, "node", "left").join(least, "root", "left").select(
