@@ -19,8 +19,8 @@ documents meet in an equi-join on (size band, word number, word).
   rarest first, those of no other document before all. Both partners order alike, so the pigeonhole
   argument holds, and passages shared by fewer documents than ``COMMON`` bring few together too.
 * Candidates are checked in stars: every document of a word against the smallest one, then
-  against further pivots as long as the word still holds unconnected documents. Every pair that
-  shares a word and isn't connected yet gets checked, so no link is lost, and copies and near
+  against each document outside the word's largest component, some more of them each round.
+  Every pair that shares a word and isn't connected yet gets checked, so no link is lost, and copies and near
   copies cost one check each. Checks compare whole shingle sets.
 
 Defined cases: null, empty or wordless text has an empty set and no links; fewer than five
@@ -45,7 +45,7 @@ COMMON = 0.01
 BITS, DENSE = 512, 150
 SEEN = (2, 8, 64)
 _ID_BITS, _KEY_BITS = 22, 27
-FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+MORE_PIVOTS = 8
 
 
 class Bands:
@@ -291,43 +291,53 @@ def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     met = stash(sent.join(stash(pivots.filter("pivot <> other").select("key", "pivot")), "key").select("key", "node", "pivot"))
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.struct("size", "level", "fine", "coarse").alias(f"{name}_"))
+        # Coarse sketches serve partners of the next level, so only sizes near it carry them.
+        near = 100 * F.col("size") >= percent * DENSE * F.pow(F.lit(2.0), F.col("level") + 1)
+        return nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "level")], *[
+            column.alias(f"{name}_{c}{i}") for c in ("fine", "coarse") for i in range(BITS // 64)
+            for column in [F.col(c)[i] if c == "fine" else F.when(near, F.col(c)[i])]])
+
+    def close():
+        """Sizes and bit sketches of a and b leave a link possible."""
+        sizes, levels = ([F.col(f"{x}_{c}") for x in "ab"] for c in ("size", "level"))
+        level = F.greatest(*levels)
+        bits = [[F.when(own == level, F.col(f"{x}_fine{i}")).otherwise(F.col(f"{x}_coarse{i}")) for i in range(BITS // 64)]
+                for x, own in zip("ab", levels)]
+        distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*bits)), F.lit(0))
+        rate = F.pow(F.lit(2.0), -level)
+        mean = rate * (100 - percent) * sum(sizes) / (100 + percent)
+        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (distance <= mean + SIGMAS * F.sqrt(mean * (1 - rate)))
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(side("a"), "a").join(side("b"), "b")
-        a, b = F.col("a_"), F.col("b_")
-        level = F.greatest(a.level, b.level)
-        bits = [F.when(x.level == level, x.fine).otherwise(x.coarse) for x in (a, b)]
-        distance = sum((F.bit_count(bits[0][i].bitwiseXOR(bits[1][i])) for i in range(BITS // 64)), F.lit(0))
-        rate = F.pow(F.lit(2.0), -level)
-        mean = rate * (100 - percent) * (a['size'] + b['size']) / (100 + percent)
-        return met.filter(100 * F.least(a['size'], b['size']) >= percent * F.greatest(a['size'], b['size'])).filter(
-            distance <= mean + SIGMAS * F.sqrt(mean * (1 - rate))).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(close()).select("a", "b")
 
     tested = stash(candidates(met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
     links = stash(verified(docs, nodes, tested, percent))
     roots = stash(components(links))
-    done, more = FIRST_PIVOTS, MORE_PIVOTS
+    done, more = met.select("key", F.col("pivot").alias("node")).distinct(), MORE_PIVOTS
     while True:
-        # Keys whose documents are not all connected and have pairs beyond the pivots so far.
+        # Pivots to come: of each word all documents outside its largest component so far. Every
+        # pair of two components has one of them.
         placed = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        loose = placed.groupBy("key").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"))
-        loose = loose.filter(f"r0 <> r1 AND n > {done + 1}").select("key")
-        placed = stash(placed.join(loose, "key"))
-        if placed.isEmpty():
-            break
+        largest = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        placed = stash(placed.join(largest.select("key", "main"), "key"))
         order = Window.partitionBy("key").orderBy("node")
-        pivots = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= done + more).filter(
-            F.col("rank") > done).select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        pairs = placed.join(stash(pivots), "key").filter("node > a AND root <> ra").select("a", F.col("node").alias("b")).distinct()
-        fresh = stash(candidates(pairs.join(tested, ["a", "b"], "left_anti")))
+        pivots = stash(placed.filter("root <> main").join(done, ["key", "node"], "left_anti").withColumn(
+            "rank", F.row_number().over(order)).filter(F.col("rank") <= more).select("key", F.col("node").alias("a"), F.col("root").alias("ra")))
+        if pivots.isEmpty():
+            break
+        # The sketches are compared inside the join, so pairs that can't be links are never rows.
+        others = placed.select("key", F.col("node").alias("b"), "root").join(side("b"), "b")
+        near = others.join(pivots.join(side("a"), "a"), "key").filter((F.col("root") != F.col("ra")) & close())
+        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = stash(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
         similar = stash(verified(docs, nodes, fresh, percent)) if not fresh.isEmpty() else fresh
         if not similar.isEmpty():
             links = links.unionByName(similar)
             roots = stash(components(links))
-        done, more = done + more, more * 8
+        done, more = done.unionByName(pivots.select("key", F.col("a").alias("node"))), more * 8
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stash(nodes.join(roots, "node", "left").join(least, "root", "left").select(
         "node", F.coalesce("component_id", "rep").alias("component_id")))
