@@ -76,6 +76,17 @@ def test_toxicity_slices_add_up(spark, make, monkeypatch):
     assert sorted(map(tuple, toxicity.classify(docs, labels).select("doc_id", F.round("score", 9)).collect())) == whole
 
 
+def test_toxicity_counts_every_context_and_keeps_frequent_pairs(spark):
+    rows = [(i, 1, " ".join(f"w{'abcdefghij'[k]}{''.join(chr(97 + int(c)) for c in str(i))} red door" for k in range(4))) for i in range(80)]
+    rows += [(1000 + i, 0, f"{text('en', 9000 + i, 9)} red {text('en', 5000 + i, 9)} door {text('en', 7000 + i, 9)}") for i in range(320)]
+    counts = toxicity.count_pairs(spark.createDataFrame(rows * 2, "doc_id long, toxic int, text string"))
+    key = int(toxicity._pairs(*toxicity._words(np.frombuffer(b"red door", np.uint8), np.array([0, 8])))[1].view(np.int64))
+    # The context of a pair is the word before its first word.
+    before = {t.split()[k - 2] for _, bad, t in rows if bad for k, w in enumerate(t.split()) if w == "door"}
+    assert len(before) > 89 and [tuple(r) for r in counts.filter(F.col("pair") == key).collect()] == [(key, len(before), 0)]
+    assert toxicity.weights(counts)[1].filter(F.col("key") == key).first()["weight"] > 1
+
+
 def test_quality(spark, make, odd):
     docs, labels = classes(spark, make, "quality", lambda t, i: (t.upper() + "!!!") if i % 8 else " ".join(["same"] * 60))
     both = docs.unionByName(odd.filter("doc_id IS NULL OR doc_id > 300 OR doc_id < 4"))

@@ -35,7 +35,6 @@ from .language_id import id_part
 
 DISCOUNT = 3.0
 _PRIOR_COUNT = 1.0
-_COUNTABLE = 48
 SLICE = 4 << 20
 CALIBRATION_ROWS = 20_000
 # Labels up to this many rows (16 bytes each) are broadcast to the texts; more are joined by shuffle.
@@ -69,21 +68,22 @@ def _pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """(pair, toxic, plain): for each bigram and class, a bit set of the words seen before it.
+    """(pair, toxic, plain): for each bigram and class, the number of different words seen before it.
 
-    The hashed sets (64 bits) tell how many different contexts a bigram has; copies of a text add none.
+    Tasks send every (pair, word before, class) once and Spark counts the distinct ones, so the counts
+    have no bound and copies of a text add none.
     """
     def count(batches):
         def merged(parts):
-            key = np.concatenate([p[0] for p in parts])
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            return key[at], *[np.bitwise_or.reduceat(np.concatenate([p[c] for p in parts])[order], at) for c in (1, 2)]
+            key, seen = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+            order = np.lexsort((seen, key))
+            key, seen = key[order], seen[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (seen[1:] != seen[:-1])]
+            return key[new], seen[new]
 
         def out(part):
             return pa.RecordBatch.from_arrays(
-                [pa.array(blocks.signed(column)) for column in part], names=["pair", "toxic", "plain"])
+                [pa.array(blocks.signed(column)) for column in part], names=["pair", "seen"])
 
         held: list = []
         size = 0
@@ -97,10 +97,9 @@ def count_pairs(rows: DataFrame) -> DataFrame:
                 before = np.zeros(len(words), np.uint64)
                 before[1:] = key[:-1] >> np.uint64(32)
                 before[first[:-1][first[:-1] < first[1:]]] = 0
-                bit = np.uint64(1) << (blocks.mix(before) & np.uint64(63))
-                toxic = np.repeat(label[row:stop], np.diff(first))
-                held.append(merged([(key, np.where(toxic, bit, np.uint64(0)), np.where(toxic, np.uint64(0), bit))]))
-                size += len(held[-1][0])
+                toxic = np.repeat(label[row:stop], np.diff(first)).astype(np.uint64)
+                held.append((key, before << np.uint64(1) | toxic))
+                size += len(key)
                 if size > _HELD:
                     part = merged(held)
                     if len(part[0]) > _HELD // 2:
@@ -110,9 +109,9 @@ def count_pairs(rows: DataFrame) -> DataFrame:
                         held, size = [part], len(part[0])
         if held:
             yield out(merged(held))
-    return rows.select("text", F.col("toxic").cast("int")).mapInArrow(
-        count, "pair bigint, toxic bigint, plain bigint").groupBy("pair").agg(
-        F.bit_or("toxic").alias("toxic"), F.bit_or("plain").alias("plain"))
+    triples = rows.select("text", F.col("toxic").cast("int")).mapInArrow(count, "pair bigint, seen bigint").distinct()
+    toxic = F.col("seen").bitwiseAND(F.lit(1)) == 1
+    return triples.groupBy("pair").agg(F.count_if(toxic).alias("toxic"), F.count_if(~toxic).alias("plain"))
 
 
 def _share(toxic, plain, below):
@@ -138,11 +137,8 @@ def weights(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     corpus = F.lit(t / (t + o))
     shares = stash(words.select("w", _share(F.col("t"), F.col("o"), corpus).alias("below")))
     word_weights = shares.select(F.col("w").alias("key"), _gain(F.col("below"), corpus).alias("weight"))
-    # A nearly full bit set no longer counts; bigrams that frequent leave their words to speak.
-    countable = counts.filter(F.bit_count(F.col("toxic").bitwiseOR(F.col("plain"))) <= _COUNTABLE)
-    seen = {c: -64 * F.log(1 - F.bit_count(c) / 64) for c in ("toxic", "plain")}
-    pairs = countable.join(shares, "w").select(
-        F.col("pair").alias("key"), _gain(_share(seen["toxic"], seen["plain"], F.col("below")), F.col("below")).alias("weight"))
+    pairs = counts.join(shares, "w").select(
+        F.col("pair").alias("key"), _gain(_share(F.col("toxic"), F.col("plain"), F.col("below")), F.col("below")).alias("weight"))
     some = F.abs("weight") > 1e-6
     return word_weights.filter(some), pairs.filter(some)
 
