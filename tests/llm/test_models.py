@@ -87,6 +87,27 @@ def test_toxicity_counts_every_context_and_keeps_frequent_pairs(spark):
     assert toxicity.weights(counts)[1].filter(F.col("key") == key).first()["weight"] > 1
 
 
+def test_toxicity_learns_from_all_but_a_bounded_sample(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 40)
+    varied = lambda i: " ".join("".join(w) for w in np.random.default_rng(i).choice(list("abcdefghij"), (40, 3)))
+    learnt = [i for i in range(900) if part(i, 5)]
+    # "grue" is in every toxic text whose id part is 4 and in no other labelled text.
+    bad = {i: " grue " if part(i, 5) == 4 else " vile " for i in learnt if i % 6 == 0}
+    rows = [(i, varied(i).replace(" ", bad.get(i, " "), 5)) for i in learnt]
+    asked = [i for i in range(900, 2000) if part(i, 5) == 0][:30]
+    rows += [(i, varied(i).replace(" ", " grue " if i % 2 else " ", 5)) for i in asked]
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in learnt], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.classify(make(*rows), labels).collect()}
+    assert [found[i] for i in asked] == [i % 2 for i in asked]
+
+
+def test_toxicity_holds_out_both_classes(spark):
+    rows = spark.createDataFrame([(i, int(i % 5000 == 0)) for i in range(100_000)], "doc_id long, toxic int")
+    chosen = toxicity.calibrates({True: 20, False: 99_980})
+    held = {r[0]: r[1] for r in rows.filter(chosen).groupBy(F.col("toxic") > 0).count().collect()}
+    assert 0 < held[True] < 20 and 9_000 < held[False] < 11_000
+
+
 def test_quality(spark, make, odd):
     docs, labels = classes(spark, make, "quality", lambda t, i: (t.upper() + "!!!") if i % 8 else " ".join(["same"] * 60))
     both = docs.unionByName(odd.filter("doc_id IS NULL OR doc_id > 300 OR doc_id < 4"))

@@ -11,11 +11,12 @@ what a class uses clearly more keeps its own. The log-likelihood ratio of a text
 bigrams, almost all zero and not stored; the signed root of its mean per word is calibrated to a
 probability by logistic regression.
 
-Counts cover every labelled text and are summed by Spark. Words are runs of letters with A-Z
+Counts cover every labelled text outside the calibration sample and are summed by Spark. Words are runs of letters with A-Z
 lower-cased, known by 32-bit hashes. The weights reach the tasks in slices of at most ``SLICE``
 entries; with more slices, texts pass through one scoring step per slice, so a larger model needs
-more steps and no larger broadcast. The calibration is fitted on at most ``CALIBRATION_ROWS``
-labelled rows that gave no counts.
+more steps and no larger broadcast. The calibration is fitted on labelled rows that give no counts:
+a hash sample of about half of ``CALIBRATION_ROWS`` from each class, a quarter of a class at most,
+weighted back to the classes' numbers. If that would take every row of a class, none are held out.
 
 Defined cases: a null text or one without letters has the mean 0 and the score that goes with
 it; null labels and labels of unknown ids teach nothing; an id labelled twice teaches twice;
@@ -213,13 +214,19 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrates(share: dict):
+    """Condition of the calibration sample, from the number of rows of the toxic (True) and plain class."""
+    most = {c: int(min(0.25, CALIBRATION_ROWS / 2 / n) * (1 << 30)) for c, n in share.items()}
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") > 0, most[True]).otherwise(most[False])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with a slight pull to zero."""
     a, b = 0.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        gradient = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum() + 1e-2 * b])
+        w, miss = weight * (p * (1 - p) + 1e-9), weight * (p - y)
+        gradient = np.array([(miss * x).sum() + 1e-2 * a, miss.sum() + 1e-2 * b])
         hessian = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
         move = np.linalg.solve(hessian, gradient)
         a, b = a - np.clip(move[0], -5, 5), b - np.clip(move[1], -5, 5)
@@ -234,28 +241,33 @@ class Model:
         self.slope, self.intercept, self.center, self.scale = slope, intercept, center, scale
 
 
-def fit(rows: DataFrame, part) -> Model:
-    """Learns from rows (doc_id, text, toxic); where ``part`` is 0 a row calibrates instead of counting."""
+def fit(rows: DataFrame) -> Model:
+    """Learns from rows (doc_id, text, toxic)."""
     usable = rows.filter("text IS NOT NULL AND toxic IS NOT NULL")
     share = {r[0]: r[1] for r in usable.groupBy(F.col("toxic") > 0).count().collect()}
     if len(share) < 2:
         return Model(constant=1.0 if share.get(True) else 0.0)
-    counts = stash(count_pairs(usable.filter(part != 0)))
+    chosen = calibrates(share)
+    left = {r[0]: r[1] for r in usable.filter(~chosen).groupBy(F.col("toxic") > 0).count().collect()}
+    if len(left) < 2:
+        chosen, left = F.lit(False), share
+    counts = stash(count_pairs(usable.filter(~chosen)))
     classes = counts.agg(F.count_if(F.col("toxic") != 0), F.count_if(F.col("plain") != 0)).first()
     if not classes[0] or not classes[1]:
         return Model(constant=share[True] / sum(share.values()))
     word_weights, pair_weights = weights(counts)
     words, pairs = _slices(word_weights), _slices(pair_weights)
-    held = usable.filter(part == 0).select("doc_id", "text", "toxic")
-    picked = bounded_sample(held, CALIBRATION_ROWS)
-    sample = log_ratios(picked, words, pairs, ["toxic"]).toArrow()
+    sample = log_ratios(usable.filter(chosen).select("text", "toxic"), words, pairs, ["toxic"]).toArrow()
     n = sample.column("n_words").to_numpy()
     mean = sample.column("llr").to_numpy() / np.maximum(n, 1)
-    x, y = np.sign(mean) * np.sqrt(np.abs(mean)), sample.column("toxic").to_numpy().astype(float)
+    x, y = np.sign(mean) * np.sqrt(np.abs(mean)), (sample.column("toxic").to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return Model(words, pairs, 1.0)
     center, scale = float(x.mean()), float(x.std()) or 1.0
-    slope, intercept = _logistic((x - center) / scale, y)
+    # Each class stands for all its rows; the weights have the mean 1.
+    held = {c: n - left[c] for c, n in share.items()}
+    weight = np.where(y > 0, share[True] / held[True], share[False] / held[False])
+    slope, intercept = _logistic((x - center) / scale, y, weight / weight.mean())
     return Model(words, pairs, slope, intercept, center, scale)
 
 
@@ -275,6 +287,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     part = id_part(F.col("doc_id"), 5)
     train = labelled(docs.filter(part != 0), labels, "toxic")
-    model = fit(train, F.when(part == 4, 0).otherwise(part))
+    model = fit(train)
     return score(docs, model, ["doc_id"]).select(
         "doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "mean_llr")
