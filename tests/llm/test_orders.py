@@ -46,6 +46,15 @@ def test_token_files(spark, odd, make):
     assert token_files.read_corpus(spark, path).collect() == []
 
 
+def test_pieces_beyond_the_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_PIECES", 8)
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    encoder = token_files.PieceEncoder(tokenizer)
+    for text in ("alpha beta gamma", "alpha " + " ".join(f"word{i}" for i in range(40)) + " beta", "delta alpha", "gamma word3 " * 9):
+        ids, count = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and count.tolist() == [len(ids)]
+
+
 def test_period_keeps_every_source_within_one_block():
     for shares in ({"a": 5, "b": 3, None: 1}, {"x": 60, **{f"s{i}": 1 for i in range(40)}}, {"only": 4}):
         total = sum(shares.values())

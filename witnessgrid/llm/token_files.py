@@ -55,8 +55,6 @@ class PieceEncoder:
         self.values = np.zeros(0, np.uint32)
 
     def _learn(self, hashes, strings):
-        if len(self.known) + len(hashes) > CACHED_PIECES:
-            self.__init__(self.tokenizer)
         found = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
         lengths = np.array([len(f) for f in found], np.int64)
         flat = np.fromiter((t for f in found for t in f), np.uint32, int(lengths.sum()))
@@ -73,15 +71,14 @@ class PieceEncoder:
         at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
-            before = len(self.known)
-            strings = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            self._learn(distinct[new], strings)
-            if len(self.known) < before + int(new.sum()):  # the cache was emptied: learn the others again
-                again = ~np.isin(distinct, self.known)
-                if again.any():
-                    self._learn(distinct[again], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(
-                        starts[again].tolist(), ends[again].tolist())])
+            if len(self.known) + int(new.sum()) > CACHED_PIECES:
+                # The cache starts anew with all pieces of this block, however many they are.
+                self.__init__(self.tokenizer)
+                new[:] = True
+            self._learn(distinct[new], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(
+                starts[new].tolist(), ends[new].tolist())])
             at = np.searchsorted(self.known, distinct)
+            assert np.array_equal(self.known[at], distinct)
         return self.slot[at]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
