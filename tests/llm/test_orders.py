@@ -138,6 +138,28 @@ def test_search_recall_and_odd_vectors(spark):
     assert cross_polytope.search(table.limit(0), table.limit(0)).collect() == []
 
 
+def exact_neighbours(x, asked, most=20):
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    return np.argsort(-scores, 1)[:, :min(most, len(x) - 1)]
+
+
+@pytest.mark.parametrize("n,width,whole", [(22, 64, 4096), (22, 64, 0), (3000, 256, 100)])
+def test_search_of_small_tables_and_wide_vectors(spark, monkeypatch, n, width, whole):
+    monkeypatch.setattr(cross_polytope, "WHOLE", whole, raising=False)
+    x = np.random.default_rng(5).normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(n) % 100 == 7, 5.0, 1.01)[:, None]  # one in a hundred is long: a thin band
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = np.arange(0, n, max(1, n // 30))
+    got = collections.defaultdict(set)
+    for r in cross_polytope.search(table, table.filter(F.col("vec_id").isin(asked.tolist()))).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert all(len(got[q]) == 20 for q in asked.tolist())
+    hits = [len(got[q] & set(best)) / 20 for q, best in zip(asked.tolist(), exact_neighbours(x, asked).tolist())]
+    assert np.mean(hits) >= (1 if n == 22 and whole else 0.9)
+
+
 def test_pipeline_equals_a_plain_version(spark, make, tmp_path):
     rows = [(i, passage(i % 50, 70) + f" tail {i}", ["en", "de"][i % 2], f"s{i % 4}") for i in range(0, 60)]
     rows += [(200, "12 34 !!", "en", "s0"), (201, None, "en", "s1"), (202, "front " + passage(60, 40) + " back", "de", "s2")]

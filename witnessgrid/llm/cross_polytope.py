@@ -8,12 +8,15 @@ every band. Candidates are scored on the original vectors in double precision.
 
 Equal vectors are one entry with their smallest ids, so a vector with any number of copies costs
 one. Large buckets are cut into blocks of about ``BLOCK`` entries, from counts taken first; a
-query goes to each block. Every valid row is indexed; with the default tables and probes the
-recall at 20 was 0.97 and more on the tables at hand (see the tests for the measurement).
+query goes to each block. Every valid row is indexed. ``PROBES`` are those of 64 components (128 signed
+axes); wider vectors have as many more as they have axes. Bands of at most ``WHOLE`` vectors of a
+width are searched whole, and queries left with fewer neighbours than asked search every vector
+of their width. With the default tables and probes the recall at 20 was 0.97 and more on the
+tables at hand (see the tests for the measurement).
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component takes
 no part; vectors of another length are not compared; ties go to the smaller id; with fewer
-candidates than asked all found are returned; an empty table gives no rows; an id that repeats
+vectors of a width than asked all are returned; an empty table gives no rows; an id that repeats
 with several vectors is several entries, and none of them is its own neighbour.
 """
 
@@ -25,7 +28,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stash
 
-TABLES, PROBES, BLOCK = 10, 14, 20_000
+TABLES, PROBES, BLOCK, WHOLE = 10, 14, 20_000, 4096
+# The table number of bands that are searched whole; its one axis is 0.
+_ALL = -1
 _SEED = 7
 
 
@@ -119,26 +124,34 @@ def _hashed(entries: DataFrame, tables: int) -> DataFrame:
 
 def _probing(queries: DataFrame, tables: int, probes: int, sizes: dict) -> DataFrame:
     def probing(batches):
-        bands: dict = {}
-        for (_, _, width, band) in sizes:
-            bands.setdefault(width, set()).add(band)
+        hashed_bands: dict = {}
+        whole_bands: dict = {}
+        for (table, _, width, band) in sizes:
+            (whole_bands if table == _ALL else hashed_bands).setdefault(width, set()).add(band)
+
+        def asked(part, cell):
+            for block in range(-(-sizes.get(cell, 0) // BLOCK)):
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.full(n, v)) for v in (*cell, block)], part.column(0), part.column(2)],
+                    names=[*_CELL, "block", "query_id", "packed"])
+
         for batch in batches:
             for width, part in _by_width(batch, 2):
+                for band in sorted(whole_bands.get(width, ())):
+                    yield from asked(part, (_ALL, 0, width, band))
+                if width not in hashed_bands:
+                    continue
                 unit, _ = _unit(_matrix(part.column(2)))
                 for table in range(tables):
                     scores = rotations(unit, table)
-                    wanted = min(probes, scores.shape[1])
+                    axes = scores.shape[1]
+                    wanted = min(max(probes, -(-probes * axes // 128)), axes)
                     near = np.argpartition(-scores, wanted - 1, axis=1)[:, :wanted]
                     for axis in np.unique(near).tolist():
-                        hit = np.flatnonzero((near == axis).any(1))
-                        for band in sorted(bands.get(width, ())):
-                            count = sizes.get((table, axis, width, band), 0)
-                            for block in range(-(-count // BLOCK)):
-                                n = len(hit)
-                                chosen = part.take(pa.array(hit))
-                                yield pa.RecordBatch.from_arrays([
-                                    *[pa.array(np.full(n, v)) for v in (table, axis, width, band, block)], chosen.column(0), chosen.column(2)],
-                                    names=[*_CELL, "block", "query_id", "packed"])
+                        chosen = part.take(pa.array(np.flatnonzero((near == axis).any(1))))
+                        for band in sorted(hashed_bands[width]):
+                            yield from asked(chosen, (table, axis, width, band))
     return queries.mapInArrow(
         probing, "table bigint, axis bigint, width bigint, band bigint, block bigint, query_id bigint, packed binary")
 
@@ -148,18 +161,17 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 20, tables: in
 
     Both have vec_id and embedding; rows with the query's own id are left out.
     """
+    spark = rows.sparkSession
     entries, members = _entries(valid_vectors(rows), neighbours)
     hashed = stash(_hashed(_packed(entries, "rep"), tables))
     # At most tables x axes x bands x widths rows, whatever the number of vectors.
-    sizes = {(r[0], r[1], r[2], r[3]): r[4] for r in hashed.groupBy(*_CELL).count().collect()}
-    blocks = F.lit(1)
-    for cell, n in sizes.items():
-        if n > BLOCK:
-            match = (F.col("table") == cell[0]) & (F.col("axis") == cell[1]) & (F.col("width") == cell[2]) & (F.col("band") == cell[3])
-            blocks = F.when(match, F.lit(-(-n // BLOCK))).otherwise(blocks)
-    data = hashed.withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks).cast("bigint"))
+    cells = {(r[0], r[1], r[2], r[3]): r[4] for r in hashed.groupBy(*_CELL).count().collect()}
+    bands: dict = {}
+    for (table, _, width, band), n in cells.items():
+        if table == 0:
+            bands[width, band] = bands.get((width, band), 0) + n
+    small = {band for band, n in bands.items() if n <= WHOLE}
     asked = valid_vectors(queries).distinct().withColumn("key", F.lit(0).cast("bigint")).withColumnRenamed("vec_id", "query_id")
-    probing = _probing(_packed(asked, "query_id"), tables, probes, sizes)
     wanted = neighbours + 1
 
     def nearest(query_table, data_table):
@@ -181,14 +193,42 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 20, tables: in
             out.append((ids[lo + i], reps[j], keys[j], (q[lo + i] * x[j]).sum(1)))
         return pa.table(dict(zip(("query_id", "rep", "key", "score"), (np.concatenate(c) for c in zip(*out)))))
 
-    grouping = [*_CELL, "block"]
-    scored = probing.groupBy(*grouping).cogroup(data.groupBy(*grouping)).applyInArrow(
-        nearest, "query_id bigint, rep bigint, key bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep", "key")
-    pairs = scored.groupBy("query_id", "rep", "key").agg(F.max("score").alias("score"))
-    pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= wanted).drop("r")
-    # Copies of a kept vector come back as rows; at most neighbours + 1 of each.
-    listed = pairs.join(members, ["rep", "key"]).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= neighbours).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def ranked(asked, whole):
+        """The neighbours of ``asked``; every entry of the bands ``whole`` is compared, the others as hashed."""
+        sizes = {cell: n for cell, n in cells.items() if cell[2:] not in whole} | {(_ALL, 0, *band): bands[band] for band in whole}
+        known = spark.createDataFrame(sorted(whole), "w bigint, b bigint")
+        data = hashed.join(F.broadcast(known), (F.col("width") == F.col("w")) & (F.col("band") == F.col("b")), "left")
+        data = data.filter("w IS NULL OR table = 0").withColumns({
+            "table": F.when(F.col("w").isNull(), F.col("table")).otherwise(_ALL).cast("bigint"),
+            "axis": F.when(F.col("w").isNull(), F.col("axis")).otherwise(0).cast("bigint")}).drop("w", "b")
+        blocks = F.lit(1)
+        for cell, n in sizes.items():
+            if n > BLOCK:
+                match = (F.col("table") == cell[0]) & (F.col("axis") == cell[1]) & (F.col("width") == cell[2]) & (F.col("band") == cell[3])
+                blocks = F.when(match, F.lit(-(-n // BLOCK))).otherwise(blocks)
+        data = data.withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks).cast("bigint"))
+        probing = _probing(_packed(asked, "query_id"), tables, probes, sizes)
+        grouping = [*_CELL, "block"]
+        scored = probing.groupBy(*grouping).cogroup(data.groupBy(*grouping)).applyInArrow(
+            nearest, "query_id bigint, rep bigint, key bigint, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep", "key")
+        pairs = scored.groupBy("query_id", "rep", "key").agg(F.max("score").alias("score"))
+        pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= wanted).drop("r")
+        # Copies of a kept vector come back as rows; at most neighbours + 1 of each.
+        listed = pairs.join(members, ["rep", "key"]).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= neighbours).select(
+            "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    first = ranked(asked, small)
+    widths = {width for width, _ in bands.keys() - small}
+    if not widths:
+        return first
+    first = stash(first)
+    full = first.filter(F.col("rank") == neighbours).select("query_id")
+    # An id with vectors of several widths is searched again with all of them.
+    hashed_ids = asked.filter(F.size("vector").isin(*widths)).select("query_id").distinct()
+    short = stash(hashed_ids.join(full, "query_id", "left_anti"))
+    if short.isEmpty():
+        return first
+    return first.join(short, "query_id", "left_anti").unionByName(ranked(asked.join(short, "query_id", "left_semi"), set(bands)))
