@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    cross_polytope, decontamination, language_id, mixing, parity_join, quality, sharding, token_files, tool_calls, toxicity)
+    cross_polytope, decontamination, divergence, language_id, mixing, parity_join, quality, sharding, super_minhash, token_files,
+    tool_calls, toxicity, turn_repair)
 from ..session import shared_path
 from .oracles import ORACLES
 
@@ -96,6 +97,22 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.linked_components(table(spark, sf_dir, "documents"), 75)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sets each source of a language apart from the other sources and from the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents on two-word shingles."""
+    return super_minhash.near_duplicates(table(spark, sf_dir, "documents"), 80, 2)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a fixed rule, with the cheapest repair of their turns."""
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(conversations), conversations)
+
+
 def queries():
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
