@@ -33,7 +33,7 @@ def load(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "m" / "m.json").write_text(json.dumps(MANIFEST, ensure_ascii=False, indent=1), encoding="utf-8")
     (tmp_path / "p" / "p.json").write_text(json.dumps(PREDICTIONS, ensure_ascii=False), encoding="utf-8")
-    good, bad = readers.split_strict(readers.read_json_documents(spark, str(tmp_path / "m")), readers.MANIFEST_FIELDS)
+    good, bad = readers.split_strict(readers.read_json_documents(spark, str(tmp_path / "m")), readers.MANIFEST_SHAPE)
     assert bad.count() == 0
     samples = readers.parse_manifests(good)
     preds = readers.parse_predictions(readers.read_json_documents(spark, str(tmp_path / "p")))

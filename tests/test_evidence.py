@@ -2,11 +2,12 @@
 
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from witnessgrid.operators import aggregate, extract, insights, items as item_ops, lifecycle, questionnaire, result, rules, semantic
+from witnessgrid.operators import aggregate, extract, insights, items as item_ops, lifecycle, parts, questionnaire, result, rules, semantic
 
 ITEMS = "analysis_id string, ordinal int, item_id string, content_hash string"
 EVIDENCE = "analysis_id string, id string, item_id string, type string, label string, value string, confidence double, source string"
@@ -30,7 +31,10 @@ def run(spark, items, evidence, extra=None):
         signals = aggregate.union_signals(signals, extra)
     kept = aggregate.represent(aggregate.distinct_evidence(signals))
     out = aggregate.theme_aggregates(kept, item_ops.universe(items))
-    return aggregate.with_support_arrays(out, aggregate.support_links(kept))
+    ids = aggregate.support_links(kept).groupBy("analysis_id", "kind", "key").agg(*[
+        F.array_sort(F.collect_set(c)).alias(name) for c, name in (
+            ("canonical_item_id", "supporting_item_ids"), ("original_item_id", "original_item_ids"), ("signal_id", "supporting_signal_ids"))])
+    return out.join(ids, ["analysis_id", "kind", "key"])
 
 
 def test_single_item(spark):
@@ -115,13 +119,20 @@ def test_only_supported_kinds_and_claims(spark):
 
 def test_explanation_and_summary(spark):
     a = insights.rank_insights(insights.candidate_insights(aggregates(spark, ("topic", "x", 2, 2, 4, 0.8, 1))))
-    text = a.select(insights.explanation(F.array(F.lit("a"), F.lit("b"))).alias("t")).first()["t"]
-    assert text == (
+    ids = [("A", a.first()["insight_key"], 1, part, i) for part, i in [("item", "a"), ("item", "b"), ("item", "c"), ("signal", "s1")]]
+    support = spark.createDataFrame(ids, "analysis_id string, insight_key string, rank int, part string, id string")
+    whole = (
         "Supported by 2 evidence signals across 2/4 images (coverage=0.500000); source_diversity=1; cross_image_consistency=1.000000; "
-        "average_evidence_confidence=0.800000; max_evidence_confidence=0.800000; supporting_image_ids=[a, b].")
+        "average_evidence_confidence=0.800000; max_evidence_confidence=0.800000; supporting_image_ids=[a, b, c].")
+    for part_bytes, n in ((1 << 20, 1), (3, 5)):
+        found = insights.explanation_parts(a, support, part_bytes).orderBy("part_no").collect()
+        assert "".join(r["payload"] for r in found) == whole and len(found) == n
     analyses = spark.createDataFrame([("A",), ("B",)], "analysis_id string")
-    got = {r["analysis_id"]: r["summary"] for r in insights.summaries(a, analyses).collect()}
-    assert got == {"A": "Supported insights: Recurring topic-related content: x", "B": "No supported insights met the configured evidence policy."}
+    for part_bytes in (1 << 20, 4):
+        got = {}
+        for r in insights.summary_parts(a, analyses, part_bytes).orderBy("analysis_id", "part_no").collect():
+            got[r["analysis_id"]] = got.get(r["analysis_id"], "") + r["payload"]
+        assert got == {"A": "Supported insights: Recurring topic-related content: x", "B": "No supported insights met the configured evidence policy."}
 
 
 def test_fail_mode_drops_whole_analysis(spark):
@@ -189,16 +200,75 @@ def test_redaction_and_document_round_trip(spark):
     clean = {r["id"]: r for r in result.redacted(evidence).collect()}
     assert clean["e1"]["value"] is None and json.loads(clean["e1"]["metadata"]) == {"block_order": "0"}
     assert clean["e2"]["value"] == "park" and "kept" in clean["e2"]["metadata"]
-    none = insights.rank_insights(insights.candidate_insights(aggregates(spark))).withColumn("explanation", F.lit("")).withColumn(
-        "supporting_signal_ids", F.array(F.lit(""))).withColumn("original_item_ids", F.array(F.lit("")))
-    docs = result.completed_documents(
-        result.image_results(items, result.redacted(evidence)), none, insights.summaries(none, items), "v1")
-    payload = json.loads(docs.first()["result_payload"])
-    assert [i["image_id"] for i in payload["result"]["images"]] == ["a", "b"] and payload["result"]["images"][1]["evidence"] == []
-    assert payload["schema_version"] == "profile-analysis-result-v3" and payload["personality_profile"] is None
-    good, bad = result.read_documents(docs)
-    assert good.count() == 1 and bad.count() == 0
-    assert good.first()["summary"] == "No supported insights met the configured evidence policy."
+    ranked = insights.rank_insights(insights.candidate_insights(aggregates(spark, ("topic", "quoted \"label\"", 2, 2, 2, 0.8, 1))))
+    ids = [("A", ranked.first()["insight_key"], 1, part, i) for part, i in [("item", "a"), ("item", "b"), ("signal", "e2"), ("signal", "e1")]]
+    support = spark.createDataFrame(ids, "analysis_id string, insight_key string, rank int, part string, id string")
+    claims = spark.createDataFrame(
+        [("A", f"c{i}", "religion", 'v"\n', "s", "bio", True, "explicit_self_report") for i in (2, 1)] + [("Z", "c", "religion", "v", "s", "bio", True, "explicit_self_report")],
+        "analysis_id string, claim_id string, category string, value string, source_id string, source_type string, consent_confirmed boolean, basis string")
+    for part_bytes in (1 << 20, 40):
+        docs = result.document_parts(items, result.redacted(evidence), ranked, support, "v1", claims, part_bytes=part_bytes)
+        cut = docs.orderBy("part_no").collect()
+        assert len(cut) == 1 if part_bytes > 40 else len(cut) > 10
+        payload = json.loads("".join(r["result_payload"] for r in cut))
+        assert [i["image_id"] for i in payload["result"]["images"]] == ["a", "b"] and payload["result"]["images"][1]["evidence"] == []
+        assert [e["id"] for e in payload["result"]["images"][0]["evidence"]] == ["e1", "e2"] and payload["result"]["images"][0]["evidence"][0]["value"] is None
+        assert payload["schema_version"] == "profile-analysis-result-v3" and payload["personality_profile"] is None
+        (insight,) = payload["result"]["insights"]
+        assert insight["label"].endswith('quoted "label"') and insight["supporting_evidence_ids"] == ["e1", "e2"] and insight["explanation"].endswith("[a, b].")
+        assert [c["claim_id"] for c in payload["self_reported_claims"]] == ["c1", "c2"] and payload["self_reported_claims"][0]["value"] == 'v"\n'
+        good, leaves, bad = result.read_documents(docs)
+        assert bad.count() == 0 and good.first()["schema_version"] == "profile-analysis-result-v3"
+        told = {(r["path"], tuple(r["at"])): r["value"] for r in leaves.filter("chunk_no = 0").collect()}
+        assert told["summary", ()] == payload["summary"] == "Supported insights: " + insight["label"]
+        assert told["result.insights[].supporting_image_ids[]", (0, 1)] == "b" and told["self_reported_claims[].value", (1,)] == 'v"\n'
+    alone = result.document_parts(items, result.redacted(evidence), ranked.limit(0), support.limit(0), "v1")
+    assert json.loads(alone.first()["result_payload"])["summary"] == "No supported insights met the configured evidence policy."
+    spoiled = {"unknown_version": F.regexp_replace("result_payload", "result-v3", "result-v9"), "invalid_fields": F.concat("result_payload", F.lit("}")),
+               "payload_missing": F.lit(None).cast("string"), "id_mismatch": F.regexp_replace("result_payload", '"result":.."analysis_id":"A"|"result":."analysis_id":"A"', '"result":{"analysis_id":"B"')}
+    for reason, text in spoiled.items():
+        _, _, bad = result.read_documents(alone.withColumn("result_payload", text))
+        assert [tuple(r) for r in bad.collect()] == [("A", reason)]
+
+
+def test_leaves_of_streamed_json(spark):
+    rng = random.Random(1)
+
+    def value(depth=0):
+        kind = rng.random()
+        if depth < 4 and kind < 0.3:
+            return {rng.choice("abcd") + str(i) + rng.choice(["", '"', "\\", "é"]): value(depth + 1) for i in range(rng.randint(0, 4))}
+        if depth < 4 and kind < 0.6:
+            return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice([None, True, False, 1, -2.5, 1e20, "", "x" * rng.randint(0, 40), 'q"\\\n\u00e9\U0001f600' * 3])
+
+    def plain(v, path="", at=()):
+        if isinstance(v, (dict, list)):
+            yield path, list(at), "object" if isinstance(v, dict) else "array", ""
+            for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+                yield from plain(x, f"{path}.{k}".lstrip(".") if isinstance(v, dict) else path + "[]", at if isinstance(v, dict) else (*at, k))
+        else:
+            yield path, list(at), "string" if isinstance(v, str) else "null" if v is None else "boolean" if isinstance(v, bool) else "number", v if isinstance(v, str) else json.dumps(v)
+    documents = {f"d{n}": value() for n in range(150)}
+    rows = []
+    for name, v in documents.items():
+        text, at = json.dumps(v, ensure_ascii=rng.random() < 0.5), 0
+        while at < len(text):
+            size = rng.randint(1, 9)
+            rows.append((name, len(rows), text[at:at + size]))
+            at += size
+    broken = ["", "{", '{"a":1', '{"a" 1}', "[1,]", '{"a":1,}', "[1 2]", "nul", "1 2", '{"a":1}}', "[NaN]", '"\\x"', "{1:2}", '"abc', "[01]"]
+    rows += [(f"bad{n}", 0, text) for n, text in enumerate(broken)]
+    rng.shuffle(rows)
+    found = {}
+    df = spark.createDataFrame(rows, "analysis_id string, part_no long, payload string").repartition(3)
+    for r in parts.leaves(df, chunk=7).orderBy("analysis_id", "leaf", "chunk_no").collect():
+        own = found.setdefault(r["analysis_id"], {}).setdefault(r["leaf"], [r["path"], r["at"], r["kind"], ""])
+        own[3] += r["value"] or ""
+    for name, v in documents.items():
+        assert [found[name][k] for k in sorted(found[name])] == [list(x) for x in plain(v)]
+    for n in range(len(broken)):
+        assert [x[2] for x in found[f"bad{n}"].values()].count("error") == 1
 
 
 def test_transitions(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from witnessgrid.functions import ids, numbers, policy, text
-from witnessgrid.operators import items as item_ops, rules
+from witnessgrid.operators import items as item_ops, metrics, rules
 
 ODD = [
     "plain ascii", "  spaced\t out ", "Straße GROSS", "ΣΊΣΥΦΟΣ", "İstanbul ıslak", "école CAFÉ", "ﬁne ＡＢＣ", "سلام  دنيا", "كتاب",
@@ -84,11 +84,13 @@ def distance(a, b):
 def test_error_rates_against_brute_force(spark):
     rng = random.Random(7)
     words = ["the", "θ", "سلام", "a", "bb", "𝒳", "é"]
-    pairs = [("", ""), ("", "x"), ("x y", ""), ("  ", "a")]
+    pairs = [("", ""), ("", "x"), ("x y", ""), ("  ", "a"), ("a" * 700, "b" * 600), ("a b " * 300, "a c " * 290)]
     pairs += [(" ".join(rng.choices(words, k=rng.randint(0, 12))), " ".join(rng.choices(words, k=rng.randint(0, 12)))) for _ in range(60)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, r string, p string")
-    df = text.computed(df, w=numbers.token_codes(F.col("r"), F.col("p")))
-    got = df.select("i", numbers.character_error_rate(F.col("r"), F.col("p")).alias("cer"), numbers.word_error_rate(F.col("w")).alias("wer")).collect()
+    rated = metrics.text_error_rates(df, "r", "p")
+    assert "Python" not in rated._jdf.queryExecution().executedPlan().toString()
+    got = rated.select("i", F.col("raw_cer").alias("cer"), F.col("raw_wer").alias("wer")).collect()
+    assert len(got) == len(pairs)
 
     def rate(a, b):
         return (0.0 if not b else 1.0) if not a else distance(a, b) / len(a)
@@ -130,7 +132,7 @@ def test_ids(spark):
         ids.ocr_evidence_id(F.lit("img"), F.lit(3), F.lit("متن")).alias("o"),
         ids.visual_evidence_id(F.lit("img"), F.lit("scene"), F.lit("park"), F.lit("park")).alias("v"),
         ids.insight_key(F.lit("activity"), F.lit("activity"), F.lit("run")).alias("k"),
-        ids.near_duplicate_group_id(F.array(F.lit("a"), F.lit("b"))).alias("g"),
+        ids.near_duplicate_group_name(F.lit(sha("phase6-near-duplicate-v1", "a", "b", ""))).alias("g"),
         ids.canonical_json({"b": F.lit(1), "a": F.lit(None).cast("string")}).alias("j")).first()
     assert row["o"] == "ocr-" + sha("phase4-ocr-evidence-v1", "img", "3", "متن")[:24]
     assert row["v"] == "vision-" + sha("phase5-visual-evidence-v1", "img", "scene", "park", "park")[:24]

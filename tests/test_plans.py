@@ -22,7 +22,17 @@ def test_end_to_end(spark):
     assert run.violations.count() == 0
     got = run.insights.select("analysis_id", "rank", "insight_label", "evidence_count", "unique_item_count", "item_universe_count").collect()
     assert [tuple(r) for r in got] == [("A", 1, "Recurring textual reference: Hello", 2, 2, 3)]
-    out = {r["analysis_id"]: json.loads(r["result_payload"]) for r in profile.documents(run).collect()}
+    def whole(part_bytes):
+        rows = sorted(profile.documents(run, part_bytes=part_bytes).collect(), key=lambda r: (r["analysis_id"], r["part_no"]))
+        assert len({(r["analysis_id"], r["part_no"]) for r in rows}) == len(rows)
+        return {a: "".join(r["result_payload"] for r in rows if r["analysis_id"] == a) for a in {r["analysis_id"] for r in rows}}, len(rows)
+    texts, n = whole(1 << 20)
+    assert n == 3
+    cut, n = whole(64)
+    assert cut == texts and n > 20
+    out = {a: json.loads(t) for a, t in texts.items()}
+    a = out["A"]["result"]["insights"][0]
+    assert a["explanation"].startswith("Supported by 2 evidence signals across 2/3 images (coverage=0.666667)") and a["explanation"].endswith("supporting_image_ids=[a, b].")
     assert set(out) == {"A", "B", "C"}
     assert out["A"]["summary"] == "Supported insights: Recurring textual reference: Hello"
     assert out["A"]["result"]["insights"][0]["supporting_image_ids"] == ["a", "b"]

@@ -1,10 +1,12 @@
 """Hot keys: the spread paths must give what the plain ones give."""
 
+import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from witnessgrid.operators import graph, metrics, runs, semantic, skew
+from witnessgrid.operators import digests, graph, metrics, runs, semantic, skew
 
 
 def test_lookup_hot_and_cold(spark):
@@ -108,9 +110,47 @@ def test_near_duplicates_across_blocks(spark):
     members = graph.near_duplicate_members(df, 0.8, block_rows=7)
     expected = {x: roots[x] for pair in want for x in pair}
     assert {r["ordinal"]: r["root"] for r in members.collect()} == expected
-    groups = graph.near_duplicate_groups(members).collect()
-    assert sorted(len(g["item_ids"]) for g in groups) == sorted(
-        list(expected.values()).count(r) for r in set(expected.values()))
+    groups = graph.near_duplicate_groups(members)
+    named = {g["root"]: (g["group_id"], g["n_members"]) for g in groups.collect()}
+    for root in set(expected.values()):
+        own = sorted(x for x, r in expected.items() if r == root)
+        digest = hashlib.sha256(("phase6-near-duplicate-v1\0" + "".join(f"i{x}\0" for x in own)).encode()).hexdigest()
+        assert named[root] == (f"near-duplicate-{digest[:24]}", len(own))
+    places = {(r["root"], r["ordinal"]): r["place"] for r in graph.placed_members(members, groups).collect()}
+    assert places == {(r, x): sorted(y for y, q in expected.items() if q == r).index(x) for x, r in expected.items()}
+
+
+def test_digest_of_a_group_over_many_batches(spark):
+    rows = spark.range(60_000, numPartitions=5).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(None)).alias("g"), F.lit("x").alias("h"), "id", F.concat(F.lit("é"), F.col("id").cast("string")).alias("t"))
+    got = {r["g"]: r["sha256"] for r in digests.sha256_of(rows, ["g", "h"], ["id"], "t", prefix="p", after="\n").collect()}
+    want = {}
+    for i in range(60_000):
+        want.setdefault(i % 7 if i % 3 == 0 else None, hashlib.sha256(b"p")).update(f"é{i}\n".encode())
+    assert got == {g: h.hexdigest() for g, h in want.items()}
+    assert digests.sha256_of(rows.limit(0), ["g", "h"], ["id"], "t").collect() == []
+
+
+def test_metric_cells_find_the_same_pairs_and_ship_less(spark):
+    rng = random.Random(5)
+    centres = [unit(rng, 8) for _ in range(12)]
+    vectors = []
+    for i in range(600):
+        c = centres[i % 12] if i % 3 else centres[0]  # one dense cluster
+        v = [x + rng.gauss(0, 0.12) for x in c]
+        n = sum(x * x for x in v) ** 0.5
+        vectors.append([x / n for x in v])
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(vectors)], "analysis_id string, ordinal long, embedding array<float>")
+    stored = np.array([r["embedding"] for r in df.orderBy("ordinal").collect()], "float64")
+    for threshold in (0.95, 0.6, -0.2):
+        dots = stored @ stored.T
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(dots >= threshold, 1)))}
+        got = [(r["left"], r["right"]) for r in semantic.similar_pairs(df, threshold, block_rows=30).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    cells = semantic.metric_cells(df, 0.95, 30)
+    assert cells.filter("home").count() == 600
+    shipped = semantic._block_pairs(cells, 30).count()
+    assert shipped < 600 * (600 / 30) / 3  # every vector once per block would be 12,000
 
 
 def test_query_scores_with_hot_query(spark):

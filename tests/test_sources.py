@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from witnessgrid.operators import lifecycle
-from witnessgrid.sources import readers, synthetic, writers
+from witnessgrid.sources import keyed_table, readers, synthetic, writers
 from witnessgrid.streaming import lifecycle_stream
 
 
@@ -45,8 +46,10 @@ def test_state_table_round_trip(spark, tmp_path):
     state = spark.createDataFrame([("A", "pending", None), ("B", "in_progress", None), ("C", "completed", "{}")], "analysis_id string, status string, result_payload string")
     writers.write_state(state, path)
     assert [r["analysis_id"] for r in readers.read_state(spark, path, status="completed").collect()] == ["C"]
-    plan = readers.read_state(spark, path, "completed", "C")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(status,completed), EqualTo(analysis_id,C)]" in plan
+    one = readers.read_state(spark, path, "completed", "C")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryFileIndex(1 paths)" in plan and "EqualTo(analysis_id,C)" in plan and "EqualTo(status,completed)" in plan
+    assert one.count() == 1 and readers.read_state(spark, path, analysis_id="nobody").count() == 0
 
     def rows():
         return sorted((r["analysis_id"], r["status"], r["result_payload"]) for r in readers.read_state(spark, path).collect())
@@ -62,6 +65,49 @@ def test_state_table_round_trip(spark, tmp_path):
     assert rows() == [("B", "failed", None), ("C", "completed", '{"z":3}'), ("G", "pending", None)]
 
 
+def test_keyed_table_commits(spark, tmp_path, monkeypatch):
+    path, ddl = str(tmp_path / "t"), "k long, part long, v string"
+
+    def frame(*rows):
+        return spark.createDataFrame(rows, ddl)
+
+    def rows():
+        return sorted(map(tuple, keyed_table.read(spark, path).collect()))
+    keyed_table.create(frame((1, 0, "a"), (1, 1, "b"), (2, 0, "c")), path, "k", 2)
+    with pytest.raises(FileExistsError):
+        keyed_table.create(frame((9, 0, "x")), path, "k")
+    # All rows of a key go at once; a batch that was applied does nothing when it comes again.
+    assert keyed_table.upsert(frame((1, 0, "new"), (3, 0, "d")), path, ("w", 1))
+    assert rows() == [(1, 0, "new"), (2, 0, "c"), (3, 0, "d")]
+    assert not keyed_table.delete(frame((1, 0, "")), path, ("w", 1)) and len(rows()) == 3
+    assert keyed_table.insert(frame((3, 9, "no"), (4, 0, "e")), path, ("other", 1))
+    assert rows() == [(1, 0, "new"), (2, 0, "c"), (3, 0, "d"), (4, 0, "e")]
+    # What a writer left that broke off before its commit is passed over.
+    last = keyed_table.head(spark, path)["version"]
+    (tmp_path / "t" / "commits" / f".{last + 1:020d}.json-0").write_text('{"key": "k", "pla')
+    assert len(rows()) == 4 and not keyed_table._create(spark, f"{path}/commits/{last:020d}.json", "{}")
+    # Another writer commits between our look at the table and our commit.
+    create, raced = keyed_table._create, []
+
+    def late(spark_, name, text):
+        if not raced:
+            raced.append(1)
+            keyed_table.upsert(frame((2, 0, "theirs"), (50, 0, "f")), path, ("w", 2))
+        return create(spark_, name, text)
+    monkeypatch.setattr(keyed_table, "_create", late)
+    assert keyed_table.upsert(frame((1, 0, "ours"), (51, 0, "g")), path)
+    monkeypatch.setattr(keyed_table, "_create", create)
+    assert rows() == [(1, 0, "ours"), (2, 0, "theirs"), (3, 0, "d"), (4, 0, "e"), (50, 0, "f"), (51, 0, "g")]
+    # Buckets double when they are full.
+    monkeypatch.setattr(keyed_table, "BUCKET_ROWS", 1)
+    assert keyed_table.delete(frame((2, 0, "")), path) and keyed_table.head(spark, path)["buckets"] == 4
+    assert rows() == [(1, 0, "ours"), (3, 0, "d"), (4, 0, "e"), (50, 0, "f"), (51, 0, "g")]
+    keyed_table.vacuum(spark, path)
+    assert len(rows()) == 5 and keyed_table.read(spark, path, 50).collect()[0]["v"] == "f"
+    keyed_table.delete(keyed_table.read(spark, path), path)
+    assert rows() == []
+
+
 def test_report_sink(spark, tmp_path):
     m = spark.createDataFrame([("r", "b", 0.5, 2), ("r", "a", 1.0, 3)], "report_id string, name string, value double, sample_count long")
     writers.write_report(m, str(tmp_path / "out"))

@@ -1,8 +1 @@
 """Evidence analytics on Spark."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Python workers get the package's functions with each task, so a job may start from any folder.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, questionnaire, result, runs as run_ops
 from ..plans import profile
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path, stash
+from ..sources import readers, writers
 from . import views
 from .registry import query
 from .views import sql
@@ -23,7 +24,7 @@ SELECT analysis_id, CAST(rank AS INTEGER) AS rank, insight_key, type, insight_la
 FROM insights""", "insights"))
 def ranked_insights(spark, sf):
     return insights(spark, sf).select(
-        "analysis_id", "rank", "insight_key", "type", "insight_label", F.round("confidence", 6).alias("confidence"),
+        "analysis_id", F.col("rank").cast("int").alias("rank"), "insight_key", "type", "insight_label", F.round("confidence", 6).alias("confidence"),
         "evidence_count", "unique_item_count", F.round("item_coverage", 6).alias("item_coverage"))
 
 
@@ -251,51 +252,80 @@ def kept_insights(spark, sf):
     return cut_lineage(insights(spark, sf))
 
 
-def explained(spark, sf, ranked=None):
-    return profile.explained(kept_insights(spark, sf) if ranked is None else ranked, views.retained(spark, sf))
+def support(spark, sf, ranked):
+    """The ids behind the insights, kept for the several outputs that read them."""
+    return stash(profile.supporting_ids(ranked, views.retained(spark, sf)))
 
 
+views.cte("support", """
+SELECT DISTINCT i.analysis_id, i.insight_key, i.rank, part, id
+FROM (SELECT analysis_id, kind, key, unnest(['signal', 'item']) AS part, unnest([signal_id, original_item_id]) AS id FROM retained) r
+JOIN insights i USING (analysis_id, kind, key)""", "retained", "insights")
+
 views.cte("explained", """
-SELECT i.*, s.item_ids, 'Supported by ' || evidence_count || ' evidence signals across ' || unique_item_count || '/' || item_universe_count || ' images (coverage='
-       || printf('%.6f', item_coverage) || '); source_diversity=' || source_diversity || '; cross_image_consistency=' || printf('%.6f', cross_item_consistency)
-       || '; average_evidence_confidence=' || printf('%.6f', average_confidence) || '; max_evidence_confidence=' || printf('%.6f', max_confidence)
-       || '; supporting_image_ids=[' || s.item_ids || '].' AS explanation, s.signal_ids
-FROM insights i JOIN (SELECT analysis_id, kind, key, string_agg(DISTINCT original_item_id, ', ' ORDER BY original_item_id) AS item_ids,
-                             string_agg(DISTINCT signal_id, ',' ORDER BY signal_id) AS signal_ids FROM retained GROUP BY analysis_id, kind, key) s USING (analysis_id, kind, key)
-WHERE analysis_id IN (SELECT analysis_id FROM analyses)""", "insights", "retained", "analyses")
+SELECT analysis_id, insight_key, 0 AS place, '' AS own, 'Supported by ' || evidence_count || ' evidence signals across ' || unique_item_count || '/' || item_universe_count
+       || ' images (coverage=' || printf('%.6f', item_coverage) || '); source_diversity=' || source_diversity || '; cross_image_consistency='
+       || printf('%.6f', cross_item_consistency) || '; average_evidence_confidence=' || printf('%.6f', average_confidence) || '; max_evidence_confidence='
+       || printf('%.6f', max_confidence) || '; supporting_image_ids=[' AS text, '' AS sep, true AS opens FROM insights
+UNION ALL SELECT analysis_id, insight_key, 1, id, id, ', ', false FROM support WHERE part = 'item'
+UNION ALL SELECT analysis_id, insight_key, 2, '', '].', '', false FROM insights""", "insights", "support")
+
+EXPLANATION_BYTES, SUMMARY_BYTES, DOCUMENT_BYTES = 128, 64, 2048
+
+
+@query("PRJ5 ARR1", sql("SELECT analysis_id, insight_key, CAST(rank AS INTEGER) AS rank, part, id FROM support", "support"))
+def insight_support(spark, sf):
+    return support(spark, sf, kept_insights(spark, sf)).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query("STR10 PRJ5 ARR1 RULE16", sql("SELECT analysis_id, insight_key, explanation, signal_ids FROM explained", "explained"))
+@query("STR10 PRJ5 RULE16", sql(
+    "SELECT analysis_id, insight_key, part_no, payload AS explanation FROM (" + views.parts_sql("explained", "analysis_id, insight_key", "place, own", 128) + ")", "explained"))
 def explained_insights(spark, sf):
-    return explained(spark, sf).select("analysis_id", "insight_key", "explanation", F.array_join("supporting_signal_ids", ",").alias("signal_ids"))
+    """Explanations in small parts, so that the check sees the cuts."""
+    ranked = kept_insights(spark, sf)
+    return ins.explanation_parts(ranked, support(spark, sf, ranked), EXPLANATION_BYTES).withColumnRenamed("payload", "explanation")
 
 
 @query("RULE12", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
 def finished_insight_violations(spark, sf):
-    return ins.finished_violations(explained(spark, sf))
+    ranked = kept_insights(spark, sf)
+    return ins.finished_violations(ranked, support(spark, sf, ranked))
 
 
-views.cte("summaries", """
-SELECT s.analysis_id, coalesce('Supported insights: ' || string_agg(i.insight_label, ' | ' ORDER BY i.rank), 'No supported insights met the configured evidence policy.') AS summary
-FROM analyses s LEFT JOIN insights i USING (analysis_id) GROUP BY s.analysis_id""", "analyses", "insights")
+@query("RULE12", sql("""
+SELECT analysis_id, 'insight' AS entity, insight_key AS entity_id, 'label_policy' AS rule FROM insights WHERE evidence_count % 2 = 0
+UNION ALL SELECT analysis_id, 'insight', insight_key, 'item_id_policy' FROM support WHERE part = 'item' GROUP BY ALL HAVING bool_or(id LIKE '%7')""", "insights", "support"))
+def spoiled_insight_violations(spark, sf):
+    """Labels of insights with even counts and ids ending in 7 break the policy."""
+    ranked = kept_insights(spark, sf)
+    ids = support(spark, sf, ranked).withColumn("id", F.when(F.col("id").endswith("7"), F.lit("Person religion = x")).otherwise(F.col("id")))
+    return ins.finished_violations(ranked.withColumn(
+        "insight_label", F.when(F.col("evidence_count") % 2 == 0, F.lit("Person religion = x")).otherwise(F.col("insight_label"))), ids)
 
 
-def summaries(spark, sf, ranked=None):
-    keys = all_items(spark, sf).select("analysis_id").distinct()
-    return ins.summaries(kept_insights(spark, sf) if ranked is None else ranked, keys)
+views.cte("summary_pieces", """
+SELECT s.analysis_id, 0 AS step, 0 AS place, CASE WHEN i.analysis_id IS NULL THEN 'No supported insights met the configured evidence policy.' ELSE 'Supported insights: ' END AS text,
+       '' AS sep, true AS opens FROM analyses s LEFT JOIN (SELECT analysis_id FROM insights WHERE rank = 1) i USING (analysis_id)
+UNION ALL SELECT analysis_id, 1, rank, insight_label, ' | ', false FROM insights""", "analyses", "insights")
 
 
-@query("STR11", sql("SELECT analysis_id, summary FROM summaries", "summaries"))
+@query("STR11", sql(
+    "SELECT analysis_id, part_no, payload AS summary FROM (" + views.parts_sql("summary_pieces", "analysis_id", "step, place", 64) + ")", "summary_pieces"))
 def insight_summaries(spark, sf):
-    return summaries(spark, sf)
+    return ins.summary_parts(kept_insights(spark, sf), all_items(spark, sf), SUMMARY_BYTES).withColumnRenamed("payload", "summary")
 
 
-@query("AGG28", sql("""
-SELECT analysis_id, analysis_id NOT LIKE '%1' AS factual FROM summaries""", "summaries"))
+@query("AGG28", sql("SELECT analysis_id, n % 3 <> 0 OR n = 0 AS factual FROM (SELECT s.analysis_id, count(i.rank) AS n FROM analyses s LEFT JOIN insights i USING (analysis_id) GROUP BY ALL)", "analyses", "insights"))
 def summary_factuality(spark, sf):
-    s = summaries(spark, sf)
-    stored = s.withColumn("summary", F.when(F.col("analysis_id").endswith("1"), F.concat("summary", F.lit("!"))).otherwise(F.col("summary")))
-    return run_ops.summary_factuality(stored, s)
+    """Summaries of stored documents beside those rebuilt; where the number of insights is a
+    multiple of three, the documents were stored without the last insight."""
+    ranked = kept_insights(spark, sf)
+    last = ranked.groupBy("analysis_id").agg(F.max("rank").alias("rank")).filter("rank % 3 = 0")
+    stored = documents(spark, sf, ranked.join(last, ["analysis_id", "rank"], "left_anti"))
+    _, leaves, _ = result.read_documents(stored)
+    was = leaves.filter("path = 'summary'").select("analysis_id", F.col("chunk_no").cast("bigint").alias("n"), F.col("value").alias("text"))
+    again = ins.summary_parts(ranked, all_items(spark, sf)).select("analysis_id", F.col("part_no").alias("n"), F.col("payload").alias("text"))
+    return run_ops.summary_factuality(was, again)
 
 
 @query("AGG29", sql("""
@@ -331,15 +361,28 @@ def stated_claims(spark, sf):
     return c.groupBy("analysis_id", "key", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def documents(spark, sf):
-    small, ranked = all_items(spark, sf), kept_insights(spark, sf)
-    evidence = result.redacted(views.evidence(spark, sf))
-    images = result.image_results(small, evidence)
-    claims = views.table(spark, sf, "documents").filter(F.pmod("doc_id", F.lit(20)) == 0).select(
-        F.col("source").alias("analysis_id"), F.concat(F.lit("c-"), F.col("doc_id").cast("string")).alias("claim_id"), F.lit("religion").alias("category"),
-        F.col("lang").alias("value"), F.lit("src").alias("source_id"), F.lit("bio").alias("source_type"), F.lit(True).alias("consent_confirmed"),
+def claims_of(spark, sf):
+    """A claim for every language of an analysis; those of analyses with a bad claim are left out."""
+    told = views.table(spark, sf, "documents").filter("lang IS NOT NULL").select(F.col("source").alias("analysis_id"), "lang").distinct()
+    rows = told.select(
+        "analysis_id", F.concat(F.lit("c-"), "lang").alias("claim_id"), F.lit("religion").alias("category"), F.col("lang").alias("value"),
+        F.lit("src").alias("source_id"), F.lit("bio").alias("source_type"), (F.col("analysis_id") != "src3").alias("consent_confirmed"),
         F.lit("explicit_self_report").alias("basis"))
-    return result.completed_documents(images, explained(spark, sf, ranked), summaries(spark, sf, ranked), ins.SupportPolicy().version, claim_ops.claim_lists(claims))
+    good, _ = claim_ops.accepted(rows)
+    return good
+
+
+views.cte("told_claims", "SELECT DISTINCT source AS analysis_id, 'c-' || lang AS claim_id, lang FROM documents WHERE lang IS NOT NULL AND source <> 'src3'")
+
+
+def documents(spark, sf, ranked=None, with_claims=True):
+    """Stored documents in small parts; measures are rounded, so that engines print them alike."""
+    ranked = kept_insights(spark, sf) if ranked is None else ranked
+    shown = ranked.withColumns({c: F.round(c, 6) for c in ("confidence", "item_coverage")})
+    evidence = result.redacted(views.evidence(spark, sf)).withColumn("confidence", F.round("confidence", 6))
+    return result.document_parts(
+        all_items(spark, sf), evidence, shown, support(spark, sf, ranked), ins.SupportPolicy().version,
+        claims_of(spark, sf) if with_claims else None, part_bytes=DOCUMENT_BYTES)
 
 
 @query("SNK1 HSH7")
@@ -347,32 +390,58 @@ def completed_documents(spark, sf):
     return documents(spark, sf)
 
 
-@query("SNK1 PRJ9 RULE17 SORT1", sql("""
-SELECT s.analysis_id, s.summary, 'phase8-candidate-v1' AS insight_policy_version, (SELECT count(*) FROM items i WHERE i.analysis_id = s.analysis_id) AS images,
-       (SELECT count(*) FROM evidence e WHERE e.analysis_id = s.analysis_id) AS evidence_rows,
-       (SELECT coalesce(string_agg(insight_key || '=' || explanation, ';' ORDER BY rank), '') FROM explained x WHERE x.analysis_id = s.analysis_id) AS insights,
-       (SELECT coalesce(string_agg('c-' || doc_id, ',' ORDER BY 'c-' || doc_id), '') FROM documents d WHERE d.source = s.analysis_id AND doc_id % 20 = 0) AS claims
-FROM summaries s""", "summaries", "items", "evidence", "explained"))
+@query("SNK1 PRJ9 RULE17", sql("""
+SELECT s.analysis_id, 'profile-analysis-result-v3' AS schema_version, 'phase8-candidate-v1' AS insight_policy_version,
+       (SELECT count(*) FROM items i WHERE i.analysis_id = s.analysis_id) AS images, (SELECT count(*) FROM evidence e WHERE e.analysis_id = s.analysis_id) AS evidence_rows,
+       (SELECT count(*) FROM insights x WHERE x.analysis_id = s.analysis_id) AS insights, (SELECT count(*) FROM told_claims c WHERE c.analysis_id = s.analysis_id) AS claims
+FROM analyses s""", "analyses", "items", "evidence", "insights", "told_claims"))
 def stored_results(spark, sf):
-    good, _ = result.read_documents(documents(spark, sf))
-    rows = F.aggregate(F.transform("result.images", lambda i: F.size(i["evidence"])), F.lit(0), lambda a, x: a + x)
-    told = F.transform("result.insights", lambda i: F.concat(i["key"], F.lit("="), i["explanation"]))
-    return good.select(
-        "analysis_id", "summary", "insight_policy_version", F.size("result.images").cast("bigint").alias("images"), rows.cast("bigint").alias("evidence_rows"),
-        F.array_join(told, ";").alias("insights"), F.array_join("self_reported_claims.claim_id", ",").alias("claims"))
+    """Documents merged into the result table as parts and read back as a stream of leaves: one row of counts each."""
+    path = shared_path(spark, "results")
+    stored = documents(spark, sf)
+    writers.write_state(stored.limit(0), path)
+    writers.write_completed(stored, path, ("results", 1))
+    good, leaves, _ = result.read_documents(readers.read_state(spark, path, "completed"))
+    objects = {"images": "result.images[]", "evidence_rows": "result.images[].evidence[]", "insights": "result.insights[]", "claims": "self_reported_claims[]"}
+    counts = leaves.filter("kind = 'object'").groupBy("analysis_id").agg(*[F.count_if(F.col("path") == p).alias(n) for n, p in objects.items()])
+    return good.join(counts, "analysis_id").select("analysis_id", "schema_version", "insight_policy_version", *objects)
+
+
+@query("PRJ9 SORT1 STR10", sql("""
+SELECT analysis_id, 'result.images[].image_id' AS path, row_number() OVER (PARTITION BY analysis_id ORDER BY ordinal) - 1 AS place, 0 AS inner_place, item_id AS value FROM items
+UNION ALL SELECT analysis_id, 'result.images[].evidence[].id', item_no - 1, row_number() OVER (PARTITION BY analysis_id, item_no ORDER BY id) - 1, id
+  FROM evidence JOIN (SELECT analysis_id, item_id, row_number() OVER (PARTITION BY analysis_id ORDER BY ordinal) AS item_no FROM items) USING (analysis_id, item_id)
+UNION ALL SELECT analysis_id, 'result.insights[].key', rank - 1, 0, insight_key FROM insights
+UNION ALL SELECT analysis_id, 'result.insights[].explanation', rank - 1, 0, string_agg(CASE WHEN place = 1 AND n > 2 THEN sep ELSE '' END || text, '' ORDER BY n)
+  FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, insight_key ORDER BY place, own) AS n FROM explained) JOIN (SELECT analysis_id, insight_key, rank FROM insights) USING (analysis_id, insight_key) GROUP BY ALL
+UNION ALL SELECT analysis_id, CASE part WHEN 'signal' THEN 'result.insights[].supporting_evidence_ids[]' ELSE 'result.insights[].supporting_image_ids[]' END, rank - 1,
+  row_number() OVER (PARTITION BY analysis_id, insight_key, part ORDER BY id) - 1, id FROM support
+UNION ALL SELECT analysis_id, 'self_reported_claims[].claim_id', row_number() OVER (PARTITION BY analysis_id ORDER BY claim_id) - 1, 0, claim_id FROM told_claims""",
+    "items", "evidence", "insights", "support", "explained", "told_claims"))
+def stored_content(spark, sf):
+    """Ids, keys and explanations of stored documents with their positions, one row each."""
+    _, leaves, _ = result.read_documents(documents(spark, sf))
+    wanted = ("result.images[].image_id", "result.images[].evidence[].id", "result.insights[].key", "result.insights[].explanation",
+              "result.insights[].supporting_evidence_ids[]", "result.insights[].supporting_image_ids[]", "self_reported_claims[].claim_id")
+    return leaves.filter(F.col("path").isin(*wanted)).select(
+        "analysis_id", "path", F.col("at")[0].alias("place"), F.when(F.size("at") > 1, F.element_at("at", 2)).otherwise(0).cast("bigint").alias("inner_place"), "value")
 
 
 @query("PRJ9 RULE7", sql("""
-SELECT analysis_id, CASE right(analysis_id, 1) WHEN '1' THEN 'unknown_version' WHEN '2' THEN 'invalid_fields' WHEN '3' THEN 'id_mismatch' ELSE 'payload_missing' END AS reason
-FROM analyses WHERE right(analysis_id, 1) IN ('1', '2', '3', '4')""", "analyses"))
+SELECT analysis_id, CASE right(analysis_id, 1) WHEN '1' THEN 'unknown_version' WHEN '2' THEN 'invalid_fields' WHEN '3' THEN 'id_mismatch' WHEN '5' THEN 'invalid_fields' ELSE 'payload_missing' END AS reason
+FROM analyses WHERE right(analysis_id, 1) IN ('1', '2', '3', '4', '5')""", "analyses"))
 def rejected_results(spark, sf):
     d = documents(spark, sf)
     tail, p = F.substring("analysis_id", -1, 1), F.col("result_payload")
+    first = F.col("part_no") == 0
     spoiled = (
         F.when(tail == "1", F.regexp_replace(p, '"profile-analysis-result-v3"', '"v9"')).when(tail == "2", F.regexp_replace(p, '"summary":', '"text":'))
-        .when(tail == "3", F.regexp_replace(p, F.concat(F.lit('"analysis_id":"'), F.col("analysis_id"), F.lit('"')), F.lit('"analysis_id":"other"')))
-        .when(tail == "4", F.lit(None).cast("string")).otherwise(p))
-    _, bad = result.read_documents(d.withColumn("result_payload", spoiled))
+        .when((tail == "3") & first, F.replace(p, F.concat(F.lit('"result":{"analysis_id":"'), F.col("analysis_id"), F.lit('"')), F.lit('"result":{"analysis_id":"other"')))
+        .when(tail == "4", F.lit(None).cast("string")).when((tail == "5") & ~F.col("_last"), p)
+        .when(tail == "5", F.concat(p, F.lit("}"))).otherwise(p))
+    last = d.groupBy("analysis_id").agg(F.max("part_no").alias("_n"))
+    marked = d.join(last, "analysis_id").withColumn("_last", F.col("part_no") == F.col("_n"))
+    _, _, bad = result.read_documents(marked.withColumn("result_payload", spoiled))
     return bad
 
 
@@ -380,14 +449,16 @@ def rejected_results(spark, sf):
 SELECT analysis_id, CASE WHEN right(analysis_id, 1) IN ('0', '2', '4', '6', '8') THEN 'phase9-analysis-result-v1' ELSE 'profile-analysis-result-v2' END AS schema_version, 0 AS claims
 FROM analyses""", "analyses"))
 def old_result_versions(spark, sf):
-    ranked = kept_insights(spark, sf)
-    d = result.completed_documents(
-        result.image_results(all_items(spark, sf), views.evidence(spark, sf)), explained(spark, sf, ranked), summaries(spark, sf, ranked), "v")
+    d = documents(spark, sf, with_claims=False)
     even = F.substring("analysis_id", -1, 1).isin("0", "2", "4", "6", "8")
-    v1 = F.regexp_replace(F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "phase9-analysis-result-v1"), '"self_reported_claims":\\[\\],', ""), '"personality_profile":null,', "")
-    v2 = F.regexp_replace(F.regexp_replace("result_payload", "profile-analysis-result-v3", "profile-analysis-result-v2"), '"personality_profile":null,', "")
-    good, _ = result.read_documents(d.withColumn("result_payload", F.when(even, v1).otherwise(v2)))
-    return good.select("analysis_id", "schema_version", F.size("self_reported_claims").alias("claims"))
+    bare = F.regexp_replace("result_payload", '"personality_profile":null,', "")
+    v1 = F.regexp_replace(bare, "profile-analysis-result-v3", "phase9-analysis-result-v1")
+    for gone, left in (('"self_reported_claims":[', ""), ('],"summary":"', '"summary":"')):  # may lie in two parts
+        v1 = F.replace(v1, F.lit(gone), F.lit(left))
+    v2 = F.regexp_replace(bare, "profile-analysis-result-v3", "profile-analysis-result-v2")
+    good, leaves, _ = result.read_documents(d.withColumn("result_payload", F.when(even, v1).otherwise(v2)))
+    claims = leaves.filter("path = 'self_reported_claims[]'").groupBy("analysis_id").agg(F.count(F.lit(1)).cast("int").alias("claims"))
+    return good.join(claims, "analysis_id", "left").select("analysis_id", "schema_version", F.coalesce("claims", F.lit(0)).alias("claims"))
 
 
 @query("PRJ7", sql("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, numbers
 from ..operators import aggregate, extract, graph, semantic
+from ..session import stash
 from . import views
 from .registry import query
 from .views import sql
@@ -56,7 +57,7 @@ SELECT label, item_id, CAST(row_number() OVER (PARTITION BY label ORDER BY round
 FROM similarities""", "similarities"))
 def retrieval_ranking(spark, sf):
     sims = views.similarities(spark, sf).withColumn("similarity", F.round("similarity", 12))
-    return semantic.retrieval(sims, views.vectors(spark, sf)).select("label", "item_id", "rank")
+    return semantic.retrieval(sims, views.vectors(spark, sf)).select("label", "item_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("WIN4 MTH3 PRJ2", sql("""
@@ -86,12 +87,13 @@ def near_duplicate_pairs(spark, sf):
 @query("GRF1 HSH5", f"""
 WITH RECURSIVE pairs AS ({PAIRS}), both_ways AS (SELECT l, r FROM pairs UNION SELECT r, l FROM pairs),
 reach(n, m) AS (SELECT l, l FROM both_ways UNION SELECT reach.n, b.r FROM reach JOIN both_ways b ON reach.m = b.l),
-roots AS (SELECT n, min(m) AS root FROM reach GROUP BY n)
-SELECT 'near-duplicate-' || substr(sha256('phase6-near-duplicate-v1' || chr(0) || string_agg(n || chr(0), '' ORDER BY n)), 1, 24) AS group_id,
-       string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS members FROM roots GROUP BY root""")
+roots AS (SELECT n, min(m) AS root FROM reach GROUP BY n),
+named AS (SELECT root, 'near-duplicate-' || substr(sha256('phase6-near-duplicate-v1' || chr(0) || string_agg(n || chr(0), '' ORDER BY n)), 1, 24) AS group_id FROM roots GROUP BY root)
+SELECT group_id, row_number() OVER (PARTITION BY root ORDER BY n) - 1 AS place, CAST(n AS VARCHAR) AS item_id FROM roots JOIN named USING (root)""")
 def near_duplicate_groups(spark, sf):
-    members = graph.near_duplicate_members(views.vectors(spark, sf), THRESHOLD)
-    return graph.near_duplicate_groups(members).select("group_id", F.array_join("item_ids", ",").alias("members"))
+    """Every member of a group with the group's id and its place."""
+    members = stash(graph.near_duplicate_members(views.vectors(spark, sf), THRESHOLD))
+    return graph.placed_members(members, graph.near_duplicate_groups(members)).select("group_id", "place", "item_id")
 
 
 def _provider():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import claims as claim_ops, extract, items as item_ops, questionnaire, rules
+from ..operators import claims as claim_ops, extract, items as item_ops, metrics, questionnaire, rules
 from ..session import cut_lineage
 from ..sources import readers, synthetic, writers
 from . import views
@@ -113,63 +113,123 @@ def duplicate_mapping_violations(spark, sf):
 
 # -- manifests, predictions, reports -------------------------------------------------------
 
+# Faults of the manifest of a document, by its number modulo 50: what is wrong, and where.
+MANIFEST_FAULTS = {
+    7: [("", "", "invalid_json")], 9: [("policy", "", "unknown_field"), ("data_policy", "", "missing_field")],
+    11: [("samples[].image.width", "0", "unknown_field")], 13: [("samples[].ground_truth.labels[].label_id", "0,0", "missing_field")],
+    15: [("samples[].split", "0", "not_allowed")], 17: [("samples[].ground_truth.labels[].label", "0,0", "wrong_type")],
+    19: [("samples[].ground_truth.unsupported_claims[].category", "0,0", "not_allowed")], 21: [("samples", "", "wrong_type")],
+    23: [("samples[].image", "0", "wrong_type")], 25: [(r"samples\[\]\.split", "", "unknown_field")],
+}
+FAULTY = ", ".join(map(str, MANIFEST_FAULTS))
+
+
 def manifest_documents(spark, sf):
-    """One manifest document per sample, as JSON text made from the tables."""
+    """One manifest document per sample, as JSON text made from the tables, some with a fault at one level."""
     s = views.samples(spark, sf)
     labels = views.truth_labels(spark, sf).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct(
-        "label_id", "type", "label", F.regexp_replace(F.nullif("value", F.lit("null")), '"', "").alias("value")))).alias("labels"))
-    truth = F.struct("labels", "ocr_text", F.array(F.struct(F.lit("person_religion").alias("category"))).alias("unsupported_claims"))
-    sample = F.struct("sample_id", "split", "slices", F.struct(F.col("item_id").alias("image_id"), "relative_path").alias("image"), truth.alias("ground_truth"))
+        "label_id", "type", "label", "value"))).alias("labels"))
+    typed = F.transform("labels", lambda x: F.struct(
+        x["label_id"].alias("label_id"), x["type"].alias("type"), x["label"].alias("label"), F.parse_json(x["value"]).alias("value")))
+    truth = F.struct(typed.alias("labels"), "ocr_text", F.array(F.struct(F.lit("person_religion").alias("category"))).alias("unsupported_claims"))
+    slices = F.when(F.size("slices") > 0, F.col("slices")).otherwise(F.array(F.lit("meme")))
+    sample = F.struct("sample_id", "split", slices.alias("slices"), F.struct(F.col("item_id").alias("image_id"), "relative_path").alias("image"), truth.alias("ground_truth"))
     doc = F.struct(
         F.lit("1.0.0").alias("schema_version"), "dataset_id", "dataset_version", F.lit("1.1.0").alias("label_schema_version"),
         F.lit("consented_or_authorized").alias("data_policy"), F.array(sample).alias("samples"))
-    joined = s.join(labels, "sample_id", "left")
-    plain = F.to_json(doc)
-    broken = F.when(F.pmod("doc_id", F.lit(50)) == 7, F.concat(F.substring(plain, 1, 20))).when(
-        F.pmod("doc_id", F.lit(50)) == 9, F.regexp_replace(plain, '"data_policy"', '"policy"')).otherwise(plain)
+    # Every document has a label to spoil.
+    other = F.array(F.struct(F.lit("l-0").alias("label_id"), F.lit("scene").alias("type"), F.lit("unlabelled").alias("label"), F.lit("null").alias("value")))
+    joined = s.join(labels, "sample_id", "left").withColumn("labels", F.coalesce("labels", other))
+    plain, m = F.to_json(doc), F.pmod("doc_id", F.lit(50))
+    change = lambda old, new: F.regexp_replace(plain, old, new)
+    broken = (
+        F.when(m == 7, F.substring(plain, 1, 20)).when(m == 9, change('"data_policy"', '"policy"'))
+        .when(m == 11, change('"image":\\{', '"image":{"width":5,')).when(m == 13, change('"labels":\\[\\{"label_id":"[^"]*",', '"labels":[{'))
+        .when(m == 15, change('"split":"[a-z]+"', '"split":"test"')).when(m == 17, change('("labels":\\[\\{"label_id":"[^"]*","type":"[^"]*","label":)"[^"]*"', "$1 3"))
+        .when(m == 19, change('"category":"person_religion"', '"category":"religion"')).when(m == 21, change('"samples":.*\\z', '"samples":{}}'))
+        .when(m == 23, change('"image":\\{[^}]*\\}', '"image":"none"')).when(m == 25, change('\\A\\{', '{"samples[].split":"x",')).otherwise(plain))
     return joined.select(F.col("sample_id").alias("path"), broken.alias("payload"))
 
 
-@query("SRC2 RULE7", sql("""
-SELECT sample_id, split, array_to_string(list_sort(slices), ',') AS slices, item_id, relative_path, length(ocr_text) AS text_length, 'person_religion' AS unsupported
-FROM samples WHERE doc_id % 50 NOT IN (7, 9)""", "samples"))
+@query("SRC2 RULE7", sql(f"""
+SELECT sample_id, split, array_to_string(list_sort(CASE WHEN len(slices) > 0 THEN slices ELSE ['meme'] END), ',') AS slices, item_id, relative_path, length(ocr_text) AS text_length, 'person_religion' AS unsupported
+FROM samples WHERE doc_id % 50 NOT IN ({FAULTY})""", "samples"))
 def manifest_scan(spark, sf):
-    good, _ = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_FIELDS)
+    good, _ = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_SHAPE)
     return readers.parse_manifests(good).select(
         "sample_id", "split", F.array_join("slices", ",").alias("slices"), "item_id", "relative_path",
         F.length("ocr_text").cast("bigint").alias("text_length"), F.array_join("unsupported_claims", ",").alias("unsupported"))
 
 
-@query("SRC2 RULE7 RULE8", sql("""
-SELECT sample_id AS path, CASE doc_id % 50 WHEN 7 THEN 'invalid_json' ELSE 'invalid_fields' END AS reason FROM samples WHERE doc_id % 50 IN (7, 9)""", "samples"))
+_FAULT_ROWS = ", ".join(f"({m}, '{path}', '{at}', '{rule}')" for m, faults in MANIFEST_FAULTS.items() for path, at, rule in faults)
+
+
+@query("SRC2 RULE7 RULE8 RULE6", sql(f"""
+SELECT sample_id AS document, f.path, f.place AS at, f.rule FROM samples JOIN (VALUES {_FAULT_ROWS}) f(m, path, place, rule) ON doc_id % 50 = f.m""", "samples"))
 def rejected_manifests(spark, sf):
-    _, bad = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_FIELDS)
-    return bad.select("path", "reason")
+    """One fault at each level of the documents, told with its path and positions."""
+    _, bad = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_SHAPE)
+    return bad.select("document", "path", F.array_join(F.col("at").cast("array<string>"), ",").alias("at"), "rule")
 
 
-@query("SRC2 HSH7", sql("SELECT sample_id, type, label, value FROM truth_labels JOIN samples USING (sample_id) WHERE doc_id % 50 NOT IN (7, 9)", "truth_labels", "samples"))
+@query("SRC2 HSH7", sql(f"SELECT sample_id, type, label, value FROM truth_labels JOIN samples USING (sample_id) WHERE doc_id % 50 NOT IN ({FAULTY}) "
+                        f"UNION ALL SELECT sample_id, 'scene', 'unlabelled', 'null' FROM samples WHERE doc_id % 50 NOT IN ({FAULTY}) AND sample_id NOT IN (SELECT sample_id FROM truth_labels)", "truth_labels", "samples"))
 def manifest_labels(spark, sf):
-    good, _ = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_FIELDS)
+    good, _ = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_SHAPE)
     return readers.manifest_labels(readers.parse_manifests(good)).select("sample_id", "type", "label", "value")
 
 
-@query("JOIN14", sql("SELECT sample_id, unnest(slices) AS slice FROM samples WHERE doc_id % 50 NOT IN (7, 9)", "samples"))
+@query("JOIN14", sql(f"SELECT sample_id, unnest(CASE WHEN len(slices) > 0 THEN slices ELSE ['meme'] END) AS slice FROM samples WHERE doc_id % 50 NOT IN ({FAULTY})", "samples"))
 def manifest_slices(spark, sf):
-    good, _ = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_FIELDS)
+    good, _ = readers.split_strict(manifest_documents(spark, sf), readers.MANIFEST_SHAPE)
     return readers.manifest_slices(readers.parse_manifests(good)).select("sample_id", "slice")
 
 
+# Values of a document's label in truth and prediction, as JSON, by its number modulo 8; the last
+# entries say whether they are one value, and how the truth is told.
+VALUES = [
+    ('1', '"1"', False, '1'), ('true', '"true"', False, 'true'), ('{"b":[1,{"z":null,"y":"é"}],"a":2}', '{"a":2,"b":[1,{"y":"\\u00e9","z":null}]}', True, '{"a":2,"b":[1,{"y":"é","z":null}]}'),
+    ('[1,2]', '[2,1]', False, '[1,2]'), ('"{\\"a\\":1}"', '{"a":1}', False, '"{\\"a\\":1}"'), ('null', 'null', True, 'null'), ('1.50', '1.5', True, '1.5'), ('" "', '""', False, '" "'),
+]
+
+
+def _value_sql(place: int) -> str:
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{row[place]}'" for k, row in enumerate(VALUES)) + " END"
+
+
+@query("JOIN7 HSH7 SRC2 SRC3", f"""
+SELECT 'doc-' || doc_id AS sample_id, {_value_sql(3)} AS truth_value, doc_id % 8 IN ({', '.join(str(k) for k, row in enumerate(VALUES) if row[2])}) AS matched FROM documents""")
+def typed_label_values(spark, sf):
+    """Labels that differ in their JSON value only: types are told apart, the order of fields is not."""
+    d = views.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("sample_id"), F.pmod("doc_id", F.lit(8)).cast("int").alias("m"))
+    pick = lambda place: F.element_at(F.array(*[F.lit(row[place]) for row in VALUES]), F.col("m") + 1)
+    head = '{"schema_version":"1.0.0","dataset_id":"docs","dataset_version":"1.0.0",'
+    m = d.select(F.col("sample_id").alias("path"), F.concat(
+        F.lit(head + '"label_schema_version":"1.1.0","data_policy":"consented_or_authorized","samples":[{"sample_id":"'), "sample_id",
+        F.lit('","split":"eval","slices":["meme"],"image":{"image_id":"i","relative_path":"p"},"ground_truth":{"labels":[{"label_id":"l","type":"object","label":"x","value":'),
+        pick(0), F.lit("}]}}]}")).alias("payload"))
+    p = d.select(F.col("sample_id").alias("path"), F.concat(
+        F.lit(head + '"predictions":[{"sample_id":"'), "sample_id", F.lit('","labels":[{"type":"object","label":"x","confidence":0.5,"value":'), pick(1), F.lit("}]}]}")).alias("payload"))
+    good_m, _ = readers.split_strict(m, readers.MANIFEST_SHAPE)
+    good_p, _ = readers.split_strict(p, readers.PREDICTION_SHAPE)
+    truth = readers.manifest_labels(readers.parse_manifests(good_m))
+    predicted = readers.prediction_labels(readers.parse_predictions(good_p))
+    found = metrics.label_matches(truth, predicted, ["sample_id", "type", "label", "value"]).filter("expected")
+    return found.select("sample_id", F.col("value").alias("truth_value"), F.col("predicted").alias("matched"))
+
+
 @query("SRC3", sql("""
 SELECT 'label' AS part, sample_id, type, label, value, round(confidence, 6) AS confidence FROM pred_labels
 UNION ALL SELECT 'claim', sample_id, key, CAST(length(label) AS VARCHAR), NULL, 0.5 FROM claims""", "pred_labels", "claims"))
 def prediction_scan(spark, sf):
-    value = F.regexp_replace(F.nullif("value", F.lit("null")), '"', "")
-    p = views.pred_labels(spark, sf).groupBy("sample_id").agg(F.collect_list(F.struct("type", "label", "confidence", value.alias("value"))).alias("labels"))
+    p = views.pred_labels(spark, sf).groupBy("sample_id").agg(F.collect_list(F.struct("type", "label", "confidence", "value")).alias("labels"))
+    typed = F.transform("labels", lambda x: F.struct(
+        x["type"].alias("type"), x["label"].alias("label"), x["confidence"].alias("confidence"), F.parse_json(x["value"]).alias("value")))
     c = views.claims(spark, sf).select("sample_id", F.array(F.struct("key", "label", F.lit(0.5).alias("confidence"))).alias("claims"))
     doc = F.struct(F.lit("1.1.0").alias("schema_version"), F.lit("docs").alias("dataset_id"), F.lit("1.0.0").alias("dataset_version"),
-                   F.array(F.struct("sample_id", "labels", F.lit("text").alias("ocr_text"), "claims")).alias("predictions"))
-    docs = p.join(c, "sample_id").select(F.to_json(doc).alias("payload"))
-    good, _ = readers.split_strict(docs, readers.PREDICTION_FIELDS)
+                   F.array(F.struct("sample_id", typed.alias("labels"), F.lit("text").alias("ocr_text"), "claims")).alias("predictions"))
+    docs = p.join(c, "sample_id").select(F.col("sample_id").alias("path"), F.to_json(doc).alias("payload"))
+    good, _ = readers.split_strict(docs, readers.PREDICTION_SHAPE)
     parsed = readers.parse_predictions(good)
     return readers.prediction_labels(parsed).select(
         F.lit("label").alias("part"), "sample_id", "type", "label", "value", F.round("confidence", 6).alias("confidence")).unionByName(
@@ -178,6 +238,21 @@ def prediction_scan(spark, sf):
             F.lit(None).cast("string").alias("value"), "confidence"))
 
 
+@query("SRC3 RULE7", """
+SELECT 'doc-' || doc_id AS document, f.path, f.rule FROM documents JOIN (VALUES (0, 'predictions[].claims[].note', 'unknown_field'), (1, 'predictions[].labels[].confidence', 'wrong_type'),
+  (2, 'predictions[].labels[].type', 'not_allowed'), (3, 'predictions[].sample_id', 'missing_field'), (4, 'predictions[]', 'wrong_type')) f(m, path, rule) ON doc_id % 6 = f.m""")
+def rejected_predictions(spark, sf):
+    faults = [
+        '[{"sample_id":"s","claims":[{"key":"k","label":"l","confidence":1,"note":null}]}]', '[{"sample_id":"s","labels":[{"type":"scene","label":"l","confidence":"0.5"}]}]',
+        '[{"sample_id":"s","labels":[{"type":"colour","label":"l","confidence":0.5,"value":{"any":[1]}}]}]', '[{"labels":[],"ocr_text":null}]', '[["s"]]', '[{"sample_id":"s"}]']
+    body = F.element_at(F.array(*[F.lit(f) for f in faults]), F.pmod("doc_id", F.lit(6)).cast("int") + 1)
+    docs = views.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"),
+        F.concat(F.lit('{"schema_version":"1.1.0","dataset_id":"d","dataset_version":"1.0.0","predictions":'), body, F.lit("}")).alias("payload"))
+    _, bad = readers.split_strict(docs, readers.PREDICTION_SHAPE)
+    return bad.select("document", "path", "rule")
+
+
 def report_documents(spark, sf):
     o = views.table(spark, sf, "orders")
     metric = o.groupBy(F.col("o_custkey").alias("report_id")).agg(
@@ -190,17 +265,31 @@ def report_documents(spark, sf):
     system = F.struct(F.col("hi").alias("p50_latency_ms"), F.when(F.pmod("report_id", F.lit(7)) == 0, F.col("lo") - 1).otherwise(F.col("hi")).alias("p95_latency_ms"), F.lit(1.0).alias("ram_mb"))
     doc = F.struct(F.array(m("max_price", "hi"), m("min_price", "lo")).alias("metrics"), F.lit("benchmark").alias("report_kind"), rep.alias("reproducibility"),
                    F.lit("1.1.0").alias("schema_version"), system.alias("system_metrics"))
-    return metric.select("report_id", F.to_json(doc).alias("payload"))
+    return metric.select("report_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 @query("SRC7", """
 SELECT o_custkey AS report_id, 'max_price' AS name, max(o_totalprice) AS value, count(*) AS sample_count FROM orders GROUP BY 1
 UNION ALL SELECT o_custkey, 'min_price', min(o_totalprice), count(*) FROM orders GROUP BY 1""")
 def metric_report_scan(spark, sf):
-    good, _ = readers.split_strict(report_documents(spark, sf), readers.REPORT_FIELDS)
+    good, _ = readers.split_strict(report_documents(spark, sf), readers.REPORT_SHAPE, "report_id")
     return readers.report_metrics(readers.parse_reports(good)).select("report_id", "name", "value", "sample_count")
 
 
+@query("SRC7 RULE7", """
+SELECT CAST(o_custkey AS VARCHAR) AS document, f.path, f.rule FROM (SELECT DISTINCT o_custkey FROM orders) JOIN (VALUES (0, 'metrics[].unit', 'unknown_field'), (0, 'metrics[].unit', 'unknown_field'),
+  (1, 'reproducibility.config.calibration_bins', 'wrong_type'), (2, 'system_metrics.p95_latency_ms', 'missing_field'), (3, 'metrics[].name', 'missing_field'), (3, 'metrics[].name', 'missing_field'),
+  (4, 'reproducibility.config', 'missing_field')) f(m, path, rule) ON o_custkey % 6 = f.m""")
+def rejected_reports(spark, sf):
+    p, m = F.col("payload"), F.pmod("report_id", F.lit(6))
+    spoiled = (
+        F.when(m == 0, F.regexp_replace(p, '"name":', '"unit":null,"name":')).when(m == 1, F.regexp_replace(p, '"calibration_bins":10', '"calibration_bins":10.5'))
+        .when(m == 2, F.regexp_replace(p, '"p95_latency_ms":[^,]*,', "")).when(m == 3, F.regexp_replace(p, '"name":"[^"]*",', ""))
+        .when(m == 4, F.regexp_replace(p, '"config":\\{[^}]*\\},', "")).otherwise(p))
+    _, bad = readers.split_strict(report_documents(spark, sf).withColumn("payload", spoiled), readers.REPORT_SHAPE, "report_id")
+    return bad.select(F.col("document").cast("string").alias("document"), "path", "rule")
+
+
 @query("RULE10 SRC7", """
 WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT CAST(k AS VARCHAR) AS analysis_id, 'report' AS entity, CAST(k AS VARCHAR) AS entity_id, 'evaluator_version' AS rule FROM c WHERE k % 9 = 0

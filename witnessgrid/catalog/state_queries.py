@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle, runs as run_ops
-from ..sources import readers
+from ..session import shared_path
+from ..sources import readers, writers
 from . import views
 from .registry import query
 from .views import sql
@@ -120,6 +121,39 @@ def state_after_upsert(spark, sf):
     return lifecycle.upsert(old, incoming(spark, sf), "request_no")
 
 
+# -- the same changes, written to a table and read back ------------------------------------
+
+def _table(spark, sf):
+    """A new state table of the existing analyses."""
+    path = shared_path(spark, "state")
+    writers.write_state(existing(spark, sf).withColumn("request_no", F.lit(-1).cast("bigint")).withColumn("status", F.lit("old")), path)
+    return path
+
+
+@query("SNK4", sql("""
+SELECT analysis_id, min(request_no) AS request_no, 'pending' AS status FROM incoming WHERE analysis_id NOT IN (FROM existing) GROUP BY analysis_id
+UNION ALL SELECT analysis_id, -1, 'old' FROM existing""", "incoming", "existing"))
+def stored_inserts(spark, sf):
+    path = _table(spark, sf)
+    fresh, _ = lifecycle.insert_pending(existing(spark, sf), incoming(spark, sf))
+    writers.insert_state(fresh.unionByName(existing(spark, sf).selectExpr("analysis_id", "0L AS request_no", "'again' AS status")), path, ("requests", 1))
+    writers.insert_state(fresh.withColumn("status", F.lit("replayed")), path, ("requests", 1))
+    return readers.read_state(spark, path)
+
+
+@query("SNK5 SNK3", sql("""
+SELECT analysis_id, max(request_no) AS request_no, 'new' AS status FROM incoming GROUP BY analysis_id
+UNION ALL SELECT analysis_id, -1, 'old' FROM existing WHERE analysis_id NOT IN (SELECT analysis_id FROM incoming) AND length(analysis_id) % 2 = 0""", "incoming", "existing"))
+def stored_changes(spark, sf):
+    """Upserts of the newest request of each analysis, then deletes of untouched ones whose id has an odd length."""
+    path = _table(spark, sf)
+    newest = incoming(spark, sf).groupBy("analysis_id").agg(F.max("request_no").alias("request_no")).withColumn("status", F.lit("new"))
+    writers.upsert_state(newest, path, ("requests", 1))
+    now = readers.read_state(spark, path)
+    writers.delete_state(now.filter((F.col("status") == "old") & (F.length("analysis_id") % 2 == 1)), path, ("requests", 2))
+    return readers.read_state(spark, path)
+
+
 # -- evidence gate: customers are runs, their orders stand for the reports they handed in --
 
 _NAMES = ("ocr", "vision", "embedding", "insight", "api_persistence", "e2e", "hardware")

@@ -68,6 +68,15 @@ def norm_sql(expr: str) -> str:
     return f"trim(regexp_replace(nfc_normalize({expr}), '\\s+', ' ', 'g'))"
 
 
+def parts_sql(source: str, keys: str, order: str, part_bytes: int) -> str:
+    """Parts of the pieces in ``source`` (keys, order, text, sep, opens), cut by the rule of ``operators.parts``."""
+    size = "greatest(1, strlen(text) + strlen(sep))"
+    return f"""SELECT {keys}, part_no, string_agg(t, '' ORDER BY {order}) AS payload FROM (
+  SELECT *, CASE WHEN coalesce(lag(opens) OVER w, false) THEN text ELSE sep || text END AS t,
+         CAST((sum({size}) OVER w - {size}) // {part_bytes} AS BIGINT) AS part_no
+  FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})) GROUP BY {keys}, part_no"""
+
+
 # -- items: one per document, an analysis per source ---------------------------------------
 
 def items(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,10 +34,9 @@ def insight_key(type_: Column, kind: Column, key: Column) -> Column:
     return F.concat(type_, F.lit("_"), F.substring(digest(kind, key), 1, 16))
 
 
-def near_duplicate_group_id(member_ids: Column) -> Column:
-    body = F.array_join(F.transform(member_ids, lambda m: F.concat(m, F.lit(_NUL))), "")
-    hashed = F.sha2(F.concat(F.lit(vocab.NEAR_DUPLICATE_TAG + _NUL), body), 256)
-    return F.concat(F.lit("near-duplicate-"), F.substring(hashed, 1, 24))
+def near_duplicate_group_name(digest_hex: Column) -> Column:
+    """Group id from the SHA-256 over the tag and the member ids, each closed by a NUL."""
+    return F.concat(F.lit("near-duplicate-"), F.substring(digest_hex, 1, 24))
 
 
 def content_hash(content: Column) -> Column:

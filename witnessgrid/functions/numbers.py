@@ -63,32 +63,26 @@ def sigmoid_score(cosine: Column, log_scale: float, bias: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(F.exp(F.lit(log_scale)) * cosine + F.lit(bias))))
 
 
-def character_error_rate(ref: Column, pred: Column) -> Column:
-    empty = F.when(F.length(pred) == 0, 0.0).otherwise(1.0)
-    return F.when(F.length(ref) == 0, empty).otherwise(F.levenshtein(ref, pred) / F.length(ref))
+# Bands of the edit distance; a band of width k costs k times the text's length.
+_BANDS = (8, 64, 512)
 
 
-def _codes(reference: str, prediction: str) -> tuple[str, str]:
-    """Both texts with every distinct whitespace token replaced by one character."""
-    seen: dict[str, str] = {}
-    out = []
-    for side in (reference, prediction):
-        # Plane 1 and above: no surrogates, room for about a million distinct tokens a pair.
-        out.append("".join([seen.setdefault(t, chr(0x10000 + len(seen))) for t in side.split()]))
-    return out[0], out[1]
+def edit_distance(left: Column, right: Column) -> Column:
+    """Edit distance by characters. A narrow band is tried first and widened only while the texts
+    lie further apart, so alike texts of any length stay cheap."""
+    tried = [F.nullif(F.levenshtein(left, right, band), F.lit(-1)) for band in _BANDS]
+    return F.coalesce(*tried, F.levenshtein(left, right))
 
 
-@F.pandas_udf(T.StructType([T.StructField("ref", T.StringType()), T.StructField("pred", T.StringType())]))
-def token_codes(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
-    pairs = [
-        (None, None) if r is None or p is None else _codes(r, p) for r, p in zip(reference, prediction)]
-    return pd.DataFrame(pairs, columns=["ref", "pred"])
+def character_error_rate(ref: Column, pred: Column) -> Column:
+    empty = F.when(F.length(pred) == 0, 0.0).otherwise(1.0)
+    return F.when(F.length(ref) == 0, empty).otherwise(edit_distance(ref, pred) / F.length(ref))
 
 
-def word_error_rate(codes: Column) -> Column:
-    """Token edit distance over reference length, on the result of :func:`token_codes`.
+def code_text(codes: Column) -> Column:
+    """An array of token numbers (from 1) as a text of one character each, so that text functions work on tokens.
 
-    One character per token lets the built-in edit distance work on whole tokens. Pass a
-    materialised column (``text.computed``), as it is used several times.
+    Plane 1 and above: no surrogates, and room for about a million distinct tokens.
     """
-    return character_error_rate(codes["ref"], codes["pred"])
+    digits = F.transform(codes, lambda n: F.lpad(F.hex(n + F.lit(0xFFFF)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Every character Python's str.split() and str.strip() treat as whitespace; Java's \s does not.
-_SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
-WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPACES) + "]"
+SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
 
 # Arabic-block letters, digits and punctuation without combining marks, plus common quotes.
 _ARABIC_SAFE = (
@@ -58,12 +58,12 @@ def _or_python(c: Column, jvm: Column, fn: Callable[[str], str], latin: str = _N
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    return F.btrim(c, F.lit(_SPACES))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(F.translate(c, _SPACES, " " * len(_SPACES)), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.translate(c, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def _lower_ss(c: Column) -> Column:

@@ -177,22 +177,8 @@ def support_links(retained: DataFrame) -> DataFrame:
         "analysis_id", "kind", "key", "signal_id", "canonical_item_id", "original_item_id", "confidence")
 
 
-def with_support_arrays(aggregates: DataFrame, links: DataFrame) -> DataFrame:
-    """Aggregates with their sorted id lists.
-
-    Only for analyses within the request limit on items (``items.request_violations``), which
-    is what bounds the lists.
-    """
-    arrays = links.groupBy("analysis_id", "kind", "key").agg(
-        F.array_sort(F.collect_set("canonical_item_id")).alias("supporting_item_ids"),
-        F.array_sort(F.collect_set("original_item_id")).alias("original_item_ids"),
-        F.array_sort(F.collect_set("signal_id")).alias("supporting_signal_ids"),
-    )
-    return aggregates.join(arrays, ["analysis_id", "kind", "key"])
-
-
 def aggregate_violations(aggregates: DataFrame) -> DataFrame:
-    """Self-consistency of theme aggregates; the array checks apply when arrays are present."""
+    """Self-consistency of theme aggregates."""
     c = F.col
     checks = {
         "key_not_canonical": text.aggregation_key(c("key")) == c("key"),
@@ -206,8 +192,5 @@ def aggregate_violations(aggregates: DataFrame) -> DataFrame:
         "consistency": rules.probability(c("cross_item_consistency")),
         "source_count": c("source_diversity") == F.size("sources"),
     }
-    if "supporting_item_ids" in aggregates.columns:
-        checks["item_count"] = c("unique_item_count") == F.size("supporting_item_ids")
-        checks["signal_count"] = c("evidence_count") == F.size("supporting_signal_ids")
     _, broken = rules.apply_rules(aggregates, "aggregate", F.concat_ws(":", "kind", "key"), checks)
     return broken

@@ -27,9 +27,7 @@ def violations(claims: DataFrame, max_claims: int = vocab.MAX_CLAIMS, max_chars:
     )
 
 
-def claim_lists(claims: DataFrame) -> DataFrame:
-    """Claims of an analysis by claim id; valid analyses hold at most ``MAX_CLAIMS``."""
-    fields = ["basis", "category", "claim_id", "consent_confirmed", "source_id", "source_type", "value"]
-    keyed = F.struct(F.col("claim_id").alias("k"), F.struct(*fields).alias("v"))
-    return claims.groupBy("analysis_id").agg(
-        F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["v"]).alias("self_reported_claims"))
+def accepted(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims of analyses whose claims all hold, and the violations; one bad claim fails its analysis."""
+    broken = violations(claims)
+    return rules.drop_failed(claims, broken), broken

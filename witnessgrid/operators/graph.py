@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import vocab
 from ..functions import ids
 from ..session import cut_lineage
-from . import semantic, skew
+from . import digests, semantic, skew
+from .ordered import totals_within
 
 MAX_ROUNDS = 60
 
@@ -72,9 +74,18 @@ def near_duplicate_members(vectors: DataFrame, threshold: float, block_rows: int
 
 
 def near_duplicate_groups(members: DataFrame) -> DataFrame:
-    """One row per group, of any size, with its members in input order and its digest id."""
-    grouped = members.groupBy("analysis_id", "root").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "item_id"))).alias("_m"))
-    item_ids = F.transform("_m", lambda m: m["item_id"])
-    return grouped.select(
-        "analysis_id", ids.near_duplicate_group_id(item_ids).alias("group_id"), item_ids.alias("item_ids"))
+    """(analysis_id, root, group_id, n_members): each group's digest id over its members in input order.
+
+    The members stay rows of :func:`near_duplicate_members`; the digest streams over them.
+    """
+    named = digests.sha256_of(
+        members, ["analysis_id", "root"], ["ordinal"], "item_id", prefix=vocab.NEAR_DUPLICATE_TAG + "\0", after="\0")
+    sizes = members.groupBy("analysis_id", "root").agg(F.count(F.lit(1)).alias("n_members"))
+    return named.join(sizes, ["analysis_id", "root"]).select(
+        "analysis_id", "root", ids.near_duplicate_group_name(F.col("sha256")).alias("group_id"), "n_members")
+
+
+def placed_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members with their group id and 0-based place in the group."""
+    placed = totals_within(members.select("analysis_id", "root", "ordinal", "item_id"), ["analysis_id", "root"], ["ordinal"], {"place": F.lit(1)})
+    return placed.join(groups.select("analysis_id", "root", "group_id"), ["analysis_id", "root"])

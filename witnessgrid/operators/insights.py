@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import ids, numbers, policy
-from . import rules, skew
+from . import parts, rules, skew
 
 
 @dataclass(frozen=True)
@@ -91,35 +91,68 @@ def rank_insights(candidates: DataFrame, sizes: DataFrame | None = None,
     return skew.rank_within(candidates, ["analysis_id"], insight_order(), "rank", sizes, hot_rows)
 
 
-def explanation(item_ids: Column) -> Column:
+def explanation_head() -> Column:
+    """The explanation up to its list of items; the ids and ``EXPLANATION_END`` follow."""
     c = F.col
     return F.format_string(
         "Supported by %d evidence signals across %d/%d images (coverage=%.6f); source_diversity=%d; "
         "cross_image_consistency=%.6f; average_evidence_confidence=%.6f; max_evidence_confidence=%.6f; "
-        "supporting_image_ids=[%s].",
+        "supporting_image_ids=[",
         c("evidence_count"), c("unique_item_count"), c("item_universe_count"), c("item_coverage"),
-        c("source_diversity"), c("cross_item_consistency"), c("average_confidence"),
-        c("max_confidence"), F.array_join(item_ids, ", "),
-    )
+        c("source_diversity"), c("cross_item_consistency"), c("average_confidence"), c("max_confidence"))
 
 
-def finished_violations(insights: DataFrame) -> DataFrame:
-    """Fail mode of the claim policy on finished labels and explanations."""
-    checks = {"label_policy": ~policy.violates(F.col("insight_key"), F.col("insight_label"))}
-    if "explanation" in insights.columns:
-        checks["explanation_policy"] = ~policy.violates(F.col("insight_key"), F.col("explanation"))
-    checks["key_shape"] = rules.key_shape(F.col("insight_key"))
-    _, broken = rules.apply_rules(insights, "insight", F.col("insight_key"), checks)
-    return broken
+EXPLANATION_END = "]."
+
+
+def support_ids(ranked: DataFrame, links: DataFrame) -> DataFrame:
+    """The supporting ids of every insight as rows: analysis_id, insight_key, rank, part (signal or item), id."""
+    found = links.join(ranked.select("analysis_id", "kind", "key", "insight_key", "rank"), ["analysis_id", "kind", "key"])
+    kinds = F.array(*[F.struct(F.lit(part).alias("part"), F.col(c).alias("id")) for part, c in (
+        ("signal", "signal_id"), ("item", "original_item_id"))])
+    return found.select("analysis_id", "insight_key", "rank", F.inline(kinds)).distinct()
 
 
-def summaries(ranked: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One sentence per analysis, in rank order.
+def explanation_parts(ranked: DataFrame, support: DataFrame, part_bytes: int = parts.PART_BYTES) -> DataFrame:
+    """(analysis_id, insight_key, part_no, payload): the explanation sentence of any number of items."""
+    keys, items = ["analysis_id", "insight_key"], support.filter("part = 'item'")
 
-    For analyses within the request limit on items; the limit bounds the labels gathered.
-    """
-    labels = ranked.groupBy("analysis_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "insight_label"))).alias("_l"))
-    joined = analyses.select("analysis_id").distinct().join(labels, "analysis_id", "left")
-    text = F.concat(F.lit(vocab.SUMMARY_PREFIX), F.array_join(F.transform("_l", lambda x: x["insight_label"]), " | "))
-    return joined.select("analysis_id", F.coalesce(text, F.lit(vocab.EMPTY_SUMMARY)).alias("summary"))
+    def order(place: int, own: Column | None = None) -> dict[str, Column]:
+        return {"place": F.lit(place), "own": F.lit("") if own is None else own}
+    rows = parts.piece(ranked, keys, order(0), explanation_head(), opens=True).unionByName(
+        parts.piece(items, keys, order(1, F.col("id")), F.col("id"), between=", ")).unionByName(
+        parts.piece(ranked, keys, order(2), F.lit(EXPLANATION_END)))
+    return parts.cut(rows, keys, ["place", "own"], part_bytes)
+
+
+def finished_violations(insights: DataFrame, support: DataFrame | None = None) -> DataFrame:
+    """Fail mode of the claim policy on finished labels, explanations and the ids they name."""
+    checks = {
+        "label_policy": ~policy.violates(F.col("insight_key"), F.col("insight_label")),
+        "explanation_policy": ~policy.violates(F.col("insight_key"), explanation_head()),
+        "key_shape": rules.key_shape(F.col("insight_key"))}
+    _, broken = rules.apply_rules(insights, "insight", F.col("insight_key"), checks)
+    if support is None:
+        return broken
+    # Ids are parted by a comma, so no phrase reaches from one to the next.
+    named = support.filter("part = 'item'").select("analysis_id", "insight_key", "id")
+    offending = policy.flagged(named, F.lit(None).cast("string"), F.col("id"), "_bad").filter("_bad")
+    return broken.unionByName(rules.violation(
+        offending.select("analysis_id", "insight_key").distinct(), "insight", F.col("insight_key"), "item_id_policy"))
+
+
+def summary_pieces(ranked: DataFrame, analyses: DataFrame, keys: list[str], order, text) -> DataFrame:
+    """Pieces of the summary sentence: ``order(step, rank)`` places them, ``text`` shapes every string."""
+    first = ranked.filter("rank = 1").select("analysis_id", F.lit(True).alias("_any"))
+    heads = analyses.select("analysis_id").distinct().join(first, "analysis_id", "left")
+    begin = F.when(F.col("_any"), F.lit(vocab.SUMMARY_PREFIX)).otherwise(F.lit(vocab.EMPTY_SUMMARY))
+    return parts.piece(heads, keys, order(0, F.lit(0)), text(begin), opens=True).unionByName(
+        parts.piece(ranked, keys, order(1, F.col("rank")), text(F.col("insight_label")), between=" | "))
+
+
+def summary_parts(ranked: DataFrame, analyses: DataFrame, part_bytes: int = parts.PART_BYTES) -> DataFrame:
+    """(analysis_id, part_no, payload): one sentence per analysis, its labels in rank order."""
+    def order(step: int, rank: Column) -> dict[str, Column]:
+        return {"step": F.lit(step), "place": rank.cast("bigint")}
+    rows = summary_pieces(ranked, analyses, ["analysis_id"], order, lambda c: c)
+    return parts.cut(rows, ["analysis_id"], ["step", "place"], part_bytes)

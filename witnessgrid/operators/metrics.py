@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions import numbers, policy, text
+from ..session import stash
 from . import rules, skew
 
 
@@ -76,26 +77,46 @@ def calibration_error(observations: DataFrame, bins: int, keys: Sequence[str] =
         F.coalesce(F.sum("n"), F.lit(0)).alias("sample_count"))
 
 
-def text_error_rates(pairs: DataFrame, ref: str = "reference", pred: str = "prediction") -> DataFrame:
-    """Per-sample character and word error rates, on raw and on cleaned text."""
-    cleaned = text.computed(pairs, _rn=text.ocr_text(F.col(ref)), _pn=text.ocr_text(F.col(pred)))
-    ready = text.computed(
-        cleaned, _w=numbers.token_codes(F.col(ref), F.col(pred)), _nw=numbers.token_codes(F.col("_rn"), F.col("_pn")))
-    c = F.col
-    return ready.select(
-        *pairs.columns,
-        numbers.character_error_rate(c(ref), c(pred)).alias("raw_cer"),
-        numbers.word_error_rate(c("_w")).alias("raw_wer"),
-        numbers.character_error_rate(c("_rn"), c("_pn")).alias("normalized_cer"),
-        numbers.word_error_rate(c("_nw")).alias("normalized_wer"))
+def word_error_rates(pairs: DataFrame, keys: list[str], ref: str, pred: str) -> DataFrame:
+    """(keys, wer): token edit distance over reference length; null if a side is null.
+
+    Tokens are numbered inside their pair, and the numbers become one character each. ``keys`` are unique.
+    """
+    def words(c: str) -> Column:
+        return F.filter(F.split(F.translate(F.col(c), text.SPACES, " " * len(text.SPACES)), " "), lambda w: w != "")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), words(c).alias("words")) for side, c in enumerate((ref, pred))])
+    tokens = pairs.select(*keys, F.inline(sides)).select(*keys, "side", F.posexplode("words").alias("pos", "token"))
+    # One window and one array hold the tokens of a single pair.
+    coded = tokens.withColumn("code", F.dense_rank().over(Window.partitionBy(*keys).orderBy("token")))
+    texts = coded.groupBy(*keys).agg(*[numbers.code_text(F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("side") == side, F.struct("pos", "code")))), lambda t: t["code"])).alias(name) for side, name in enumerate(("_r", "_p"))])
+    found = pairs.select(*keys, (F.col(ref).isNull() | F.col(pred).isNull()).alias("_none")).join(texts, keys, "left")
+    rate = numbers.character_error_rate(F.coalesce("_r", F.lit("")), F.coalesce("_p", F.lit("")))
+    return found.select(*keys, F.when(~F.col("_none"), rate).alias("wer"))
 
 
-def mean_error_rates(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def text_error_rates(pairs: DataFrame, ref: str = "reference", pred: str = "prediction") -> DataFrame:
+    """Per-sample character and word error rates, on raw and on cleaned text; equal pairs are worked out once."""
+    c = F.col
+    cleaned = text.computed(pairs, _rn=text.ocr_text(c(ref)), _pn=text.ocr_text(c(pred)))
+    key = lambda x, y: F.sha2(F.to_json(F.struct(c(x).alias("a"), c(y).alias("b"))), 256)
+    keyed = stash(text.computed(cleaned, _k=key(ref, pred), _n=key("_rn", "_pn")))
+    distinct = keyed.select("_k", c(ref).alias("r"), c(pred).alias("p")).unionByName(
+        keyed.select(c("_n").alias("_k"), c("_rn").alias("r"), c("_pn").alias("p"))).groupBy("_k").agg(F.first("r").alias("r"), F.first("p").alias("p"))
+    words = word_error_rates(distinct, ["_k"], "r", "p")
+    rates = stash(distinct.join(words, "_k").select("_k", numbers.character_error_rate(c("r"), c("p")).alias("cer"), "wer"))
+    raw, normal = (rates.select(c("_k").alias(k), c("cer").alias(f"{name}_cer"), c("wer").alias(f"{name}_wer")) for k, name in (
+        ("_k", "raw"), ("_n", "normalized")))
+    return keyed.join(raw, "_k").join(normal, "_n").select(
+        *pairs.columns, "raw_cer", "raw_wer", "normalized_cer", "normalized_wer")
+
+
+def mean_error_rates(rates: DataFrame, keys: Sequence[str] = (), extra: dict[str, Column] | None = None) -> DataFrame:
     def mean(c: str) -> Column:
         return (numbers.decimal_sum(F.col(c)).cast("double") / F.count(c)).alias(c)
     return rates.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"), mean("raw_cer"), mean("raw_wer"),
-        mean("normalized_cer"), mean("normalized_wer"))
+        mean("normalized_cer"), mean("normalized_wer"), *[value.alias(name) for name, value in (extra or {}).items()])
 
 
 def unsupported_claim_rate(claims: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -261,9 +282,11 @@ def evaluation_report(samples: DataFrame, truth: DataFrame, predicted: DataFrame
         "confidence", F.coalesce("_ok", F.lit(False)).alias("correct"))
     ece = calibration_error(judged, bins)
     rate = unsupported_claim_rate(claims.join(ids, "sample_id", "left_semi"))
+    # A truth text without prediction is a violation (text_violations), and then there is no mean.
     texts = evaluated.filter(c("ocr_text").isNotNull()).join(
-        predicted_text.select("sample_id", c("ocr_text").alias("prediction")), "sample_id").withColumnRenamed("ocr_text", "reference")
-    errors = mean_error_rates(text_error_rates(texts)).filter(c("sample_count") > 0)
+        predicted_text.select("sample_id", c("ocr_text").alias("prediction")), "sample_id", "left").withColumnRenamed("ocr_text", "reference")
+    errors = mean_error_rates(text_error_rates(texts), extra={"_given": F.count("prediction")}).filter(
+        (c("sample_count") > 0) & (c("_given") == c("sample_count")))
     parts = [
         metric(scores, "visual_precision", c("precision"), c("n"), 1.0),
         metric(scores, "visual_recall", c("recall"), c("n"), 1.0),

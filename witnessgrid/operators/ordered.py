@@ -28,3 +28,26 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, Column]) -
     so_far = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranged.join(F.broadcast(offsets), "_p").select(*df.columns, *[
         (F.col(f"{v}_off") + F.sum(v).over(so_far) - F.col(v)).alias(name) for name, v in summed.items()])
+
+
+def totals_within(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Like :func:`running_totals`, starting anew for every value of ``keys``.
+
+    Ranges are cut inside a key too, so a key of any size spreads. Only keys that reach over a
+    border need offsets: at most two of them per partition, which bounds the broadcast.
+    """
+    summed = {name: f"_v{i}" for i, name in enumerate(totals)}
+    marked = df.withColumns({summed[name]: value.cast("bigint") for name, value in totals.items()})
+    ranged = stash(marked.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    whole = ranged.groupBy("_p", *keys).agg(*[F.sum(v).alias(f"{v}_all") for v in summed.values()])
+    same = Window.partitionBy(*keys)
+    before = same.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.withColumn("_parts", F.count(F.lit(1)).over(same)).withColumns(
+        {f"{v}_off": F.sum(f"{v}_all").over(before) for v in summed.values()}).filter("_parts > 1").select(
+        F.col("_p").alias("_at"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"{v}_off" for v in summed.values()])
+    met = F.col("_p") == F.col("_at")
+    for i, k in enumerate(keys):
+        met &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    so_far = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.join(F.broadcast(offsets), met, "left").select(*df.columns, *[
+        (F.coalesce(F.col(f"{v}_off"), F.lit(0)) + F.sum(v).over(so_far) - F.col(v)).alias(name) for name, v in summed.items()])

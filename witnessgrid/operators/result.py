@@ -5,21 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from ..functions.text import computed
-from . import rules, skew
-
-EVIDENCE_DDL = (
-    "struct<confidence:double,id:string,image_id:string,label:string,metadata:string,source:string,type:string,value:string>")
-INSIGHT_DDL = (
-    "struct<confidence:double,evidence_count:bigint,explanation:string,image_coverage:double,key:string,label:string,"
-    "supporting_evidence_ids:array<string>,supporting_image_ids:array<string>,type:string>")
-CLAIM_DDL = (
-    "struct<basis:string,category:string,claim_id:string,consent_confirmed:boolean,source_id:string,source_type:string,value:string>")
-DOCUMENT_DDL = (
-    "insight_policy_version string, personality_profile string, "
-    "result struct<analysis_id:string,images:array<struct<analysis_id:string,evidence:array<" + EVIDENCE_DDL
-    + ">,image_id:string>>,insights:array<" + INSIGHT_DDL + ">,status:string,themes:array<string>>, "
-    "schema_version string, self_reported_claims array<" + CLAIM_DDL + ">, summary string")
+from ..session import stash
+from . import insights, parts, rules, skew
 
 _V1 = ("schema_version", "result", "insight_policy_version", "summary")
 DOCUMENT_FIELDS = {
@@ -102,81 +89,118 @@ def redacted(evidence: DataFrame) -> DataFrame:
         "metadata", F.when(is_text, cleaned).otherwise(F.col("metadata")))
 
 
-def image_results(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence nested per item; an item without evidence keeps an empty list.
+CLAIM_FIELDS = ("basis", "category", "claim_id", "consent_confirmed", "source_id", "source_type", "value")
+_ORDER = ["o1", "o2", "o3", "o4"]
 
-    One item gathers only its own evidence.
-    """
-    c = F.col
-    e = F.struct(
-        "confidence", "id", c("item_id").alias("image_id"), "label", "metadata", "source", "type", "value")
-    per_item = evidence.groupBy("analysis_id", "item_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(c("id").alias("k"), e.alias("v")))), lambda x: x["v"]).alias("_e"))
-    none = F.from_json(F.lit("[]"), f"array<{EVIDENCE_DDL}>")
-    return items.select("analysis_id", "item_id", "ordinal").join(per_item, ["analysis_id", "item_id"], "left").select(
-        "analysis_id", "ordinal",
-        F.struct("analysis_id", F.coalesce("_e", none).alias("evidence"), c("item_id").alias("image_id")).alias("image"))
-
-
-def completed_documents(images: DataFrame, insights: DataFrame, summaries: DataFrame, policy_version: str,
-                        claim_lists: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
-    """Versioned JSON document per completed analysis.
-
-    For analyses within the request limit on items, which bounds one document.
-    ``insights`` needs rank and the id arrays of :func:`aggregate.with_support_arrays`.
+
+def _place(section: int, first: Column | int = 0, step: int = 0, own: Column | str = "") -> dict[str, Column]:
+    return {"o1": F.lit(section), "o2": (F.lit(first) if isinstance(first, int) else first).cast("bigint"), "o3": F.lit(step),
+            "o4": F.lit(own) if isinstance(own, str) else own}
+
+
+def _object(df: DataFrame, fields: dict[str, str]) -> Column:
+    """Columns of ``df`` as a JSON object with keys in order; nulls are written."""
+    return F.to_json(F.struct(*[df[column].alias(name) for name, column in sorted(fields.items())]), {"ignoreNullFields": "false"})
+
+
+def _image_pieces(items: DataFrame, evidence: DataFrame) -> list[DataFrame]:
+    """Evidence inside its item; an item without evidence keeps an empty list."""
+    keys, ordinal = ["analysis_id"], F.col("ordinal")
+    begin = F.concat(F.lit('{"analysis_id":'), parts.json_text(F.col("analysis_id")), F.lit(',"evidence":['))
+    end = F.concat(F.lit('],"image_id":'), parts.json_text(F.col("item_id")), F.lit("}"))
+    rows = evidence.join(items.select("analysis_id", "item_id", "ordinal"), ["analysis_id", "item_id"])
+    fields = {c: c for c in ("confidence", "id", "label", "metadata", "source", "type", "value")} | {"image_id": "item_id"}
+    return [parts.piece(items, keys, _place(2, ordinal), begin, ",", opens=True),
+            parts.piece(rows, keys, _place(2, ordinal, 1, F.col("id")), _object(rows, fields), ","),
+            parts.piece(items, keys, _place(2, ordinal, 2), end)]
+
+
+def _insight_pieces(ranked: DataFrame, support: DataFrame) -> list[DataFrame]:
+    """Insights in rank order, each with its explanation and the ids that support it."""
+    keys, rank, text, inner = ["analysis_id"], F.col("rank"), parts.json_text, parts.json_inner
+    signals, items = (support.filter(F.col("part") == p) for p in ("signal", "item"))
+    begin = F.concat(F.lit('{"confidence":'), text(F.col("confidence")), F.lit(',"evidence_count":'), text(F.col("evidence_count")),
+                     F.lit(',"explanation":"'))
+    middle = F.concat(F.lit(f'{insights.EXPLANATION_END}","image_coverage":'), text(F.col("item_coverage")), F.lit(',"key":'),
+                      text(F.col("insight_key")), F.lit(',"label":'), text(F.col("insight_label")), F.lit(',"supporting_evidence_ids":['))
+    end = F.concat(F.lit('],"type":'), text(F.col("type")), F.lit("}"))
+    return [parts.piece(ranked, keys, _place(4, rank), begin, ","),
+            parts.piece(ranked, keys, _place(4, rank, 1), inner(insights.explanation_head()), opens=True),
+            parts.piece(items, keys, _place(4, rank, 2, F.col("id")), inner(F.col("id")), ", "),
+            parts.piece(ranked, keys, _place(4, rank, 3), middle, opens=True),
+            parts.piece(signals, keys, _place(4, rank, 4, F.col("id")), text(F.col("id")), ","),
+            parts.piece(ranked, keys, _place(4, rank, 5), F.lit('],"supporting_image_ids":['), opens=True),
+            parts.piece(items, keys, _place(4, rank, 6, F.col("id")), text(F.col("id")), ","),
+            parts.piece(ranked, keys, _place(4, rank, 7), end)]
+
+
+def document_parts(items: DataFrame, evidence: DataFrame, ranked: DataFrame, support: DataFrame, policy_version: str,
+                   claims: DataFrame | None = None, profiles: DataFrame | None = None,
+                   part_bytes: int = parts.PART_BYTES) -> DataFrame:
+    """(analysis_id, status, part_no, result_payload): the versioned JSON document of every completed analysis.
+
+    Analyses, insights and lists of ids may have any size: nothing but a part is ever one row.
+    ``evidence`` is redacted; ``support`` comes from :func:`insights.support_ids`; ``claims`` hold valid rows only.
     """
-    c = F.col
-    nested_images = images.groupBy("analysis_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "image"))), lambda x: x["image"]).alias("images"))
-    item = F.struct(
-        "confidence", "evidence_count", "explanation", c("item_coverage").alias("image_coverage"),
-        c("insight_key").alias("key"), c("insight_label").alias("label"),
-        c("supporting_signal_ids").alias("supporting_evidence_ids"), c("original_item_ids").alias("supporting_image_ids"), "type")
-    nested_insights = insights.groupBy("analysis_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(c("rank"), item.alias("i")))), lambda x: x["i"]).alias("insights"))
-    base = nested_images.join(nested_insights, "analysis_id", "left").join(summaries, "analysis_id", "left")
-    claims_col: Column = F.from_json(F.lit("[]"), f"array<{CLAIM_DDL}>")
-    if claim_lists is not None:
-        base = base.join(claim_lists, "analysis_id", "left")
-        claims_col = F.coalesce("self_reported_claims", claims_col)
-    profile_col: Column = F.lit(None).cast("string")
+    keys = ["analysis_id"]
+    base, profile = items.select("analysis_id").distinct(), F.lit("null")
     if profiles is not None:
-        packed = profiles.select(
-            "analysis_id", F.struct(*[x for x in profiles.columns if x != "analysis_id"]).alias("personality_profile"))
-        base = base.join(packed, "analysis_id", "left")
-        profile_col = c("personality_profile")
-    result = F.struct(
-        "analysis_id", "images", F.coalesce("insights", F.from_json(F.lit("[]"), f"array<{INSIGHT_DDL}>")).alias("insights"),
-        F.lit("completed").alias("status"), F.array().cast("array<string>").alias("themes"))
-    document = F.struct(
-        F.lit(policy_version).alias("insight_policy_version"), profile_col.alias("personality_profile"),
-        result.alias("result"), F.lit(vocab.RESULT_SCHEMA_V3).alias("schema_version"),
-        claims_col.alias("self_reported_claims"), F.coalesce("summary", F.lit(vocab.EMPTY_SUMMARY)).alias("summary"))
-    return base.select(
-        "analysis_id", F.lit("completed").alias("status"),
-        F.to_json(document, {"ignoreNullFields": "false"}).alias("result_payload"))
-
-
-def read_documents(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored documents of any known version in the current shape, and the rejected ones."""
+        packed = profiles.select("analysis_id", F.to_json(
+            F.struct(*[x for x in profiles.columns if x != "analysis_id"]), {"ignoreNullFields": "false"}).alias("_profile"))
+        base, profile = base.join(packed, "analysis_id", "left"), F.coalesce("_profile", F.lit("null"))
+    head = F.concat(F.lit('{"insight_policy_version":'), parts.json_text(F.lit(policy_version)), F.lit(',"personality_profile":'), profile,
+                    F.lit(',"result":{"analysis_id":'), parts.json_text(F.col("analysis_id")), F.lit(',"images":['))
+    version = F.lit(f'],"status":"completed","themes":[]}},"schema_version":"{vocab.RESULT_SCHEMA_V3}","self_reported_claims":[')
+    rows = [parts.piece(base, keys, _place(1), head, opens=True), *_image_pieces(items, evidence),
+            parts.piece(base, keys, _place(3), F.lit('],"insights":['), opens=True), *_insight_pieces(ranked, support),
+            parts.piece(base, keys, _place(5), version, opens=True),
+            parts.piece(base, keys, _place(7), F.lit('],"summary":"')),
+            insights.summary_pieces(ranked, base, keys, lambda step, rank: _place(8, rank, step), parts.json_inner),
+            parts.piece(base, keys, _place(9), F.lit('"}'))]
+    if claims is not None:
+        told = _object(claims, {c: c for c in CLAIM_FIELDS})
+        # Claims of an analysis that has no items have no document to be in.
+        rows.append(parts.piece(claims.withColumn("_told", told).join(base.select("analysis_id"), "analysis_id", "left_semi"),
+                                keys, _place(6, own=F.col("claim_id")), F.col("_told"), ","))
+    pieces = rows[0]
+    for more in rows[1:]:
+        pieces = pieces.unionByName(more)
+    cut = parts.cut(pieces, keys, _ORDER, part_bytes)
+    return cut.select("analysis_id", F.lit("completed").alias("status"), "part_no", F.col("payload").alias("result_payload"))
+
+
+def read_documents(stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored document parts of any known version: (headers, leaves, rejected).
+
+    ``stored``: analysis_id, part_no, result_payload. Headers have one row per readable document;
+    leaves (see :func:`parts.leaves`) hold its content as rows; rejected analyses have a reason.
+    """
     c = F.col
-    version = F.get_json_object("result_payload", "$.schema_version")
-    known = version.isin(*DOCUMENT_FIELDS)
+    present = stored.groupBy("analysis_id").agg(F.max(c("result_payload").isNotNull()).alias("present"))
+    found = stash(parts.leaves(stored.select("analysis_id", "part_no", c("result_payload").alias("payload")).filter("payload IS NOT NULL")))
+    top = F.regexp_extract("path", r"\A([^.\[]*)", 1)
+    known = sorted({f for fields in DOCUMENT_FIELDS.values() for f in fields})
+
+    def at(path: str) -> Column:
+        return F.max(F.when((c("path") == path) & (c("kind") == "string"), c("value")))
+    told = found.filter((c("path") != "") | (c("kind") == "error")).groupBy("analysis_id").agg(
+        at("schema_version").alias("schema_version"), at("result.analysis_id").alias("own"), at("insight_policy_version").alias("insight_policy_version"),
+        F.bool_or(~top.isin(*known) | (c("kind") == "error")).alias("other"), *[F.bool_or(top == f).alias(f"has_{f}") for f in known])
     exact = F.lit(False)
     for name, fields in DOCUMENT_FIELDS.items():
-        exact = exact | ((version == name) & rules.closed_fields(c("result_payload"), fields))
-    parsed = computed(state, schema_version=version, _d=F.from_json("result_payload", DOCUMENT_DDL))
-    same_id = c("_d.result.analysis_id") == c("analysis_id")
+        shape = c("schema_version") == name
+        for f in known:
+            shape &= c(f"has_{f}") if f in fields else ~c(f"has_{f}")
+        exact |= shape & ~c("other")
     reason = (
-        F.when(c("result_payload").isNull(), "payload_missing").when(~F.coalesce(known, F.lit(False)), "unknown_version")
-        .when(~F.coalesce(exact, F.lit(False)), "invalid_fields").when(~F.coalesce(same_id, F.lit(False)), "id_mismatch"))
-    checked = computed(parsed, reason=reason)
-    good = checked.filter(c("reason").isNull()).select(
-        "analysis_id", "schema_version", c("_d.insight_policy_version").alias("insight_policy_version"),
-        c("_d.summary").alias("summary"), c("_d.result").alias("result"),
-        F.coalesce("_d.self_reported_claims", F.from_json(F.lit("[]"), f"array<{CLAIM_DDL}>")).alias("self_reported_claims"),
-        c("_d.personality_profile").alias("personality_profile"))
-    return good, checked.filter(c("reason").isNotNull()).select("analysis_id", "reason")
+        F.when(~c("present"), "payload_missing")
+        .when(~F.coalesce(c("schema_version").isin(*DOCUMENT_FIELDS), F.lit(False)), "unknown_version")
+        .when(~F.coalesce(exact, F.lit(False)), "invalid_fields")
+        .when(~F.coalesce(c("own") == c("analysis_id"), F.lit(False)), "id_mismatch"))
+    checked = stash(present.join(told, "analysis_id", "left").withColumn("reason", reason).select(
+        "analysis_id", "schema_version", "insight_policy_version", "reason"))
+    good = checked.filter("reason IS NULL").drop("reason")
+    return good, found.join(good.select("analysis_id"), "analysis_id", "left_semi"), checked.filter("reason IS NOT NULL").select("analysis_id", "reason")
 
 
 def profile_view(insight_results: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -185,10 +209,10 @@ def profile_view(insight_results: DataFrame, profiles: DataFrame) -> DataFrame:
     return insight_results.join(packed, "analysis_id", "left")
 
 
-def evidence_claims(evidence: DataFrame, insights: DataFrame) -> DataFrame:
+def evidence_claims(evidence: DataFrame, finished: DataFrame) -> DataFrame:
     """Everything a result states, as (type, label) claims for policy scoring."""
     return evidence.select("analysis_id", F.col("type").alias("key"), "label").unionByName(
-        insights.select("analysis_id", F.col("type").alias("key"), F.col("insight_label").alias("label")))
+        finished.select("analysis_id", F.col("type").alias("key"), F.col("insight_label").alias("label")))
 
 
 def provider_claims(observations: DataFrame) -> DataFrame:

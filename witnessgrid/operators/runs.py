@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from . import skew
+from . import digests, skew
 
 ALL = "(all)"
 
@@ -99,11 +99,14 @@ def determinism(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per.select(*keys, "runs", F.when(F.col("runs") >= 2, F.col("_lo") == F.col("_hi")).alias("deterministic"))
 
 
-def summary_factuality(results: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Stored summary equals the one rebuilt from the insights."""
-    again = rebuilt.select("analysis_id", F.col("summary").alias("_again"))
-    return results.join(again, "analysis_id", "left").select(
-        "analysis_id", F.coalesce(F.col("summary") == F.col("_again"), F.lit(False)).alias("factual"))
+def summary_factuality(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Stored summary equals the one rebuilt from the insights, by digest, whatever its size.
+
+    ``stored`` and ``rebuilt``: analysis_id, n (order) and text, the pieces of each summary.
+    """
+    was, again = (digests.sha256_of(pieces, ["analysis_id"], ["n"], "text") for pieces in (stored, rebuilt))
+    return was.join(again.withColumnRenamed("sha256", "_again"), "analysis_id", "left").select(
+        "analysis_id", F.coalesce(F.col("sha256") == F.col("_again"), F.lit(False)).alias("factual"))
 
 
 def candidate_comparison(quality: DataFrame, latencies: DataFrame) -> DataFrame:

@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import vocab
-from ..functions import text
-from ..functions import policy
+from ..functions import policy, text
+from ..session import stash
 from . import rules, skew
 
 # Above this many candidate labels the vectors of the labels are joined instead of shipped.
 MAX_SHIPPED_LABELS = 10_000
 # Vectors per block of the exact pairwise comparison (one task holds two blocks).
 BLOCK_ROWS = 2_000
+# Pivots of one cell, levels of cells inside cells, and rows of a cell that one task places.
+MAX_PIVOTS, LEVELS, SPLIT_ROWS = 256, 3, 100_000
 
 
 def norm(vector: Column) -> Column:
@@ -143,18 +145,91 @@ def distinct_vectors(vectors: DataFrame, hot_rows: int = skew.HOT_ROWS) -> tuple
     return groups.select("analysis_id", F.col("rep_ordinal").alias("ordinal"), "embedding"), links
 
 
-def _block_pairs(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """Every vector once per pair of blocks it takes part in; nothing is compared here."""
-    sizes = vectors.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("_n"))
-    counted = skew.lookup(
-        vectors, sizes.withColumn("n_blocks", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")),
-        ["analysis_id"], "_n", spread_by=["ordinal"])
-    own = F.pmod(F.xxhash64("ordinal"), F.col("n_blocks")).cast("int")
+def metric_cells(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every vector in its cell, and in each cell where it may have a partner: analysis_id, cell,
+    ordinal, embedding, home.
+
+    A sample of an analysis' vectors are pivots; a vector's home is the cell of its nearest pivot P.
+    Those nearest to Q lie beyond the bisector of P and Q, and on the sphere x is
+    ``arcsin(x.(P-Q) / |P-Q|)`` away from it, so a partner within the angle ``arccos(threshold)``
+    can be there only if ``x.(P-Q) <= sin(arccos(threshold)) * |P-Q|``. Each pair meets once: in the
+    home of the one with the higher pivot, where the other one is a visitor. Cells of more than
+    ``block_rows`` homes are split again, with pivots of their own, up to ``LEVELS`` times.
+    """
+    rows = vectors.select("analysis_id", F.lit(0).cast("bigint").alias("cell"), "ordinal", "embedding", F.lit(True).alias("home"))
+    for level in range(LEVELS):
+        sizes = rows.groupBy("analysis_id", "cell").agg(F.count_if("home").alias("_n"), F.count(F.lit(1)).alias("_all"))
+        big = stash(sizes.filter(F.col("_n") > block_rows))
+        if big.isEmpty():
+            break
+        found = stash(_split(rows, big, threshold, block_rows, level))
+        # A big cell bounds the shuffle of the rest: both joins only tell rows of big cells apart.
+        rest = rows.join(big.select("analysis_id", "cell"), ["analysis_id", "cell"], "left_anti")
+        rows = stash(rest.unionByName(found))
+    return rows
+
+
+def _split(rows: DataFrame, big: DataFrame, threshold: float, block_rows: int, level: int) -> DataFrame:
+    """The rows of ``big`` cells in smaller cells around pivots of their own."""
+    names = ["analysis_id", "cell", "_salt", "_kind", "ordinal", "embedding", "home"]
+    sized = skew.lookup(rows, big.withColumn("_rows", F.col("_all")), ["analysis_id", "cell"], "_all", spread_by=["ordinal"], how="inner")
+    salts = F.ceil(F.col("_rows") / F.lit(SPLIT_ROWS)).cast("bigint")
+    mixed = F.xxhash64("ordinal", F.lit(level))
+    chance = F.least(F.lit(float(MAX_PIVOTS)), 2 * F.ceil(F.col("_n") / F.lit(block_rows))) / F.col("_n")
+    pivots = sized.filter(F.col("home") & (F.pmod(mixed, F.lit(1 << 30)) < chance * float(1 << 30))).select(
+        "analysis_id", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_salt"), F.lit(0).alias("_kind"), "ordinal", "embedding", "home")
+    placed = sized.select("analysis_id", "cell", F.pmod(F.xxhash64("ordinal"), salts).alias("_salt"), F.lit(1).alias("_kind"), "ordinal", "embedding", "home")
+    stream = pivots.unionByName(placed).repartition("analysis_id", "cell", "_salt").sortWithinPartitions(*names[:5])
+    slack = 1e-4
+    reach = 2.0 if threshold <= 0 else float(np.sqrt(1 - min(1.0, threshold) ** 2))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, heads = None, []
+        matrix = apart = None
+        for batch in batches:
+            for key, part in batch.groupby(["analysis_id", "cell", "_salt"], sort=False, dropna=False):
+                if key != now:
+                    now, heads, matrix = key, [], None
+                heads += part.loc[part["_kind"] == 0, "embedding"].tolist()
+                part = part[part["_kind"] == 1]
+                if not len(part):
+                    continue
+                x = np.stack(part["embedding"].to_numpy()).astype("float64")
+                if matrix is None:  # sorted: all pivots come before the first vector
+                    matrix = np.stack(heads).astype("float64") if heads else np.zeros((1, x.shape[1]))
+                    apart = np.sqrt(np.maximum(0, ((matrix[:, None] - matrix[None]) ** 2).sum(-1)))
+                dots = x @ matrix.T
+                own = dots.argmax(axis=1)
+                home = part["home"].to_numpy()
+                near = dots[np.arange(len(x)), own][:, None] - dots <= reach * apart[own] + slack
+                later = np.arange(len(matrix))[None] > own[:, None]
+                i, sub = np.nonzero(near & (later | ~home[:, None]))
+                stays = np.flatnonzero(home)
+                i, sub, is_home = np.r_[stays, i], np.r_[own[stays], sub], np.r_[np.ones(len(stays), bool), np.zeros(len(i), bool)]
+                yield pd.DataFrame({
+                    "analysis_id": part["analysis_id"].to_numpy()[i], "cell": part["cell"].to_numpy()[i], "sub": sub.astype("int64"),
+                    "ordinal": part["ordinal"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i], "home": is_home})
+    out = stream.mapInPandas(
+        place, f"analysis_id string, cell bigint, sub bigint, ordinal bigint, embedding {rows.schema['embedding'].dataType.simpleString()}, home boolean")
+    return out.withColumn("cell", F.xxhash64("cell", "sub", F.lit(level))).drop("sub")
+
+
+def _block_pairs(cells: DataFrame, block_rows: int) -> DataFrame:
+    """Every row once per pair of blocks it takes part in; nothing is compared here.
+
+    Home blocks of a cell come first; each meets itself, later home blocks and the visitors' blocks.
+    """
+    sizes = cells.groupBy("analysis_id", "cell").agg(F.count_if("home").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
+    sized = sizes.withColumns({"homes": blocks(F.col("_h")), "guests": blocks(F.col("_n") - F.col("_h"))}).drop("_h")
+    counted = skew.lookup(cells, sized, ["analysis_id", "cell"], "_n", spread_by=["ordinal"]).filter("homes > 0")
+    spread = F.xxhash64("ordinal")
+    own = F.when(F.col("home"), F.pmod(spread, F.col("homes"))).otherwise(F.col("homes") + F.pmod(spread, F.col("guests"))).cast("int")
     placed = counted.withColumn("_own", own)
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("n_blocks") - 1),
-        lambda o: F.struct(F.least(o, F.col("_own")).alias("bi"), F.greatest(o, F.col("_own")).alias("bj")))
-    return placed.select("analysis_id", "ordinal", "embedding", "_own", F.inline(pair))
+    last = F.when(F.col("home"), F.col("homes") + F.col("guests") - 1).otherwise(F.col("homes") - 1)
+    pair = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(
+        F.least(o, F.col("_own")).alias("bi"), F.greatest(o, F.col("_own")).alias("bj")))
+    return placed.select("analysis_id", "cell", "ordinal", "embedding", "_own", F.inline(pair))
 
 
 def _compare(threshold: float, spanning: bool):
@@ -203,13 +278,13 @@ def similar_pairs(vectors: DataFrame, threshold: float = vocab.NEAR_DUPLICATE_TH
                   block_rows: int = BLOCK_ROWS, spanning: bool = False) -> DataFrame:
     """Pairs of items (left before right) whose cosine reaches the threshold, exactly.
 
-    Vectors are hashed into blocks of bounded size and each task multiplies two blocks, so
-    pairs below the threshold never become rows. With ``spanning`` a task reports only edges
-    that connect its components - at most as many as it has vectors - which is all that
-    grouping needs.
+    Only vectors whose cells can hold a pair meet (:func:`metric_cells`); cells are cut into
+    blocks of bounded size and each task multiplies two blocks, so pairs below the threshold never
+    become rows. With ``spanning`` a task reports only edges that connect its components - at
+    most as many as it has vectors - which is all that grouping needs.
     """
-    edges = _block_pairs(vectors.select("analysis_id", "ordinal", "embedding"), block_rows)
-    return edges.groupBy("analysis_id", "bi", "bj").applyInPandas(
+    cells = metric_cells(vectors.select("analysis_id", F.col("ordinal").cast("bigint").alias("ordinal"), "embedding"), threshold, block_rows)
+    return _block_pairs(cells, block_rows).groupBy("analysis_id", "cell", "bi", "bj").applyInPandas(
         _compare(threshold, spanning), "analysis_id string, left bigint, right bigint, similarity double")
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from .ordered import totals_within
 
 # A key with more rows than this is "hot". At most total_rows / HOT_ROWS keys can be hot,
 # which is what bounds every broadcast of hot keys below.
 HOT_ROWS = 1_000_000
-_SPLITTERS = 512
 
 
 def lookup(big: DataFrame, table: DataFrame, keys: list[str], size: str,
@@ -54,42 +53,14 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str =
     ``order`` must be a total order of ascending expressions (negate numbers for descending).
     ``sizes`` is any frame with some of the key columns whose groups are at least as large as
     those of ``df``; it is only counted. When no group is hot a plain window does the work;
-    otherwise hot groups are cut at splitters and ranked piecewise.
+    otherwise rows are range-partitioned by (keys, order), so a group is cut where it is large, and
+    the counts of the parts before become offsets (:func:`ordered.totals_within`).
     """
     if not has_hot_group(df if sizes is None else sizes, keys, hot_rows):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return _rank_with_splitters(df, keys, order, name, hot_rows)
-
-
-def _rank_with_splitters(df: DataFrame, keys: list[str], order: list[Column], name: str,
-                         hot_rows: int) -> DataFrame:
-    # Read four times below, so it is written once; this also pins the rows that get ranked.
-    ordered = cut_lineage(df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])))
-    hot = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    # About _SPLITTERS order values per hot key, chosen by hash so that reruns agree.
-    stride = F.greatest(F.lit(1), (F.col("_n") / _SPLITTERS).cast("bigint"))
-    splitters = (
-        ordered.join(F.broadcast(hot), keys)
-        .filter(F.pmod(F.xxhash64("_o"), stride) == 0)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
-    )
-    marked = ordered.join(F.broadcast(splitters), keys, "left").withColumn(
-        "_b",
-        F.when(F.col("_cuts").isNull(), 0)
-        .otherwise(F.size(F.filter("_cuts", lambda cut: cut < F.col("_o")))),
-    )
-    local = Window.partitionBy(*keys, "_b").orderBy("_o")
-    # Window over at most _SPLITTERS-many pieces of a hot key.
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.filter(F.col("_cuts").isNotNull()).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .select(*keys, "_b", "_off")
-    )
-    ranked = marked.withColumn("_rn", F.row_number().over(local))
-    return ranked.join(F.broadcast(offsets), [*keys, "_b"], "left").select(
-        *df.columns, (F.col("_rn") + F.coalesce("_off", F.lit(0))).cast("int").alias(name)
-    )
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    placed = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
+    ranked = totals_within(placed, keys, [f"_o{i}" for i in range(len(order))], {name: F.lit(1)})
+    return ranked.withColumn(name, F.col(name) + 1).drop(*[f"_o{i}" for i in range(len(order))])
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "row_index",

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids
-from ..operators import aggregate, insights as ins, items as item_ops, result, rules
-from ..session import cut_lineage
+from ..operators import aggregate, insights as ins, items as item_ops, parts, result, rules
+from ..session import cut_lineage, stash
 
 
 def retained_signals(evidence: DataFrame, similarities: DataFrame | None = None) -> DataFrame:
@@ -57,19 +57,17 @@ def analyse(items: DataFrame, evidence: DataFrame, policy: ins.SupportPolicy = i
     return Analysis(items, usable, retained, themes, ranked, broken.unionByName(refused))
 
 
-def explained(insights: DataFrame, retained: DataFrame) -> DataFrame:
-    """Insights with id lists and the explanation sentence (of every size)."""
-    full = aggregate.with_support_arrays(insights, aggregate.support_links(retained))
-    return full.withColumn("explanation", ins.explanation(F.col("original_item_ids")))
+def supporting_ids(insights: DataFrame, retained: DataFrame) -> DataFrame:
+    """The ids behind every insight, one row each."""
+    return ins.support_ids(insights, aggregate.support_links(retained))
 
 
-def documents(run: Analysis, policy: ins.SupportPolicy = ins.SupportPolicy(), claim_lists: DataFrame | None = None,
-              profiles: DataFrame | None = None) -> DataFrame:
-    """Redacted, versioned result documents of all analyses."""
-    told = explained(run.insights, run.retained)
-    return result.completed_documents(
-        result.image_results(run.items, result.redacted(run.evidence)), told, ins.summaries(run.insights, run.items), policy.version,
-        claim_lists, profiles)
+def documents(run: Analysis, policy: ins.SupportPolicy = ins.SupportPolicy(), claims: DataFrame | None = None,
+              profiles: DataFrame | None = None, part_bytes: int = parts.PART_BYTES) -> DataFrame:
+    """Redacted, versioned result documents of all analyses, in parts."""
+    support = stash(supporting_ids(run.insights, run.retained))
+    return result.document_parts(
+        run.items, result.redacted(run.evidence), run.insights, support, policy.version, claims, profiles, part_bytes)
 
 
 def items_from_text(df: DataFrame) -> DataFrame:

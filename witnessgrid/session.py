@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +29,31 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, so that a job may start from any folder."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="package-")  # on the driver only; Spark hands it out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "witnessgrid.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for place, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(place, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

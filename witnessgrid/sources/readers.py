@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab
 from ..functions.text import computed, strip
-from ..operators import items as item_ops, rules
+from ..operators import items as item_ops, json_shape, rules
+from ..operators.json_shape import Field
+from ..session import stash
+from . import keyed_table
 
 # -- item bytes ----------------------------------------------------------------------------
 
@@ -30,7 +33,7 @@ def raw_items(df: DataFrame) -> DataFrame:
 
 # -- evaluation manifests and predictions --------------------------------------------------
 
-_LABEL = "struct<label_id:string,type:string,label:string,value:string>"
+_LABEL = "struct<label_id:string,type:string,label:string,value:variant>"
 _TRUTH = (
     f"struct<labels:array<{_LABEL}>,ocr_text:string,unsupported_claims:array<struct<category:string>>>")
 MANIFEST_DDL = (
@@ -39,11 +42,50 @@ MANIFEST_DDL = (
     f"image:struct<image_id:string,relative_path:string>,ground_truth:{_TRUTH}>>")
 PREDICTION_DDL = (
     "schema_version string, dataset_id string, dataset_version string, predictions array<struct<sample_id:string,"
-    "labels:array<struct<type:string,label:string,confidence:double,value:string>>,ocr_text:string,"
+    "labels:array<struct<type:string,label:string,confidence:double,value:variant>>,ocr_text:string,"
     "claims:array<struct<key:string,label:string,confidence:double>>>>")
-MANIFEST_FIELDS = ("schema_version", "dataset_id", "dataset_version", "label_schema_version", "data_policy", "samples")
-PREDICTION_FIELDS = ("schema_version", "dataset_id", "dataset_version", "predictions")
-REPORT_FIELDS = ("schema_version", "report_kind", "reproducibility", "metrics", "system_metrics")
+
+
+def _fields(*rows: tuple) -> tuple[Field, ...]:
+    return tuple(Field(path, tuple(kinds.split("|")), need, tuple(values)) for path, kinds, need, values in rows)
+
+
+# The documents' fields at every level; (path, kinds, required, allowed values).
+MANIFEST_SHAPE = _fields(
+    ("", "object", True, ()), ("schema_version", "string", True, ()), ("dataset_id", "string", True, ()),
+    ("dataset_version", "string", True, ()), ("label_schema_version", "string", True, ()), ("data_policy", "string", True, ()),
+    ("samples", "array", True, ()), ("samples[]", "object", True, ()), ("samples[].sample_id", "string", True, ()),
+    ("samples[].split", "string", True, ("train", "eval")), ("samples[].slices", "array", True, ()),
+    ("samples[].slices[]", "string", True, vocab.SLICES), ("samples[].image", "object", True, ()),
+    ("samples[].image.image_id", "string", True, ()), ("samples[].image.relative_path", "string", True, ()),
+    ("samples[].ground_truth", "object", True, ()), ("samples[].ground_truth.labels", "array", False, ()),
+    ("samples[].ground_truth.labels[]", "object", True, ()), ("samples[].ground_truth.labels[].label_id", "string", True, ()),
+    ("samples[].ground_truth.labels[].type", "string", True, vocab.EVAL_LABEL_TYPES),
+    ("samples[].ground_truth.labels[].label", "string", True, ()), ("samples[].ground_truth.labels[].value", "any", False, ()),
+    ("samples[].ground_truth.ocr_text", "string|null", False, ()), ("samples[].ground_truth.unsupported_claims", "array", False, ()),
+    ("samples[].ground_truth.unsupported_claims[]", "object", True, ()),
+    ("samples[].ground_truth.unsupported_claims[].category", "string", True, vocab.UNSUPPORTED_CATEGORIES))
+PREDICTION_SHAPE = _fields(
+    ("", "object", True, ()), ("schema_version", "string", True, ()), ("dataset_id", "string", True, ()),
+    ("dataset_version", "string", True, ()), ("predictions", "array", True, ()), ("predictions[]", "object", True, ()),
+    ("predictions[].sample_id", "string", True, ()), ("predictions[].labels", "array", False, ()),
+    ("predictions[].labels[]", "object", True, ()), ("predictions[].labels[].type", "string", True, vocab.EVAL_LABEL_TYPES),
+    ("predictions[].labels[].label", "string", True, ()), ("predictions[].labels[].confidence", "number", True, ()),
+    ("predictions[].labels[].value", "any", False, ()), ("predictions[].ocr_text", "string|null", False, ()),
+    ("predictions[].claims", "array", False, ()), ("predictions[].claims[]", "object", True, ()),
+    ("predictions[].claims[].key", "string", True, ()), ("predictions[].claims[].label", "string", True, ()),
+    ("predictions[].claims[].confidence", "number", True, ()))
+REPORT_SHAPE = _fields(
+    ("", "object", True, ()), ("schema_version", "string", True, ()), ("report_kind", "string", True, ()),
+    ("reproducibility", "object", True, ()), ("reproducibility.config", "object", True, ()),
+    ("reproducibility.config.calibration_bins", "integer", True, ()), ("reproducibility.config.evaluator_version", "string", True, ()),
+    ("reproducibility.dataset_content_fingerprint", "string|null", False, ()), ("reproducibility.dataset_id", "string", True, ()),
+    ("reproducibility.dataset_version", "string", True, ()), ("reproducibility.evaluator_version", "string", True, ()),
+    ("reproducibility.manifest_fingerprint", "string", True, ()), ("metrics", "array", True, ()), ("metrics[]", "object", True, ()),
+    ("metrics[].maximum", "number|null", True, ()), ("metrics[].minimum", "number|null", True, ()), ("metrics[].name", "string", True, ()),
+    ("metrics[].sample_count", "integer", True, ()), ("metrics[].value", "number", True, ()), ("system_metrics", "object|null", True, ()),
+    ("system_metrics.p50_latency_ms", "number", True, ()), ("system_metrics.p95_latency_ms", "number", True, ()),
+    ("system_metrics.ram_mb", "number|null", True, ()), ("system_metrics.vram_mb", "number|null", False, ()))
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -52,15 +94,15 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
-def split_strict(documents: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Documents with exactly the wanted top-level fields, and the rejected ones with a reason."""
-    p = F.col("payload")
-    keys = F.json_object_keys(p)
-    reason = (
-        F.when(~F.coalesce(rules.json_compatible(p), F.lit(False)) | keys.isNull(), "invalid_json")
-        .when(~rules.closed_fields(p, fields), "invalid_fields"))
-    marked = computed(documents, reason=reason)
-    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+def split_strict(documents: DataFrame, shape: tuple[Field, ...], key: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Documents that follow the shape at every level, and the faults of the others: key, path, at, rule.
+
+    ``key`` names a unique column of ``documents``; its faults come out under the name ``document``.
+    """
+    named = documents.select(F.col(key).alias("document"), "payload")
+    faults = stash(json_shape.violations(named, "document", shape))
+    bad = faults.select(F.col("document").alias(key)).distinct()
+    return documents.join(bad, key, "left_anti"), faults
 
 
 def parse_manifests(documents: DataFrame) -> DataFrame:
@@ -74,22 +116,15 @@ def parse_manifests(documents: DataFrame) -> DataFrame:
 
 
 def manifest_labels(samples: DataFrame) -> DataFrame:
-    """Truth labels, one row each; a JSON string value keeps its canonical JSON text."""
+    """Truth labels, one row each; a value is told by its canonical JSON text, so "1" and 1 differ."""
     return samples.select("dataset_id", "sample_id", "split", F.explode("labels").alias("l")).select(
-        "dataset_id", "sample_id", "split", "l.label_id", "l.type", "l.label", json_value(F.col("l.value")).alias("value"))
+        "dataset_id", "sample_id", "split", "l.label_id", "l.type", "l.label", json_shape.canonical(F.col("l.value")).alias("value"))
 
 
 def manifest_slices(samples: DataFrame) -> DataFrame:
     return samples.select("dataset_id", "sample_id", F.explode("slices").alias("slice"))
 
 
-def json_value(c: Column) -> Column:
-    """Canonical JSON of a value read as text: numbers, booleans, objects as they stand."""
-    literal = c.rlike(r"\A(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|\{[\s\S]*\}|\[[\s\S]*\])\z")
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(c.isNull(), "null").when(literal, c).otherwise(quoted)
-
-
 def parse_predictions(documents: DataFrame) -> DataFrame:
     p = computed(documents, _p=F.from_json("payload", PREDICTION_DDL))
     return p.select("_p.dataset_id", "_p.dataset_version", F.explode("_p.predictions").alias("s")).select(
@@ -98,7 +133,7 @@ def parse_predictions(documents: DataFrame) -> DataFrame:
 
 def prediction_labels(predictions: DataFrame) -> DataFrame:
     return predictions.select("dataset_id", "dataset_version", "sample_id", F.explode("labels").alias("l")).select(
-        "dataset_id", "dataset_version", "sample_id", "l.type", "l.label", json_value(F.col("l.value")).alias("value"), "l.confidence")
+        "dataset_id", "dataset_version", "sample_id", "l.type", "l.label", json_shape.canonical(F.col("l.value")).alias("value"), "l.confidence")
 
 
 def prediction_claims(predictions: DataFrame) -> DataFrame:
@@ -230,22 +265,9 @@ def parse_structured_output(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # -- state ---------------------------------------------------------------------------------
 
-STATE_BUCKETS = 64
-
-
-def state_bucket(key) -> F.Column:
-    """Bucket of a key in a state table, whatever the row's status."""
-    return F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
-
-
 def read_state(spark: SparkSession, path: str, status: str | None = None, analysis_id: str | None = None) -> DataFrame:
-    """State rows; the filters reach the scan, and an id reads its own bucket only."""
-    rows = spark.read.parquet(path).filter(F.col("analysis_id").isNotNull())
-    if status is not None:
-        rows = rows.filter(F.col("status") == status)
-    if analysis_id is not None:
-        rows = rows.filter((F.col("analysis_id") == analysis_id) & (F.col("bucket") == state_bucket(F.lit(analysis_id))))
-    return rows.drop("bucket")
+    """State rows of the newest version; the status reaches the scan, and an id opens its own bucket only."""
+    return find_state(keyed_table.read(spark, path, analysis_id), status)
 
 
 def find_state(state: DataFrame, status: str | None = None, analysis_id: str | None = None) -> DataFrame:

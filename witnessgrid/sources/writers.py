@@ -5,50 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids
-from ..session import stash
-from .readers import read_state, state_bucket
+from . import keyed_table
 
+# Every change below is one atomic commit of a keyed table; ``batch`` (writer, number) makes it repeatable.
+Batch = tuple[str, int] | None
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", state_bucket(F.col("analysis_id")))
 
+def write_state(state: DataFrame, path: str, buckets: int = 8) -> None:
+    """A new state table, keyed by analysis."""
+    keyed_table.create(state, path, "analysis_id", buckets)
 
-def write_state(state: DataFrame, path: str) -> None:
-    """State table in hash buckets of its key; a row keeps its bucket whatever its status."""
-    _bucketed(state).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
+def insert_state(rows: DataFrame, path: str, batch: Batch = None) -> bool:
+    """Adds rows of analyses that the table does not have yet."""
+    return keyed_table.insert(rows, path, batch)
 
-def _rewrite(current: DataFrame, changed: DataFrame, added: DataFrame | None, path: str) -> None:
-    """Writes the buckets of ``changed`` keys anew: their other rows, and ``added``.
 
-    The new content is written to the shared folder first, as it comes from the table being
-    replaced. A row without key stands in for a bucket that would be empty, since an overwrite
-    leaves out what gets no row.
-    """
-    touched = stash(_bucketed(changed.select("analysis_id").distinct()))
-    buckets = touched.select("bucket").distinct()
-    kept = _bucketed(current).join(buckets, "bucket", "left_semi").join(touched.select("analysis_id"), "analysis_id", "left_anti")
-    rows = kept if added is None else kept.unionByName(_bucketed(added))
-    rows = stash(rows)
-    empty = buckets.join(rows.select("bucket").distinct(), "bucket", "left_anti")
-    blank = empty.select(*[F.lit(None).cast(t).alias(c) if c != "bucket" else F.col(c) for c, t in rows.dtypes])
-    stash(rows.unionByName(blank)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def upsert_state(changes: DataFrame, path: str) -> None:
-    """Replaces the rows of the keys in ``changes`` and adds new ones; other rows stay. One row per key."""
-    changes = stash(changes.select(*read_state(changes.sparkSession, path).columns))
-    _rewrite(read_state(changes.sparkSession, path), changes, changes, path)
+def upsert_state(changes: DataFrame, path: str, batch: Batch = None) -> bool:
+    """Replaces the rows of the keys in ``changes`` and adds new ones; other rows stay."""
+    return keyed_table.upsert(changes, path, batch)
 
 
-def delete_state(keys: DataFrame, path: str) -> None:
+def delete_state(keys: DataFrame, path: str, batch: Batch = None) -> bool:
     """Removes the rows of the keys in ``keys``."""
-    _rewrite(read_state(keys.sparkSession, path), keys, None, path)
+    return keyed_table.delete(keys, path, batch)
 
 
-def write_completed(documents: DataFrame, path: str) -> None:
-    """Merges completed documents into the table; anything else is refused by the filter."""
-    upsert_state(documents.filter((F.col("status") == "completed") & F.col("result_payload").isNotNull()), path)
+def write_completed(documents: DataFrame, path: str, batch: Batch = None) -> bool:
+    """Merges completed documents, whole or in parts, into the table; anything else is refused by the filter.
+
+    All parts of a document are one key, so a document is replaced as a whole.
+    """
+    return upsert_state(documents.filter((F.col("status") == "completed") & F.col("result_payload").isNotNull()), path, batch)
 
 
 def report_lines(metrics: DataFrame, id_col: str = "report_id") -> DataFrame:
