@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, policy, text
-from ..operators import dataset, metrics, runs as run_ops
+from ..operators import dataset, metrics, runs as run_ops, semantic
 from . import views
 from .registry import query
 from .views import sql
@@ -369,7 +369,8 @@ def plain_labels(spark, sf):
 @query("AGG21 STR9 ARR1", sql("""
 SELECT type, label, CAST(row_number() OVER (PARTITION BY type ORDER BY lower(label), label) AS INTEGER) AS position FROM taxonomy""", "taxonomy"))
 def train_taxonomy(spark, sf):
-    return dataset.ordered_taxonomy(dataset.train_taxonomy(views.samples(spark, sf), plain_labels(spark, sf)))
+    ordered = dataset.ordered_taxonomy(dataset.train_taxonomy(views.samples(spark, sf), plain_labels(spark, sf)))
+    return ordered.withColumn("position", F.col("position").cast("int"))
 
 
 @query("RULE25", """
@@ -383,6 +384,29 @@ def taxonomy_violations(spark, sf):
     return dataset.taxonomy_violations(t)
 
 
+@query("RULE25", "SELECT '' AS type, '' AS label, 'no_labels' AS rule")
+def empty_taxonomy_violations(spark, sf):
+    """A vocabulary that no label of the table gets into."""
+    labels = plain_labels(spark, sf).filter("label IS NULL")
+    return dataset.taxonomy_violations(dataset.train_taxonomy(views.samples(spark, sf), labels))
+
+
+@query("RULE25", """
+WITH l AS (SELECT source AS a, CASE doc_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'Theme ' ELSE 'THEME  ' END || lang
+  WHEN 2 THEN 'Person religion = ' || lang ELSE 't' || doc_id END AS label FROM documents),
+k AS (SELECT *, lower(trim(regexp_replace(label, '\\s+', ' ', 'g'))) AS key FROM l)
+SELECT a AS analysis_id, 'label' AS entity, label AS entity_id, 'blank' AS rule FROM k WHERE key = ''
+UNION ALL SELECT a, 'label', label, 'claim_policy' FROM k WHERE label LIKE 'Person religion%'
+UNION ALL SELECT a, 'label', key, 'duplicate_label' FROM k GROUP BY ALL HAVING count(*) > 1""")
+def theme_label_violations(spark, sf):
+    """Theme labels: not blank, inside the claim policy, unique after normalisation."""
+    m, lang = F.pmod("doc_id", F.lit(5)), F.col("lang")
+    label = (
+        F.when(m == 0, " ").when(m == 1, F.concat(F.when(F.pmod("doc_id", F.lit(2)) == 0, "Theme ").otherwise("THEME  "), lang))
+        .when(m == 2, F.concat(F.lit("Person religion = "), lang)).otherwise(F.concat(F.lit("t"), F.col("doc_id").cast("string"))))
+    return semantic.label_violations(views.table(spark, sf, "documents").select(F.col("source").alias("analysis_id"), label.alias("label")))
+
+
 @query("AGG22 JOIN13", sql("""
 WITH k AS (SELECT unnest(['scene', 'object', 'activity', 'topic']) AS type),
 e AS (SELECT l.type, coalesce(nullif(replace(CASE WHEN value = 'null' THEN '' ELSE value END, '"', ''), ''), label) AS label

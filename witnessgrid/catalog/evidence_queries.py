@@ -237,6 +237,16 @@ def evidence_graph_violations(spark, sf):
     return result.evidence_violations(views.evidence(spark, sf), views.items(spark, sf))
 
 
+@query("JOIN10", sql("""
+SELECT analysis_id, 'evidence' AS entity, id AS entity_id, 'duplicate_evidence' AS rule FROM evidence WHERE confidence > 0.9
+UNION ALL SELECT analysis_id, 'evidence', id, 'unknown_item' FROM (SELECT * FROM evidence UNION ALL SELECT * FROM evidence WHERE confidence > 0.9)
+WHERE item_id IN (SELECT item_id FROM items WHERE n_chars % 10 = 0)""", "evidence", "items"))
+def spoiled_evidence_violations(spark, sf):
+    """Some evidence comes twice, and some items are missing."""
+    e = views.evidence(spark, sf)
+    return result.evidence_violations(e.unionByName(e.filter("confidence > 0.9")), views.items(spark, sf).filter("n_chars % 10 <> 0"))
+
+
 # -- results of analyses of any size -------------------------------------------------------
 
 views.cte("analyses", "SELECT DISTINCT analysis_id FROM items", "items")

@@ -115,9 +115,15 @@ def semantic_signals(spark, sf):
         F.col("original_item_id").alias("item_id"), "kind", "key", "source", F.col("confidence").isNull().alias("no_confidence"))
 
 
-@query("HSH3 HSH7")
+@query("HSH3 HSH7", sql("""
+SELECT 'semantic-' || substr(sha256('phase7-semantic-support-v1' || chr(0) || '{"config_version":"c1","image_id":"' || item_id || '","kind":"semantic_theme","model_id":"m","model_version":"1",'
+       || '"provider":"centroid","provider_version":"1","similarity":' || to_json(s) || ',"theme_label":"' || label || '","threshold":0.25}'), 1, 24) AS signal_id,
+       item_id AS original_item_id, label AS key
+FROM (SELECT *, round(similarity, 4) AS s FROM similarities) WHERE s >= 0.25""", "similarities"))
 def semantic_signal_ids(spark, sf):
-    return aggregate.semantic_signals(similarity_rows(spark, sf)).select("signal_id", "original_item_id", "key")
+    """Similarities are rounded, so that engines print them alike."""
+    rows = similarity_rows(spark, sf).withColumn("similarity", F.round("similarity", 4))
+    return aggregate.semantic_signals(rows).select("signal_id", "original_item_id", "key")
 
 
 @query("AGG3", sql("""

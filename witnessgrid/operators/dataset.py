@@ -78,12 +78,14 @@ def ordered_taxonomy(taxonomy: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Data
 
 
 def taxonomy_violations(taxonomy: DataFrame) -> DataFrame:
-    """Labels trimmed and unique per type after case folding."""
+    """Labels trimmed, unique per type after case folding, and at least one overall."""
     keyed = text.computed(taxonomy, _k=text.casefold(F.col("label")))
     twice = keyed.groupBy("type", "_k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     untrimmed = taxonomy.filter(~rules.trimmed_text(F.col("label")))
     return twice.select("type", F.col("_k").alias("label"), F.lit("not_unique").alias("rule")).unionByName(
-        untrimmed.select("type", "label", F.lit("not_trimmed").alias("rule")))
+        untrimmed.select("type", "label", F.lit("not_trimmed").alias("rule"))).unionByName(
+        taxonomy.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+            F.lit("").alias("type"), F.lit("").alias("label"), F.lit("no_labels").alias("rule")))
 
 
 def covered_labels(eval_labels: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def replay(requests: DataFrame, samples: DataFrame, order: str, hot_rows: int =
     """
     indexed = skew.dense_index(samples, [F.col(order)], "sample_no", hot_rows)
     total = samples.count()
-    wanted = requests.withColumn("sample_no", F.pmod("request_no", F.lit(total)).cast("int")).withColumn(
+    wanted = requests.withColumn("sample_no", F.pmod("request_no", F.lit(total)).cast("bigint")).withColumn(
         "replay_round", (F.col("request_no") / total).cast("bigint"))
     # Every sample is asked for about equally often; few samples make all of them hot keys.
     per_sample = F.lit(requests.count() // max(total, 1) + 1)
