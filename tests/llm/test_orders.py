@@ -109,7 +109,65 @@ def test_tool_calls(spark):
     assert tool_calls.link(turns.limit(0), SCHEMAS).collect() == []
 
 
+def plain_depths(calls):
+    """Longest chain of after links by id; None in or after a cycle."""
+    before = {i: [b for b in after if b in calls] for i, after in calls.items()}
+    found = dict.fromkeys(calls)
+    left = {i for i in calls if not any(_reaches(b, before, {b}) for b in _all_before(i, before))}
+    while left:
+        ready = [i for i in left if all(b not in left for b in before[i])]
+        for i in ready:
+            found[i] = max([found[b] + 1 for b in before[i]], default=0)
+        left -= set(ready)
+    return found
+
+
+def _all_before(i, before):
+    seen, stack = {i}, [i]
+    while stack:
+        for b in before[stack.pop()]:
+            if b not in seen:
+                seen.add(b)
+                stack.append(b)
+    return seen
+
+
+def _reaches(i, before, goals):
+    """Is one of ``goals`` before i?"""
+    return any(goals & _all_before(b, before) for b in before[i])
+
+
+def test_depths_of_long_chains_merges_and_cycles(spark):
+    rng = np.random.default_rng(6)
+    calls = {f"k{i}": [f"k{i - 1}"] if i else [] for i in range(200)}  # a chain beyond any fixed number of rounds
+    for i in range(120):
+        calls[f"d{i}"] = [f"d{j}" for j in rng.integers(0, i, rng.integers(0, 3))] if i else ["k150"]
+    calls |= {"c0": ["c2"], "c1": ["c0"], "c2": ["c1"], "c3": ["c2", "k3"], "c4": ["c3"], "s": ["s"], "t": ["gone", "k9"], "u": ["c4"]}
+    rows = [(conv, i, after) for conv in (1, 2) for i, after in calls.items()]
+    got = tool_calls.depths(spark.createDataFrame(rows, "conv_id long, id string, after array<string>")).collect()
+    want = plain_depths(calls)
+    assert len(got) == len(rows) and all(r["depth"] == want[r["id"]] for r in got)
+    assert want["k199"] == 199 and want["c4"] is None and want["s"] is None and want["t"] == 10
+
+
+def test_calls_made_of_turns(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "x" * (37 * c + 7 * t)) for c in range(30) for t in range(20)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = tool_calls.link(tool_calls.as_calls(turns), queries.TOOL_SCHEMAS).collect()
+    assert {r["status"] for r in found} == {"valid", "faulty", "linked", "orphan"} and len(found) == 600
+    faults = {c["fault"] for r in found if r["kind"] == "calls" for c in json.loads(r["json"])["calls"]}
+    assert {None, "unknown_tool", "type:limit", "missing:id", "enum:lang"} <= faults
+    states = {c["state"] for r in found if r["kind"] == "calls" for c in json.loads(r["json"])["calls"]}
+    assert states == {"linked", "open", "repeated_id"}
+
+
 def test_argument_faults():
+    nested = {"properties": {"at": {"type": ["object", "null"], "properties": {"x": {"type": "integer"}}, "required": ["x"]},
+                             "list": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}}}}
+    deep = tool_calls.argument_fault
+    assert deep(nested, {"at": None, "list": ["a"]}) is None and deep(nested, {"at": {"x": "1"}}) == "type:at.x"
+    assert deep(nested, {"at": {}}) == "missing:at.x" and deep(nested, {"at": 3}) == "type:at" and deep(nested, {"list": ["a", "c"]}) == "enum:list[1]"
+    assert tool_calls._parsed('{"id":"\\ud800x"}') is None and tool_calls._parsed('{"id":"x"}') == {"id": "x"}
     check = tool_calls.argument_fault
     assert check(SCHEMAS["add"], {"a": 1}) is None and check(SCHEMAS["add"], {}) == "missing:a"
     assert check(SCHEMAS["add"], {"a": 1, "z": 0}) == "unexpected:z" and check(SCHEMAS["add"], {"a": 1, "how": "y"}) == "enum:how"

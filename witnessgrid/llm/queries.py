@@ -54,8 +54,8 @@ TOOL_SCHEMAS = {
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversation turns as canonical JSON with linked calls.
 
-    The given conversations hold plain turns, so each user turn is also read as a call of
-    ``search`` and the assistant turn after it as its result.
+    The given conversations hold plain turns, so each user turn is read as a call, right or faulty,
+    chained to the one before, and the assistant turn after it as its result.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return tool_calls.link(tool_calls.as_calls(turns), TOOL_SCHEMAS)

@@ -5,14 +5,15 @@ arguments, and optionally ``after``, ids of calls whose results they need) are c
 ``tool_call_id`` are results. Calls and results meet in a hash join on (conversation, call id).
 The calls of a conversation are ordered topologically: by depth, the longest chain of ``after``
 links before them, then by turn and place. Depth is worked out in rounds of joins over the links
-of all conversations at once; calls in a cycle, or after one, keep depth null and come last.
+of all conversations at once, chains of any length by doubled pointers; calls in a cycle, or after one,
+keep depth null and come last.
 
-Arguments are checked against the schema given for the call's name: ``properties`` with ``type``
-and ``enum``, ``required``, ``additionalProperties``. Canonical JSON has sorted keys, no spaces
+Arguments are checked against the schema given for the call's name: ``type`` (one or a list), ``enum``,
+``properties``, ``required``, ``additionalProperties`` and ``items``, at every level. Canonical JSON has sorted keys, no spaces
 and text as it is. Every turn comes back: plain turns as {"content", "role"}, call turns with
 their ordered, checked calls, results with the name of the call they answer.
 
-Defined cases: text that is null or no JSON object is a plain turn; a call without an id is
+Defined cases: text that is null, no JSON object or holds lone surrogates is a plain turn; a call without an id is
 ``no_id`` and links nothing; of several calls with one id the first by turn and place is linked;
 a result without call is ``orphan``, one before its call ``early``; a call without result is
 ``open``; an unknown name or arguments that aren't an object are faults like schema violations;
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stash
 
-MAX_DEPTH = 64
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 _CALL = "array<struct<id: string, name: string, arguments: string, fault: string, after: array<string>>>"
 
@@ -37,52 +37,83 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _is(value, kind: str) -> bool:
+    found = _TYPES.get(kind)
+    return found is None or isinstance(value, found) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
+def _violation(schema: dict, value, path: str) -> str | None:
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []
+    if kinds and not any(_is(value, k) for k in kinds if isinstance(k, str)):
+        return f"type:{path}"
+    if "enum" in schema and canonical(value) not in [canonical(e) for e in schema["enum"]]:
+        return f"enum:{path}"
+    if isinstance(value, dict):
+        return _members(schema, value, path)
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        for i, item in enumerate(value):
+            fault = _violation(schema["items"], item, f"{path}[{i}]")
+            if fault:
+                return fault
+    return None
+
+
+def _members(schema: dict, value: dict, path: str) -> str | None:
+    properties, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
+    inside = f"{path}." if path else ""
+    for name in sorted(schema.get("required", ())):
+        if name not in value:
+            return f"missing:{inside}{name}"
+    for name in sorted(value):
+        rule = properties.get(name, extra if isinstance(extra, dict) else None)
+        if rule is None and name not in properties and extra is False:
+            return f"unexpected:{inside}{name}"
+        fault = _violation(rule, value[name], inside + name) if isinstance(rule, dict) else None
+        if fault:
+            return fault
+    return None
+
+
 def argument_fault(schema: dict | None, arguments) -> str | None:
-    """The first violation by path, or None."""
+    """The first violation by path, down to nested objects and lists, or None."""
     if schema is None:
         return "unknown_tool"
-    if not isinstance(arguments, dict):
-        return "not_an_object"
-    properties = schema.get("properties", {})
-    for name in sorted(schema.get("required", ())):
-        if name not in arguments:
-            return f"missing:{name}"
-    for name in sorted(arguments):
-        if name not in properties:
-            if schema.get("additionalProperties", True) is False:
-                return f"unexpected:{name}"
-            continue
-        rule, value = properties[name], arguments[name]
-        kind = _TYPES.get(rule.get("type"))
-        if kind and (not isinstance(value, kind) or isinstance(value, bool) and rule["type"] in ("integer", "number")):
-            return f"type:{name}"
-        if "enum" in rule and value not in rule["enum"]:
-            return f"enum:{name}"
-    return None
+    return _members(schema, arguments, "") if isinstance(arguments, dict) else "not_an_object"
 
 
 def _parsed(text):
+    """A JSON object that is text throughout (no lone surrogates), or None."""
     try:
         value = json.loads(text) if text and text.lstrip()[:1] == "{" else None
-        canonical(value)
+        canonical(value).encode()
         return value if isinstance(value, dict) else None
-    except ValueError:
-        return None
-    except RecursionError:
+    except (ValueError, RecursionError):
         return None
 
 
 def as_calls(turns: DataFrame) -> DataFrame:
-    """Plain turns as tool traffic: user turn t is a call of ``search`` that needs the call two turns
-    before (chains start anew every eighth turn), assistant turn t the result of the call before it."""
+    """Plain turns as tool traffic: user turn t is a call that needs the call two turns before,
+    through the whole conversation; assistant turn t is the result of the call before it.
+
+    The length of a text decides which tool is called and what is wrong: arguments of another type or
+    outside their list, an unknown tool, the id of an earlier call, a result of no call.
+    """
     ident = lambda c: F.concat(F.lit("call_"), c.cast("string"))
-    before = F.when(F.pmod("turn", F.lit(8)) >= 2, F.array(ident(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    size, turn = F.length(F.coalesce("text", F.lit(""))), F.col("turn")
+    before = F.when(turn >= 2, F.array(ident(turn - 2))).otherwise(F.array().cast("array<string>"))
+    own = F.when((size % 19 == 0) & (turn >= 2), ident(turn - 2)).otherwise(ident(turn))
+    name = F.when(size % 13 == 0, "fetch").when(size % 2 == 0, "search").otherwise("lookup")
+    search = F.struct(F.coalesce("text", F.lit("")).alias("query"), F.when(size % 5 == 0, "ten").alias("limit"))
+    lookup = F.struct(F.when(size % 7 != 0, size).alias("id"), F.when(size % 11 == 0, "xx").otherwise("de").alias("lang"))
+    body = F.when(size % 2 == 0, F.to_json(search)).otherwise(F.to_json(lookup))
+    # Arguments come as JSON text, which parse_turns opens.
     call = F.to_json(F.struct(F.array(F.struct(
-        ident(F.col("turn")).alias("id"), F.lit("search").alias("name"),
-        F.struct(F.coalesce("text", F.lit("")).alias("query")).alias("arguments"), before.alias("after"))).alias("tool_calls")))
-    result = F.to_json(F.struct(ident(F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
-    text = F.when((F.col("role") == "user") & F.col("turn").isNotNull(), call).when(
-        (F.col("role") == "assistant") & F.col("turn").isNotNull(), result).otherwise(F.col("text"))
+        own.alias("id"), name.alias("name"), body.alias("arguments"), before.alias("after"))).alias("tool_calls")))
+    answered = F.when(size % 17 == 0, F.lit("call_none")).otherwise(ident(turn - 1))
+    result = F.to_json(F.struct(answered.alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    text = F.when((F.col("role") == "user") & turn.isNotNull(), call).when(
+        (F.col("role") == "assistant") & turn.isNotNull(), result).otherwise(F.col("text"))
     return turns.select("conv_id", "turn", "role", text.alias("text"))
 
 
@@ -118,24 +149,45 @@ def parse_turns(turns: DataFrame, schemas: dict) -> DataFrame:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, depth) of linked calls: longest chain of ``after`` links; null in or after a cycle."""
-    nodes = calls.select("conv_id", "id")
-    edges = calls.select("conv_id", "id", F.explode("after").alias("before")).distinct()
+    """(conv_id, id, depth) of linked calls: longest chain of ``after`` links; null in or after a cycle.
+
+    A call with one link points at the call before it; doubling the pointers brings it, in a number of
+    rounds that is the logarithm of the chain, to a call with no link or with several. Only
+    those then take a round of joins a level.
+    """
+    both = ["conv_id", "id"]
+    nodes = calls.select(*both)
+    edges = calls.select(*both, F.explode("after").alias("before")).distinct()
     edges = stash(edges.join(nodes.withColumnRenamed("id", "before"), ["conv_id", "before"]))
-    done = stash(nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0)))
-    level = 0
+    links = edges.groupBy(*both).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("before"))
+    single = F.coalesce("n", F.lit(0)) == 1
+    # head: the call where the chain of single links begins, once ``open`` is false.
+    points = stash(nodes.join(links, both, "left").select(
+        *both, F.when(single, F.col("before")).otherwise(F.col("id")).alias("head"), single.cast("int").alias("far"), single.alias("open")))
+    steps, total = 1, points.count()
+    while not points.filter("open").isEmpty() and steps <= 2 * total:  # longer chains are cycles
+        ahead = points.select("conv_id", F.col("id").alias("head"), F.col("head").alias("_head"), F.col("far").alias("_far"), F.col("open").alias("_open"))
+        points = stash(points.join(ahead, ["conv_id", "head"]).select(
+            *both, F.when(F.col("open"), F.col("_head")).otherwise(F.col("head")).alias("head"),
+            (F.col("far") + F.when(F.col("open"), F.col("_far")).otherwise(0)).alias("far"), (F.col("open") & F.col("_open")).alias("open")))
+        steps *= 2
+    placed = points.filter("NOT open").select("conv_id", F.col("id").alias("before"), F.col("head").alias("from"), "far")
+    # Levels of the calls with several links; one that waits for a cycle never gets a depth.
+    merging = stash(edges.join(links.filter("n > 1").select(*both), both).join(placed, ["conv_id", "before"], "left"))
+    done = stash(nodes.join(links, both, "left_anti").withColumn("depth", F.lit(0)))
+    rounds = 0
     while True:
-        rest = nodes.join(done, ["conv_id", "id"], "left_anti")
-        known = edges.join(rest, ["conv_id", "id"]).join(
-            done.withColumnRenamed("id", "before"), ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(
-            F.count_if(F.col("depth").isNull()).alias("waiting"), F.max("depth").alias("d"))
-        fresh = stash(known.filter("waiting = 0").select("conv_id", "id", (F.col("d") + 1).alias("depth")))
+        rest = merging.join(done, both, "left_anti")
+        known = rest.join(done.select("conv_id", F.col("id").alias("from"), F.col("depth").alias("_d")), ["conv_id", "from"], "left").groupBy(*both).agg(
+            F.count_if(F.col("_d").isNull()).alias("waiting"), F.max(F.col("_d") + F.col("far") + 1).alias("depth"))
+        fresh = stash(known.filter("waiting = 0").select(*both, F.col("depth").cast("int").alias("depth")))
         if fresh.isEmpty():
-            return done.unionByName(rest.withColumn("depth", F.lit(None).cast("int")))
-        level += 1
-        if level > MAX_DEPTH:
-            raise ValueError(f"chains of more than {MAX_DEPTH} calls")
-        done = done.unionByName(fresh)
+            break
+        rounds += 1
+        done = done.unionByName(fresh) if rounds % 16 else stash(done.unionByName(fresh))
+    starts = done.select("conv_id", F.col("id").alias("from"), F.col("depth").alias("_d"))
+    found = placed.join(starts, ["conv_id", "from"]).select("conv_id", F.col("before").alias("id"), (F.col("_d") + F.col("far")).cast("int").alias("depth"))
+    return nodes.join(found, both, "left")
 
 
 def _quoted(c):
