@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from witnessgrid.llm import blocks, divergence, super_minhash, turn_repair
+from witnessgrid.llm import divergence, stars, super_minhash, turn_repair
 
 from .conftest import passage
 from .test_joins import LOWER, WORD, family
@@ -141,7 +141,7 @@ def test_super_minhash_equals_brute_force(spark, make, odd, monkeypatch):
         return sorted(((r[0], r[1], r[2], bool(r[3])) for r in super_minhash.near_duplicates(docs).collect()), key=str)
     want = [(i, n, c, k) for i, n, c, k in classes(plain)]
     assert got() == want
-    monkeypatch.setattr(super_minhash, "STARS", 0)  # every pair of a band outside its largest class
+    monkeypatch.setattr(stars, "STARS", 0)  # every pair of a band outside its largest class
     assert got() == want
     assert super_minhash.near_duplicates(odd.limit(0)).collect() == []
 

@@ -9,15 +9,13 @@ are filled: after about ``SLOTS * ln(SLOTS) / shingles`` steps, one step for lon
 
 * Bands: ``BANDS`` fixed choices of ``ROWS`` slots. Documents of Jaccard similarity 0.8 agree in at
   least one band but for a chance of about 3e-8, more similar ones miss each other less often still;
-  this is the only way a link can be lost. Unlike documents (0.3 and less) meet in a band
+  sets of more than about 300 shingles are also
+  compared by sampled sketches with five standard deviations of slack, which a pair exactly at the threshold
+  misses with a probability below 1e-6; these are the only ways a link can be lost. Unlike documents (0.3 and less) meet in a band
   for at most one pair in twenty.
 * Equal sets are one node before anything is compared, so exact copies cost nothing further.
-* Verification compares whole sets, star by star: in every band the node with the most neighbours
-  goes first (the original of many near copies shares bands with all of them), and is compared with
-  the nodes of other classes than its own. When few pairs are left apart, or after ``STARS``
-  rounds, all nodes outside the largest class of a band are compared with the rest of the band, so
-  every pair of a band ends up linked, in one class, or compared.
-* Links shrink to spanning forests by union-find inside the tasks; star contraction joins the forests.
+* Verification compares whole sets, star by star (``stars``), so every pair of a band ends up linked, in
+  one class, or compared; links shrink to spanning forests by union-find inside the tasks.
 
 Defined cases: null, empty or wordless text has an empty set, no links and itself as class;
 fewer words than a shingle has are one shingle; rows of one id are separate documents; a row with a
@@ -33,10 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stash
 from . import blocks
-from .links import components
+from .stars import bit_sketches, fingerprints, met_nodes, named_rows, set_items, star_roots
 
 SLOTS, BANDS, ROWS = 256, 72, 6
-STARS = 4
 _ELEMENTS = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OPEN = np.uint64(2**64 - 1)
@@ -99,15 +96,6 @@ def band_keys(signature: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return key
 
 
-def _fingerprint(shingle_set: np.ndarray) -> np.uint64:
-    place = np.arange(1, len(shingle_set) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return blocks.mix(np.bitwise_xor.reduce(blocks.mix(shingle_set * place), keepdims=True))[0]
-
-
-def _fingerprints(found: list[np.ndarray]) -> np.ndarray:
-    return np.array([_fingerprint(s) if len(s) else 0 for s in found], np.uint64)
-
-
 def signed_documents(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, text_key, n_shingles, node (fingerprint of the set; null if empty) and its band keys."""
     bands = _band_slots()
@@ -117,72 +105,18 @@ def signed_documents(docs: DataFrame, size: int) -> DataFrame:
             for row, found in blocks.shingle_sets(batch.column(2), size):
                 n = np.array([len(s) for s in found], np.int64)
                 full = np.flatnonzero(n)
+                level, fine, coarse = bit_sketches(found)
                 keys = band_keys(signatures([found[i] for i in full]), bands)
                 ends = np.zeros(len(found) + 1, np.int32)
                 ends[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(found)), batch.column(1).slice(row, len(found)), pa.array(n),
-                    pa.array(blocks.signed(_fingerprints(found)), mask=n == 0),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(blocks.signed(keys).ravel()))],
-                    names=["doc_id", "text_key", "n_shingles", "node", "keys"])
+                    pa.array(blocks.signed(fingerprints(found)), mask=n == 0),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(blocks.signed(keys).ravel())), level, fine, coarse],
+                    names=["doc_id", "text_key", "n_shingles", "node", "keys", "level", "fine", "coarse"])
     return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        sign, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, keys array<bigint>")
-
-
-def set_items(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, items): the whole shingle sets of ``nodes`` (node, rep, text_key), from one row that holds each."""
-    wanted = nodes.select(F.col("rep").alias("_rep"), F.col("text_key").alias("_text_key"), F.col("node").alias("_node"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_key"), "text")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_rep")) & (rows["text_key"] == F.col("_text_key"))).select("_node", "text")
-
-    def sets(batches):
-        for batch in batches:
-            for row, found in blocks.shingle_sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(found)), pa.array([s.tobytes() for s in found], pa.binary())],
-                    names=["node", "items"])
-    # A row that occurs several times folds here.
-    return texts.mapInArrow(sets, "node bigint, items binary").groupBy("node").agg(F.first("items").alias("items"))
-
-
-def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as similar as asked."""
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-    left, right = (items.select(F.col("node").alias(n), F.col("items").alias(f"{n}_items"), F.octet_length("items").alias(f"{n}_size")) for n in "ab")
-    near = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    joined = pairs.join(left, "a").join(right, "b").filter(near)
-    return joined.select("a", "b", "a_items", "b_items").mapInArrow(similar, "a bigint, b bigint")
-
-
-def forest(links: DataFrame) -> DataFrame:
-    """At most as many links (a, b) as there are nodes in each block of rows, of the same classes: union-find in the tasks."""
-    def grow(batches):
-        for batch in batches:
-            root: dict[int, int] = {}
-
-            def find(x):
-                top = x
-                while root.setdefault(top, top) != top:
-                    top = root[top]
-                while root[x] != top:
-                    root[x], x = top, root[x]
-                return top
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-            moved = [(find(x), x) for x in list(root) if find(x) != x]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m[k] for m in moved], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    return links.select("a", "b").mapInArrow(grow, "a bigint, b bigint")
+        sign, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, keys array<bigint>, "
+              "level bigint, fine array<bigint>, coarse array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
@@ -190,55 +124,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     rows = stash(signed_documents(docs, size))
     nodes = stash(rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"),
-        F.first("keys").alias("keys")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key"), "keys"))
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = stash(keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "n"))
-    met = keyed.join(shared, "key")
-    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    met = stash(keyed.join(shared.select("key"), "key").join(degree, "node").select("key", "node", "degree"))
+        *[F.first(c).alias(n) for c, n in (("keys", "keys"), ("n_shingles", "size"), ("level", "level"), ("fine", "fine"), ("coarse", "coarse"))]).select(
+        "node", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key"), "keys", "size", "level", "fine", "coarse"))
+    met = met_nodes(nodes.select(F.explode("keys").alias("key"), "node"))
     items = stash(set_items(docs, nodes.select("node", "rep", "text_key").join(met.select("node").distinct(), "node", "left_semi"), size))
-
-    roots = links = tested = None
-    members = met.select("node").distinct().count()
-    for turn in range(STARS + 1):
-        placed = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn(
-            "root", F.coalesce("root", "node"))
-        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node")).alias("top"))
-        count = F.col("n").cast("double")
-        apart = stash(parts.groupBy("key").agg(
-            F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts"),
-            F.max("top")["node"].alias("hub"),
-            ((F.pow(F.sum(count), F.lit(2.0)) - F.sum(count * count)) / 2).alias("pairs")).filter("parts > 1").drop("parts"))
-        pending = apart.agg(F.sum("pairs")).first()[0]
-        if pending is None:
-            break
-        placed = stash(placed.join(apart, "key"))
-        last = turn == STARS or (turn > 0 and pending <= 4 * members)
-        if last:
-            pivots = placed.filter("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        elif turn == 0:
-            pivots = placed.filter("node = hub").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        else:  # the best connected node outside the largest class
-            outer = placed.filter("root <> main").groupBy("key").agg(F.max(F.struct("degree", "node", "root")).alias("t"))
-            pivots = outer.select("key", F.col("t.node").alias("a"), F.col("t.root").alias("ra"))
-        met_pairs = placed.select("key", F.col("node").alias("b"), "root").join(pivots, "key").filter("root <> ra")
-        pairs = met_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stash(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        similar = stash(forest(verified(pairs, items, percent)))
-        if not similar.isEmpty():
-            links = similar if roots is None else similar.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-            roots = stash(components(links))
-        if last:
-            break
-    plain = rows.select("doc_id", "n_shingles", "node")
-    if roots is None:
-        named = nodes.select("node", F.col("rep").alias("component_id"))
-    else:
-        least = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
-        named = nodes.select("node", "rep").join(roots, "node", "left").join(least, "root", "left").select(
-            "node", F.coalesce("least", "rep").alias("component_id"))
-    return plain.join(named, "node", "left").withColumn(
-        "component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    roots = star_roots(met, nodes, items, percent)
+    found = named_rows(rows.select("doc_id", "text_key", "n_shingles", "node"), nodes, roots)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
