@@ -287,14 +287,30 @@ def test_transitions(spark):
     assert after == {"A": ("completed", False), "B": ("failed", True)}
 
 
-def test_labels_in_blocks_score_like_shipped_labels(spark):
-    vectors = spark.createDataFrame(
-        [("a", "x", [1.0, 0.0]), ("a", "y", [0.6, 0.8]), ("b", "x", [0.0, -1.0])], "analysis_id string, item_id string, embedding array<float>")
-    labels = spark.createDataFrame([(f"l{i}", [float(i % 2), float(1 - i % 2)]) for i in range(7)], "label string, embedding array<float>")
-
-    def rows(df):
-        return sorted((r.analysis_id, r.item_id, r.label, round(r.similarity, 9)) for r in df.collect())
-    shipped = rows(semantic._score_shipped(vectors, labels))
-    assert len(shipped) == 21
-    assert rows(semantic._score_joined(vectors, labels, block=2)) == shipped
-    assert rows(semantic._score_joined(vectors, labels)) == shipped
+def test_labels_score_alike_in_blocks_of_any_size(spark):
+    rng = random.Random(4)
+
+    def unit():
+        v = [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)] + [1.0]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+    items = [(a, f"i{k}", unit()) for a in "ab" for k in range(25)]
+    names = [(f"l{k:02}", unit()) for k in range(30)]
+    vectors = spark.createDataFrame(items, "analysis_id string, item_id string, embedding array<double>")
+    labels = spark.createDataFrame(names, "label string, embedding array<double>")
+    want = {(a, i, n): max(-1.0, min(1.0, sum(p * q for p, q in zip(x, y)))) for a, i, x in items for n, y in names}
+
+    def found(**kwargs):
+        rows = semantic.score_labels(vectors, labels, **kwargs).collect()
+        got = {(r.analysis_id, r.item_id, r.label): r.similarity for r in rows}
+        assert len(got) == len(rows) and all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+        return set(got)
+    for block in (2, 10_000):
+        assert found(block=block) == set(want)
+        assert found(block=block, threshold=0.7) == {k for k, v in want.items() if v >= 0.7}
+        best = found(block=block, top=3)
+        assert len(best) == 150
+        for a, i, _ in items:
+            own = sorted((round(want[a, i, n], 12), n) for n, _ in names)
+            assert min(round(want[k], 12) for k in best if k[:2] == (a, i)) == own[-3][0]
+    assert semantic.score_labels(vectors, labels.limit(0)).collect() == [] and semantic.score_labels(vectors.limit(0), labels).collect() == []

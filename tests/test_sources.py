@@ -29,6 +29,20 @@ def test_word_tsv(spark, tmp_path):
     assert sorted(r["reason"] for r in bad.collect()) == ["invalid_confidence", "invalid_level", "invalid_position"]
 
 
+def test_word_files_stay_apart_and_in_order(spark, tmp_path):
+    head = "level\ttext\tpage_num\tblock_num\tpar_num\tline_num\tleft\ttop\twidth\theight\tconf"
+    for name, words in (("a.1", 300), ("a.2", 3), ("x/a b+c", 2), ("y/a b+c", 1)):
+        (tmp_path / f"{name}.tsv").parent.mkdir(exist_ok=True)
+        lines = [f"5\t{name}-{i}\t1\t1\t1\t{i}\t0\t0\t1\t1\t50" for i in range(words)]
+        (tmp_path / f"{name}.tsv").write_text("\r\n".join([head, *lines]), encoding="utf-8")
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = readers.read_word_tsv(spark, str(tmp_path)).orderBy("item_id", "row_no").collect()
+        assert [(r["item_id"], r["text"], r["row_no"], r["word_num"]) for r in rows] == [
+            (name, f"{name}-{i}", i + 1, None) for name, n in (("a.1", 300), ("a.2", 3), ("x/a b+c", 2), ("y/a b+c", 1)) for i in range(n)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_structured_output(spark):
     ok = {"scenes": [{"label": "park", "confidence": 0.5}], "objects": [], "activities": [], "topics": [], "caption": {"text": "a park", "confidence": 0.9}}
     docs = [ok, {**ok, "caption": None}, {**ok, "extra": 1}, {**ok, "scenes": "park"}, {**ok, "scenes": [{"label": "x", "confidence": 1, "z": 0}]},

@@ -101,8 +101,10 @@ def _provider():
                     F.lit("1").alias("model_version"), F.lit("c1").alias("config_version"))
 
 
-def similarity_rows(spark, sf):
-    return views.similarities(spark, sf).select(
+def similarity_rows(spark, sf, threshold=None):
+    """Similarities of items to labels; with ``threshold`` the others never leave the product."""
+    scored = semantic.score_labels(views.vectors(spark, sf), views.label_vectors(spark, sf), threshold)
+    return scored.select(
         "analysis_id", "item_id", F.col("item_id").alias("canonical_item_id"), F.lit(False).alias("has_copies"),
         "label", "similarity", F.lit(0.25).alias("threshold"), _provider().alias("provider"))
 
@@ -111,7 +113,7 @@ def similarity_rows(spark, sf):
 SELECT item_id, 'semantic_theme' AS kind, label AS key, 'centroid' AS source, true AS no_confidence
 FROM similarities WHERE similarity >= 0.25""", "similarities"))
 def semantic_signals(spark, sf):
-    return aggregate.semantic_signals(similarity_rows(spark, sf)).select(
+    return aggregate.semantic_signals(similarity_rows(spark, sf, 0.25)).select(
         F.col("original_item_id").alias("item_id"), "kind", "key", "source", F.col("confidence").isNull().alias("no_confidence"))
 
 
@@ -151,7 +153,7 @@ def semantic_and_topic_aggregates(spark, sf):
         F.concat(F.lit("label_"), F.col("truth").cast("string")).alias("key"),
         F.concat(F.lit("label_"), F.col("truth").cast("string")).alias("label"), F.lit("table").alias("source"),
         (F.lit(0.5) + F.pmod("ordinal", F.lit(50)) / 100.0).alias("confidence"))
-    both = aggregate.union_signals(topic, aggregate.semantic_signals(similarity_rows(spark, sf)))
+    both = aggregate.union_signals(topic, aggregate.semantic_signals(similarity_rows(spark, sf, 0.25)))
     from ..operators import items as item_ops
     out = aggregate.theme_aggregates(aggregate.represent(aggregate.distinct_evidence(both)), item_ops.universe(v))
     return out.select("kind", "key", "evidence_count", "unique_item_count", F.round("item_coverage", 6).alias("item_coverage"),

@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions import policy, text
 from ..session import stash
 from . import rules, skew
 
-# Above this many candidate labels the vectors of the labels are joined instead of shipped.
-MAX_SHIPPED_LABELS = 10_000
+# Labels of a block, and vectors that one task multiplies with a block.
+LABEL_BLOCK, VECTOR_ROWS = 1_024, 5_000
 # Vectors per block of the exact pairwise comparison (one task holds two blocks).
 BLOCK_ROWS = 2_000
 # Pivots of one cell, levels of cells inside cells, and rows of a cell that one task places.
@@ -75,47 +75,59 @@ def label_violations(labels: DataFrame) -> DataFrame:
     return rows.unionByName(rules.violation(twice, "label", F.col("_key"), "duplicate_label"))
 
 
-def score_labels(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """Similarity of every item to every candidate label: analysis_id, item_id, label, similarity.
+def score_labels(vectors: DataFrame, labels: DataFrame, threshold: float | None = None, top: int | None = None,
+                 block: int = LABEL_BLOCK) -> DataFrame:
+    """Similarity of items to candidate labels: analysis_id, item_id, label, similarity.
 
-    ``labels(label, embedding)`` is a vocabulary. While it is small (checked) its matrix goes to
-    the executors once and scoring is one matrix product per Arrow batch; a larger one is cut
-    into blocks that are joined on their block number.
+    ``labels(label, embedding)`` is a vocabulary of any size. Labels lie in blocks of about ``block``, and a task
+    multiplies some vectors with one block, so nothing is collected and the work of any
+    vocabulary runs alike. With ``threshold`` only pairs that reach it leave the task, with ``top`` only
+    the best of each item in each block (ties by label), from which the best overall are taken.
     """
-    if labels.limit(MAX_SHIPPED_LABELS + 1).count() <= MAX_SHIPPED_LABELS:
-        return _score_shipped(vectors, labels)
-    return _score_joined(vectors, labels)
-
-
-def _score_shipped(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = labels.select("label", "embedding").orderBy("label").collect()  # bounded above
-    names = [r["label"] for r in rows]
-    matrix = np.array([r["embedding"] for r in rows], dtype="float64").T
+    n_blocks = max(1, -(-labels.count() // block))
+    salts = max(1, -(-vectors.count() // VECTOR_ROWS))
+    names = ["_b", "_salt", "_kind", "analysis_id", "item_id", "embedding"]
+    embedding = F.col("embedding").cast("array<double>")
+    heads = labels.select(
+        F.pmod(F.xxhash64("label"), F.lit(n_blocks)).alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"),
+        F.lit(0).alias("_kind"), F.lit("").alias("analysis_id"), F.col("label").alias("item_id"), embedding.alias("embedding"))
+    rows = vectors.select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("_b"),
+        F.pmod(F.xxhash64("analysis_id", "item_id"), F.lit(salts)).alias("_salt"), F.lit(1).alias("_kind"),
+        F.col("analysis_id").cast("string").alias("analysis_id"), F.col("item_id").cast("string").alias("item_id"), embedding.alias("embedding"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, texts, parts, matrix = None, [], [], None
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            dots = np.clip(np.stack(batch["embedding"].to_numpy()).astype("float64") @ matrix, -1.0, 1.0)
-            yield pd.DataFrame({
-                "analysis_id": batch["analysis_id"], "item_id": batch["item_id"], "_s": list(dots)})
-
-    scored = vectors.select("analysis_id", "item_id", "embedding").mapInPandas(
-        score, "analysis_id string, item_id string, _s array<double>")
-    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("label"), F.col("_s").alias("similarity"))
-    return scored.select("analysis_id", "item_id", F.inline(pairs).alias("label", "similarity"))
-
-
-def _score_joined(vectors: DataFrame, labels: DataFrame, block: int = 256) -> DataFrame:
-    n_blocks = max(1, -(-labels.count() // block))
-    blocks = labels.groupBy(F.pmod(F.xxhash64("label"), F.lit(n_blocks)).alias("_b")).agg(
-        F.collect_list(F.struct("label", "embedding")).alias("_l"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    spread = vectors.select("*", every.alias("_b"))
-    scored = F.transform(
-        "_l", lambda x: F.struct(x["label"].alias("label"), cosine(F.col("embedding"), x["embedding"]).alias("similarity")))
-    return spread.join(blocks, "_b").select("analysis_id", "item_id", scored.alias("_s")).select(
-        "analysis_id", "item_id", F.inline("_s"))
+            for key, part in batch.groupby(["_b", "_salt"], sort=False):
+                if key != now:
+                    now, texts, parts, matrix = key, [], [], None
+                told = part[part["_kind"] == 0]
+                texts += told["item_id"].tolist()
+                parts += told["embedding"].tolist()
+                part = part[part["_kind"] == 1]
+                if not len(part) or not texts:
+                    continue
+                if matrix is None:  # sorted: all labels of the block come before the first vector
+                    matrix = np.stack(parts).T
+                dots = np.clip(np.stack(part["embedding"].to_numpy()) @ matrix, -1.0, 1.0)
+                keep = np.ones(dots.shape, bool) if threshold is None else dots >= threshold
+                if top is not None and dots.shape[1] > top:
+                    # Labels are sorted, so a stable sort settles ties by label.
+                    best = np.argsort(-dots, axis=1, kind="stable")[:, :top]
+                    first = np.zeros(dots.shape, bool)
+                    np.put_along_axis(first, best, True, axis=1)
+                    keep &= first
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({
+                    "analysis_id": part["analysis_id"].to_numpy()[i], "item_id": part["item_id"].to_numpy()[i],
+                    "label": np.array(texts, object)[j], "similarity": dots[i, j]})
+    stream = heads.unionByName(rows).repartition("_b", "_salt").sortWithinPartitions(*names[:5])
+    found = stream.mapInPandas(score, "analysis_id string, item_id string, label string, similarity double")
+    if top is None:
+        return found
+    order = Window.partitionBy("analysis_id", "item_id").orderBy(F.desc("similarity"), "label")
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top).drop("_n")
 
 
 def matched(similarities: DataFrame, threshold: float = vocab.THEME_THRESHOLD) -> DataFrame:

@@ -181,11 +181,24 @@ WORD_COLUMNS = ("level", "page_num", "block_num", "par_num", "line_num", "left",
 
 
 def read_word_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """TSV files of recognised words, every field as text; a missing column reads as null."""
-    schema = ", ".join(f"{c} string" for c in (*WORD_COLUMNS[:5], "word_num", *WORD_COLUMNS[5:]))
-    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, quote="", enforceSchema=False)
-    return rows.withColumn("item_id", F.element_at(F.split("_metadata.file_name", r"\."), 1)).withColumn(
-        "row_no", F.monotonically_increasing_id())
+    """TSV files of recognised words, every field as text; a missing column reads as null.
+
+    A file holds the words of one image and is read as one row, so ``row_no``, the line's number in
+    its file, is the same for any split size. Files of subfolders are read too; ``item_id`` is the file's
+    place below ``path`` without the last extension, so names that share a beginning stay apart.
+    """
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    place = F.substring_index("_metadata.file_path", f"/{root}/", -1)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.regexp_replace(F.url_decode(F.replace(place, F.lit("+"), F.lit("%2B"))), r"\.[^./]*\z", "").alias("item_id"),
+        F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("lines"))
+    head = F.split(F.element_at("lines", 1), "\t")
+    rows = files.select("item_id", head.alias("head"), F.posexplode("lines").alias("row_no", "line")).filter(
+        (F.col("row_no") > 0) & (F.col("line") != ""))
+    cells = F.split("line", "\t")
+    return rows.select(*[
+        F.get(cells, F.array_position("head", F.lit(c)).cast("int") - 1).alias(c) for c in (*WORD_COLUMNS[:5], "word_num", *WORD_COLUMNS[5:])],
+        "item_id", F.col("row_no").cast("bigint").alias("row_no"))
 
 
 def parse_word_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
