@@ -18,14 +18,12 @@ documents meet in an equi-join on (size band, word number, word).
 * Two passes make the keys: the first counts all of them, in the second every document takes its
   rarest first, those of no other document before all. Both partners order alike, so the pigeonhole
   argument holds, and passages shared by fewer documents than ``COMMON`` bring few together too.
-* Candidates are checked in stars: every document of a word against the smallest one, then
-  against each document outside the word's largest component, some more of them each round.
-  Every pair that shares a word and isn't connected yet gets checked, so no link is lost, and copies and near
-  copies cost one check each. Checks compare whole shingle sets.
+* Candidates are checked star by star (``stars``): every pair that shares a word ends up linked, in one
+  class, or compared by whole shingle sets, so no link is lost, and copies and near copies cost about one check each.
 
 Defined cases: null, empty or wordless text has an empty set and no links; fewer than five
-words are one shingle; equal sets are one node; an id that occurs twice keeps both rows, which
-are joined by it; an empty table gives no rows. Further columns are ignored.
+words are one shingle; equal sets are one node; rows of one id are separate documents; a row with a null
+id takes part and never gives its class a name; an empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,18 +32,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import stash
 from . import blocks
-from .links import components
+from .stars import SIGMAS, bit_sketches, fingerprints, met_nodes, named_rows, set_items, star_roots
 
-PLAIN, SAMPLED, SIGMAS = 112, 72, 5.0
+PLAIN, SAMPLED = 112, 72
 COMMON = 0.01
-BITS, DENSE = 512, 150
 SEEN = (2, 8, 64)
-_ID_BITS, _KEY_BITS = 22, 27
-MORE_PIVOTS = 8
+_KEY_BITS = 27
 
 
 class Bands:
@@ -139,53 +135,32 @@ def _emit(sets, nodes, allowed, rate, words, joined, common, level):
     return np.r_[key[used], np.repeat(mark, int(bare.sum()))], np.r_[nodes[d[used]], nodes[bare]]
 
 
-def _node_of(shingle_set: np.ndarray) -> np.uint64:
-    positions = np.arange(1, len(shingle_set) + 1, dtype=np.uint64)
-    return blocks.mix(np.bitwise_xor.reduce(blocks.mix(shingle_set * (positions * np.uint64(2) + np.uint64(1))), keepdims=True))[0]
-
-
-def _bit_sketches(shingle_set: np.ndarray, level: int) -> np.ndarray:
-    """Parity of BITS bits over the shingles sampled at 1 in 2^level, and at half of that."""
-    bit = (blocks.mix(shingle_set) & np.uint64(BITS - 1)).astype(np.int64)
-    sample = shingle_set >> np.uint64(24)
-    kept = [(sample & np.uint64((1 << at) - 1)) == 0 for at in (level, level + 1)]
-    parity = np.stack([np.bincount(bit[k], minlength=BITS) & 1 for k in kept])
-    return np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
-
-
-def _levels(sizes: np.ndarray) -> np.ndarray:
-    return np.maximum(0, np.floor(np.log2(np.maximum(sizes, 1) / DENSE))).astype(np.int64)
-
-
 def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (fingerprint of the set, null if empty) and its bit sketches; and
     rows with a null n_shingles that count shingles frequent in a block of documents (node, seen)."""
     longs = pa.list_(pa.int64())
-    names = ["doc_id", "n_shingles", "node", "seen", "level", "fine", "coarse"]
+    names = ["doc_id", "text_key", "n_shingles", "node", "seen", "level", "fine", "coarse"]
 
     def sets(batches):
         for batch in batches:
-            ids = batch.column(0)
-            column = batch.column(1)
+            ids, texts = batch.column(0), batch.column(1)
+            column = batch.column(2)
             for row, found in blocks.shingle_sets(column):
                 n = np.array([len(s) for s in found], np.int64)
-                level = _levels(n)
-                node = np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64)
-                bits = np.stack([_bit_sketches(s, k) for s, k in zip(found, level.tolist())])
-                at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (BITS // 64))
-                fine, coarse = (pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(bits[:, k]).ravel())) for k in (0, 1))
+                node = fingerprints(found)
+                level, fine, coarse = bit_sketches(found)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(row, len(found)), pa.array(n), pa.array(blocks.signed(node), mask=n == 0),
+                    ids.slice(row, len(found)), texts.slice(row, len(found)), pa.array(n), pa.array(blocks.signed(node), mask=n == 0),
                     pa.nulls(len(found), pa.int64()), pa.array(level), fine, coarse], names=names)
                 value, seen = np.unique(np.concatenate(found), return_counts=True)
                 often = seen >= max(2, COMMON / 2 * len(found))
                 if often.any():
                     k = int(often.sum())
                     yield pa.RecordBatch.from_arrays([
-                        pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(blocks.signed(value[often])),
+                        *[pa.nulls(k, pa.int64())] * 3, pa.array(blocks.signed(value[often])),
                         pa.array(seen[often]), pa.nulls(k, pa.int64()), pa.nulls(k, longs), pa.nulls(k, longs)], names=names)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        sets, "doc_id bigint, n_shingles bigint, node bigint, seen bigint, level bigint, fine array<bigint>, coarse array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        sets, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, seen bigint, level bigint, fine array<bigint>, coarse array<bigint>")
 
 
 def _common(table: DataFrame) -> np.ndarray:
@@ -226,7 +201,7 @@ def key_table(docs: DataFrame, common: np.ndarray, percent: int, seen=None) -> D
     def keys(batches):
         for batch in batches:
             for _, found in blocks.shingle_sets(batch.column(0)):
-                node = np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64)
+                node = fingerprints(found)
                 for key, owner in sketch_keys(found, node, common, bands, level if seen else None):
                     if len(key):
                         yield pa.RecordBatch.from_arrays(
@@ -234,52 +209,39 @@ def key_table(docs: DataFrame, common: np.ndarray, percent: int, seen=None) -> D
     return docs.select("text").mapInArrow(keys, "key bigint, node bigint")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are as similar as asked, by comparing whole sets."""
-    # Documents that stand for a node of a pair; the bit array keeps other sets out of the shuffle.
-    reps = nodes.select("node", F.col("rep").alias("doc_id"))
-    used = stash(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node"))
-    slot = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("bigint")), 64 - _ID_BITS)
-    wanted = docs.sparkSession.sparkContext.broadcast(_bit_array(used, slot, _ID_BITS))
-
-    def sets(batches):
-        for batch in batches:
-            chosen = np.flatnonzero(_has(wanted.value, batch.column(2).to_numpy()))
-            batch = batch.take(pa.array(chosen))
-            for row, found in blocks.shingle_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(found)),
-                    pa.array(blocks.signed(np.array([_node_of(s) if len(s) else 0 for s in found], np.uint64))),
-                    pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "node", "items"])
-    items = docs.select(F.col("doc_id").cast("bigint"), "text", slot.alias("slot")).filter("doc_id IS NOT NULL").mapInArrow(
-        sets, "doc_id bigint, node bigint, items binary")
-    # Repeated rows fold here, on the keys of the join that follows.
-    items = items.groupBy("doc_id", "node").agg(F.first("items").alias("items"))
-    items = stash(items.join(used, ["doc_id", "node"]).select("node", "items"))
-
-    def similar(batches):
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-    joined = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("left")), "a").join(
-        items.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(similar, "a bigint, b bigint")
-
-
 def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    return classes(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` with one row left of each class; ids and texts may repeat or be null.
+
+    Rows without words are no copies of each other and stay.
+    """
+    found = stash(classes(docs, percent).select("doc_id", "text_key", "n_shingles", "kept"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
+    # Rows that repeat in id and text are one class; few of them are left, so only those are brought together.
+    twice = stash(found.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    repeated = left.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").withColumn("_again", F.col("_key").isNotNull())
+    once = repeated.filter("_again").dropDuplicates(["doc_id", "_text_key"])
+    return repeated.filter("NOT _again").unionByName(once).select(*docs.columns)
+
+
+def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and whether the row is the one of its class to keep."""
     table = stash(set_table(docs))
     whole = table.filter("n_shingles IS NOT NULL")
-    rows = whole.select("doc_id", "n_shingles", "node")
+    rows = whole.select("doc_id", "text_key", "n_shingles", "node")
     nodes = stash(whole.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), *[F.first(c).alias(n) for c, n in (
-            ("n_shingles", "size"), ("level", "level"), ("fine", "fine"), ("coarse", "coarse"))]))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"), *[F.first(c).alias(n) for c, n in (
+            ("n_shingles", "size"), ("level", "level"), ("fine", "fine"), ("coarse", "coarse"))]).select(
+        "node", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key"), "size", "level", "fine", "coarse"))
     common = _common(table)
     # Copies count too: that only makes a key look more frequent, alike for all who have it.
     found = stash(key_table(docs, common, percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN[0]))
@@ -287,59 +249,7 @@ def linked_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast([_bit_array(found.filter(F.col("n") >= n), slot, _KEY_BITS) for n in SEEN])
     # The second pass sends little: documents without a partner have mostly keys of their own. A key's rows are folded by node first.
     sent = stash(key_table(docs, common, percent, bits).distinct())
-    pivots = sent.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
-    met = stash(sent.join(stash(pivots.filter("pivot <> other").select("key", "pivot")), "key").select("key", "node", "pivot"))
-
-    def side(name: str) -> DataFrame:
-        # Coarse sketches serve partners of the next level, so only sizes near it carry them.
-        near = 100 * F.col("size") >= percent * DENSE * F.pow(F.lit(2.0), F.col("level") + 1)
-        return nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "level")], *[
-            column.alias(f"{name}_{c}{i}") for c in ("fine", "coarse") for i in range(BITS // 64)
-            for column in [F.col(c)[i] if c == "fine" else F.when(near, F.col(c)[i])]])
-
-    def close():
-        """Sizes and bit sketches of a and b leave a link possible."""
-        sizes, levels = ([F.col(f"{x}_{c}") for x in "ab"] for c in ("size", "level"))
-        level = F.greatest(*levels)
-        bits = [[F.when(own == level, F.col(f"{x}_fine{i}")).otherwise(F.col(f"{x}_coarse{i}")) for i in range(BITS // 64)]
-                for x, own in zip("ab", levels)]
-        distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*bits)), F.lit(0))
-        rate = F.pow(F.lit(2.0), -level)
-        mean = rate * (100 - percent) * sum(sizes) / (100 + percent)
-        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (distance <= mean + SIGMAS * F.sqrt(mean * (1 - rate)))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(close()).select("a", "b")
-
-    tested = stash(candidates(met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
-    links = stash(verified(docs, nodes, tested, percent))
-    roots = stash(components(links))
-    done, more = met.select("key", F.col("pivot").alias("node")).distinct(), MORE_PIVOTS
-    while True:
-        # Pivots to come: of each word all documents outside its largest component so far. Every
-        # pair of two components has one of them.
-        placed = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        largest = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        placed = stash(placed.join(largest.select("key", "main"), "key"))
-        order = Window.partitionBy("key").orderBy("node")
-        pivots = stash(placed.filter("root <> main").join(done, ["key", "node"], "left_anti").withColumn(
-            "rank", F.row_number().over(order)).filter(F.col("rank") <= more).select("key", F.col("node").alias("a"), F.col("root").alias("ra")))
-        if pivots.isEmpty():
-            break
-        # The sketches are compared inside the join, so pairs that can't be links are never rows.
-        others = placed.select("key", F.col("node").alias("b"), "root").join(side("b"), "b")
-        near = others.join(pivots.join(side("a"), "a"), "key").filter((F.col("root") != F.col("ra")) & close())
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = stash(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
-        similar = stash(verified(docs, nodes, fresh, percent)) if not fresh.isEmpty() else fresh
-        if not similar.isEmpty():
-            links = links.unionByName(similar)
-            roots = stash(components(links))
-        done, more = done.unionByName(pivots.select("key", F.col("a").alias("node"))), more * 8
-    least = roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stash(nodes.join(roots, "node", "left").join(least, "root", "left").select(
-        "node", F.coalesce("component_id", "rep").alias("component_id")))
-    return rows.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    met = met_nodes(sent)
+
+    items = stash(set_items(docs, nodes.select("node", "rep", "text_key").join(met.select("node").distinct(), "node", "left_semi"), blocks.SHINGLE))
+    return named_rows(rows, nodes, star_roots(met, nodes, items, percent))
