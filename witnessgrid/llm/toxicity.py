@@ -110,7 +110,8 @@ def count_pairs(rows: DataFrame) -> DataFrame:
                         held, size = [part], len(part[0])
         if held:
             yield out(merged(held))
-    triples = rows.select("text", F.col("toxic").cast("int")).mapInArrow(count, "pair bigint, seen bigint").distinct()
+    # Dealt out by pair, distinct and count need no further shuffle.
+    triples = rows.select("text", F.col("toxic").cast("int")).mapInArrow(count, "pair bigint, seen bigint").repartition("pair").distinct()
     toxic = F.col("seen").bitwiseAND(F.lit(1)) == 1
     return triples.groupBy("pair").agg(F.count_if(toxic).alias("toxic"), F.count_if(~toxic).alias("plain"))
 
