@@ -395,7 +395,37 @@ def documents(spark, sf, ranked=None, with_claims=True):
         claims_of(spark, sf) if with_claims else None, part_bytes=DOCUMENT_BYTES)
 
 
-@query("SNK1 HSH7")
+_LATIN = "regexp_matches(value, '[A-Za-zÀ-ÿ]')"
+_INNER = lambda c: f"substr(CAST(to_json({c}) AS VARCHAR), 2, length(CAST(to_json({c}) AS VARCHAR)) - 2)"
+
+views.cte("document_pieces", f"""
+SELECT analysis_id, 1 AS o1, 0 AS o2, 0 AS o3, '' AS o4, '{{"insight_policy_version":"phase8-candidate-v1","personality_profile":null,"result":{{"analysis_id":' || to_json(analysis_id) || ',"images":[' AS text, '' AS sep, true AS opens FROM analyses
+UNION ALL SELECT analysis_id, 2, ordinal, 0, '', '{{"analysis_id":' || to_json(analysis_id) || ',"evidence":[', ',', true FROM items
+UNION ALL SELECT e.analysis_id, 2, i.ordinal, 1, e.id, '{{"confidence":' || to_json(round(confidence, 6)) || ',"id":' || to_json(e.id) || ',"image_id":' || to_json(e.item_id) || ',"label":"ocr_text","metadata":'
+  || to_json('{{"block_order":"' || ord || '","config_version":"v1","language_hint":' || CASE WHEN {_LATIN} THEN '"en"' ELSE 'null' END || ',"model_id":"lines","provider_version":"1","script_hint":"'
+  || CASE WHEN {_LATIN} THEN 'latin' WHEN regexp_matches(value, '[0-9]') THEN 'numeric' ELSE 'other' END || '"}}') || ',"source":' || to_json(source) || ',"type":"ocr_text","value":null}}', ',', false
+  FROM evidence e JOIN items i USING (analysis_id, item_id)
+UNION ALL SELECT analysis_id, 2, ordinal, 2, '', '],"image_id":' || to_json(item_id) || '}}', '', false FROM items
+UNION ALL SELECT analysis_id, 3, 0, 0, '', '],"insights":[', '', true FROM analyses
+UNION ALL SELECT analysis_id, 4, rank, 0, '', '{{"confidence":' || to_json(round(confidence, 6)) || ',"evidence_count":' || evidence_count || ',"explanation":"', ',', false FROM insights
+UNION ALL SELECT analysis_id, 4, rank, 1, '', {_INNER('text')}, '', true FROM explained JOIN (SELECT analysis_id, insight_key, rank FROM insights) USING (analysis_id, insight_key) WHERE place = 0
+UNION ALL SELECT analysis_id, 4, rank, 2, id, {_INNER('id')}, ', ', false FROM support WHERE part = 'item'
+UNION ALL SELECT analysis_id, 4, rank, 3, '', '].","image_coverage":' || to_json(round(item_coverage, 6)) || ',"key":' || to_json(insight_key) || ',"label":' || to_json(insight_label) || ',"supporting_evidence_ids":[', '', true FROM insights
+UNION ALL SELECT analysis_id, 4, rank, 4, id, CAST(to_json(id) AS VARCHAR), ',', false FROM support WHERE part = 'signal'
+UNION ALL SELECT analysis_id, 4, rank, 5, '', '],"supporting_image_ids":[', '', true FROM insights
+UNION ALL SELECT analysis_id, 4, rank, 6, id, CAST(to_json(id) AS VARCHAR), ',', false FROM support WHERE part = 'item'
+UNION ALL SELECT analysis_id, 4, rank, 7, '', '],"type":' || to_json(type) || '}}', '', false FROM insights
+UNION ALL SELECT analysis_id, 5, 0, 0, '', '],"status":"completed","themes":[]}},"schema_version":"profile-analysis-result-v3","self_reported_claims":[', '', true FROM analyses
+UNION ALL SELECT analysis_id, 6, 0, 0, claim_id, '{{"basis":"explicit_self_report","category":"religion","claim_id":' || to_json(claim_id) || ',"consent_confirmed":true,"source_id":"src","source_type":"bio","value":' || to_json(lang) || '}}', ',', false FROM told_claims
+UNION ALL SELECT analysis_id, 7, 0, 0, '', '],"summary":"', '', false FROM analyses
+UNION ALL SELECT analysis_id, 8, place, step, '', {_INNER('text')}, sep, opens FROM summary_pieces
+UNION ALL SELECT analysis_id, 9, 0, 0, '', '"}}', '', false FROM analyses""",
+    "analyses", "items", "evidence", "insights", "explained", "support", "told_claims", "summary_pieces")
+
+
+@query("SNK1 HSH7", sql(
+    "SELECT analysis_id, 'completed' AS status, part_no, payload AS result_payload FROM ("
+    + views.parts_sql("document_pieces", "analysis_id", "o1, o2, o3, o4", 2048) + ")", "document_pieces"))
 def completed_documents(spark, sf):
     return documents(spark, sf)
 
