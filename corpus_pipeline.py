@@ -24,10 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of the smallest id of each class of near duplicates."""
-    classes = parity_join.linked_components(docs, 75)
-    dropped = stash(classes.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the first row, by id, of each class of near duplicates."""
+    return parity_join.first_of_classes(docs, 75)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,19 @@ def test_parity_join_odd_rows(spark, odd):
     assert as_rows[7][2] == 6 and as_rows[8][2] == 8 and as_rows[10][2] == 9
 
 
+def test_first_rows_of_classes_with_repeated_and_null_ids(spark, make):
+    a, b, c = passage(1), passage(2), passage(3)
+    rows = [(1, a), (1, b), (2, a + " end"), (2, a), (2, a), (None, b), (None, c), (None, c), (None, c.upper()), (3, None), (3, None), (4, ""), (5, passage(4)), (5, passage(4))]
+    docs = make(*rows)
+    left = parity_join.first_of_classes(docs)
+    assert left.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+    upper = [k for k in got if k[0] is None]
+    assert len(upper) == 1 and upper[0][1].lower() == c and got.pop(upper[0]) == 1
+    assert got == collections.Counter([(1, a), (1, b), (3, None), (3, None), (4, ""), (5, passage(4))])
+    assert parity_join.first_of_classes(docs.limit(0)).collect() == []
+
+
 def test_parity_join_empty(spark, odd):
     assert parity_join.linked_components(odd.limit(0)).collect() == []
 
