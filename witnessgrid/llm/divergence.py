@@ -29,35 +29,33 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stash
 
 MIN_DOCS, TOP = 10, 10
 _TILE_ROWS = 100_000
-_ENTRIES = 1 << 18
+_ENTRIES, _HELD = 400_000, 250_000
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) summed inside tasks, and one row with a null term for each group met."""
     def count(batches):
+        groups: dict[tuple, tuple[Counter, Counter]] = {}
         for batch in batches:
-            groups: dict[tuple, tuple[Counter, Counter]] = {}
-            entries = 0
             texts = batch.column(2).cast(pa.large_binary())
-            for i, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                total, seen = groups.setdefault((lang, source), (Counter(), Counter()))
-                words = texts[i].as_py().translate(_LETTERS).split(b" ")
-                found = Counter(words)
-                del found[b""]
-                entries += len(found)
-                total.update(found)
-                seen.update(found.keys())
-                if entries > _ENTRIES:  # bounds what a task holds; the rest of the sums is Spark's
+            for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                total, seen = groups.setdefault(group, (Counter(), Counter()))
+                words = texts[i].as_py().translate(_LETTERS).split()
+                total.update(words)
+                seen.update(set(words))
+                # What a task holds is bounded; the rest of the sums is Spark's.
+                if i % 128 == 0 and sum(len(t) for t, _ in groups.values()) > _ENTRIES:
                     yield from emit(groups)
-                    groups, entries = {}, 0
-            yield from emit(groups)
+                    groups = {}
+        yield from emit(groups)
 
     def emit(groups):
         for (lang, source), (total, seen) in groups.items():
@@ -88,46 +86,46 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def skyband(high: np.ndarray, low: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
     """Positions dominated by fewer than ``k`` others: ``high`` at least, ``low`` and ``name`` at most theirs."""
     order = np.lexsort((name, low, -high))  # whoever dominates a point comes before it
-    kept: list[int] = []
-    for start in range(0, len(order), 512):
-        some = order[start:start + 512]
-        if kept:
-            above = (low[kept][None, :] <= low[some][:, None]) & (name[kept][None, :] <= name[some][:, None])
-            some = some[above.sum(axis=1) < k]
-        before = len(kept)
-        for at in some.tolist():
-            fresh = kept[before:]
-            known = ((low[kept[:before]] <= low[at]) & (name[kept[:before]] <= name[at])).sum() if before else 0
-            if known + ((low[fresh] <= low[at]) & (name[fresh] <= name[at])).sum() < k:
-                kept.append(at)
-    return np.array(kept, np.int64)
+    low, name = low[order], name[order]
+    held_low, held_name, kept = low[:0], name[:0], []
+    # Whoever has k dominators has k of them in the skyband, so points dropped before need no look.
+    for start in range(0, len(order), 1024):
+        here = np.arange(start, min(start + 1024, len(order)))
+        known = ((held_low <= low[here, None]) & (held_name <= name[here, None])).sum(axis=1)
+        here, known = here[known < k], known[known < k]
+        own = np.tril((low[here] <= low[here, None]) & (name[here] <= name[here, None]), -1).sum(axis=1)
+        here = here[known + own < k]
+        held_low, held_name = np.r_[held_low, low[here]], np.r_[held_name, name[here]]
+        kept.append(here)
+    return order[np.concatenate(kept)] if kept else order
 
 
 def _skybands(rows: DataFrame, k: int) -> DataFrame:
-    """The skyband of each (lang, source) inside each partition, batch by batch."""
-    names = rows.columns
-
+    """The skyband of each (lang, source) inside each partition, a bounded number of rows at a time."""
     def retain(batches):
-        held: dict[tuple, list] = {}
-
-        def shrink(group):
-            high, low, value, terms = ([r[c] for r in group] for c in range(4))
-            ranks = np.empty(len(terms), np.int64)
-            ranks[sorted(range(len(terms)), key=terms.__getitem__)] = np.arange(len(terms))
-            return [group[i] for i in skyband(np.array(high), np.array(low), ranks, k).tolist()]
+        held: list[pa.RecordBatch] = []
+        waiting = 0
         for batch in batches:
-            fresh: dict[tuple, list] = {}
-            columns = [batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4)] + [batch.column(5).cast(pa.binary()).to_pylist()]
-            for lang, source, *row in zip(*columns):
-                fresh.setdefault((lang, source), []).append(tuple(row))
-            for key, some in fresh.items():
-                held[key] = shrink(held.get(key, []) + some)
-        for (lang, source), group in held.items():
-            n = len(group)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
-                *[pa.array([r[c] for r in group], pa.int64()) for c in (0, 1, 2)],
-                pa.array([r[3] for r in group], pa.binary()).view(pa.string())], names=names)
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting >= _HELD:
+                held, waiting = [*shrink(held)], 0
+        yield from shrink(held)
+
+    def shrink(held):
+        if not sum(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in (0, 1))
+        codes = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        high, low = (table.column(c).to_numpy() for c in (2, 3))
+        # Arrow orders strings by their bytes.
+        place = np.empty(table.num_rows, np.int64)
+        place[pc.sort_indices(table, sort_keys=[("term", "ascending")]).to_numpy()] = np.arange(table.num_rows)
+        order = np.argsort(codes, kind="stable")
+        edges = np.flatnonzero(np.r_[True, codes[order][1:] != codes[order][:-1], True])
+        kept = [rows[skyband(high[rows], low[rows], place[rows], k)] for rows in (order[a:b] for a, b in zip(edges[:-1], edges[1:]))]
+        yield from table.take(pa.array(np.concatenate(kept))).combine_chunks().to_batches()
     return rows.mapInArrow(retain, "lang string, source string, n bigint, lang_n bigint, value bigint, term string")
 
 
