@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from witnessgrid.catalog import evidence_queries
 from witnessgrid.operators import aggregate, extract, insights, items as item_ops, lifecycle, parts, questionnaire, result, rules, semantic
 
 ITEMS = "analysis_id string, ordinal int, item_id string, content_hash string"
@@ -271,6 +272,29 @@ def test_leaves_of_streamed_json(spark):
         assert [x[2] for x in found[f"bad{n}"].values()].count("error") == 1
 
 
+def test_long_strings_come_in_full_chunks(spark):
+    text = json.dumps({"a": "xé\\" * 9})
+    for size in (1, 4, 100):
+        rows = [("A", at, text[at:at + size]) for at in range(0, len(text), size)]
+        df = spark.createDataFrame(rows, "analysis_id string, part_no long, payload string")
+        found = parts.leaves(df, chunk=7).filter("path = 'a'").orderBy("chunk_no").collect()
+        assert [r["value"] for r in found] == [("xé\\" * 9)[at:at + 7] for at in range(0, 27, 7)]
+
+
+def test_stored_results_hold_the_texts(spark):
+    """Not only how many there are: every summary, explanation and claim comes back whole."""
+    rows = evidence_queries.stored_results(spark, "/root/testdata/sf0.001").collect()
+    seen = {}
+    for r in sorted(rows, key=lambda r: (r["path"], r["place"], r["chunk_no"])):
+        seen.setdefault((r["analysis_id"], r["path"]), {}).setdefault(r["place"], []).append(r["value"])
+    for r in rows:
+        at = lambda path: seen.get((r["analysis_id"], path), {})
+        assert len(at("summary")) == 1 and len(at("result.insights[].key")) == len(at("result.insights[].explanation")) == r["insights"]
+        assert len(at("self_reported_claims[].claim_id")) == r["claims"]
+    told = ["".join(v) for (_, path), places in seen.items() if path.endswith("explanation") for v in places.values()]
+    assert told and all(t.startswith("Supported by ") and t.endswith("].") for t in told)
+
+
 def test_transitions(spark):
     events = spark.createDataFrame([
         ("A", 1, None, "pending", None), ("A", 2, "in_progress", "failed", None), ("A", 3, "pending", "in_progress", None),

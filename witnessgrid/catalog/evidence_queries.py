@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, questionnaire, result, runs as run_ops
+from ..operators import aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, parts, questionnaire, result, runs as run_ops
 from ..plans import profile
 from ..session import cut_lineage, shared_path, stash
 from ..sources import readers, writers
@@ -430,13 +430,26 @@ def completed_documents(spark, sf):
     return documents(spark, sf)
 
 
-@query("SNK1 PRJ9 RULE17", sql("""
+CONTENT = ("summary", "result.insights[].key", "result.insights[].explanation", "self_reported_claims[].claim_id")
+
+
+@query("SNK1 PRJ9 RULE17", sql(f"""
+WITH told AS (
+  SELECT analysis_id, 'summary' AS path, 0 AS place, string_agg(CASE WHEN n > 2 THEN sep ELSE '' END || text, '' ORDER BY n) AS value
+  FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY step, place) AS n FROM summary_pieces) GROUP BY ALL
+  UNION ALL SELECT analysis_id, 'result.insights[].key', rank - 1, insight_key FROM insights
+  UNION ALL SELECT analysis_id, 'result.insights[].explanation', rank - 1, string_agg(CASE WHEN place = 1 AND n > 2 THEN sep ELSE '' END || text, '' ORDER BY n)
+  FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, insight_key ORDER BY place, own) AS n FROM explained) JOIN (SELECT analysis_id, insight_key, rank FROM insights) USING (analysis_id, insight_key) GROUP BY ALL
+  UNION ALL SELECT analysis_id, 'self_reported_claims[].claim_id', row_number() OVER (PARTITION BY analysis_id ORDER BY claim_id) - 1, claim_id FROM told_claims)
 SELECT s.analysis_id, 'profile-analysis-result-v3' AS schema_version, 'phase8-candidate-v1' AS insight_policy_version,
        (SELECT count(*) FROM items i WHERE i.analysis_id = s.analysis_id) AS images, (SELECT count(*) FROM evidence e WHERE e.analysis_id = s.analysis_id) AS evidence_rows,
-       (SELECT count(*) FROM insights x WHERE x.analysis_id = s.analysis_id) AS insights, (SELECT count(*) FROM told_claims c WHERE c.analysis_id = s.analysis_id) AS claims
-FROM analyses s""", "analyses", "items", "evidence", "insights", "told_claims"))
+       (SELECT count(*) FROM insights x WHERE x.analysis_id = s.analysis_id) AS insights, (SELECT count(*) FROM told_claims c WHERE c.analysis_id = s.analysis_id) AS claims,
+       t.path, t.place, unnest(range(greatest(1, (length(t.value) + {parts.CHUNK_CHARS - 1}) // {parts.CHUNK_CHARS}))) AS chunk_no,
+       substr(t.value, unnest(range(greatest(1, (length(t.value) + {parts.CHUNK_CHARS - 1}) // {parts.CHUNK_CHARS}))) * {parts.CHUNK_CHARS} + 1, {parts.CHUNK_CHARS}) AS value
+FROM analyses s JOIN told t USING (analysis_id)""", "analyses", "items", "evidence", "insights", "explained", "told_claims", "summary_pieces"))
 def stored_results(spark, sf):
-    """Documents merged into the result table as parts and read back as a stream of leaves: one row of counts each."""
+    """Documents merged into the result table as parts and read back as a stream of leaves: the summary, the insights' keys
+    and explanations and the claims of each, whole and in order, in chunks, beside its versions and counts."""
     path = shared_path(spark, "results")
     stored = documents(spark, sf)
     writers.write_state(stored.limit(0), path)
@@ -444,7 +457,9 @@ def stored_results(spark, sf):
     good, leaves, _ = result.read_documents(readers.read_state(spark, path, "completed"))
     objects = {"images": "result.images[]", "evidence_rows": "result.images[].evidence[]", "insights": "result.insights[]", "claims": "self_reported_claims[]"}
     counts = leaves.filter("kind = 'object'").groupBy("analysis_id").agg(*[F.count_if(F.col("path") == p).alias(n) for n, p in objects.items()])
-    return good.join(counts, "analysis_id").select("analysis_id", "schema_version", "insight_policy_version", *objects)
+    told = leaves.filter(F.col("path").isin(*CONTENT) & (F.col("kind") == "string")).select(
+        "analysis_id", "path", F.coalesce(F.get("at", F.lit(0)), F.lit(0)).alias("place"), "chunk_no", "value")
+    return good.join(counts, "analysis_id").select("analysis_id", "schema_version", "insight_policy_version", *objects).join(told, "analysis_id")
 
 
 @query("PRJ9 SORT1 STR10", sql("""

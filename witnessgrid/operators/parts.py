@@ -71,6 +71,7 @@ class Walker:
     def __init__(self, chunk: int = CHUNK_CHARS):
         self.chunk, self.text, self.frames, self.expect, self.inside, self.failed = chunk, "", [], "value", False, False
         self.leaf = self.part = 0
+        self.held = ""  # of a string's value, less than a chunk
 
     def _row(self, kind: str, value: str | None, more: bool = False):
         path = "".join(("[]" if key is None else f".{key}") for key, _ in self.frames).lstrip(".")
@@ -125,9 +126,14 @@ class Walker:
         except ValueError:
             self.failed = True
             return
-        for start in range(0, max(1, len(value)), self.chunk):
-            rest = start + self.chunk < len(value)
-            yield self._row("string", value[start:start + self.chunk], rest or not end)
+        # Every chunk but the last is full, however the text was cut into parts.
+        value, at = self.held + value, 0
+        while len(value) - at > self.chunk:
+            yield self._row("string", value[at:at + self.chunk], True)
+            at += self.chunk
+        self.held = "" if end else value[at:]
+        if end:
+            yield self._row("string", value[at:])
 
     def _token(self, at: int, last: bool):
         sign, rows = self.text[at], []
