@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from witnessgrid.operators import lifecycle
+from witnessgrid.operators import json_shape, lifecycle
 from witnessgrid.sources import keyed_table, readers, synthetic, writers
 from witnessgrid.streaming import lifecycle_stream
 
@@ -43,6 +43,21 @@ def test_word_files_stay_apart_and_in_order(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_json_shape_in_one_pass(spark):
+    """All levels come from one scan without a shuffle, and every fault is told at its place."""
+    field = json_shape.Field
+    shape = (field("", ("object",)), field("a", ("array",)), field("a[]", ("object",)), field("a[].b", values=("x", "y")), field("c", ("object", "null"), False), field("c.d", ("number",)))
+    texts = ["{}", '{"a":[],"c":null}', '{"a":[{"b":"x"},{"b":"z"},{"e":1},3]}', '{"a":{},"c":{}}', '{"a":[],"c":{"d":1.5,"e.f":[]}}', "[1]", "{", None, '{"a":[],"a":[]}', "null"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
+    found = json_shape.violations(docs, "id", shape)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("payload#") > 0 and "Repartition" not in plan and "Aggregate" not in plan
+    assert sorted((r["id"], r["path"], tuple(r["at"]), r["rule"]) for r in found.collect()) == [
+        (0, "a", (), "missing_field"), (2, "a[]", (3,), "wrong_type"), (2, "a[].b", (1,), "not_allowed"), (2, "a[].b", (2,), "missing_field"),
+        (2, "a[].e", (2,), "unknown_field"), (3, "a", (), "wrong_type"), (3, "c.d", (), "missing_field"), (4, r"c.e\.f", (), "unknown_field"),
+        (5, "", (), "wrong_type"), (6, "", (), "invalid_json"), (7, "", (), "invalid_json"), (8, "", (), "invalid_json"), (9, "", (), "wrong_type")]
+
+
 def test_structured_output(spark):
     ok = {"scenes": [{"label": "park", "confidence": 0.5}], "objects": [], "activities": [], "topics": [], "caption": {"text": "a park", "confidence": 0.9}}
     docs = [ok, {**ok, "caption": None}, {**ok, "extra": 1}, {**ok, "scenes": "park"}, {**ok, "scenes": [{"label": "x", "confidence": 1, "z": 0}]},

@@ -2,7 +2,8 @@
 
 A shape is data: one :class:`Field` per path. Documents are parsed once into VARIANT and opened
 level by level with ``variant_explode``, so every value of every document is a row with its path;
-rows are checked against the shape, which has a fixed size. Nothing is gathered per document.
+rows are checked against the shape, which has a fixed size. All levels are one pass without a shuffle,
+and nothing is gathered per document.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import computed
 from . import rules
 
 KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer"}
@@ -39,33 +41,40 @@ def _kind(value: Column) -> Column:
 
 
 def opened(documents: DataFrame, key: str, payload: str, shape: tuple[Field, ...]) -> DataFrame:
-    """(key, path, at, kind, value, keys) of every value down to the shape's depth.
+    """(key, path, at, kind, value, keys, compatible) of every value down to the shape's depth.
 
     ``at`` holds the positions in the arrays on the way; ``keys`` the field names of an object.
-    Dots and brackets inside a field name are escaped, so no name looks like a path.
+    Dots and brackets inside a field name are escaped, so no name looks like a path. Every document
+    has a row of its own, which alone tells if the text is not ``compatible``; kind and value are null
+    if it is no JSON at all.
     """
+    c = F.col
     # A value of another kind than its field allows is told as such and not opened.
     inside = F.lit(False)
     for kind in ("object", "array"):
-        inside |= F.col("path").isin(*[f.path for f in shape if kind in f.kinds]) & (F.col("kind") == kind)
+        inside |= c("path").isin(*[f.path for f in shape if kind in f.kinds]) & (c("kind") == kind)
     depth = 1 + max((f.path.count(".") + f.path.count("[]") + 1 for f in shape if f.path), default=0)
-
-    def shaped(rows: DataFrame) -> DataFrame:
-        kind = _kind(F.col("v"))
-        return rows.select("*", kind.alias("kind"), F.when(kind == "object", F.json_object_keys(F.to_json("v"))).alias("keys"))
-    level = shaped(documents.select(F.col(key), F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), F.try_parse_json(payload).alias("v")).filter(
-        "v IS NOT NULL"))
-    found = level
+    own = [key, "path", "at", "v", "compatible", "kind", "done"]
+    rows = computed(documents.select(c(key), F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), c(payload)),
+                    v=F.try_parse_json(payload), compatible=F.coalesce(rules.json_compatible(c(payload)), F.lit(False)))
+    rows = computed(rows.drop(payload), kind=F.when(c("v").isNotNull(), _kind(c("v")))).withColumn("done", F.lit(False)).select(*own)
     for _ in range(depth):
-        parents = level.filter(inside).drop("kind", "keys").withColumnRenamed("v", "_v")
-        level = documents.sparkSession.sql(
-            f"SELECT r.`{key}`, r.path AS up, r.at AS above, x.pos AS pos, x.key AS name, x.value AS v FROM {{rows}} r, LATERAL variant_explode(r._v) x", rows=parents)
+        # A value to open goes on as itself and once more for the values in it.
+        opens = F.coalesce(~c("done") & inside, F.lit(False))
+        copies = rows.select(*own, F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("down"))
+        found = documents.sparkSession.sql(
+            "SELECT r.*, x.pos, x.key AS name, x.value AS inner FROM {rows} r, LATERAL variant_explode_outer(CASE WHEN r.down THEN r.v END) x",
+            rows=copies).filter("NOT down OR pos IS NOT NULL")
         name = F.regexp_replace("name", r"([.\[\]])", r"\\$1")
-        path = F.when(F.col("name").isNull(), F.concat("up", F.lit("[]"))).when(F.col("up") == "", name).otherwise(F.concat("up", F.lit("."), name))
-        at = F.when(F.col("name").isNull(), F.array_append("above", F.col("pos"))).otherwise(F.col("above"))
-        level = shaped(level.select(key, path.alias("path"), at.alias("at"), "v"))
-        found = found.unionByName(level)
-    return found.withColumnRenamed("v", "value")
+        path = F.when(c("name").isNull(), F.concat("path", F.lit("[]"))).when(c("path") == "", name).otherwise(F.concat("path", F.lit("."), name))
+        at = F.when(c("name").isNull(), F.array_append("at", c("pos"))).otherwise(c("at"))
+        pick = lambda new, old: F.when(c("down"), new).otherwise(c(old))
+        rows = computed(found.select(
+            key, pick(path, "path").alias("path"), pick(at, "at").alias("at"), pick(c("inner"), "v").alias("v"),
+            pick(F.lit(True), "compatible").alias("compatible"), c("kind").alias("_kind"), "down"), kind=F.when(c("down"), _kind(c("v"))).otherwise(c("_kind"))).select(
+            key, "path", "at", "v", "compatible", "kind", (~c("down")).alias("done"))
+    return rows.select(key, "path", "at", "kind", c("v").alias("value"),
+                       F.when(c("kind") == "object", F.json_object_keys(F.to_json("v"))).alias("keys"), "compatible")
 
 
 def violations(documents: DataFrame, key: str, shape: tuple[Field, ...], payload: str = "payload") -> DataFrame:
@@ -74,25 +83,27 @@ def violations(documents: DataFrame, key: str, shape: tuple[Field, ...], payload
     Rules: invalid_json (no JSON, a repeated key, NaN or Infinity), unknown_field, missing_field, wrong_type, not_allowed.
     """
     spark, c = documents.sparkSession, F.col
-    rows = opened(documents, key, payload, shape)
-    told = F.broadcast(spark.createDataFrame(
-        [(f.path, list(f.kinds), list(f.values), True) for f in shape], "path string, kinds array<string>, allowed array<string>, known boolean"))
     children: dict[str, list[str]] = {}
     for f in shape:
         if f.required and f.path and not f.path.endswith("[]"):
             up, _, name = f.path.rpartition(".")
             children.setdefault(up, []).append(name)
-    needed = F.broadcast(spark.createDataFrame(list(children.items()) or [("-", ["-"])], "path string, required array<string>"))
+    paths = {f.path for f in shape}
+    told = F.broadcast(spark.createDataFrame(
+        [(f.path, list(f.kinds), list(f.values), children.get(f.path, []), True) for f in shape]
+        + [(up, None, None, names, None) for up, names in children.items() if up not in paths],
+        "path string, kinds array<string>, allowed array<string>, required array<string>, known boolean"))
+    rows = computed(opened(documents, key, payload, shape).join(told, "path", "left"), text=F.expr("try_variant_get(value, '$', 'string')"))
     kinds = c("kinds")
     fits = F.array_contains(kinds, c("kind")) | F.array_contains(kinds, "any") | ((c("kind") == "integer") & F.array_contains(kinds, "number"))
-    text = F.expr("try_variant_get(value, '$', 'string')")
-    rule = (
-        F.when(c("known").isNull(), "unknown_field").when(~fits, "wrong_type")
-        .when((F.size("allowed") > 0) & (c("kind") == "string") & ~F.array_contains(c("allowed"), text), "not_allowed"))
-    wrong = rows.join(told, "path", "left").withColumn("rule", rule).filter("rule IS NOT NULL").select(key, "path", "at", "rule")
-    missing = rows.filter("kind = 'object'").join(needed, "path").select(
-        key, "path", "at", F.explode(F.array_except("required", "keys")).alias("name")).select(
-        key, F.when(c("path") == "", c("name")).otherwise(F.concat_ws(".", "path", "name")).alias("path"), "at", F.lit("missing_field").alias("rule"))
-    broken = documents.filter(~F.coalesce(rules.json_compatible(c(payload)), F.lit(False))).select(
-        key, F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), F.lit("invalid_json").alias("rule"))
-    return broken.unionByName(wrong).unionByName(missing)
+    wrong = (
+        F.when(c("kind").isNull(), F.lit(None)).when(c("known").isNull(), "unknown_field").when(~fits, "wrong_type")
+        .when((F.size("allowed") > 0) & (c("kind") == "string") & ~F.array_contains(c("allowed"), c("text")), "not_allowed"))
+    lacks = F.when((c("kind") == "object") & c("required").isNotNull(), F.array_except("required", "keys")).otherwise(F.array().cast("array<string>"))
+
+    def fault(path, rule):
+        return F.struct(path.alias("path"), rule.alias("rule"))
+    faults = F.concat(
+        F.array_compact(F.array(F.when(~c("compatible"), fault(F.lit(""), F.lit("invalid_json"))), F.when(wrong.isNotNull(), fault(c("path"), wrong)))),
+        F.transform(lacks, lambda name: fault(F.when(c("path") == "", name).otherwise(F.concat_ws(".", "path", name)), F.lit("missing_field"))))
+    return rows.select(key, "at", F.inline(faults)).select(key, "path", "at", "rule")

@@ -98,7 +98,9 @@ def split_strict(documents: DataFrame, shape: tuple[Field, ...], key: str = "pat
     """Documents that follow the shape at every level, and the faults of the others: key, path, at, rule.
 
     ``key`` names a unique column of ``documents``; its faults come out under the name ``document``.
+    The documents are written down once: what made them is not done again for the faults and the rest.
     """
+    documents = stash(documents)
     named = documents.select(F.col(key).alias("document"), "payload")
     faults = stash(json_shape.violations(named, "document", shape))
     bad = faults.select(F.col("document").alias(key)).distinct()
