@@ -32,3 +32,18 @@ def test_queries_start_from_any_folder(tmp_path):
     assert done.returncode == 0, done.stderr[-3000:]
     counts = dict(line.split() for line in done.stdout.splitlines() if line.split()[:1] and line.split()[0] in names)
     assert set(counts) == set(names) and all(int(n) > 0 for n in counts.values())
+
+
+def test_batches_follow_bytes(spark):
+    """Long texts make small batches, so a worker's memory does not follow the row limit."""
+    import pyarrow as pa
+
+    from witnessgrid.session import small_batches
+
+    small_batches(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 100000) AS t")
+    assert max(r["n"] for r in texts.mapInArrow(sizes, "n bigint").collect()) < 8 << 20

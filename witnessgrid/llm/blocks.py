@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 SHINGLE = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
 

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stash
+from ..session import small_batches, stash
 from . import blocks
 from .stars import SIGMAS, bit_sketches, fingerprints, met_nodes, named_rows, set_items, star_roots
 
@@ -235,6 +235,7 @@ def first_of_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and whether the row is the one of its class to keep."""
+    small_batches(docs.sparkSession)
     table = stash(set_table(docs))
     whole = table.filter("n_shingles IS NOT NULL")
     rows = whole.select("doc_id", "text_key", "n_shingles", "node")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import small_batches
 from . import blocks, elias_fano
 
 SEGMENT = 1 << 20
@@ -168,6 +169,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
         if held:
             yield close()
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col("doc_id").cast("bigint"), "text", *[c for c in order if c != "doc_id"])
     # Ties beyond the order columns (repeated ids) are settled by the text itself.
     ranged = wanted.repartitionByRange(*order).sortWithinPartitions(*order, "text")

@@ -56,6 +56,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB: by rows alone, long texts make batches of many times that, held by
+    the JVM and by each Python worker at once. A smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = spark.conf.get(name, None)
+    if told is None or not told.isdigit() or int(told) > BATCH_BYTES or int(told) <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     if spark.sparkContext.getCheckpointDir() is not None:
