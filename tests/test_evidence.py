@@ -338,3 +338,11 @@ def test_labels_score_alike_in_blocks_of_any_size(spark):
             own = sorted((round(want[a, i, n], 12), n) for n, _ in names)
             assert min(round(want[k], 12) for k in best if k[:2] == (a, i)) == own[-3][0]
     assert semantic.score_labels(vectors, labels.limit(0)).collect() == [] and semantic.score_labels(vectors.limit(0), labels).collect() == []
+
+
+def test_retained_signals_are_made_once(spark, monkeypatch):
+    """The insights and the ids behind them read one table of retained signals."""
+    made, plain = [], evidence_queries.views.retained
+    monkeypatch.setattr(evidence_queries.views, "retained", lambda *a: made.append(a) or plain(*a))
+    evidence_queries.explained_insights(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1

@@ -13,9 +13,15 @@ from .registry import query
 from .views import sql
 
 
-def insights(spark, sf):
+def insights(spark, sf, retained=None):
     sizes = views.table(spark, sf, "documents").select(F.col("source").alias("analysis_id"))
-    return profile.ranked_insights(views.aggregates(spark, sf), sizes)
+    aggregates = views.aggregates(spark, sf) if retained is None else aggregate.theme_aggregates(retained, item_ops.universe(views.items(spark, sf)))
+    return profile.ranked_insights(aggregates, sizes)
+
+
+def kept_retained(spark, sf):
+    """The retained signals, made once for the insights and the ids behind them."""
+    return stash(views.retained(spark, sf))
 
 
 @query("AGG5 AGG6 PRJ3 PRJ5 RULE13 RULE19 MTH7 WIN7 HSH4", sql("""
@@ -205,8 +211,8 @@ def unresolved_support(spark, sf):
     return bad
 
 
-def insight_links(spark, sf, ranked):
-    links = aggregate.support_links(views.retained(spark, sf)).join(
+def insight_links(ranked, retained):
+    links = aggregate.support_links(retained).join(
         ranked.select("analysis_id", "kind", "key", "insight_key"), ["analysis_id", "kind", "key"])
     none = F.lit(None).cast("string")
     ev = links.select("analysis_id", F.col("insight_key").alias("key"), F.col("signal_id").alias("evidence_id"), none.alias("item_id"))
@@ -216,20 +222,22 @@ def insight_links(spark, sf, ranked):
 
 @query("JOIN10", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
 def result_graph_violations(spark, sf):
-    ranked = cut_lineage(insights(spark, sf))
+    retained = kept_retained(spark, sf)
+    ranked = cut_lineage(insights(spark, sf, retained))
     owners = ranked.select("analysis_id", F.col("insight_key").alias("key"), "evidence_count", "item_coverage")
-    return result.support_violations(owners, insight_links(spark, sf, ranked), views.evidence(spark, sf), views.items(spark, sf))
+    return result.support_violations(owners, insight_links(ranked, retained), views.evidence(spark, sf), views.items(spark, sf))
 
 
 @query("JOIN10", sql("""
 SELECT analysis_id, 'statement' AS entity, insight_key AS entity_id, unnest(['coverage', 'evidence_count']) AS rule FROM insights WHERE evidence_count % 2 = 0""", "insights"))
 def spoiled_graph_violations(spark, sf):
-    ranked = cut_lineage(insights(spark, sf))
+    retained = kept_retained(spark, sf)
+    ranked = cut_lineage(insights(spark, sf, retained))
     even = F.col("evidence_count") % 2 == 0
     owners = ranked.select(
         "analysis_id", F.col("insight_key").alias("key"), F.when(even, F.col("evidence_count") + 1).otherwise(F.col("evidence_count")).alias("evidence_count"),
         F.when(even, F.col("item_coverage") / 2).otherwise(F.col("item_coverage")).alias("item_coverage"))
-    return result.support_violations(owners, insight_links(spark, sf, ranked), views.evidence(spark, sf), views.items(spark, sf))
+    return result.support_violations(owners, insight_links(ranked, retained), views.evidence(spark, sf), views.items(spark, sf))
 
 
 @query("JOIN10 RULE6", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
@@ -257,14 +265,14 @@ def all_items(spark, sf):
     return views.items(spark, sf)
 
 
-def kept_insights(spark, sf):
+def kept_insights(spark, sf, retained=None):
     """Ranked insights, kept for the several outputs that read them."""
-    return cut_lineage(insights(spark, sf))
+    return cut_lineage(insights(spark, sf, retained))
 
 
-def support(spark, sf, ranked):
+def support(ranked, retained):
     """The ids behind the insights, kept for the several outputs that read them."""
-    return stash(profile.supporting_ids(ranked, views.retained(spark, sf)))
+    return stash(profile.supporting_ids(ranked, retained))
 
 
 views.cte("support", """
@@ -285,21 +293,24 @@ EXPLANATION_BYTES, SUMMARY_BYTES, DOCUMENT_BYTES = 128, 64, 2048
 
 @query("PRJ5 ARR1", sql("SELECT analysis_id, insight_key, CAST(rank AS INTEGER) AS rank, part, id FROM support", "support"))
 def insight_support(spark, sf):
-    return support(spark, sf, kept_insights(spark, sf)).withColumn("rank", F.col("rank").cast("int"))
+    retained = kept_retained(spark, sf)
+    return support(kept_insights(spark, sf, retained), retained).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("STR10 PRJ5 RULE16", sql(
     "SELECT analysis_id, insight_key, part_no, payload AS explanation FROM (" + views.parts_sql("explained", "analysis_id, insight_key", "place, own", 128) + ")", "explained"))
 def explained_insights(spark, sf):
     """Explanations in small parts, so that the check sees the cuts."""
-    ranked = kept_insights(spark, sf)
-    return ins.explanation_parts(ranked, support(spark, sf, ranked), EXPLANATION_BYTES).withColumnRenamed("payload", "explanation")
+    retained = kept_retained(spark, sf)
+    ranked = kept_insights(spark, sf, retained)
+    return ins.explanation_parts(ranked, support(ranked, retained), EXPLANATION_BYTES).withColumnRenamed("payload", "explanation")
 
 
 @query("RULE12", "SELECT '' AS analysis_id, '' AS entity, '' AS entity_id, '' AS rule WHERE false")
 def finished_insight_violations(spark, sf):
-    ranked = kept_insights(spark, sf)
-    return ins.finished_violations(ranked, support(spark, sf, ranked))
+    retained = kept_retained(spark, sf)
+    ranked = kept_insights(spark, sf, retained)
+    return ins.finished_violations(ranked, support(ranked, retained))
 
 
 @query("RULE12", sql("""
@@ -307,8 +318,9 @@ SELECT analysis_id, 'insight' AS entity, insight_key AS entity_id, 'label_policy
 UNION ALL SELECT analysis_id, 'insight', insight_key, 'item_id_policy' FROM support WHERE part = 'item' GROUP BY ALL HAVING bool_or(id LIKE '%7')""", "insights", "support"))
 def spoiled_insight_violations(spark, sf):
     """Labels of insights with even counts and ids ending in 7 break the policy."""
-    ranked = kept_insights(spark, sf)
-    ids = support(spark, sf, ranked).withColumn("id", F.when(F.col("id").endswith("7"), F.lit("Person religion = x")).otherwise(F.col("id")))
+    retained = kept_retained(spark, sf)
+    ranked = kept_insights(spark, sf, retained)
+    ids = support(ranked, retained).withColumn("id", F.when(F.col("id").endswith("7"), F.lit("Person religion = x")).otherwise(F.col("id")))
     return ins.finished_violations(ranked.withColumn(
         "insight_label", F.when(F.col("evidence_count") % 2 == 0, F.lit("Person religion = x")).otherwise(F.col("insight_label"))), ids)
 
@@ -387,11 +399,12 @@ views.cte("told_claims", "SELECT DISTINCT source AS analysis_id, 'c-' || lang AS
 
 def documents(spark, sf, ranked=None, with_claims=True):
     """Stored documents in small parts; measures are rounded, so that engines print them alike."""
-    ranked = kept_insights(spark, sf) if ranked is None else ranked
+    retained = kept_retained(spark, sf)
+    ranked = kept_insights(spark, sf, retained) if ranked is None else ranked
     shown = ranked.withColumns({c: F.round(c, 6) for c in ("confidence", "item_coverage")})
     evidence = result.redacted(views.evidence(spark, sf)).withColumn("confidence", F.round("confidence", 6))
     return result.document_parts(
-        all_items(spark, sf), evidence, shown, support(spark, sf, ranked), ins.SupportPolicy().version,
+        all_items(spark, sf), evidence, shown, support(ranked, retained), ins.SupportPolicy().version,
         claims_of(spark, sf) if with_claims else None, part_bytes=DOCUMENT_BYTES)
 
 
