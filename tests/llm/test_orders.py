@@ -55,6 +55,17 @@ def test_pieces_beyond_the_cache(monkeypatch):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and count.tolist() == [len(ids)]
 
 
+def test_tasks_of_a_process_share_their_pieces():
+    path = queries.tokenizer_path()
+    text = np.frombuffer(b"alpha, beta gamma " * 3, np.uint8)
+    first = token_files.process_encoder(path)
+    want = first.encode(text, np.array([0, len(text)]))
+    known = len(first.known)
+    again = token_files.process_encoder(path)
+    got = again.encode(text, np.array([0, len(text)]))
+    assert again is first and len(again.known) == known and all(np.array_equal(x, y) for x, y in zip(want, got))
+
+
 def test_period_keeps_every_source_within_one_block():
     for shares in ({"a": 5, "b": 3, None: 1}, {"x": 60, **{f"s{i}": 1 for i in range(40)}}, {"only": 4}):
         total = sum(shares.values())

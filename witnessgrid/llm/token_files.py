@@ -7,8 +7,8 @@ segment closes at the first document end at or after ``SEGMENT`` ids; ``part`` n
 range partitions in order and ``part_start`` counts the ids before the segment in its part, so
 only one offset per part (not per document or segment) is ever held in memory.
 
-Encoding: a word's ids do not depend on its neighbours, so each task encodes every distinct
-piece once with the tokenizers library and gathers ids by piece number. Pieces are cut at white
+Encoding: a word's ids do not depend on its neighbours, so each worker process encodes every distinct
+piece once (``CACHED_PIECES`` at most are kept) with the tokenizers library and gathers ids by piece number. Pieces are cut at white
 space and between an ASCII letter and ASCII punctuation, where the tokenizer cuts as well; texts
 that may hold special-token strings are encoded whole. A piece is recognised by a 64-bit hash.
 
@@ -19,6 +19,9 @@ no rows; a text longer than a segment gets a segment of its own size. Further co
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
 import zlib
 
 import numpy as np
@@ -50,22 +53,21 @@ class PieceEncoder:
     def __init__(self, tokenizer, specials: bool = True):
         self.tokenizer = tokenizer
         self.known = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
         self.values = np.zeros(0, np.uint32)
 
     def _learn(self, hashes, strings):
         found = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-        lengths = np.array([len(f) for f in found], np.int64)
-        flat = np.fromiter((t for f in found for t in f), np.uint32, int(lengths.sum()))
-        begin = len(self.values) + np.cumsum(lengths) - lengths
-        slots = len(self.start) + np.arange(len(found))
+        lengths = np.array([len(f) for f in found], np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        begin = len(self.values) + np.cumsum(lengths, dtype=np.int64) - lengths
+        slots = len(self.start) + np.arange(len(found), dtype=np.int32)
         self.values = np.concatenate([self.values, flat])
         self.start, self.length = np.concatenate([self.start, begin]), np.concatenate([self.length, lengths])
-        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], slot[order]
+        at = np.searchsorted(self.known, hashes)  # both are sorted
+        self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slots)
 
     def _slots(self, distinct, data, starts, ends):
         """Slot of each distinct hash, encoding those not met before."""
@@ -91,7 +93,7 @@ class PieceEncoder:
             hashes = blocks.span_hashes(data, starts, ends)
             distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             slots = self._slots(distinct, data, starts[example], ends[example])[inverse]
-            lengths = self.length[slots]
+            lengths = self.length[slots].astype(np.int64)
             ids = self.values[blocks.ranges(self.start[slots], lengths)]
             total = np.concatenate([[0], np.cumsum(lengths)])
             count = total[first[1:]] - total[first[:-1]]
@@ -118,6 +120,15 @@ class PieceEncoder:
         return starts, ends, np.searchsorted(starts, offsets)
 
 
+@functools.lru_cache(maxsize=1)
+def process_encoder(tokenizer_path: str) -> PieceEncoder:
+    """The encoder of this process: tasks that follow each other in a worker know the pieces of those before."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return PieceEncoder(Tokenizer.from_file(tokenizer_path))
+
+
 def with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> np.ndarray:
     out = np.full(len(ids) + len(count), end_id, np.uint32)
     body = np.ones(len(out), bool)
@@ -130,14 +141,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                  order: tuple[str, ...] = ("doc_id",), segment: int = SEGMENT) -> None:
     """Encodes every text of ``docs`` in the order of the columns ``order`` and writes the segments."""
     def encode(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder = PieceEncoder(tokenizer)
+        encoder = process_encoder(tokenizer_path)
+        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         held, bounds, names, part, written = [], [], [], 0, 0
 
         def close():
