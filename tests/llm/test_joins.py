@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from witnessgrid.llm import decontamination, links, parity_join, sharding
+from witnessgrid.llm import decontamination, links, parity_join, sharding, stars
 
 from .conftest import WORDS, passage
 
@@ -57,6 +57,17 @@ def test_parity_join_equals_brute_force(spark, make):
     assert got == components(rows)
 
 
+def test_pairs_meet_in_their_first_common_keys_only(spark):
+    """Nodes that share most of their keys: every pair meets, in a few rows instead of one for each shared key."""
+    rng = random.Random(4)
+    held = {n: sorted(rng.sample(range(-60, 60), 80)) for n in range(40)} | {50: [70], 51: [70, 71], 52: [71, 5]}
+    rows = stars._with_before(spark.createDataFrame([(k, n) for n, keys in held.items() for k in keys], "key long, node long"))
+    left, right = (rows.withColumnsRenamed({"node": n, "before": f"{n}_before"}) for n in "ab")
+    met = left.join(right, "key").filter("a < b AND NOT arrays_overlap(a_before, b_before)").select("a", "b").collect()
+    assert {tuple(r) for r in met} == {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+    assert len(met) < 1.5 * len(set(met))
+
+
 def test_parity_join_odd_rows(spark, odd):
     got = sorted(map(tuple, parity_join.linked_components(odd).collect()), key=str)
     as_rows = {r[0]: r for r in got if r[0] is not None}

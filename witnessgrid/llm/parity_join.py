@@ -40,8 +40,8 @@ from .stars import SIGMAS, bit_sketches, fingerprints, met_nodes, named_rows, se
 
 PLAIN, SAMPLED = 112, 72
 COMMON = 0.01
-SEEN = (2, 8, 64)
-_KEY_BITS = 27
+# How often a key is seen, by levels, and the bits of a key that tell it apart there: the more often, the fewer such keys.
+SEEN, KEY_BITS = (2, 8, 64), (27, 24, 21)
 
 
 class Bands:
@@ -195,8 +195,7 @@ def key_table(docs: DataFrame, common: np.ndarray, percent: int, seen=None) -> D
     bands = Bands(percent)
 
     def level(key):
-        slot = (key >> np.uint64(64 - _KEY_BITS)).astype(np.int64)
-        return sum(_has(bits, slot).astype(np.int64) for bits in seen.value)
+        return sum(_has(bits, (key >> np.uint64(64 - n)).astype(np.int64)).astype(np.int64) for bits, n in zip(seen.value, KEY_BITS))
 
     def keys(batches):
         for batch in batches:
@@ -246,8 +245,8 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     common = _common(table)
     # Copies count too: that only makes a key look more frequent, alike for all who have it.
     found = stash(key_table(docs, common, percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN[0]))
-    slot = F.shiftrightunsigned("key", 64 - _KEY_BITS)
-    bits = docs.sparkSession.sparkContext.broadcast([_bit_array(found.filter(F.col("n") >= n), slot, _KEY_BITS) for n in SEEN])
+    bits = docs.sparkSession.sparkContext.broadcast([
+        _bit_array(found.filter(F.col("n") >= n), F.shiftrightunsigned("key", 64 - b), b) for n, b in zip(SEEN, KEY_BITS)])
     # The second pass sends little: documents without a partner have mostly keys of their own. A key's rows are folded by node first.
     sent = stash(key_table(docs, common, percent, bits).distinct())
     met = met_nodes(sent)

@@ -6,6 +6,8 @@
 * When few pairs are left apart, or after ``STARS`` rounds, all nodes outside the largest class of
   a key are compared with the rest of the key. So every pair that shares a key ends up linked, in
   one class, or compared, and copies cost about one comparison each.
+* There, where near copies that are no links share most of their keys, a pair is taken in its first common keys
+  only (``BEFORE``), so its rows don't grow with the keys that it shares.
 * Bit sketches, compared inside the join, drop pairs that can't be links; the others are compared as
   whole shingle sets, of which each is made and stored once.
 * Links shrink to spanning forests by union-find inside the tasks; star contraction joins the forests.
@@ -15,13 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stash
 from . import blocks
 from .links import components, tasks_for
 
 STARS = 2
+# Keys before its own that each row knows when all pairs of a key are compared.
+BEFORE = 8
 BITS, DENSE, SIGMAS = 512, 150, 5.0
 
 
@@ -92,25 +96,21 @@ def set_items(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(sets, "node bigint, items binary").groupBy("node").agg(F.first("items").alias("items"))
 
 
-def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as similar as asked."""
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-    left, right = (items.select(F.col("node").alias(n), F.col("items").alias(f"{n}_items"), F.octet_length("items").alias(f"{n}_size")) for n in "ab")
-    near = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    joined = pairs.join(left, "a").join(right, "b").filter(near)
-    return joined.select("a", "b", "a_items", "b_items").mapInArrow(similar, "a bigint, b bigint")
+def similar_forest(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the same classes as the pairs (a, b) of nodes whose whole sets are as similar as asked.
 
+    At most as many as there are nodes in each block of rows, by union-find; one Python stage does both, so that
+    a task has one worker.
+    """
+    def similar(batch):
+        keep = []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                keep.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+        return keep
 
-def forest(links: DataFrame) -> DataFrame:
-    """At most as many links (a, b) as there are nodes in each block of rows, of the same classes: union-find in the tasks."""
     def grow(batches):
         for batch in batches:
             root: dict[int, int] = {}
@@ -122,14 +122,17 @@ def forest(links: DataFrame) -> DataFrame:
                 while root[x] != top:
                     root[x], x = top, root[x]
                 return top
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for a, b in similar(batch):
                 a, b = find(a), find(b)
                 if a != b:
                     root[max(a, b)] = min(a, b)
             moved = [(find(x), x) for x in list(root) if find(x) != x]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([m[k] for m in moved], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    return links.select("a", "b").mapInArrow(grow, "a bigint, b bigint")
+    left, right = (items.select(F.col("node").alias(n), F.col("items").alias(f"{n}_items"), F.octet_length("items").alias(f"{n}_size")) for n in "ab")
+    near = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    joined = pairs.join(left, "a").join(right, "b").filter(near)
+    return joined.select("a", "b", "a_items", "b_items").mapInArrow(grow, "a bigint, b bigint")
 
 
 def met_nodes(keyed: DataFrame) -> DataFrame:
@@ -143,6 +146,16 @@ def met_nodes(keyed: DataFrame) -> DataFrame:
     return stash(met.select("key", "node").join(met.groupBy("node").agg(F.sum("n").alias("degree")), "node"))
 
 
+def _with_before(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, ...) with ``before``: up to ``BEFORE`` keys of the node that precede this one.
+
+    Two nodes with a key in common there meet under that key already, so they need not meet again: under the
+    first key they share the lists have none in common, and no pair is lost. A node has a few hundred keys at most.
+    """
+    window = Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1)
+    return rows.withColumn("before", F.collect_list("key").over(window))
+
+
 def star_roots(met: DataFrame, nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of every linked node, root the smallest; None without links.
 
@@ -175,13 +188,19 @@ def star_roots(met: DataFrame, nodes: DataFrame, items: DataFrame, percent: int)
         else:  # the best connected node outside the largest class
             outer = placed.filter("root <> main").groupBy("key").agg(F.max(F.struct("degree", "node", "root")).alias("t"))
             pivots = outer.select("key", F.col("t.node").alias("a"), F.col("t.root").alias("ra"))
+        others = placed.select("key", F.col("node").alias("b"), "root")
+        apart_first = F.col("root") != F.col("ra")
+        if last:
+            pivots = _with_before(pivots.withColumnRenamed("a", "node")).withColumnsRenamed({"node": "a", "before": "a_before"})
+            others = _with_before(others.withColumnRenamed("b", "node")).withColumnsRenamed({"node": "b", "before": "b_before"})
+            apart_first &= ~F.arrays_overlap("a_before", "b_before")
         # Sketches are compared inside the join, so pairs that can't be links are never rows.
-        others = placed.select("key", F.col("node").alias("b"), "root").join(_side(nodes, "b", percent), "b")
-        met_pairs = others.join(pivots.join(_side(nodes, "a", percent), "a"), "key").filter((F.col("root") != F.col("ra")) & _close(percent))
+        others = others.join(_side(nodes, "b", percent), "b")
+        met_pairs = others.join(pivots.join(_side(nodes, "a", percent), "a"), "key").filter(apart_first & _close(percent))
         pairs = met_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(width)
         pairs = stash(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        similar = stash(forest(verified(pairs, items, percent)))
+        similar = stash(similar_forest(pairs, items, percent))
         moved = not similar.isEmpty()
         if moved:
             links = similar if roots is None else similar.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
