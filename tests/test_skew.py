@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from witnessgrid.operators import digests, graph, metrics, runs, semantic, skew
@@ -153,6 +154,30 @@ def test_metric_cells_find_the_same_pairs_and_ship_less(spark):
     assert shipped < 600 * (600 / 30) / 2  # every vector once per block would be 12,000
 
 
+def test_pairs_of_blocks_leave_in_bounded_frames(monkeypatch):
+    monkeypatch.setattr(semantic, "STRIP_ROWS", 7)
+    monkeypatch.setattr(semantic, "SENT_ROWS", 50)
+    rng = random.Random(8)
+    rows = [("A", 1, o, unit(rng, 3), own, 0, 1) for o, own in [(i, i % 2) for i in range(60)]]
+    group = pd.DataFrame(rows, columns=["analysis_id", "cell", "ordinal", "embedding", "_own", "bi", "bj"])
+    x = np.stack(group["embedding"].to_numpy())
+    for bj in (0, 1):
+        part = group.assign(bj=bj)[(group["_own"] == 0) | (bj == 1)]
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] >= 0.1 and (i % 2 == j % 2 == 0 if bj == 0 else i % 2 != j % 2)}
+        frames = list(semantic._compare(0.1, False)(iter([part[:20], part[20:]])))
+        assert {(r.left, r.right) for f in frames for r in f.itertuples()} == want and len(want) > 200 and max(map(len, frames)) <= 50
+        edges = [(r.left, r.right) for f in semantic._compare(0.1, True)(iter([part])) for r in f.itertuples()]
+        assert len(edges) <= len(part) and groups_of(edges) == groups_of(want)
+
+
+def groups_of(pairs):
+    groups = []
+    for a, b in pairs:
+        touched = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in touched] + [set().union({a, b}, *touched)]
+    return sorted(map(sorted, groups))
+
+
 def test_query_scores_with_hot_query(spark):
     ranked = spark.createDataFrame([("q", f"i{i}", i + 1) for i in range(30)] + [("z", "i0", 1)], "query string, item_id string, rank int")
     relevant = spark.createDataFrame([("q", f"i{i}") for i in range(0, 30, 3)], "query string, item_id string")

@@ -19,6 +19,8 @@ LABEL_BLOCK, VECTOR_ROWS = 1_024, 5_000
 BLOCK_ROWS = 2_000
 # Pivots of one cell, levels of cells inside cells, and rows of a cell that one task places.
 MAX_PIVOTS, LEVELS, SPLIT_ROWS = 256, 3, 100_000
+# Vectors whose products a Python worker holds at once, and rows that it hands back at once.
+STRIP_ROWS, SENT_ROWS = 250, 10_000
 
 
 def norm(vector: Column) -> Column:
@@ -203,24 +205,27 @@ def _split(rows: DataFrame, big: DataFrame, threshold: float, block_rows: int, l
                 if key != now:
                     now, heads, matrix = key, [], None
                 heads += part.loc[part["_kind"] == 0, "embedding"].tolist()
-                part = part[part["_kind"] == 1]
-                if not len(part):
-                    continue
-                x = np.stack(part["embedding"].to_numpy()).astype("float64")
-                if matrix is None:  # sorted: all pivots come before the first vector
-                    matrix = np.stack(heads).astype("float64") if heads else np.zeros((1, x.shape[1]))
-                    apart = np.sqrt(np.maximum(0, ((matrix[:, None] - matrix[None]) ** 2).sum(-1)))
-                dots = x @ matrix.T
-                own = dots.argmax(axis=1)
-                home = part["home"].to_numpy()
-                near = dots[np.arange(len(x)), own][:, None] - dots <= reach * apart[own] + slack
-                later = np.arange(len(matrix))[None] > own[:, None]
-                i, sub = np.nonzero(near & (later | ~home[:, None]))
-                stays = np.flatnonzero(home)
-                i, sub, is_home = np.r_[stays, i], np.r_[own[stays], sub], np.r_[np.ones(len(stays), bool), np.zeros(len(i), bool)]
-                yield pd.DataFrame({
-                    "analysis_id": part["analysis_id"].to_numpy()[i], "cell": part["cell"].to_numpy()[i], "sub": sub.astype("int64"),
-                    "ordinal": part["ordinal"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i], "home": is_home})
+                vectors = part[part["_kind"] == 1]
+                for row in range(0, len(vectors), STRIP_ROWS):
+                    part = vectors.iloc[row:row + STRIP_ROWS]
+                    x = np.stack(part["embedding"].to_numpy()).astype("float64")
+                    if matrix is None:  # sorted: all pivots come before the first vector
+                        matrix = np.stack(heads).astype("float64") if heads else np.zeros((1, x.shape[1]))
+                        apart = np.stack([np.sqrt(((matrix - pivot) ** 2).sum(-1)) for pivot in matrix])
+                    dots = x @ matrix.T
+                    own = dots.argmax(axis=1)
+                    home = part["home"].to_numpy()
+                    near = dots[np.arange(len(x)), own][:, None] - dots <= reach * apart[own] + slack
+                    later = np.arange(len(matrix))[None] > own[:, None]
+                    i, sub = np.nonzero(near & (later | ~home[:, None]))
+                    stays = np.flatnonzero(home)
+                    i, sub, is_home = np.r_[stays, i], np.r_[own[stays], sub], np.r_[np.ones(len(stays), bool), np.zeros(len(i), bool)]
+                    # A vector may visit every cell, so a few vectors can make many rows.
+                    for lo in range(0, len(i), SENT_ROWS):
+                        at = i[lo:lo + SENT_ROWS]
+                        yield pd.DataFrame({
+                            "analysis_id": part["analysis_id"].to_numpy()[at], "cell": part["cell"].to_numpy()[at], "sub": sub[lo:lo + SENT_ROWS].astype("int64"),
+                            "ordinal": part["ordinal"].to_numpy()[at], "embedding": part["embedding"].to_numpy()[at], "home": is_home[lo:lo + SENT_ROWS]})
     out = stream.mapInPandas(
         place, f"analysis_id string, cell bigint, sub bigint, ordinal bigint, embedding {rows.schema['embedding'].dataType.simpleString()}, home boolean")
     return out.withColumn("cell", F.xxhash64("cell", "sub", F.lit(level))).drop("sub")
@@ -245,26 +250,35 @@ def _block_pairs(cells: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _compare(threshold: float, spanning: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first = group["bi"].iloc[0]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches), ignore_index=True)  # the vectors of two blocks
+        analysis, first = group["analysis_id"].iloc[0], group["bi"].iloc[0]
         same = first == group["bj"].iloc[0]
         left = group[group["_own"] == first].sort_values("ordinal")
         right = left if same else group[group["_own"] != first].sort_values("ordinal")
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"analysis_id": [], "left": [], "right": [], "similarity": []})
-        dots = np.clip(
-            np.stack(left["embedding"].to_numpy()).astype("float64")
-            @ np.stack(right["embedding"].to_numpy()).astype("float64").T, -1.0, 1.0)
-        hit = dots >= threshold
-        if same:
-            hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
-        i, j = np.nonzero(hit)
-        a, b = left["ordinal"].to_numpy()[i], right["ordinal"].to_numpy()[j]
-        low, high, value = np.minimum(a, b), np.maximum(a, b), dots[i, j]
-        if spanning:
-            low, high, value = _spanning(low, high, value)
-        return pd.DataFrame({
-            "analysis_id": group["analysis_id"].iloc[0], "left": low, "right": high, "similarity": value})
+            return
+        left_ordinals, right_ordinals = left["ordinal"].to_numpy(), right["ordinal"].to_numpy()
+        x, y = (np.stack(side["embedding"].to_numpy()).astype("float64") for side in (left, right))
+        forest = (left_ordinals[:0], left_ordinals[:0], np.zeros(0))
+
+        def sent(low, high, value):
+            for lo in range(0, len(low), SENT_ROWS):
+                part = slice(lo, lo + SENT_ROWS)
+                yield pd.DataFrame({"analysis_id": analysis, "left": low[part], "right": high[part], "similarity": value[part]})
+        for row in range(0, len(x), STRIP_ROWS):
+            dots = np.clip(x[row:row + STRIP_ROWS] @ y.T, -1.0, 1.0)
+            hit = dots >= threshold
+            if same:
+                hit &= np.arange(len(y))[None] > np.arange(row, row + len(hit))[:, None]
+            i, j = np.nonzero(hit)
+            a, b = left_ordinals[row + i], right_ordinals[j]
+            found = np.minimum(a, b), np.maximum(a, b), dots[i, j]
+            if spanning:
+                forest = _spanning(*(np.concatenate(both) for both in zip(forest, found)))
+            else:
+                yield from sent(*found)
+        yield from sent(*forest)
     return run
 
 
