@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from witnessgrid.operators import json_shape, lifecycle
+from witnessgrid.catalog import source_queries
+from witnessgrid.operators import aggregate, items as item_ops, json_shape, lifecycle
 from witnessgrid.sources import keyed_table, readers, synthetic, writers
 from witnessgrid.streaming import lifecycle_stream
 
@@ -153,6 +154,26 @@ def test_workload_generator(spark):
     assert synthetic.workload_similarities(items).count() == 12
 
 
+def test_workload_is_grouped_where_its_items_lie(spark, tmp_path):
+    orders = [(n, n % 7 if n % 3 else 1) for n in range(60)] + [(5, 5), (61, None)]  # one order twice, one of no customer
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    items = spark.createDataFrame([(str(c), n, f"img-{n:04d}") for n, c in orders if c is not None], "analysis_id string, item_index long, item_id string")
+    plain = [c for c in synthetic.workload_evidence(items).columns if not c.startswith("_")]
+    signals = aggregate.union_signals(
+        aggregate.support_signals(synthetic.workload_evidence(items).select(*plain)),
+        aggregate.semantic_signals(synthetic.workload_similarities(items).drop("_text", "_key")))
+    want = aggregate.theme_aggregates(aggregate.represent(aggregate.distinct_evidence(signals)), item_ops.universe(items))
+    order = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for task_items in (10_000, 5):  # whole analyses, and analyses cut by item
+        got = source_queries.workload_aggregates(spark, str(tmp_path), task_items)
+        assert order(got) == order(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("canonical_item_id" in line or "signal_id" in line for line in exchanged)
+        for place in plan.split("ArrowEvalPython")[:-1]:  # texts only of what is broadcast
+            assert "BroadcastExchange Identity" in place[place.rfind("BroadcastNestedLoopJoin"):]
+
+
 SCHEMA = "analysis_id string, seq long, expected string, target string, payload string"
 
 

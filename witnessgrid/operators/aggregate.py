@@ -25,8 +25,11 @@ def _present(name: str) -> Column:
 def _as_signals(df: DataFrame) -> DataFrame:
     text_columns = {"analysis_id", "original_item_id", "canonical_item_id", "kind", "key", "source"}
     flag = F.coalesce("has_copies", F.lit(False)).alias("has_copies")
+    # A column that can't be null stays as it is, so Spark still knows how the rows are partitioned.
+    open_columns = {f.name for f in df.schema.fields if f.nullable}
     return df.select(*[
-        _present(c) if c in text_columns else flag if c == "has_copies" else F.col(c) for c in SIGNAL_COLUMNS])
+        F.col(c) if c not in open_columns else _present(c) if c in text_columns else flag if c == "has_copies" else F.col(c)
+        for c in SIGNAL_COLUMNS])
 
 
 def distinct_evidence(evidence: DataFrame) -> DataFrame:
@@ -66,12 +69,30 @@ def resolve_items(evidence: DataFrame, duplicates: DataFrame) -> DataFrame:
     )
 
 
-def support_signals(evidence: DataFrame) -> DataFrame:
-    """Evidence rows (with canonical_item_id, has_copies) as support signals."""
+def named_concepts(rows: DataFrame) -> DataFrame:
+    """``rows`` (type, label, value) with the normal forms of their concept, _text and _key."""
     concept = text.computed(
-        evidence, _concept=text.concept_label(F.col("type"), F.col("label"), F.col("value")))
-    named = text.computed(
-        concept, _text=text.visual_text(F.col("_concept")), _key=text.aggregation_key(F.col("_concept")))
+        rows, _concept=text.concept_label(F.col("type"), F.col("label"), F.col("value")))
+    return text.computed(
+        concept, _text=text.visual_text(F.col("_concept")), _key=text.aggregation_key(F.col("_concept"))).drop("_concept")
+
+
+def named_labels(rows: DataFrame) -> DataFrame:
+    """``rows`` (label) with the normal forms of the label, _text and _key."""
+    return text.computed(rows, _text=text.visual_text(F.col("label")), _key=text.aggregation_key(F.col("label")))
+
+
+def _is_named(rows: DataFrame) -> bool:
+    return {"_text", "_key"} <= set(rows.columns)
+
+
+def support_signals(evidence: DataFrame) -> DataFrame:
+    """Evidence rows (with canonical_item_id, has_copies) as support signals.
+
+    Evidence of few distinct concepts may come with :func:`named_concepts` joined to it; then
+    no row passes its text through the normal forms again.
+    """
+    named = evidence if _is_named(evidence) else named_concepts(evidence)
     return _as_signals(named.filter(F.col("_text") != "").select(
         "analysis_id", F.col("id").alias("signal_id"), F.col("item_id").alias("original_item_id"),
         "canonical_item_id", "has_copies", F.col("type").alias("kind"), F.col("_key").alias("key"),
@@ -83,11 +104,10 @@ def semantic_signals(similarities: DataFrame) -> DataFrame:
     """Matched similarities as signals without confidence.
 
     ``similarities``: analysis_id, item_id, canonical_item_id, has_copies, label, similarity,
-    threshold, provider struct.
+    threshold, provider struct; :func:`named_labels` may be joined to them.
     """
     matched = similarities.filter(F.col("similarity") >= F.col("threshold"))
-    rows = text.computed(
-        matched, _text=text.visual_text(F.col("label")), _key=text.aggregation_key(F.col("label")))
+    rows = matched if _is_named(matched) else named_labels(matched)
     p = F.col("provider")
     sid = ids.semantic_signal_id({
         "image_id": F.col("item_id"), "kind": F.lit("semantic_theme"), "theme_label": F.col("label"),

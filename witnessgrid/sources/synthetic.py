@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import skew
+from ..operators import aggregate, skew
 
 _TYPES = ("object", "scene", "activity", "topic")
 
@@ -19,19 +19,23 @@ def items_range(spark: SparkSession, analyses: int, items_per_analysis: int) ->
 
 
 def workload_evidence(items: DataFrame, evidence_per_item: int = 20) -> DataFrame:
-    """Deterministic evidence of every item (columns of aggregate.support_signals input)."""
-    index = F.col("e")
-    rows = items.select("analysis_id", "item_id", "item_index", F.explode(F.sequence(F.lit(0), F.lit(evidence_per_item - 1))).alias("e"))
-    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.pmod(index, F.lit(len(_TYPES))) + 1).cast("int"))
-    concept = F.pmod(index, F.lit(max(1, evidence_per_item // 4)))
-    typed = rows.withColumn("type", kind)
+    """Deterministic evidence of every item (columns of aggregate.support_signals input).
+
+    Every item gets the same concepts, so their normal forms are made once and joined to the items.
+    """
+    e = F.col("e")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.pmod(e, F.lit(len(_TYPES))) + 1).cast("int"))
+    concept = F.pmod(e, F.lit(max(1, evidence_per_item // 4)))
     label = F.concat("type", F.format_string("_concept_%03d", concept))
-    return typed.select(
-        "analysis_id", F.format_string("ev-%04d-%04d", "item_index", "e").alias("id"), "item_id", "type",
-        label.alias("label"), label.alias("value"),
-        (F.lit(0.5) + F.pmod(F.col("item_index") + index, F.lit(50)) / 100.0).alias("confidence"),
-        F.concat(F.lit("benchmark_"), "type").alias("source"), F.col("item_id").alias("canonical_item_id"),
-        F.lit(False).alias("has_copies"))
+    concepts = items.sparkSession.range(evidence_per_item).select(F.col("id").cast("int").alias("e")).withColumn("type", kind).select(
+        "e", "type", label.alias("label"), label.alias("value"), F.concat(F.lit("benchmark_"), "type").alias("source"),
+        F.format_string("-%04d", "e").alias("_tail"))
+    numbered = items.withColumn("_head", F.format_string("ev-%04d", "item_index"))
+    rows = numbered.crossJoin(F.broadcast(aggregate.named_concepts(concepts)))
+    return rows.select(
+        "analysis_id", F.concat("_head", "_tail").alias("id"), "item_id", "type", "label", "value",
+        (F.lit(0.5) + F.pmod(F.col("item_index") + e, F.lit(50)) / 100.0).alias("confidence"),
+        "source", F.col("item_id").alias("canonical_item_id"), F.lit(False).alias("has_copies"), "_text", "_key")
 
 
 def workload_similarities(items: DataFrame, labels: tuple[str, ...] = ("semantic_alpha", "semantic_beta")) -> DataFrame:
@@ -39,10 +43,11 @@ def workload_similarities(items: DataFrame, labels: tuple[str, ...] = ("semantic
         F.lit("phase7-benchmark-semantic").alias("name"), F.lit("1").alias("version"),
         F.lit("synthetic-contract-input").alias("model_id"), F.lit("1").alias("model_version"),
         F.lit("phase7-benchmark-v1").alias("config_version"))
-    return items.select(
+    themes = items.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    rows = items.crossJoin(F.broadcast(aggregate.named_labels(themes)))
+    return rows.select(
         "analysis_id", "item_id", F.col("item_id").alias("canonical_item_id"), F.lit(False).alias("has_copies"),
-        F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"), F.lit(0.8).alias("similarity"),
-        F.lit(0.5).alias("threshold"), provider.alias("provider"))
+        "label", F.lit(0.8).alias("similarity"), F.lit(0.5).alias("threshold"), provider.alias("provider"), "_text", "_key")
 
 
 def replay(requests: DataFrame, samples: DataFrame, order: str, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
