@@ -199,3 +199,9 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert got == want
     last = spark.read.parquet(sink).groupBy("analysis_id").agg(F.max_by("status", "seq").alias("s")).collect()
     assert {r["analysis_id"]: r["s"] for r in last} == {"A": "completed", "B": "pending"}
+
+
+def test_words_are_grouped_where_their_documents_lie(spark):
+    plan = source_queries.line_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanged) == 1 and "REPARTITION_BY_NUM" in exchanged[0]

@@ -399,10 +399,19 @@ FROM orders""")
 
 # -- recognised words: every space-separated word of every line ----------------------------
 
+# Documents of one task that opens them into words.
+WORD_DOCUMENTS = 1_000
+
+
 def word_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Words as untyped TSV fields; some confidences are above 100 and get rejected."""
-    lines = spread_table(spark, sf, "documents", "doc_id").select(
-        F.col("source").alias("analysis_id"), F.col("doc_id").cast("string").alias("item_id"),
+    """Words as untyped TSV fields; some confidences are above 100 and get rejected.
+
+    Documents lie by item before they are opened, so grouping the words of an item needs no other exchange."""
+    d = table(spark, sf, "documents")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-d.count() // WORD_DOCUMENTS))
+    placed = d.select(F.col("source").alias("analysis_id"), F.col("doc_id").cast("string").alias("item_id"), "text").repartition(tasks, "item_id")
+    lines = placed.select(
+        "analysis_id", "item_id",
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = lines.select("analysis_id", "item_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
     row_no = F.col("line_no") * 100000 + F.col("word_no")
