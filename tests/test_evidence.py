@@ -373,3 +373,18 @@ def test_retained_signals_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(evidence_queries.views, "retained", lambda *a: made.append(a) or plain(*a))
     evidence_queries.explained_insights(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_whole_values_are_opened_at_once():
+    evidence = ",".join('{"id":"%d é","n":[%d,null,true,-0.50],"":{}}' % (n, n) for n in range(200))
+    for end in ("]}", "]}}", ",]}", ',{"a":01}]}', ',"\\ud83d"]}', ',"\\u00e9"]}'):
+        document = '{"a":[' + evidence + end
+        steps, rows = [], []
+        for size in (len(document), 1000, 1):  # by one character, every value is walked token by token
+            walker = parts.Walker(chunk=2)
+            token, count = walker._token, itertools.count()
+            walker._token = lambda *a: (next(count), token(*a))[1]
+            rows.append([r for i in range(0, len(document), size) for r in walker.feed(document[i:i + size])] + list(walker.feed("", True)))
+            steps.append(next(count))
+        assert rows[0] == rows[1] == rows[2]
+        assert steps[1] < len(rows[0]) / 2

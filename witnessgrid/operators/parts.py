@@ -65,12 +65,30 @@ _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\Z")
 _SPACE = re.compile(r"[ \t\n\r]*")
 
 
+class _Fields(list):
+    """An object as its (name, value) pairs, repeated names too."""
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _no_constant(word: str):
+    raise ValueError(word)
+
+
+_WHOLE = json.JSONDecoder(object_pairs_hook=_Fields, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+# Objects and lists that turn out to reach over the end of the text at hand, before no more are tried in it.
+_TRIES = 16
+_FED_CHARS = 1 << 18
+
+
 class Walker:
     """Leaves of one JSON document that arrives in pieces; memory follows nesting and ``chunk``."""
 
     def __init__(self, chunk: int = CHUNK_CHARS):
         self.chunk, self.text, self.frames, self.expect, self.inside, self.failed = chunk, "", [], "value", False, False
-        self.leaf = self.part = 0
+        self.leaf = self.part = self.tries = 0
         self.held = ""  # of a string's value, less than a chunk
 
     def _row(self, kind: str, value: str | None, more: bool = False):
@@ -87,7 +105,7 @@ class Walker:
     def feed(self, text: str, last: bool = False) -> Iterator[tuple]:
         """Rows (leaf, chunk_no, path, at, kind, value) that ``text`` completes."""
         self.text += text
-        at = 0
+        at = self.tries = 0
         while not self.failed:
             if self.inside:
                 end = _STRING.match(self.text, at)
@@ -135,6 +153,52 @@ class Walker:
         if end:
             yield self._row("string", value[at:])
 
+    def _whole(self, at: int):
+        """End and rows of an object or list that lies whole in the text; None leaves it to be walked token by token."""
+        try:
+            value, end = _WHOLE.raw_decode(self.text, at)
+            raw = self.text[at:end]
+            if "\\u" in raw:  # may be half of a character
+                return None
+            raw.encode()
+            rows = []
+            prefix = "".join("[]" if key is None else f".{key}" for key, _ in self.frames)
+            leaf = self._leaves(value, prefix, [n for key, n in self.frames if key is None], self.leaf, rows)
+        except (ValueError, RecursionError):
+            self.tries += 1
+            return None
+        self.leaf = leaf
+        self._done()
+        return end, rows
+
+    def _leaves(self, value, prefix: str, at: list[int], leaf: int, rows: list[tuple]) -> int:
+        """Appends the rows of a value; returns the number of the next leaf."""
+        path, part = prefix.lstrip("."), 0
+        if isinstance(value, _Fields):
+            rows.append((leaf, 0, path, at, "object", None))
+            leaf += 1
+            for name, inner in value:
+                leaf = self._leaves(inner, f"{prefix}.{name}", at, leaf, rows)
+            return leaf
+        if isinstance(value, list):
+            rows.append((leaf, 0, path, at, "array", None))
+            leaf += 1
+            for n, inner in enumerate(value):
+                leaf = self._leaves(inner, prefix + "[]", [*at, n], leaf, rows)
+            return leaf
+        if isinstance(value, _Number):
+            rows.append((leaf, 0, path, at, "number", str(value)))
+        elif isinstance(value, str):
+            while len(value) > self.chunk:
+                rows.append((leaf, part, path, at, "string", value[:self.chunk]))
+                value, part = value[self.chunk:], part + 1
+            rows.append((leaf, part, path, at, "string", value))
+        elif value is None:
+            rows.append((leaf, 0, path, at, "null", "null"))
+        else:
+            rows.append((leaf, 0, path, at, "boolean", "true" if value else "false"))
+        return leaf + 1
+
     def _token(self, at: int, last: bool):
         sign, rows = self.text[at], []
         if self.expect in ("key", "first key") and sign == '"':
@@ -165,6 +229,9 @@ class Walker:
             return at + 1, rows
         if self.expect in ("value", "first value"):
             if sign in "{[":
+                whole = self._whole(at) if self.tries < _TRIES else None
+                if whole:
+                    return whole
                 rows.append(self._row("object" if sign == "{" else "array", None))
                 self.frames.append(("", 0) if sign == "{" else (None, 0))
                 self.expect = "first key" if sign == "{" else "first value"
@@ -196,15 +263,28 @@ def leaves(parts: DataFrame, key: str = "analysis_id", chunk: int = CHUNK_CHARS)
     names = [key, "leaf", "chunk_no", "path", "at", "kind", "value"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string()]
 
+    def fed(batch):
+        """Neighbouring parts of a key together, so that more of its values are whole."""
+        owner, held, size = None, [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and (key != owner or size >= _FED_CHARS):
+                yield owner, "".join(held)
+                held, size = [], 0
+            owner = key
+            held.append(text or "")
+            size += len(held[-1])
+        if held:
+            yield owner, "".join(held)
+
     def walk(batches):
         walker = now = None
         for batch in batches:
-            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for owner, text in fed(batch):
                 out = []
                 if walker is None or owner != now:
                     out += [(now, *r) for r in walker.feed("", True)] if walker else []
                     walker, now = Walker(chunk), owner
-                out += [(now, *r) for r in walker.feed(text or "")]
+                out += [(now, *r) for r in walker.feed(text)]
                 for start in range(0, len(out), 10_000):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out[start:start + 10_000]), types)], names=names)
@@ -212,6 +292,8 @@ def leaves(parts: DataFrame, key: str = "analysis_id", chunk: int = CHUNK_CHARS)
             out = [(now, *r) for r in walker.feed("", True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-    ordered = parts.select(F.col(key).cast("string").alias(key), "part_no", "payload").repartition(key).sortWithinPartitions(key, "part_no")
+    # Told how many, Spark does not put keys together whose texts are small beside the work on them.
+    tasks = 8 * parts.sparkSession.sparkContext.defaultParallelism
+    ordered = parts.select(F.col(key).cast("string").alias(key), "part_no", "payload").repartition(tasks, key).sortWithinPartitions(key, "part_no")
     return ordered.select(key, "payload").mapInArrow(
         walk, f"{key} string, leaf bigint, chunk_no bigint, path string, at array<bigint>, kind string, value string")
