@@ -154,6 +154,19 @@ def test_metric_cells_find_the_same_pairs_and_ship_less(spark):
     assert shipped < 600 * (600 / 30) / 2  # every vector once per block would be 12,000
 
 
+def test_vectors_that_reach_most_cells_are_sent_once_for_each_block(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([("A", i, unit(rng, 24)) for i in range(600)], "analysis_id string, ordinal long, embedding array<float>")
+    stored = np.array([r["embedding"] for r in df.orderBy("ordinal").collect()], "float64")
+    cells = semantic.metric_cells(df, 0.4, 60)
+    assert cells.count() == 600  # cells would hold each vector about ten times
+    assert semantic._block_pairs(cells, 60).count() <= 600 * 10
+    got = {(r["left"], r["right"]) for r in semantic.similar_pairs(df, 0.4, 60).collect()}
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(stored @ stored.T >= 0.4, 1)))}
+    rows = semantic.block_size(spark.range(500_000).select(F.lit("A").alias("analysis_id"), F.array_repeat(F.lit(1.0).cast("float"), 64).alias("embedding")))
+    assert rows * 64 * 4 == semantic.BLOCK_BYTES
+
+
 def test_pairs_of_blocks_leave_in_bounded_frames(monkeypatch):
     monkeypatch.setattr(semantic, "STRIP_ROWS", 7)
     monkeypatch.setattr(semantic, "SENT_ROWS", 50)

@@ -66,7 +66,7 @@ def connected_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
     return current.select("analysis_id", F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicate_members(vectors: DataFrame, threshold: float, block_rows: int = semantic.BLOCK_ROWS) -> DataFrame:
+def near_duplicate_members(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """(analysis_id, root, ordinal, item_id) of every item that has a near duplicate."""
     components = connected_components(semantic.near_duplicate_edges(vectors, threshold, block_rows))
     named = components.withColumnRenamed("node", "ordinal")

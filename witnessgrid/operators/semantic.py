@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions import policy, text
-from ..session import stash
+from ..session import drop_stash, stash
 from . import rules, skew
 
 # Labels of a block, and vectors that one task multiplies with a block.
 LABEL_BLOCK, VECTOR_ROWS = 1_024, 5_000
-# Vectors per block of the exact pairwise comparison (one task holds two blocks).
-BLOCK_ROWS = 2_000
-# Pivots of one cell, levels of cells inside cells, and rows of a cell that one task places.
-MAX_PIVOTS, LEVELS, SPLIT_ROWS = 256, 3, 100_000
-# Vectors whose products a Python worker holds at once, and rows that it hands back at once.
-STRIP_ROWS, SENT_ROWS = 250, 10_000
+# Bytes of vectors in a block of the exact pairwise comparison (one task holds two blocks), and the fewest vectors.
+BLOCK_BYTES, LEAST_ROWS = 8 << 20, 1_000
+# Pivots of one cell, levels of cells inside cells, rows of a cell that one task places, and rows tried before.
+MAX_PIVOTS, LEVELS, SPLIT_ROWS, TRIED_ROWS = 256, 3, 100_000, 2_000
+# Vectors and products that a Python worker holds at once, rows that it hands back at once, edges before they are thinned.
+STRIP_ROWS, STRIP_PRODUCTS, SENT_ROWS, HELD_EDGES = 250, 2_000_000, 10_000, 1_000_000
 
 
 def norm(vector: Column) -> Column:
@@ -159,7 +159,20 @@ def distinct_vectors(vectors: DataFrame, hot_rows: int = skew.HOT_ROWS) -> tuple
     return groups.select("analysis_id", F.col("rep_ordinal").alias("ordinal"), "embedding"), links
 
 
-def metric_cells(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_size(vectors: DataFrame) -> int:
+    """Vectors of a block: as many as a task can hold, fewer where that would leave cores idle.
+
+    Every vector is sent once for each block of its analysis, so large blocks keep the exchange small.
+    """
+    sizes = vectors.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"))
+    most = sizes.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    width = 8 if "double" in vectors.schema["embedding"].dataType.simpleString() else 4
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    wanted = -(-(most["n"] or 0) // int(np.ceil(np.sqrt(2 * tasks))))
+    return max(1, min(max(LEAST_ROWS, wanted), BLOCK_BYTES // (width * max(1, most["d"] or 1))))
+
+
+def metric_cells(vectors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Every vector in its cell, and in each cell where it may have a partner: analysis_id, cell,
     ordinal, embedding, home.
 
@@ -168,31 +181,45 @@ def metric_cells(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
     ``arcsin(x.(P-Q) / |P-Q|)`` away from it, so a partner within the angle ``arccos(threshold)``
     can be there only if ``x.(P-Q) <= sin(arccos(threshold)) * |P-Q|``. Each pair meets once: in the
     home of the one with the higher pivot, where the other one is a visitor. Cells of more than
-    ``block_rows`` homes are split again, with pivots of their own, up to ``LEVELS`` times.
+    ``block_rows`` homes are split again, with pivots of their own, up to ``LEVELS`` times. Where vectors
+    reach most cells, which some of them tell, a cell stays whole: its blocks send less than cells would.
     """
     rows = vectors.select("analysis_id", F.lit(0).cast("bigint").alias("cell"), "ordinal", "embedding", F.lit(True).alias("home"))
+    kept = None
     for level in range(LEVELS):
         sizes = rows.groupBy("analysis_id", "cell").agg(F.count_if("home").alias("_n"), F.count(F.lit(1)).alias("_all"))
         big = stash(sizes.filter(F.col("_n") > block_rows))
         if big.isEmpty():
             break
-        found = stash(_split(rows, big, threshold, block_rows, level))
+        # A row is written once for each cell it is in, then sent once for each block it meets there.
+        reached = _split(rows, big, threshold, block_rows, level, TRIED_ROWS).groupBy("analysis_id", "cell").agg(
+            (F.count(F.lit(1)) / F.count_if("home")).alias("_cells"))
+        worth = stash(big.join(reached, ["analysis_id", "cell"]).filter(2.5 * F.col("_cells") * block_rows < F.col("_n")).select(*big.columns))
+        if worth.isEmpty():
+            break
         # A big cell bounds the shuffle of the rest: both joins only tell rows of big cells apart.
-        rest = rows.join(big.select("analysis_id", "cell"), ["analysis_id", "cell"], "left_anti")
-        rows = stash(rest.unionByName(found))
+        rest = rows.join(worth.select("analysis_id", "cell"), ["analysis_id", "cell"], "left_anti")
+        rows = stash(rest.unionByName(_split(rows, worth, threshold, block_rows, level).withColumn(
+            "cell", F.xxhash64("cell", "sub", F.lit(level))).drop("sub")))
+        if kept is not None:
+            drop_stash(kept)
+        kept = rows
     return rows
 
 
-def _split(rows: DataFrame, big: DataFrame, threshold: float, block_rows: int, level: int) -> DataFrame:
-    """The rows of ``big`` cells in smaller cells around pivots of their own."""
+def _split(rows: DataFrame, big: DataFrame, threshold: float, block_rows: int, level: int, tried: int | None = None) -> DataFrame:
+    """The rows of ``big`` cells with the number (sub) of the smaller cell around a pivot of their own;
+    only about ``tried`` homes of a cell, if given."""
     names = ["analysis_id", "cell", "_salt", "_kind", "ordinal", "embedding", "home"]
     sized = skew.lookup(rows, big.withColumn("_rows", F.col("_all")), ["analysis_id", "cell"], "_all", spread_by=["ordinal"], how="inner")
-    salts = F.ceil(F.col("_rows") / F.lit(SPLIT_ROWS)).cast("bigint")
-    mixed = F.xxhash64("ordinal", F.lit(level))
-    chance = F.least(F.lit(float(MAX_PIVOTS)), 2 * F.ceil(F.col("_n") / F.lit(block_rows))) / F.col("_n")
-    pivots = sized.filter(F.col("home") & (F.pmod(mixed, F.lit(1 << 30)) < chance * float(1 << 30))).select(
+
+    def some(wanted: Column, seed: int) -> Column:
+        return F.pmod(F.xxhash64("ordinal", F.lit(seed)), F.lit(1 << 30)) < wanted / F.col("_n") * float(1 << 30)
+    salts = F.ceil(F.col("_rows") / F.lit(SPLIT_ROWS)).cast("bigint") if tried is None else F.lit(1).cast("bigint")
+    pivots = sized.filter(F.col("home") & some(F.least(F.lit(float(MAX_PIVOTS)), 2 * F.ceil(F.col("_n") / F.lit(block_rows))), level)).select(
         "analysis_id", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_salt"), F.lit(0).alias("_kind"), "ordinal", "embedding", "home")
-    placed = sized.select("analysis_id", "cell", F.pmod(F.xxhash64("ordinal"), salts).alias("_salt"), F.lit(1).alias("_kind"), "ordinal", "embedding", "home")
+    told = sized if tried is None else sized.filter(F.col("home") & some(F.lit(float(tried)), -1 - level))
+    placed = told.select("analysis_id", "cell", F.pmod(F.xxhash64("ordinal"), salts).alias("_salt"), F.lit(1).alias("_kind"), "ordinal", "embedding", "home")
     stream = pivots.unionByName(placed).repartition("analysis_id", "cell", "_salt").sortWithinPartitions(*names[:5])
     slack = 1e-4
     reach = 2.0 if threshold <= 0 else float(np.sqrt(1 - min(1.0, threshold) ** 2))
@@ -226,9 +253,8 @@ def _split(rows: DataFrame, big: DataFrame, threshold: float, block_rows: int, l
                         yield pd.DataFrame({
                             "analysis_id": part["analysis_id"].to_numpy()[at], "cell": part["cell"].to_numpy()[at], "sub": sub[lo:lo + SENT_ROWS].astype("int64"),
                             "ordinal": part["ordinal"].to_numpy()[at], "embedding": part["embedding"].to_numpy()[at], "home": is_home[lo:lo + SENT_ROWS]})
-    out = stream.mapInPandas(
+    return stream.mapInPandas(
         place, f"analysis_id string, cell bigint, sub bigint, ordinal bigint, embedding {rows.schema['embedding'].dataType.simpleString()}, home boolean")
-    return out.withColumn("cell", F.xxhash64("cell", "sub", F.lit(level))).drop("sub")
 
 
 def _block_pairs(cells: DataFrame, block_rows: int) -> DataFrame:
@@ -251,34 +277,53 @@ def _block_pairs(cells: DataFrame, block_rows: int) -> DataFrame:
 
 def _compare(threshold: float, spanning: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = pd.concat(list(batches), ignore_index=True)  # the vectors of two blocks
-        analysis, first = group["analysis_id"].iloc[0], group["bi"].iloc[0]
-        same = first == group["bj"].iloc[0]
-        left = group[group["_own"] == first].sort_values("ordinal")
-        right = left if same else group[group["_own"] != first].sort_values("ordinal")
-        if len(left) == 0 or len(right) == 0:
+        analysis, same, ordinals, sides = None, True, ([], []), ([], [])
+        for batch in batches:  # the vectors of two blocks, held as plain matrices
+            analysis, first = batch["analysis_id"].iloc[0], batch["bi"].iloc[0]
+            same = first == batch["bj"].iloc[0]
+            for at, own in enumerate((batch["_own"] == first, batch["_own"] != first)):
+                if own.any():
+                    ordinals[at].append(batch.loc[own, "ordinal"].to_numpy())
+                    sides[at].append(np.stack(batch.loc[own, "embedding"].to_numpy()))
+        right_at = 0 if same else 1
+        if not sides[0] or not sides[right_at]:
             return
-        left_ordinals, right_ordinals = left["ordinal"].to_numpy(), right["ordinal"].to_numpy()
-        x, y = (np.stack(side["embedding"].to_numpy()).astype("float64") for side in (left, right))
-        forest = (left_ordinals[:0], left_ordinals[:0], np.zeros(0))
+
+        def sorted_side(at):
+            own = np.concatenate(ordinals[at])
+            order = np.argsort(own, kind="stable")
+            return own[order], np.concatenate(sides[at])[order].astype("float64")
+        left_ordinals, x = sorted_side(0)
+        right_ordinals, y = (left_ordinals, x) if same else sorted_side(1)
+        sides[0].clear(), sides[1].clear()
+        forest, held, edges = (left_ordinals[:0], left_ordinals[:0], np.zeros(0)), [], 0
 
         def sent(low, high, value):
             for lo in range(0, len(low), SENT_ROWS):
                 part = slice(lo, lo + SENT_ROWS)
                 yield pd.DataFrame({"analysis_id": analysis, "left": low[part], "right": high[part], "similarity": value[part]})
-        for row in range(0, len(x), STRIP_ROWS):
-            dots = np.clip(x[row:row + STRIP_ROWS] @ y.T, -1.0, 1.0)
+
+        def thinned():
+            return _spanning(*(np.concatenate(all_of) for all_of in zip(forest, *held)))
+        strip = max(1, min(STRIP_ROWS, STRIP_PRODUCTS // len(y)))
+        for row in range(0, len(x), strip):
+            dots = x[row:row + strip] @ y.T
+            np.clip(dots, -1.0, 1.0, out=dots)
             hit = dots >= threshold
             if same:
                 hit &= np.arange(len(y))[None] > np.arange(row, row + len(hit))[:, None]
             i, j = np.nonzero(hit)
             a, b = left_ordinals[row + i], right_ordinals[j]
             found = np.minimum(a, b), np.maximum(a, b), dots[i, j]
-            if spanning:
-                forest = _spanning(*(np.concatenate(both) for both in zip(forest, found)))
-            else:
+            if not spanning:
                 yield from sent(*found)
-        yield from sent(*forest)
+                continue
+            held.append(found)
+            edges += len(i)
+            if edges > HELD_EDGES:
+                forest, held, edges = thinned(), [], 0
+        if spanning:
+            yield from sent(*thinned())
     return run
 
 
@@ -301,7 +346,7 @@ def _spanning(low: np.ndarray, high: np.ndarray, value: np.ndarray):
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = vocab.NEAR_DUPLICATE_THRESHOLD,
-                  block_rows: int = BLOCK_ROWS, spanning: bool = False) -> DataFrame:
+                  block_rows: int | None = None, spanning: bool = False) -> DataFrame:
     """Pairs of items (left before right) whose cosine reaches the threshold, exactly.
 
     Only vectors whose cells can hold a pair meet (:func:`metric_cells`); cells are cut into
@@ -309,13 +354,15 @@ def similar_pairs(vectors: DataFrame, threshold: float = vocab.NEAR_DUPLICATE_TH
     become rows. With ``spanning`` a task reports only edges that connect its components - at
     most as many as it has vectors - which is all that grouping needs.
     """
-    cells = metric_cells(vectors.select("analysis_id", F.col("ordinal").cast("bigint").alias("ordinal"), "embedding"), threshold, block_rows)
+    rows = vectors.select("analysis_id", F.col("ordinal").cast("bigint").alias("ordinal"), "embedding")
+    block_rows = block_rows or block_size(rows)
+    cells = metric_cells(rows, threshold, block_rows)
     return _block_pairs(cells, block_rows).groupBy("analysis_id", "cell", "bi", "bj").applyInPandas(
         _compare(threshold, spanning), "analysis_id string, left bigint, right bigint, similarity double")
 
 
 def near_duplicate_edges(vectors: DataFrame, threshold: float = vocab.NEAR_DUPLICATE_THRESHOLD,
-                         block_rows: int = BLOCK_ROWS) -> DataFrame:
+                         block_rows: int | None = None) -> DataFrame:
     """Connecting edges (analysis_id, left, right) of the near-duplicate graph by ordinal."""
     distinct, links = distinct_vectors(vectors)
     pairs = similar_pairs(distinct, threshold, block_rows, spanning=True)

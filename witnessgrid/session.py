@@ -104,4 +104,12 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "stash")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stash_path = path
+    return kept
+
+
+def drop_stash(df: DataFrame) -> None:
+    """Free the files of a frame that :func:`stash` returned, once nothing reads it or what came from it any more."""
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
