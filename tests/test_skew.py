@@ -1,6 +1,7 @@
 """Hot keys: the spread paths must give what the plain ones give."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from witnessgrid.operators import digests, graph, metrics, runs, semantic, skew
+from witnessgrid.session import stash
 
 
 def test_lookup_hot_and_cold(spark):
@@ -183,6 +185,18 @@ def test_pairs_of_blocks_leave_in_bounded_frames(monkeypatch):
         assert len(edges) <= len(part) and groups_of(edges) == groups_of(want)
 
 
+def test_rounds_of_contraction_leave_one_table(spark, monkeypatch):
+    kept = []
+
+    def noted(df):
+        kept.append(stash(df))
+        return kept[-1]
+    monkeypatch.setattr(graph, "stash", noted)
+    edges = spark.createDataFrame([("A", i, i + 1) for i in range(40)], "analysis_id string, left long, right long")
+    assert {(r["node"], r["root"]) for r in graph.connected_components(edges).collect()} == {(i, 0) for i in range(41)}
+    assert len(kept) > 2 and [os.path.exists(df._stash_path.removeprefix("file:")) for df in kept] == [False] * (len(kept) - 1) + [True]
+
+
 def groups_of(pairs):
     groups = []
     for a, b in pairs:

@@ -2,7 +2,7 @@
 
 The contraction follows the published large-star / small-star scheme: every round is a pair of
 partial aggregates and equi-joins, the number of rounds is logarithmic in practice, and each
-round is checkpointed so that a lost executor costs one round at most.
+round is written down so that a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
 from ..functions import ids
-from ..session import cut_lineage
+from ..session import drop_stash, stash
 from . import digests, semantic, skew
 from .ordered import totals_within
 
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
 
     ``edges``: analysis_id, left, right. Raises when the round limit is hit unconverged.
     """
-    current = cut_lineage(
+    current = stash(
         edges.filter(F.col("left") != F.col("right")).select(
             "analysis_id", F.greatest("left", "right").alias("u"), F.least("left", "right").alias("v")).distinct())
 
@@ -55,7 +55,8 @@ def connected_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
     for _ in range(MAX_ROUNDS):
         if seen[0] == 0:
             break
-        current = cut_lineage(_small_star(_large_star(current, hot_rows), hot_rows))
+        before, current = current, stash(_small_star(_large_star(current, hot_rows), hot_rows))
+        drop_stash(before)
         now = mark(current)
         if tuple(now) == tuple(seen):
             break
