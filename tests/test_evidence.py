@@ -1,15 +1,19 @@
 """Small literal cases of items, aggregation, insights and results."""
 
+import hashlib
 import itertools
 import json
+import os
 import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from witnessgrid import session
 from witnessgrid.catalog import evidence_queries
-from witnessgrid.operators import aggregate, extract, insights, items as item_ops, lifecycle, parts, questionnaire, result, rules, semantic
+from witnessgrid.operators import aggregate, digests, extract, insights, items as item_ops, lifecycle, ordered, parts, questionnaire, result, rules, semantic
+from witnessgrid.plans import profile
 
 ITEMS = "analysis_id string, ordinal int, item_id string, content_hash string"
 EVIDENCE = "analysis_id string, id string, item_id string, type string, label string, value string, confidence double, source string"
@@ -387,6 +391,93 @@ def test_retained_signals_are_made_once(spark, monkeypatch):
     assert len(made) == 1
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stored_documents_leave_no_evidence_tables_behind(spark):
+    """What the parts were made of goes when they are written; the parts are written once."""
+    session.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    stored = evidence_queries.documents(spark, SMALL)
+    left = {d: spark.read.parquet(f"{folder}/{d}").count() for d in set(os.listdir(folder)) - before if d.startswith("stash-")}
+    assert max(left.values()) < evidence_queries.views.evidence(spark, SMALL).count() / 2
+    assert stored.count() in left.values()
+
+
+def test_signals_of_wide_themes_give_the_same_insights(spark):
+    views = evidence_queries.views
+    whole, wide = views.retained(spark, SMALL), views.retained(spark, SMALL, evidence_queries.kept_evidence(spark, SMALL))
+    assert 0 < wide.count() < whole.count() / 2 and wide.exceptAll(whole).isEmpty()
+    names = ("analysis_id", "rank", "insight_key", "insight_label", "confidence", "evidence_count", "unique_item_count", "sources")
+    got, want = (sorted(map(tuple, evidence_queries.insights(spark, SMALL, r).select(*names).collect())) for r in (wide, whole))
+    assert got == want and got
+
+
+def test_wide_themes_at_the_bounds(spark):
+    rows = [("A", f"{n}-{i}", "ocr_text", n, n) for n, count in (("one", 1), ("two", 2), ("three", 3), ("", 9)) for i in range(count)] + [("B", "b", "ocr_text", "two", "two")]
+    themed = spark.createDataFrame(rows, "analysis_id string, id string, type string, _text string, k string").withColumn("_theme", F.xxhash64("type", "k"))
+    for total, least in ((10, 2), (20, 2), (21, 3), (30, 3), (31, 4)):
+        universe = spark.createDataFrame([("A", total), ("B", 10)], "analysis_id string, item_universe_count long")
+        kept = profile.wide_evidence(themed, universe).collect()
+        assert {r["_key"] for r in kept} == {n for n, count in (("two", 2), ("three", 3)) if count >= least} and {r["analysis_id"] for r in kept} <= {"A"}
+
+
+def test_leaves_of_some_paths(spark):
+    text = json.dumps({"a": {"b": [{"c": "x" * 20, "d": 1}, {"c": None}]}, "e": "s", "a2": [[1]], "b": {"a": {"b": 2}}})
+    rows = [(name, at, t[at:at + 5]) for name, t in (("A", text), ("bad", text + "}"), ("rest", '{"e":{"f":1,"g":2}}')) for at in range(0, len(t), 5)]
+    df = spark.createDataFrame(rows, "analysis_id string, part_no long, payload string")
+    every = parts.leaves(df, chunk=7).collect()
+    first, seen = set(), None
+    for r in sorted(every, key=lambda r: (r["analysis_id"], r["leaf"], r["chunk_no"])):
+        top = (r["analysis_id"], r["path"].split(".")[0].split("[")[0])
+        first |= {(r["analysis_id"], r["leaf"], r["chunk_no"])} if top != seen else set()
+        seen = top
+    want = sorted((tuple(r[:3]), r["path"], r["kind"], r["value"] or "") for r in every
+                  if r["path"] == "a.b[].c" or r["kind"] == "error" or tuple(r[:3]) in first)
+    got = sorted((tuple(r[:3]), r["path"], r["kind"], r["value"] or "") for r in parts.leaves(df, chunk=7, paths=("a.b[].c",)).collect())
+    assert got == want and len(got) < len(every) and sum(r[1] == "a.b[].c" for r in got) == 8
+
+
+def test_streams_keep_their_order_after_a_join(spark):
+    """Rows that a join has laid by the key already are dealt again: Spark may turn the join and read them in other splits."""
+    path = session.shared_path(spark, "parts")
+    text = json.dumps([f"value {i}" for i in range(3000)])
+    rows = [(f"d{n}", at, text[at:at + 50]) for n in range(20) for at in range(0, len(text), 50)]
+    spark.createDataFrame(rows, "analysis_id string, part_no long, payload string").repartition(6).write.parquet(path)
+    stored = spark.read.parquet(path)
+    names = {"spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "1000"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        last = stored.groupBy("analysis_id").agg(F.max("part_no").alias("last"))
+        marked = stored.join(last, "analysis_id").filter("part_no <= last").select(*stored.columns)
+        found = parts.leaves(marked, paths=("[]",)).filter("kind <> 'array'").groupBy("analysis_id", "kind").count().collect()
+        plan = ordered.gathered(marked, ["analysis_id"], ["part_no"], 32)._jdf.queryExecution().toString()
+        hashes = digests.sha256_of(marked, ["analysis_id"], ["part_no"], "payload").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "hashpartitioning(_g#" in plan
+    assert {tuple(r) for r in found} == {(f"d{n}", "string", 3000) for n in range(20)}
+    assert {tuple(r) for r in hashes} == {(f"d{n}", hashlib.sha256(text.encode()).hexdigest()) for n in range(20)}
+
+
+def test_values_of_the_row_before_reach_over_borders(spark):
+    df = spark.range(500).select(F.when(F.col("id") < 430, "a").otherwise(F.concat(F.lit("b"), F.col("id"))).alias("k"), "id", (F.col("id") % 3 == 0).alias("o"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows make one range
+    spark.conf.set(name, "false")
+    try:
+        out = ordered.totals_within(df.repartition(5), ["k"], ["id"], {"n": F.lit(1)}, {"was": "o"})
+    finally:
+        spark.conf.set(name, "true")
+    assert len(os.listdir(out._stash_path.removeprefix("file:"))) > 6  # files, sums and the mark
+    got = out.collect()
+    assert {r["id"]: (r["n"], r["was"]) for r in got} == {
+        i: (i, (i - 1) % 3 == 0 if i else None) if i < 430 else (0, None) for i in range(500)}
+
+
 def test_whole_values_are_opened_at_once():
     evidence = ",".join('{"id":"%d é","n":[%d,null,true,-0.50],"":{}}' % (n, n) for n in range(200))
     for end in ("]}", "]}}", ",]}", ',{"a":01}]}', ',"\\ud83d"]}', ',"\\u00e9"]}'):

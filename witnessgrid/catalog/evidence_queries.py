@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, claims as claim_ops, extract, insights as ins, items as item_ops, metrics, parts, questionnaire, result, runs as run_ops
 from ..plans import profile
-from ..session import cut_lineage, shared_path, stash
+from ..session import cut_lineage, drop_stash, shared_path, stash
 from ..sources import readers, writers
 from . import views
 from .registry import query
@@ -19,9 +19,18 @@ def insights(spark, sf, retained=None):
     return profile.ranked_insights(aggregates, sizes)
 
 
-def kept_retained(spark, sf):
-    """The retained signals, made once for the insights and the ids behind them."""
-    return stash(views.retained(spark, sf))
+def kept_evidence(spark, sf):
+    """Redacted evidence with its themes, made once for all that comes from it."""
+    return stash(views.themed_evidence(spark, sf), "zstd")
+
+
+def kept_retained(spark, sf, evidence=None):
+    """The retained signals of themes that may become insights, made once for the insights and the ids behind them."""
+    own = kept_evidence(spark, sf) if evidence is None else evidence
+    retained = stash(views.retained(spark, sf, own))
+    if evidence is None:
+        drop_stash(own)
+    return retained
 
 
 @query("AGG5 AGG6 PRJ3 PRJ5 RULE13 RULE19 MTH7 WIN7 HSH4", sql("""
@@ -341,9 +350,11 @@ def insight_summaries(spark, sf):
 def summary_factuality(spark, sf):
     """Summaries of stored documents beside those rebuilt; where the number of insights is a
     multiple of three, the documents were stored without the last insight."""
+    evidence = kept_evidence(spark, sf)
+    retained = kept_retained(spark, sf, evidence)
     ranked = kept_insights(spark, sf)
     last = ranked.groupBy("analysis_id").agg(F.max("rank").alias("rank")).filter("rank % 3 = 0")
-    stored = documents(spark, sf, ranked.join(last, ["analysis_id", "rank"], "left_anti"))
+    stored = documents(spark, sf, (evidence, retained, ranked.join(last, ["analysis_id", "rank"], "left_anti")))
     _, leaves, _ = result.read_documents(stored)
     was = leaves.filter("path = 'summary'").select("analysis_id", F.col("chunk_no").cast("bigint").alias("n"), F.col("value").alias("text"))
     again = ins.summary_parts(ranked, all_items(spark, sf)).select("analysis_id", F.col("part_no").alias("n"), F.col("payload").alias("text"))
@@ -397,15 +408,23 @@ def claims_of(spark, sf):
 views.cte("told_claims", "SELECT DISTINCT source AS analysis_id, 'c-' || lang AS claim_id, lang FROM documents WHERE lang IS NOT NULL AND source <> 'src3'")
 
 
-def documents(spark, sf, ranked=None, with_claims=True):
-    """Stored documents in small parts; measures are rounded, so that engines print them alike."""
-    retained = kept_retained(spark, sf)
-    ranked = kept_insights(spark, sf, retained) if ranked is None else ranked
+def documents(spark, sf, made=None, with_claims=True):
+    """Stored documents in small parts; measures are rounded, so that engines print them alike.
+
+    ``made``: the kept evidence and retained signals, which end here, and the insights of them."""
+    if made is None:
+        evidence = kept_evidence(spark, sf)
+        retained = kept_retained(spark, sf, evidence)
+        made = evidence, retained, kept_insights(spark, sf, retained)
+    evidence, retained, ranked = made
     shown = ranked.withColumns({c: F.round(c, 6) for c in ("confidence", "item_coverage")})
-    evidence = result.redacted(views.evidence(spark, sf)).withColumn("confidence", F.round("confidence", 6))
-    return result.document_parts(
-        all_items(spark, sf), evidence, shown, support(ranked, retained), ins.SupportPolicy().version,
+    ids = support(ranked, retained)
+    drop_stash(retained)
+    stored = result.document_parts(
+        all_items(spark, sf), evidence.withColumn("confidence", F.round("confidence", 6)), shown, ids, ins.SupportPolicy().version,
         claims_of(spark, sf) if with_claims else None, part_bytes=DOCUMENT_BYTES)
+    drop_stash(evidence)
+    return stored
 
 
 _LATIN = "regexp_matches(value, '[A-Za-zÀ-ÿ]')"
@@ -467,8 +486,8 @@ def stored_results(spark, sf):
     stored = documents(spark, sf)
     writers.write_state(stored.limit(0), path)
     writers.write_completed(stored, path, ("results", 1))
-    good, leaves, _ = result.read_documents(readers.read_state(spark, path, "completed"))
     objects = {"images": "result.images[]", "evidence_rows": "result.images[].evidence[]", "insights": "result.insights[]", "claims": "self_reported_claims[]"}
+    good, leaves, _ = result.read_documents(readers.read_state(spark, path, "completed"), (*CONTENT, *objects.values()))
     counts = leaves.filter("kind = 'object'").groupBy("analysis_id").agg(*[F.count_if(F.col("path") == p).alias(n) for n, p in objects.items()])
     told = leaves.filter(F.col("path").isin(*CONTENT) & (F.col("kind") == "string")).select(
         "analysis_id", "path", F.coalesce(F.get("at", F.lit(0)), F.lit(0)).alias("place"), "chunk_no", "value")
@@ -488,9 +507,9 @@ UNION ALL SELECT analysis_id, 'self_reported_claims[].claim_id', row_number() OV
     "items", "evidence", "insights", "support", "explained", "told_claims"))
 def stored_content(spark, sf):
     """Ids, keys and explanations of stored documents with their positions, one row each."""
-    _, leaves, _ = result.read_documents(documents(spark, sf))
     wanted = ("result.images[].image_id", "result.images[].evidence[].id", "result.insights[].key", "result.insights[].explanation",
               "result.insights[].supporting_evidence_ids[]", "result.insights[].supporting_image_ids[]", "self_reported_claims[].claim_id")
+    _, leaves, _ = result.read_documents(documents(spark, sf), wanted)
     return leaves.filter(F.col("path").isin(*wanted)).select(
         "analysis_id", "path", F.col("at")[0].alias("place"), F.when(F.size("at") > 1, F.element_at("at", 2)).otherwise(0).cast("bigint").alias("inner_place"), "value")
 
@@ -524,7 +543,7 @@ def old_result_versions(spark, sf):
     for gone, left in (('"self_reported_claims":[', ""), ('],"summary":"', '"summary":"')):  # may lie in two parts
         v1 = F.replace(v1, F.lit(gone), F.lit(left))
     v2 = F.regexp_replace(bare, "profile-analysis-result-v3", "profile-analysis-result-v2")
-    good, leaves, _ = result.read_documents(d.withColumn("result_payload", F.when(even, v1).otherwise(v2)))
+    good, leaves, _ = result.read_documents(d.withColumn("result_payload", F.when(even, v1).otherwise(v2)), ("self_reported_claims[]",))
     claims = leaves.filter("path = 'self_reported_claims[]'").groupBy("analysis_id").agg(F.count(F.lit(1)).cast("int").alias("claims"))
     return good.join(claims, "analysis_id", "left").select("analysis_id", "schema_version", F.coalesce("claims", F.lit(0)).alias("claims"))
 

@@ -108,10 +108,12 @@ cte("universe", "SELECT analysis_id, count(*) AS item_universe_count FROM items
 # -- evidence: one row per non-blank line --------------------------------------------------
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    lines = resolved_items(spark, sf).select(
-        "analysis_id", "item_id", "canonical_item_id", (F.col("copies") > 1).alias("has_copies"),
-        "ordinal", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "raw_text"),
-    )
+    return _lines(resolved_items(spark, sf), "canonical_item_id", (F.col("copies") > 1).alias("has_copies"))
+
+
+def _lines(rows: DataFrame, *keep) -> DataFrame:
+    lines = rows.select(
+        "analysis_id", "item_id", *keep, "ordinal", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "raw_text"))
     confidence = F.lit(0.5) + F.pmod(F.col("ordinal") + F.col("ord"), F.lit(50)) / F.lit(100.0)
     return lines.withColumn("confidence", confidence).drop("ordinal")
 
@@ -125,11 +127,19 @@ FROM (SELECT *, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(str
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Recognised-text evidence of all documents (with copy information)."""
+    return _line_evidence(blocks(spark, sf), "canonical_item_id", "has_copies")
+
+
+def _line_evidence(lines: DataFrame, *keep: str) -> DataFrame:
     return extract.block_evidence(
-        extract.normalized_blocks(blocks(spark, sf)), F.col("lang"),
-        {"provider_version": F.lit("1"), "model_id": F.lit("lines"), "config_version": F.lit("v1")},
-        keep=("canonical_item_id", "has_copies"),
-    )
+        extract.normalized_blocks(lines), F.col("lang"),
+        {"provider_version": F.lit("1"), "model_id": F.lit("lines"), "config_version": F.lit("v1")}, keep=keep)
+
+
+def themed_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The same evidence redacted, with its themes and the content hash of its item in place of copy
+    information: documents are opened as they are read, and no text is joined."""
+    return profile.themed(_line_evidence(_lines(items(spark, sf), "content_hash"), "content_hash"))
 
 
 cte("evidence", f"""
@@ -150,8 +160,13 @@ SELECT DISTINCT analysis_id, id AS signal_id, item_id AS original_item_id, canon
 FROM evidence""", "evidence")
 
 
-def retained(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.retained_signals(evidence(spark, sf))
+def retained(spark: SparkSession, sf: str, themed: DataFrame | None = None) -> DataFrame:
+    """Retained signals; of :func:`themed_evidence` those of themes that may become insights."""
+    if themed is None:
+        return profile.retained_signals(evidence(spark, sf))
+    batch = items(spark, sf)
+    wide = item_ops.with_canonical(batch, rows=profile.wide_evidence(themed, item_ops.universe(batch)))
+    return profile.retained_signals(wide.withColumn("has_copies", F.col("copies") > 1))
 
 
 cte("retained", """

@@ -12,6 +12,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .ordered import gathered
+
 
 def sha256_of(rows: DataFrame, keys: list[str], order: list[str], text: str, prefix: str = "", after: str = "") -> DataFrame:
     """(keys, sha256): hex digest of ``prefix`` and the texts of each group in ``order``, each with ``after`` behind it.
@@ -40,5 +42,5 @@ def sha256_of(rows: DataFrame, keys: list[str], order: list[str], text: str, pre
         columns = list(zip(*done)) or [()] * (n + 1)
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, [*types, pa.string()])], names=[*keys, "sha256"])
-    sorted_rows = rows.select(*keys, *order, F.col(text).alias("_t")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    sorted_rows = gathered(rows.select(*keys, *order, F.col(text).alias("_t")), keys, order)
     return sorted_rows.select(*keys, "_t").mapInArrow(stream, schema)

@@ -83,18 +83,19 @@ def request_violations(items: DataFrame, requested: DataFrame,
     return out
 
 
-def with_canonical(items: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def with_canonical(items: DataFrame, hot_rows: int = skew.HOT_ROWS, rows: DataFrame | None = None) -> DataFrame:
     """Attach the first item (request order) with the same content, and the copy count.
 
     ``copies`` is counted with partial aggregation and joined back with hot hashes spread, so
-    one piece of content may make up any share of the input.
+    one piece of content may make up any share of the input. ``rows`` of the items (with content_hash)
+    may take the place of the items themselves.
     """
     first = (
         items.groupBy("analysis_id", "content_hash")
         .agg(F.min(F.struct("ordinal", "item_id")).alias("_f"), F.count(F.lit(1)).alias("copies"))
         .select("analysis_id", "content_hash", F.col("_f.item_id").alias("canonical_item_id"), "copies")
     )
-    return skew.lookup(items, first, ["analysis_id", "content_hash"], "copies", hot_rows,
+    return skew.lookup(items if rows is None else rows, first, ["analysis_id", "content_hash"], "copies", hot_rows,
                        spread_by=["item_id"])
 
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stash
-from .ordered import totals_within
+from ..session import drop_stash, stash
+from .ordered import gathered, totals_within
 
 PART_BYTES = 1 << 20
 CHUNK_CHARS = 1 << 16
@@ -47,15 +47,17 @@ def cut(pieces: DataFrame, keys: list[str], order: list[str], part_bytes: int =
 
     A piece goes to the part in which it starts, so a part holds at most ``part_bytes`` and one
     piece; numbers of parts rise but may skip when a piece is longer than a part. Keys are not null.
+    The parts are written once, so those who read them again make nothing anew.
     """
     size = F.greatest(F.lit(1), F.octet_length("text") + F.coalesce(F.octet_length("between"), F.lit(0)))
-    placed = stash(totals_within(pieces, keys, order, {"_at": F.lit(1), "_start": size}).select(
-        *keys, "_at", F.expr(f"_start div {part_bytes}").alias("part_no"), "text", "between", "opens"))
-    first = placed.filter("opens").select(*keys, (F.col("_at") + 1).alias("_at"), F.lit(True).alias("_first"))
-    glued = placed.join(first, [*keys, "_at"], "left").withColumn(
-        "_t", F.when(F.col("_first").isNull() & F.col("between").isNotNull(), F.concat("between", "text")).otherwise(F.col("text")))
-    return glued.groupBy(*keys, "part_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda p: p["_t"]), "").alias("payload"))
+    placed = totals_within(pieces, keys, order, {"_at": F.lit(1), "_start": size}, {"_first": "opens"})
+    first = F.coalesce("_first", F.lit(False))
+    glued = placed.select(*keys, "_at", F.expr(f"_start div {part_bytes}").alias("part_no"), F.when(
+        ~first & F.col("between").isNotNull(), F.concat("between", "text")).otherwise(F.col("text")).alias("_t"))
+    out = stash(glued.groupBy(*keys, "part_no").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda p: p["_t"]), "").alias("payload")))
+    drop_stash(placed)
+    return out
 
 
 _STRING = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
@@ -253,13 +255,15 @@ class Walker:
         return at, rows
 
 
-def leaves(parts: DataFrame, key: str = "analysis_id", chunk: int = CHUNK_CHARS) -> DataFrame:
+def leaves(parts: DataFrame, key: str = "analysis_id", chunk: int = CHUNK_CHARS, paths: Sequence[str] | None = None) -> DataFrame:
     """(key, leaf, chunk_no, path, at, kind, value): every value of each key's document, in order.
 
     ``path`` names fields with dots and ``[]`` for list elements, whose positions are in ``at``;
     ``kind`` is object, array (no value), string, number, boolean, null or error (the text is
-    not JSON; nothing of it follows). ``parts``: key, part_no, payload.
+    not JSON; nothing of it follows). ``parts``: key, part_no, payload. With ``paths`` only the
+    values there leave the task, beside errors and the first value under each top-level name.
     """
+    wanted = None if paths is None else frozenset(paths)
     names = [key, "leaf", "chunk_no", "path", "at", "kind", "value"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string()]
 
@@ -276,24 +280,38 @@ def leaves(parts: DataFrame, key: str = "analysis_id", chunk: int = CHUNK_CHARS)
         if held:
             yield owner, "".join(held)
 
+    def chosen(owner, rows, seen):
+        """The rows to send, and the top-level name of the last one."""
+        if wanted is None:
+            return [(owner, *r) for r in rows], seen
+        out = []
+        for r in rows:
+            path = r[2]
+            top = path.partition(".")[0].partition("[")[0]
+            if top != seen or path in wanted or r[4] == "error":
+                seen = top
+                out.append((owner, *r))
+        return out, seen
+
     def walk(batches):
-        walker = now = None
+        walker = now = seen = None
         for batch in batches:
             for owner, text in fed(batch):
                 out = []
                 if walker is None or owner != now:
-                    out += [(now, *r) for r in walker.feed("", True)] if walker else []
-                    walker, now = Walker(chunk), owner
-                out += [(now, *r) for r in walker.feed(text)]
+                    out += chosen(now, walker.feed("", True), seen)[0] if walker else []
+                    walker, now, seen = Walker(chunk), owner, None
+                told, seen = chosen(now, walker.feed(text), seen)
+                out += told
                 for start in range(0, len(out), 10_000):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out[start:start + 10_000]), types)], names=names)
         if walker:
-            out = [(now, *r) for r in walker.feed("", True)]
+            out, _ = chosen(now, walker.feed("", True), seen)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
     # Told how many, Spark does not put keys together whose texts are small beside the work on them.
     tasks = 8 * parts.sparkSession.sparkContext.defaultParallelism
-    ordered = parts.select(F.col(key).cast("string").alias(key), "part_no", "payload").repartition(tasks, key).sortWithinPartitions(key, "part_no")
+    ordered = gathered(parts.select(F.col(key).cast("string").alias(key), "part_no", "payload"), [key], ["part_no"], tasks)
     return ordered.select(key, "payload").mapInArrow(
         walk, f"{key} string, leaf bigint, chunk_no bigint, path string, at array<bigint>, kind string, value string")

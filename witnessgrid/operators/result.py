@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
@@ -169,15 +171,20 @@ def document_parts(items: DataFrame, evidence: DataFrame, ranked: DataFrame, sup
     return cut.select("analysis_id", F.lit("completed").alias("status"), "part_no", F.col("payload").alias("result_payload"))
 
 
-def read_documents(stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+_TOLD = ("schema_version", "result.analysis_id", "insight_policy_version")
+
+
+def read_documents(stored: DataFrame, paths: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored document parts of any known version: (headers, leaves, rejected).
 
     ``stored``: analysis_id, part_no, result_payload. Headers have one row per readable document;
-    leaves (see :func:`parts.leaves`) hold its content as rows; rejected analyses have a reason.
+    leaves (see :func:`parts.leaves`) hold its content as rows; rejected analyses have a reason. Every
+    document is read whole; with ``paths`` only their values, and what tells its shape, become leaves.
     """
     c = F.col
     present = stored.groupBy("analysis_id").agg(F.max(c("result_payload").isNotNull()).alias("present"))
-    found = stash(parts.leaves(stored.select("analysis_id", "part_no", c("result_payload").alias("payload")).filter("payload IS NOT NULL")))
+    found = stash(parts.leaves(stored.select("analysis_id", "part_no", c("result_payload").alias("payload")).filter("payload IS NOT NULL"),
+                               paths=None if paths is None else (*_TOLD, *paths)))
     top = F.regexp_extract("path", r"\A([^.\[]*)", 1)
     known = sorted({f for fields in DOCUMENT_FIELDS.values() for f in fields})
 

@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import ids
-from ..operators import aggregate, insights as ins, items as item_ops, parts, result, rules
+from ..functions import ids, text
+from ..operators import aggregate, insights as ins, items as item_ops, parts, result, rules, skew
 from ..session import cut_lineage, stash
 
 
@@ -19,6 +19,27 @@ def retained_signals(evidence: DataFrame, similarities: DataFrame | None = None)
     return aggregate.represent(aggregate.distinct_evidence(signals))
 
 
+def themed(evidence: DataFrame) -> DataFrame:
+    """Redacted evidence with the normal form of its concept (_text) and a hash of its theme (_theme)."""
+    named = aggregate.named_concepts(evidence)
+    return result.redacted(named.withColumn("_theme", F.xxhash64("type", "_key"))).drop("_key")
+
+
+def wide_evidence(rows: DataFrame, universe: DataFrame, policy: ins.SupportPolicy = ins.SupportPolicy()) -> DataFrame:
+    """:func:`themed` evidence whose theme may reach the counts of the policy; no insight rests on any other.
+
+    Themes are told by a hash and copies count here, so the counts are upper bounds: more may stay than
+    becomes an insight, but every row of a theme stays if the theme does.
+    """
+    n, total = F.col("n"), F.col("item_universe_count")
+    counts = rows.filter("_text <> ''").groupBy("analysis_id", "_theme").agg(F.count(F.lit(1)).alias("n"))
+    least = F.lit(max(policy.min_evidence, policy.min_items))
+    sized = skew.lookup(counts.filter(n >= least), universe.withColumn("_size", total), ["analysis_id"], "_size", 10_000, how="inner", spread_by=["_theme"])
+    wide = stash(sized.filter(n / total >= policy.min_coverage).select("analysis_id", "_theme"))
+    kept = rows.join(wide, ["analysis_id", "_theme"], "left_semi")
+    return text.computed(kept, _key=text.aggregation_key(F.col("_text")))
+
+
 def ranked_insights(aggregates: DataFrame, sizes: DataFrame, policy: ins.SupportPolicy = ins.SupportPolicy(),
                     hot_rows: int = 100_000) -> DataFrame:
     """``sizes``: the items; counting them tells whether any analysis needs the split ranking."""

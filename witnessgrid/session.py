@@ -95,7 +95,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
     Like :func:`cut_lineage`, but columnar and compressed, so later reads prune columns and
@@ -103,13 +103,13 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, "stash")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._stash_path = path
     return kept
 
 
 def drop_stash(df: DataFrame) -> None:
-    """Free the files of a frame that :func:`stash` returned, once nothing reads it or what came from it any more."""
+    """Free the files of a frame that :func:`stash` returned, or of running totals, once nothing reads them any more."""
     target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stash_path)
     target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
