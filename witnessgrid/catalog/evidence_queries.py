@@ -528,7 +528,7 @@ def rejected_results(spark, sf):
         .when(tail == "5", F.concat(p, F.lit("}"))).otherwise(p))
     last = d.groupBy("analysis_id").agg(F.max("part_no").alias("_n"))
     marked = d.join(last, "analysis_id").withColumn("_last", F.col("part_no") == F.col("_n"))
-    _, _, bad = result.read_documents(marked.withColumn("result_payload", spoiled))
+    _, _, bad = result.read_documents(marked.withColumn("result_payload", spoiled), ())
     return bad
 
 
