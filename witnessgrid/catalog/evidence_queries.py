@@ -352,10 +352,10 @@ def summary_factuality(spark, sf):
     multiple of three, the documents were stored without the last insight."""
     evidence = kept_evidence(spark, sf)
     retained = kept_retained(spark, sf, evidence)
-    ranked = kept_insights(spark, sf)
+    ranked = kept_insights(spark, sf, retained)
     last = ranked.groupBy("analysis_id").agg(F.max("rank").alias("rank")).filter("rank % 3 = 0")
     stored = documents(spark, sf, (evidence, retained, ranked.join(last, ["analysis_id", "rank"], "left_anti")))
-    _, leaves, _ = result.read_documents(stored)
+    _, leaves, _ = result.read_documents(stored, ("summary",))
     was = leaves.filter("path = 'summary'").select("analysis_id", F.col("chunk_no").cast("bigint").alias("n"), F.col("value").alias("text"))
     again = ins.summary_parts(ranked, all_items(spark, sf)).select("analysis_id", F.col("part_no").alias("n"), F.col("payload").alias("text"))
     return run_ops.summary_factuality(was, again)
